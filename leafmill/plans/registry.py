@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ["text"]
+FAMILIES = ["text", "sources", "catalogue"]
 
 
 def _collect(part: str) -> dict:
