@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leafmill.functions.ordered import bucketed_rank
 from leafmill.operators import sheets as H
 from leafmill.plans.recipes import load
 
@@ -25,19 +24,6 @@ def big(*names):
     return [F.col(n).cast("bigint").alias(n) for n in names]
 
 
-def _placed(spark, d):
-    """Orders in sheets: the workbook is a customer, the sheet a priority, the row a rank."""
-    orders = load(spark, d, "orders")
-    keyed = orders.select(
-        F.concat(F.lit("w"), F.col("o_custkey").cast("string")).alias("workbook"),
-        F.concat(F.lit("p"), F.substring("o_orderpriority", 1, 1)).alias("sheet"),
-        "o_orderkey",
-        "o_orderstatus",
-        "o_totalprice",
-    )
-    return bucketed_rank(keyed, ["workbook", "sheet"], ["o_orderkey"], F.floor(F.col("o_orderkey") / 100000), "rn")
-
-
 def _cell(row, col, text=None, num=None, is_int=False, fmt=None):
     return F.struct(
         row.cast("int").alias("row"),
@@ -49,52 +35,52 @@ def _cell(row, col, text=None, num=None, is_int=False, fmt=None):
     )
 
 
+def _books(spark, d):
+    return load(spark, d, "documents").select(
+        F.concat(F.lit("w"), F.col("doc_id").cast("string")).alias("workbook"), F.split("text", "\n", -1).alias("ls")
+    )
+
+
 def cells(spark, d):
-    """Data rows from row 4, column 2; a title in row 3; after a gap a footer; one blank sheet per workbook."""
-    placed = _placed(spark, d)
-    r = F.col("rn") + 3
-    key = F.col("o_orderkey")
-    body = placed.select(
-        "workbook",
-        "sheet",
-        F.inline(
-            F.array(
-                _cell(r, 2, num=key, is_int=True),
-                _cell(r, 3, text=F.concat(F.col("o_orderstatus"), F.lit("| x\n  y"))),
-                _cell(r, 4, num=F.col("o_totalprice"), fmt="0.00"),
-                _cell(r, 5, num=(key % 100) / 100, fmt="0.00%"),
-                _cell(r, 6, text=F.when(key % 3 == 0, F.lit(" ")).when(key % 3 == 1, F.lit("")).otherwise(F.lit("z"))),
-            )
-        ),
+    """A workbook per document, a sheet row per line: data from row 4, column 2.
+
+    A title stands in row 3, a footer after a gap at the end; a second sheet is blank.
+    """
+
+    def row(x, i):
+        r, n = i + 4, F.length(x)
+        return F.array(
+            _cell(r, 2, num=i * 7, is_int=True),
+            _cell(r, 3, text=F.concat(x, F.lit("| x\n  y"))),
+            _cell(r, 4, num=n / 8, fmt="0.00"),
+            _cell(r, 5, num=(n % 100) / 100, fmt="0.00%"),
+            _cell(r, 6, text=F.when(n % 3 == 0, F.lit(" ")).when(n % 3 == 1, F.lit("")).otherwise(F.lit("z"))),
+        )
+
+    books = _books(spark, d)
+    frame = F.array(
+        _cell(F.lit(3), 2, text=F.concat(F.lit(" Title "), F.col("workbook"))),
+        _cell(F.size("ls") + 5, 2, text=F.concat(F.lit("- 数据来源 "), F.col("workbook"))),
     )
-    sizes = placed.groupBy("workbook", "sheet").agg(F.max("rn").alias("n"))
-    frame = sizes.select(
-        "workbook",
-        "sheet",
-        F.inline(
-            F.array(
-                _cell(F.lit(3), 2, text=F.concat(F.lit(" Title "), "sheet")),
-                _cell(F.col("n") + 5, 2, text=F.concat(F.lit("- 数据来源 "), "sheet")),
-            )
-        ),
+    full = books.select(
+        "workbook", F.lit("p1").alias("sheet"), F.inline(F.concat(F.flatten(F.transform("ls", row)), frame))
     )
-    empty = sizes.select("workbook").distinct().select("workbook", F.lit("q[1]").alias("sheet"), F.inline(F.array(_cell(F.lit(2), 2, text=F.lit("  ")))))
-    return body.unionByName(frame).unionByName(empty)
+    blank = books.select("workbook", F.lit("q[1]").alias("sheet"), F.inline(F.array(_cell(F.lit(2), 2, text=F.lit("  ")))))
+    return full.unionByName(blank)
 
 
 CELLS_SQL = """
-placed as (select 'w' || o_custkey as workbook, 'p' || substr(o_orderpriority, 1, 1) as sheet, o_orderkey as k, o_orderstatus, o_totalprice,
-  row_number() over (partition by o_custkey, substr(o_orderpriority, 1, 1) order by o_orderkey) as rn from orders),
-sizes as (select workbook, sheet, max(rn) as n from placed group by all),
+sizes as (select 'w' || doc_id as workbook, 'p1' as sheet, len(string_split(text, chr(10))) as n from documents),
+placed as (select 'w' || doc_id as workbook, 'p1' as sheet, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) as rn from documents),
 cells as (
-  select workbook, sheet, rn + 3 as "row", 2 as col, null as text, k::double as num, true as is_int, null as fmt from placed
-  union all select workbook, sheet, rn + 3, 3, o_orderstatus || '| x' || chr(10) || '  y', null, false, null from placed
-  union all select workbook, sheet, rn + 3, 4, null, o_totalprice, false, '0.00' from placed
-  union all select workbook, sheet, rn + 3, 5, null, (k % 100)::double / 100, false, '0.00%' from placed
-  union all select workbook, sheet, rn + 3, 6, case k % 3 when 0 then ' ' when 1 then '' else 'z' end, null, false, null from placed
-  union all select workbook, sheet, 3, 2, ' Title ' || sheet, null, false, null from sizes
-  union all select workbook, sheet, n + 5, 2, '- 数据来源 ' || sheet, null, false, null from sizes
-  union all select distinct workbook, 'q[1]', 2, 2, '  ', null::double, false, null from sizes)"""
+  select workbook, sheet, rn + 3 as "row", 2 as col, null as text, ((rn - 1) * 7)::double as num, true as is_int, null as fmt from placed
+  union all select workbook, sheet, rn + 3, 3, x || '| x' || chr(10) || '  y', null, false, null from placed
+  union all select workbook, sheet, rn + 3, 4, null, length(x)::double / 8, false, '0.00' from placed
+  union all select workbook, sheet, rn + 3, 5, null, (length(x) % 100)::double / 100, false, '0.00%' from placed
+  union all select workbook, sheet, rn + 3, 6, case length(x) % 3 when 0 then ' ' when 1 then '' else 'z' end, null, false, null from placed
+  union all select workbook, sheet, 3, 2, ' Title ' || workbook, null, false, null from sizes
+  union all select workbook, sheet, n + 5, 2, '- 数据来源 ' || workbook, null, false, null from sizes
+  union all select workbook, 'q[1]', 2, 2, '  ', null::double, false, null from sizes)"""
 
 RANGE_SQL = CELLS_SQL + """,
 rng as (select workbook, sheet, coalesce(min("row") filter (where f), 1) as min_row, coalesce(min(col) filter (where f), 1) as min_col,
@@ -134,10 +120,13 @@ def tab_2_a1(spark, d):
 
 
 def merges(spark, d):
-    sizes = _placed(spark, d).groupBy("workbook", "sheet").agg(F.max("rn").cast("int").alias("n"))
-    m = lambda a, b, c, e: F.struct(a.alias("min_row"), b.alias("min_col"), c.alias("max_row"), e.alias("max_col"))
-    return sizes.select(
-        "workbook", "sheet", F.inline(F.array(m(F.lit(3), F.lit(2), F.lit(3), F.lit(6)), m(F.lit(4), F.lit(3), F.col("n") + 3, F.lit(4))))
+    m = lambda *v: F.struct(*[x.cast("int").alias(n) for x, n in zip(v, ("min_row", "min_col", "max_row", "max_col"))])
+    return _books(spark, d).select(
+        "workbook",
+        F.lit("p1").alias("sheet"),
+        F.inline(
+            F.array(m(F.lit(3), F.lit(2), F.lit(3), F.lit(6)), m(F.lit(4), F.lit(3), F.size("ls") + 3, F.lit(4)))
+        ),
     )
 
 
