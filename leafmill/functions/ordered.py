@@ -71,3 +71,29 @@ def trailing_count(df: DataFrame, keys: Sequence[str], micros: Column, width: in
     spread = timed.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_tile", tile + F.col("_copy"))
     w = Window.partitionBy(*keys, "_tile").orderBy("_us").rangeBetween(-(width - 1), Window.currentRow)
     return spread.withColumn(out, F.count(F.lit(1)).over(w)).where("_copy = 0").drop("_us", "_copy", "_tile")
+
+
+def bucketed_last(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: Column, out: str = "last_value"
+) -> DataFrame:
+    """Last non-NULL ``value`` on an earlier row of the group, exact, bucket by bucket.
+
+    A bucket looks back inside itself and otherwise takes what the earlier
+    buckets carry over; that carry is one combinable row per bucket.
+    """
+    b = "_bucket"
+    keyed = df.withColumn(b, bucket).withColumn("_v", value)
+    inside = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    carry = (
+        keyed.groupBy(*keys, b)
+        .agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_end"))
+        .withColumn("_carry", F.last("_end", ignorenulls=True).over(before))
+        .drop("_end")
+    )
+    return (
+        keyed.withColumn("_near", F.last("_v", ignorenulls=True).over(inside))
+        .join(carry, [*keys, b])
+        .withColumn(out, F.coalesce("_near", "_carry"))
+        .drop(b, "_v", "_near", "_carry")
+    )

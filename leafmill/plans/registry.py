@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ["text", "sources", "catalogue", "sheets", "extract"]
+FAMILIES = ["text", "sources", "catalogue", "sheets", "extract", "assemble", "telemetry"]
 
 
 def _collect(part: str) -> dict:
