@@ -64,13 +64,15 @@ def task_state(events: DataFrame) -> DataFrame:
     )
 
 
-def tag_state(events: DataFrame) -> DataFrame:
+def tag_state(events: DataFrame, keep_reset: bool = False) -> DataFrame:
     """State machine of each tag from the latest event of each kind.
 
     ``events``: tag, ts, event_id, kind in (start, stage, error, success, reset),
     stage. Since the last reset: an error after the last start means failed, else a
     success after it means success, else processing; without a start, error, then
     success, then pending. The order between error and success does not matter.
+    A tag whose last event is a reset has no state; ``keep_reset`` shows it as
+    ``reset`` instead, which a stream needs to withdraw an earlier state.
     """
     at = F.struct("ts", "event_id")
     last = lambda kind: F.max(F.when(F.col("kind") == kind, at))
@@ -83,14 +85,16 @@ def tag_state(events: DataFrame) -> DataFrame:
         F.max(F.when(F.col("kind") != "reset", at)).alias("any"),
     )
     since = lambda c: F.when(F.col("reset").isNull() | (F.col(c) > F.col("reset")), F.col(c))
-    live = seen.where("reset is null or any > reset").select(
-        "tag", since("start").alias("start"), since("error").alias("error"), since("success").alias("success"),
+    is_live = F.col("reset").isNull() | F.coalesce(F.col("any") > F.col("reset"), F.lit(False))
+    live = (seen if keep_reset else seen.where(is_live)).select(
+        "tag", is_live.alias("live"), since("start").alias("start"), since("error").alias("error"), since("success").alias("success"),
         F.when(F.col("reset").isNull() | (F.col("staged.at") > F.col("reset")), F.col("staged.stage")).alias("current_stage"),
     )
     after = lambda c: F.col(c).isNotNull() & (F.col("start").isNull() | (F.col(c) > F.col("start")))
     return live.select(
         "tag",
-        F.when(after("error"), "failed")
+        F.when(~F.col("live"), "reset")
+        .when(after("error"), "failed")
         .when(after("success"), "success")
         .when(F.col("start").isNotNull(), "processing")
         .otherwise("pending")

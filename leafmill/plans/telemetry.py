@@ -108,7 +108,7 @@ def str_2(spark, d):
 
 @query("str_2_tag_state_stream", f"with {TAG_SQL} select tag, status, current_stage, started_at from tag_state")
 def str_2_stream(spark, d):
-    return ST.run_state(ST.tag_state_stream(tag_events(event_stream(spark, d))), ["tag"])
+    return ST.run_state(ST.tag_state_stream(tag_events(event_stream(spark, d))), ["tag"]).where("status <> 'reset'")
 
 
 @query("str_2_tag_errors", f"with {TAG_SQL} select tag, ts, event_id from live where kind = 'error'")

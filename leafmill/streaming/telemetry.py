@@ -59,7 +59,8 @@ def task_state_stream(events: DataFrame) -> DataFrame:
 
 
 def tag_state_stream(events: DataFrame) -> DataFrame:
-    return tag_state(events)
+    """Readers of the state table leave out rows with status ``reset``."""
+    return tag_state(events, keep_reset=True)
 
 
 def log_counter_stream(logs: DataFrame) -> DataFrame:
