@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.arrays import let
@@ -199,50 +199,58 @@ def enrich(requests: DataFrame, resolved: DataFrame) -> DataFrame:
     return requests.join(resolved, "file", "left")
 
 
-def _first_existing(candidates: DataFrame, keys: Sequence[str], manifest: DataFrame) -> DataFrame:
-    """First of the ranked ``paths`` that the manifest knows, per key."""
-    flat = candidates.select(*keys, F.posexplode("paths").alias("rank", "path")).where("path is not null")
-    known = flat.join(manifest.select("path").distinct(), "path", "left_semi")
-    return known.groupBy(*keys).agg(F.min_by("path", "rank").alias("path"))
+def _first_existing(candidates: DataFrame, keys: Sequence[str], manifest: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """First of the ranked ``paths`` that the manifest knows, per key, with the ``keep`` columns.
+
+    The columns ride along, so the candidates are computed once.
+    """
+    flat = candidates.select(*keys, *keep, F.posexplode("paths").alias("rank", "path")).where("path is not null")
+    known = flat.join(manifest.select("path"), "path", "left_semi")
+    return known.groupBy(*keys).agg(F.min_by("path", "rank").alias("path"), *[F.any_value(c).alias(c) for c in keep])
 
 
 def _structured(path: Column) -> Column:
     return F.when(path.endswith("_chunks.json"), F.regexp_replace(path, r"_chunks\.json$", "_chunks_structured.json"))
 
 
-def keep_leading_family(matches: DataFrame, item: str) -> DataFrame:
-    """Items that touch any text document ignore their table packages."""
-    kind = F.lower(F.col("file_type"))
-    typed = matches.withColumn(
-        "family", F.when(kind.isin(DOCUMENT_TYPES), "document").when(kind.isin(TABLE_TYPES), "table")
-    ).where("family is not null")
-    lead = typed.groupBy(item).agg(F.min("family").alias("family"))
-    return typed.join(lead, [item, "family"])
+def documents_of(matches: DataFrame) -> DataFrame:
+    """Matches with text documents; these always take precedence."""
+    return matches.where(F.lower(F.col("file_type")).isin(DOCUMENT_TYPES))
+
+
+def tables_of(matches: DataFrame, item: str) -> DataFrame:
+    """Matches with table files, of items that reach no text document at all."""
+    tables = matches.where(F.lower(F.col("file_type")).isin(TABLE_TYPES))
+    return tables.join(documents_of(matches).select(item), item, "left_anti")
 
 
 def document_files(matches: DataFrame, item: str, manifest: DataFrame) -> DataFrame:
     """Chunk file of each document match that exists: ``item, ord, chunks_file, source_file``."""
-    docs = keep_leading_family(matches, item).where("family = 'document'")
+    docs = documents_of(matches)
     raw = slashes(F.col("structured_chunks_file"))
     rooted = F.when(raw.rlike(f"(?i){ROOT}/"), index_path(raw))
     beside = F.concat(F.regexp_replace("json_path", "/[^/]*$", ""), F.lit("/"), raw)
     ranked = docs.withColumn(
         "paths", F.array(_structured(rooted), rooted, _structured(raw), raw, _structured(beside), beside)
     )
-    found = _first_existing(ranked, [item, "ord"], manifest).withColumnRenamed("path", "chunks_file")
-    return docs.join(found, [item, "ord"]).select(item, "ord", "chunks_file", "source_file", "file_type")
+    return _first_existing(ranked, [item, "ord"], manifest, ["source_file", "file_type"]).withColumnRenamed(
+        "path", "chunks_file"
+    )
 
 
 def document_groups(files: DataFrame, item: str) -> DataFrame:
-    """Chunk files and sources of an item in order, in parts (``ord`` is 1-based)."""
-    kinds = first_by(files.select(item, "ord", "file_type"), [item], ["ord"]).select(item, "file_type")
+    """Chunk files and sources of an item in order, in parts (``ord`` is 1-based).
+
+    The type is that of the item's first file, in every part.
+    """
     both = files.withColumn("pair", F.concat_ws("\u0001", "chunks_file", "source_file"))
-    joined = join_parts(both, [item], "ord", "pair", "\u0002")
+    joined = join_parts(both, [item], "ord", "pair", "\u0002", extra=[F.min_by("file_type", "ord").alias("file_type")])
     pairs = F.split("pair", "\u0002")
-    return joined.join(kinds, item).select(
+    by_part = Window.partitionBy(item).orderBy("part")
+    return joined.select(
         item,
         "part",
-        "file_type",
+        F.first("file_type").over(by_part).alias("file_type"),
         F.array_join(F.transform(pairs, lambda p: F.split(p, "\u0001")[0]), ",").alias("chunks_files"),
         F.array_join(F.transform(pairs, lambda p: F.split(p, "\u0001")[1]), ", ").alias("source_file"),
     )
@@ -250,24 +258,27 @@ def document_groups(files: DataFrame, item: str) -> DataFrame:
 
 def region_resources(matches: DataFrame, item: str, manifest: DataFrame) -> DataFrame:
     """Existing table and image files of the documents: ``item, ord, region_no, label, type, path, source_file``."""
-    docs = keep_leading_family(matches, item).where("family = 'document'")
-    regions = docs.select(item, "ord", "source_file", "json_path", F.posexplode("regions").alias("region_no", "r")).where(
-        "r.label like 'Table\\_%' or r.label like 'Image\\_%'"
-    )
+    regions = documents_of(matches).select(
+        item, "ord", "source_file", "json_path", F.posexplode("regions").alias("region_no", "r")
+    ).where("r.label like 'Table\\_%' or r.label like 'Image\\_%'")
     raw = slashes(F.col("r.path"))
     folder = F.regexp_replace("json_path", "/[^/]*$", "")
-    ranked = regions.where("coalesce(r.path, '') <> ''").withColumn(
-        "paths",
+    ranked = regions.where("coalesce(r.path, '') <> ''").select(
+        item,
+        "ord",
+        "region_no",
+        "source_file",
+        F.col("r.label").alias("label"),
         F.array(
             F.when(raw.rlike(f"(?i){ROOT}/"), index_path(raw)),
             raw,
             F.concat(folder, F.lit("/"), raw),
             F.concat(F.regexp_replace(folder, "/[^/]*$", ""), F.lit("/regions_word/"), base_name(raw)),
-        ),
+        ).alias("paths"),
     )
-    found = _first_existing(ranked, [item, "ord", "region_no"], manifest)
-    label = F.col("r.label")
-    return regions.join(found, [item, "ord", "region_no"]).select(
+    found = _first_existing(ranked, [item, "ord", "region_no"], manifest, ["label", "source_file"])
+    label = F.col("label")
+    return found.select(
         item,
         "ord",
         "region_no",
@@ -282,8 +293,7 @@ def region_resources(matches: DataFrame, item: str, manifest: DataFrame) -> Data
 
 def table_groups(matches: DataFrame, item: str, manifest: DataFrame) -> DataFrame:
     """Markdown files of each distinct directory an item reaches, in first-seen order."""
-    tables = keep_leading_family(matches, item).where("family = 'table'")
-    dirs = tables.groupBy(item, "markdown_dir").agg(F.min("ord").alias("dir_ord"))
+    dirs = tables_of(matches, item).groupBy(item, "markdown_dir").agg(F.min("ord").alias("dir_ord"))
     files = manifest.where("path like '%.md'").select(
         F.regexp_replace("path", "/[^/]*$", "").alias("markdown_dir"), F.col("path").alias("markdown_file")
     )
@@ -292,7 +302,7 @@ def table_groups(matches: DataFrame, item: str, manifest: DataFrame) -> DataFram
 
 def table_sources(matches: DataFrame, item: str) -> DataFrame:
     """Distinct source files of an item, with their first position."""
-    tables = keep_leading_family(matches, item).where("family = 'table' and coalesce(source_file, '') <> ''")
+    tables = tables_of(matches, item).where("coalesce(source_file, '') <> ''")
     return tables.groupBy(item, "source_file").agg(F.min("ord").alias("first_ord"))
 
 

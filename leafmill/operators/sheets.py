@@ -153,7 +153,7 @@ def formatted(cells: DataFrame) -> DataFrame:
 
 
 def grid_rows(cells: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Dense rows: ``workbook, sheet, row, cells`` with the placeholder where nothing is.
+    """Dense rows: ``workbook, sheet, row, min_row, cells`` with the placeholder where nothing is.
 
     Rows are dealt out in blocks before they are laid out one by one, so a long
     sheet is built by many tasks.
@@ -171,6 +171,7 @@ def grid_rows(cells: DataFrame, bounds: DataFrame) -> DataFrame:
     return blocks.join(by_row, [*SHEET, "row"], "left").select(
         *SHEET,
         "row",
+        "min_row",
         F.transform(
             F.sequence("min_col", "max_col"), lambda c: F.coalesce(F.try_element_at("found", c), F.lit(PLACEHOLDER))
         ).alias("cells"),
@@ -194,32 +195,59 @@ def sheet_lines(rows: DataFrame, header_rows: int = 1) -> DataFrame:
     """Markdown lines of each sheet: ``workbook, sheet, line_no, line``.
 
     Sheet name, distinct titles, blank line, table rows with a rule after the
-    header; footers are left out.
+    header; footers are left out. One flow: every grid row becomes its line (the
+    first row of a sheet also brings the sheet name and the blank line), repeated
+    titles go, and line numbers are counted per tile and shifted by the tiles before.
     """
-    typed = rows.withColumn("kind", row_kind(F.col("cells"))).where("kind <> 'footer'")
-    named = rows.select(*SHEET).distinct().where(~blank(F.col("sheet"))).select(
-        *SHEET, strip(F.col("sheet")).alias("line"), F.lit(-1).alias("at")
+    cells = F.col("cells")
+    table_line = F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+    rule = F.concat(F.lit("| "), F.array_join(F.transform(cells, lambda c: F.lit("---")), " | "), F.lit(" |"))
+
+    def entry(phase, at, line, rule_line):
+        return F.struct(
+            F.lit(phase).alias("phase"), at.cast("int").alias("at"), line.alias("line"), rule_line.alias("rule")
+        )
+
+    no_rule = F.lit(None).cast("string")
+    own = F.when(F.col("kind") == "title", entry(0, F.col("row"), strip(cells[0]), no_rule)).when(
+        F.col("kind") == "data", entry(2, F.col("row"), table_line, rule)
     )
-    found = typed.where("kind = 'title'").select(*SHEET, strip(F.col("cells")[0]).alias("line"), F.col("row").alias("at"))
-    titles = named.unionByName(found).groupBy(*SHEET, "line").agg(F.min("at").alias("at"))
-    top = bucketed_rank(titles, SHEET, ["at"], F.floor(F.col("at") / ROW_BLOCK), "line_no").select(*SHEET, "line_no", "line")
-    sizes = titles.groupBy(*SHEET).agg(F.count(F.lit(1)).alias("n_titles"))
-    gap = sizes.select(*SHEET, (F.col("n_titles") + 1).alias("line_no"), F.lit("").alias("line"))
-
-    # a data row's line follows from its rank: titles, blank line, rows, and the rule after the header
-    data = typed.where("kind = 'data'").select(*SHEET, "row", "cells")
-    ranked = bucketed_rank(data, SHEET, ["row"], F.floor(F.col("row") / ROW_BLOCK), "nth").join(sizes, SHEET, "left")
-    before = F.when(F.col("n_titles").isNotNull(), F.col("n_titles") + 1).otherwise(F.lit(0))
-    shown = F.concat(F.lit("| "), F.array_join("cells", " | "), F.lit(" |"))
-    rule = F.concat(F.lit("| "), F.array_join(F.transform("cells", lambda c: F.lit("---")), " | "), F.lit(" |"))
-    own = F.struct(
-        (before + F.col("nth") + F.when(F.col("nth") > header_rows, 1).otherwise(0)).alias("line_no"), shown.alias("line")
+    name = F.when(~blank(F.col("sheet")), entry(0, F.lit(-1), strip(F.col("sheet")), no_rule))
+    gap = F.when(~blank(F.col("sheet")) | (F.col("kind") == "title"), entry(1, F.lit(0), F.lit(""), no_rule))
+    is_first = F.col("row") == F.col("min_row")
+    entries = F.when(is_first, F.array(name, gap, own)).otherwise(F.array(own))
+    flat = (
+        rows.withColumn("kind", row_kind(cells))
+        .select(*SHEET, F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e"))
+        .select(*SHEET, "e.*")
     )
-    after = F.struct((before + F.col("nth") + 1).alias("line_no"), rule.alias("line"))
-    body = ranked.select(
-        *SHEET, F.inline(F.when(F.col("nth") == header_rows, F.array(own, after)).otherwise(F.array(own)))
+    same_title = Window.partitionBy(
+        *SHEET, "phase", F.when(F.col("phase") == 0, F.col("line")).otherwise(F.col("at").cast("string"))
+    ).orderBy("at")
+    kept = (
+        flat.withColumn("_again", F.row_number().over(same_title))
+        .where("_again = 1")
+        .drop("_again")
+        .withColumn("tile", F.floor(F.col("at") / ROW_BLOCK))
+    )
+    tiles = kept.groupBy(*SHEET, "phase", "tile").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(*SHEET).orderBy("phase", "tile").rowsBetween(Window.unboundedPreceding, -1)
+    before_in = Window.partitionBy(*SHEET, "phase").orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = tiles.select(
+        *SHEET,
+        "phase",
+        "tile",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lines_before"),
+        F.coalesce(F.sum("n").over(before_in), F.lit(0)).alias("rows_before"),
     )
-    return top.unionByName(gap).unionByName(body)
+    pos = F.row_number().over(Window.partitionBy(*SHEET, "phase", "tile").orderBy("at"))
+    placed = kept.withColumn("pos", pos).join(shifts, [*SHEET, "phase", "tile"])
+    nth = F.col("rows_before") + F.col("pos")
+    line_no = F.col("lines_before") + F.col("pos")
+    is_data = F.col("phase") == 2
+    line = F.struct((line_no + F.when(is_data & (nth > header_rows), 1).otherwise(0)).alias("line_no"), F.col("line").alias("line"))
+    under = F.struct((line_no + 1).alias("line_no"), F.col("rule").alias("line"))
+    return placed.select(*SHEET, F.inline(F.when(is_data & (nth == header_rows), F.array(line, under)).otherwise(F.array(line))))
 
 
 def sheet_markdown(lines: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.ordered import bucketed_rank, join_parts
 from leafmill.operators import assemble as G
-from leafmill.plans.recipes import load
+from leafmill.plans.recipes import load, spread
 
 QUERIES = {}
 SQL = {}
@@ -29,7 +29,8 @@ def text(c):
     return F.col(c).cast("string")
 
 
-def items(spark, d):
+def raw_items(spark, d):
+    """Items in key order: ``ord`` is the order key, not dense."""
     k = F.col("o_orderkey")
     p = F.substring("o_orderpriority", 1, 1)
     body = F.concat(
@@ -41,9 +42,10 @@ def items(spark, d):
         (k % 3).cast("string"),
         F.lit("_Start}} body\n\n\n\nend {{Image_7_Start}}"),
     )
-    rows = load(spark, d, "orders").select(
+    return spread(load(spark, d, "orders"), "o_orderkey").select(
         F.col("o_custkey").alias("paragraph"),
         k.alias("item"),
+        k.alias("ord"),
         F.when(k % 11 == 0, "error").otherwise("success").alias("status"),
         F.when(k % 11 == 0, F.concat(F.lit("bad "), text("o_orderkey"))).alias("error"),
         F.when(p == "1", "word").when(p == "2", "pdf").when(p == "3", "excel").when(p == "4", "rtf").otherwise("tfl").alias("data_type"),
@@ -51,7 +53,11 @@ def items(spark, d):
         body.alias("content"),
         (F.col("o_orderstatus") == "F").alias("insert_original"),
     )
-    return bucketed_rank(rows, ["paragraph"], ["item"], F.floor(F.col("item") / 100000))
+
+
+def items(spark, d):
+    """Items with a dense 1-based ``ord``."""
+    return bucketed_rank(raw_items(spark, d).drop("ord"), ["paragraph"], ["item"], F.floor(F.col("item") / 100000))
 
 
 ITEMS_SQL = """
@@ -70,7 +76,7 @@ select paragraph, case when bool_and(ok) then 'items ' || count(*) else '' end a
 )
 def gen_1(spark, d):
     generate = lambda sound: sound.groupBy("paragraph").agg(F.concat(F.lit("items "), F.count(F.lit(1)).cast("string")).alias("generated_content"))
-    slim = items(spark, d).select("paragraph", "ord", "status", "error")
+    slim = raw_items(spark, d).select("paragraph", "ord", "status", "error")
     return G.two_phases(slim, "paragraph", generate)
 
 
@@ -85,7 +91,7 @@ def gen_2(spark, d):
 
 def file_tags(spark, d):
     """File placeholders: every item of sheet type offers one, some twice."""
-    sheets = items(spark, d).where("data_type in ('excel', 'rtf')")
+    sheets = raw_items(spark, d).where("data_type in ('excel', 'rtf')")
     tag = F.concat(F.lit("{{TFL_t"), (F.col("item") % 4).cast("string"), F.lit("}}"))
     return sheets.select(
         "paragraph",
@@ -112,7 +118,7 @@ j as (select paragraph, string_agg(t, chr(10) || chr(10) order by section, ord)
 select paragraph, 0 as part, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^#+\\s*', '')), lambda x: trim(x) <> ''), chr(10)) as content from j""",
 )
 def gen_3(spark, d):
-    return G.direct_text(items(spark, d), file_tags(spark, d), "paragraph").withColumn("part", F.col("part").cast("bigint"))
+    return G.direct_text(raw_items(spark, d), file_tags(spark, d), "paragraph").withColumn("part", F.col("part").cast("bigint"))
 
 
 def generated(spark, d):
@@ -134,7 +140,7 @@ select p.paragraph, 0 as part, content || case when p.ins and f.t is not null th
 from p left join f using (paragraph) left join g using (paragraph)""",
 )
 def gen_4(spark, d):
-    tags = items(spark, d).where("insert_original").select(
+    tags = raw_items(spark, d).where("insert_original").select(
         "paragraph", F.concat(F.lit("{{Table_"), (F.col("item") % 3).cast("string"), F.lit("_Start}}")).alias("placeholder")
     )
     return G.append_placeholders(generated(spark, d), file_tags(spark, d), tags, "paragraph").withColumn("part", F.col("part").cast("bigint"))
@@ -164,7 +170,7 @@ def gen_5(spark, d):
 
 def resources(spark, d):
     """Each document item offers a table (label without its suffix) and an image (label with one)."""
-    docs = items(spark, d).where("data_type in ('word', 'pdf')")
+    docs = raw_items(spark, d).where("data_type in ('word', 'pdf')")
     r = lambda label, kind: F.struct(label.alias("label"), F.lit(kind).alias("type"))
     table = F.concat(F.lit("Table_"), (F.col("item") % 3).cast("string"), F.when(F.col("item") % 2 == 0, "_Start").otherwise(""))
     return docs.select(
@@ -241,7 +247,7 @@ from items where ok""",
 )
 def gen_8(spark, d):
     i = text("item")
-    rows = items(spark, d).select(
+    rows = raw_items(spark, d).select(
         "paragraph",
         "item",
         "status",
@@ -284,7 +290,7 @@ def prompt_files(spark, d):
             )
         ).alias("name")
     ).where("name is not null")
-    kinds = items(spark, d).select(F.concat(F.lit("data_extraction_prompt_"), "data_type", F.lit("_9.txt")).alias("name")).distinct()
+    kinds = raw_items(spark, d).select(F.concat(F.lit("data_extraction_prompt_"), "data_type", F.lit("_9.txt")).alias("name")).distinct()
     return own.unionByName(kinds).withColumn("mtime", F.regexp_extract("name", r"_(\d)\.txt$", 1).cast("int"))
 
 
@@ -311,7 +317,7 @@ def gen_9(spark, d):
     cust = load(spark, d, "customer")
     configs = cust.select(text("c_custkey").alias("paragraph"), F.lit("write").alias("generate"), F.col("c_mktsegment").alias("example"))
     results = cust.where("c_custkey % 5 <> 0").select(text("c_custkey").alias("paragraph"), F.lit("success").alias("status"), F.lit("done").alias("generated_content"))
-    rows = items(spark, d).select(text("paragraph").alias("paragraph"), "data_type")
+    rows = raw_items(spark, d).select(text("paragraph").alias("paragraph"), "data_type")
     return G.provenance_document(configs, results, rows, prompt_files(spark, d), "paragraph")
 
 
@@ -333,7 +339,7 @@ def gen_9_config(spark, d):
 )
 def gen_10(spark, d):
     i = text("item")
-    rows = items(spark, d).select(
+    rows = raw_items(spark, d).select(
         "paragraph",
         "item",
         F.upper("data_type").alias("data_type"),
@@ -354,7 +360,7 @@ plan as (select * from found union all select run, kind, s, e, min(item) from la
 def plan(spark, d):
     nation = load(spark, d, "customer").select(F.col("c_custkey").alias("paragraph"), F.col("c_nationkey").alias("run"))
     tag = lambda end: F.concat(F.lit("{{Table_"), (F.col("item") % 5).cast("string"), F.lit(f"_{end}}}}}"))
-    labels = items(spark, d).join(nation, "paragraph").select(
+    labels = raw_items(spark, d).join(nation, "paragraph").select(
         "run", F.col("item").alias("plan_ord"), F.lit("table").alias("kind"), tag("Start").alias("start"), tag("End").alias("end")
     )
     outs = outputs(spark, d).join(nation, "paragraph").select(

@@ -3,9 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leafmill.functions.ordered import first_by
+from leafmill.functions.ordered import bucketed_rank
 from leafmill.operators import catalog as K
-from leafmill.plans.recipes import load
+from leafmill.plans.recipes import load, spread
 
 QUERIES = {}
 SQL = {}
@@ -233,13 +233,11 @@ def cat_7(spark, d):
 
 # Matches of an item: an order is the item, its line items are files.
 def matches(spark, d):
-    li = load(spark, d, "lineitem")
+    li = spread(load(spark, d, "lineitem"), "l_orderkey")
     key = F.concat_ws("_", text("l_partkey"), text("l_suppkey"))
     per_file = li.groupBy("l_orderkey", "l_partkey", "l_suppkey").agg(F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("state"))
     # a file's position inside its item: keys are already distinct, so order by them
     rows = per_file.withColumn("item", F.col("l_orderkey"))
-    from leafmill.functions.ordered import bucketed_rank
-
     ranked = bucketed_rank(rows, ["item"], ["l_partkey", "l_suppkey"], F.floor(F.col("l_partkey") / 1000))
     kind = F.when(F.col("flag") == "A", "docx").when(F.col("flag") == "N", "xlsx").otherwise("pdf")
     region = lambda label, path: F.struct(F.lit(label).alias("label"), path.alias("path"))
@@ -274,7 +272,7 @@ tabs as (select m.* from m join lead using (item, family) where family = 'table'
 
 def manifest(spark, d):
     """Existing files: some chunk files in both forms, regions beside packages, sheets of most suppliers."""
-    li = load(spark, d, "lineitem")
+    li = load(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
     key = F.concat_ws("_", text("l_partkey"), text("l_suppkey"))
     p = F.col("l_partkey")
     return li.select(

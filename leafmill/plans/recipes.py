@@ -12,9 +12,23 @@ from pyspark.sql import functions as F
 from leafmill.functions.text import lines
 
 
+# Tables whose rows are whole texts: worth a task per core even when the file is one row group.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows out by key when the scan has fewer splits than the session has cores.
+
+    A scan of any size has more splits than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def _b64(c):
