@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PART_ROWS = 4096
+PART_ROWS = 512
 
 
 def bucketed_rank(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column, out: str = "ord") -> DataFrame:

@@ -35,7 +35,10 @@ CLASS_SYNONYMS = {
 
 def plain_from_markdown(text: Column) -> Column:
     """Drop HTML tables, lone fences, image references, heading marks and blank lines."""
-    kept = outside_spans(lines(text), lambda x: x.contains("<table>"), lambda x: x.contains("</table>"))
+    kept = F.when(
+        text.contains("<table>") | text.contains("</table>"),
+        outside_spans(lines(text), lambda x: x.contains("<table>"), lambda x: x.contains("</table>")),
+    ).otherwise(lines(text))
 
     def tidy(x):
         bare = F.regexp_replace(F.regexp_replace(x, r"!\[.*?\]\(.*?\)", ""), r"^#+\s*", "")

@@ -88,6 +88,28 @@ def file_errors(files: DataFrame, item: str) -> DataFrame:
     )
 
 
+def sheet_prompt(title: Column, content: Column, query: Column) -> Column:
+    """Prompt of one sheet, its title in front; NULL when nothing is asked or the sheet is empty."""
+    shown = F.concat(F.lit("# "), title, F.lit("\n\n"), content)
+    return F.when(~blank(query) & ~blank(content), F.concat(query, F.lit("\n\n"), shown))
+
+
+def sheet_extraction(sheets: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Extracted content per sheet: the model's output, or the sheet itself without a query.
+
+    ``sheets`` has ``prompt`` from ``sheet_prompt``; an empty sheet is a failed row.
+    """
+    keyed = sheets.withColumn("prompt_hash", F.sha2("prompt", 256))
+    empty = blank(F.col("content"))
+    return (
+        keyed.join(outputs, "prompt_hash", "left")
+        .withColumn("status", F.when(empty, "error").otherwise("success"))
+        .withColumn("error", F.when(empty, "Sheet内容为空"))
+        .withColumn("extracted", F.when(empty, F.lit("")).when(F.col("prompt").isNull(), F.col("content")).otherwise(F.col("output")))
+        .drop("prompt_hash", "output")
+    )
+
+
 def sheet_results(sheets: DataFrame, workbook: str) -> DataFrame:
     """Combined text of a workbook from its sheets in name order, in parts.
 

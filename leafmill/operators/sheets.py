@@ -104,8 +104,8 @@ def expand_merges(cells: DataFrame, merges: DataFrame, fill_mode: str = "dots")
     """Values of every cell inside a merge: ``workbook, sheet, row, col, filled``.
 
     ``dots``: the top-left cell keeps its value, the others get the placeholder;
-    ``copy``: all get the top-left value. Merges are laid out by row (and columns
-    in the row), so no range join is needed.
+    ``copy``: all get the top-left value. Merges are laid out cell by cell, so no
+    range join is needed; tall merges are dealt out in row blocks first.
     """
     corner = cells.select(
         *SHEET,
@@ -115,7 +115,9 @@ def expand_merges(cells: DataFrame, merges: DataFrame, fill_mode: str = "dots")
     )
     laid = (
         merges.join(corner, [*SHEET, "min_row", "min_col"], "left")
-        .withColumn("row", F.explode(F.sequence("min_row", "max_row")))
+        .withColumn("block", F.explode(F.expr(f"sequence(min_row, max_row, {ROW_BLOCK})")))
+        .repartition(*SHEET, "block")
+        .withColumn("row", F.explode(F.sequence("block", F.least(F.col("block") + ROW_BLOCK - 1, F.col("max_row")))))
         .withColumn("col", F.explode(F.sequence("min_col", "max_col")))
     )
     own = (F.col("row") == F.col("min_row")) & (F.col("col") == F.col("min_col"))

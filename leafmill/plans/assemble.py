@@ -82,8 +82,8 @@ def gen_1(spark, d):
 
 @query(
     "gen_2_reference_text",
-    f"""with {ITEMS_SQL} select paragraph, (ord - 1) // 4096 as part, string_agg(case when quote is not null then '【' || quote || '】' || chr(10) else '' end || content, chr(10) || chr(10) order by ord) as content
-from items where ok and data_type <> 'tfl' group by paragraph, (ord - 1) // 4096""",
+    f"""with {ITEMS_SQL} select paragraph, (ord - 1) // 512 as part, string_agg(case when quote is not null then '【' || quote || '】' || chr(10) else '' end || content, chr(10) || chr(10) order by ord) as content
+from items where ok and data_type <> 'tfl' group by paragraph, (ord - 1) // 512""",
 )
 def gen_2(spark, d):
     return G.reference_text(items(spark, d), "paragraph").withColumn("part", F.col("part").cast("bigint"))
@@ -434,7 +434,7 @@ def gen_14(spark, d):
 
 @query(
     "src_9_extracted_data_text",
-    f"""with {ITEMS_SQL} select paragraph, (ord - 1) // 4096 as part, string_agg('[' || data_type || '] ' || case when ok then 'success' else 'error' end, chr(10) order by ord) as line from items group by paragraph, (ord - 1) // 4096""",
+    f"""with {ITEMS_SQL} select paragraph, (ord - 1) // 512 as part, string_agg('[' || data_type || '] ' || case when ok then 'success' else 'error' end, chr(10) order by ord) as line from items group by paragraph, (ord - 1) // 512""",
 )
 def src_9_extracted(spark, d):
     rows = items(spark, d).withColumn("line", F.concat(F.lit("["), "data_type", F.lit("] "), "status"))

@@ -304,8 +304,8 @@ def cat_8(spark, d):
 @query(
     "cat_8_document_groups",
     f"""with {CHUNKS_SQL}
-select item, (ord - 1) // 4096 as part, arg_min(file_type, ord) as file_type, string_agg(chunks_file, ',' order by ord) as chunks_files, string_agg(source_file, ', ' order by ord) as source_file
-from cf where chunks_file is not null group by item, (ord - 1) // 4096""",
+select item, (ord - 1) // 512 as part, arg_min(file_type, ord) as file_type, string_agg(chunks_file, ',' order by ord) as chunks_files, string_agg(source_file, ', ' order by ord) as source_file
+from cf where chunks_file is not null group by item, (ord - 1) // 512""",
 )
 def cat_8_groups(spark, d):
     return K.document_groups(K.document_files(matches(spark, d), "item", manifest(spark, d)), "item").withColumn("part", F.col("part").cast("bigint"))

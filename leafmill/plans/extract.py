@@ -279,8 +279,8 @@ def file_rows(spark, d):
 
 @query(
     "ext_10_file_results",
-    f"""with {MATCH_SQL} select item, (ord - 1) // 4096 as part, string_agg('## Source: src/' || k || '.json' || chr(10) || chr(10) || '{{{{Table_' || ord || '_Start}}}} after src/' || k, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by ord) as content
-from m where state = 'O' group by item, (ord - 1) // 4096""",
+    f"""with {MATCH_SQL} select item, (ord - 1) // 512 as part, string_agg('## Source: src/' || k || '.json' || chr(10) || chr(10) || '{{{{Table_' || ord || '_Start}}}} after src/' || k, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by ord) as content
+from m where state = 'O' group by item, (ord - 1) // 512""",
 )
 def ext_10(spark, d):
     return RU.file_results(file_rows(spark, d), "item").withColumn("part", F.col("part").cast("bigint"))
@@ -315,8 +315,8 @@ def sheet_rows(spark, d):
 
 @query(
     "ext_11_sheet_results",
-    f"""with {MATCH_SQL} select item as workbook, (ord - 1) // 4096 as part, string_agg('### Sheet: s' || ord || chr(10) || chr(10) || 'src/' || k || chr(10), chr(10) || '---' || chr(10) || chr(10) order by ord) as content
-from m where (item + ord) % 4 <> 0 group by item, (ord - 1) // 4096""",
+    f"""with {MATCH_SQL} select item as workbook, (ord - 1) // 512 as part, string_agg('### Sheet: s' || ord || chr(10) || chr(10) || 'src/' || k || chr(10), chr(10) || '---' || chr(10) || chr(10) order by ord) as content
+from m where (item + ord) % 4 <> 0 group by item, (ord - 1) // 512""",
 )
 def ext_11(spark, d):
     return RU.sheet_results(sheet_rows(spark, d), "workbook").withColumn("part", F.col("part").cast("bigint"))
@@ -330,10 +330,28 @@ def ext_11_status(spark, d):
     return RU.sheet_status(sheet_rows(spark, d), "workbook")
 
 
+@query(
+    "ext_11_sheet_extraction",
+    """select doc_id, case when n_chars % 4 = 0 then 'error' else 'success' end as status, case when n_chars % 4 = 0 then 'Sheet内容为空' end as error,
+  case n_chars % 4 when 0 then '' when 1 then text else 'excel:' || md5('find' || chr(10) || chr(10) || '# s' || doc_id || chr(10) || chr(10) || text) end as extracted from documents""",
+)
+def ext_11_extraction(spark, d):
+    k = F.col("n_chars") % 4
+    sheets = load(spark, d, "documents").select(
+        "doc_id",
+        F.concat(F.lit("s"), text("doc_id")).alias("title"),
+        F.when(k == 0, F.lit(" ")).otherwise(F.col("text")).alias("content"),
+        F.when(k == 1, F.lit(" ")).otherwise(F.lit("find")).alias("asked"),
+    )
+    sheets = sheets.withColumn("prompt", RU.sheet_prompt(F.col("title"), F.col("content"), F.col("asked")))
+    outputs = M.model_column(sheets.where("prompt is not null"), task="excel")
+    return RU.sheet_extraction(sheets, outputs).select("doc_id", "status", "error", "extracted")
+
+
 @query(
     "ext_11_workbooks",
-    f"""with {MATCH_SQL} select item, (ord - 1) // 4096 as part, case when (ord - 1) // 4096 = 0 then chr(10) || chr(10) || repeat('=', 70) else '' end ||
-  string_agg('## Excel文件: src/' || k || chr(10) || chr(10) || 'body ' || ord || chr(10), chr(10) || chr(10) order by ord) as content from m group by item, (ord - 1) // 4096""",
+    f"""with {MATCH_SQL} select item, (ord - 1) // 512 as part, case when (ord - 1) // 512 = 0 then chr(10) || chr(10) || repeat('=', 70) else '' end ||
+  string_agg('## Excel文件: src/' || k || chr(10) || chr(10) || 'body ' || ord || chr(10), chr(10) || chr(10) order by ord) as content from m group by item, (ord - 1) // 512""",
 )
 def ext_11_workbooks(spark, d):
     books = matches(spark, d).select("item", "ord", F.col("source_file").alias("source"), F.concat(F.lit("body "), text("ord")).alias("content"))
@@ -361,7 +379,7 @@ def ext_12(spark, d):
 
 @query(
     "ext_12_source_text",
-    f"""with {MATCH_SQL} select item, (ord - 1) // 4096 as part, string_agg('### ' || k || chr(10) || file_type || chr(10), chr(10) || '---' || chr(10) order by ord) as content from m group by item, (ord - 1) // 4096""",
+    f"""with {MATCH_SQL} select item, (ord - 1) // 512 as part, string_agg('### ' || k || chr(10) || file_type || chr(10), chr(10) || '---' || chr(10) order by ord) as content from m group by item, (ord - 1) // 512""",
 )
 def ext_12_source(spark, d):
     files = matches(spark, d).select("item", "ord", F.regexp_replace("source_file", "^src/", "").alias("stem"), F.col("file_type").alias("content"))
@@ -402,8 +420,8 @@ def ext_14(spark, d):
 
 @query(
     "ext_15_full_content",
-    f"""with {SECTIONS_SQL} select doc_id, (ord - 1) // 4096 as part, regexp_replace(string_agg(content, chr(10) || chr(10) order by ord), '\\{{\\{{Table_(\\d+)_Start\\}}\\}}(?s:.*?)\\{{\\{{Table_\\d+_End\\}}\\}}', '{{{{Table_\\1_Start}}}}', 'g') as content
-from secs where content <> '' and doc_id % 3 = 1 group by doc_id, (ord - 1) // 4096""",
+    f"""with {SECTIONS_SQL} select doc_id, (ord - 1) // 512 as part, regexp_replace(string_agg(content, chr(10) || chr(10) order by ord), '\\{{\\{{Table_(\\d+)_Start\\}}\\}}(?s:.*?)\\{{\\{{Table_\\d+_End\\}}\\}}', '{{{{Table_\\1_Start}}}}', 'g') as content
+from secs where content <> '' and doc_id % 3 = 1 group by doc_id, (ord - 1) // 512""",
 )
 def ext_15(spark, d):
     items = load(spark, d, "documents").select(

@@ -194,7 +194,7 @@ def _lines(spark, d):
 
 @query(
     "tab_7_sheet_markdown",
-    f"with {FORMAT_SQL} select workbook, sheet, (line_no - 1) // 4096 as part, string_agg(line, chr(10) order by line_no) as line from numbered group by workbook, sheet, (line_no - 1) // 4096",
+    f"with {FORMAT_SQL} select workbook, sheet, (line_no - 1) // 512 as part, string_agg(line, chr(10) order by line_no) as line from numbered group by workbook, sheet, (line_no - 1) // 512",
 )
 def tab_7(spark, d):
     return H.sheet_markdown(_lines(spark, d)).withColumn("part", F.col("part").cast("bigint"))

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.ordered import bucketed_rank
 from leafmill.operators import allocate as A
-from leafmill.operators.sections import section_table
-from leafmill.plans.recipes import load, md_docs, s_strip
+from leafmill.operators.model import retry_until_parsed
+from leafmill.operators.responses import parse_responses
+from leafmill.plans.recipes import load
 from leafmill.sources import config as C
 from leafmill.sources import files as FS
 from leafmill.sources import packages as P
@@ -182,7 +183,7 @@ union all
 select s_suppkey, 'pdf', 0, '未命名', true, 700, null, 'txt', u.i, 'in/' || s_suppkey || '_' || u.i || '.pdf' from s, (values (0), (1)) u(i)""",
 )
 def src_5(spark, d):
-    key, nat = text("s_suppkey"), text("s_nationkey")
+    key = text("s_suppkey")
     spec = F.concat(
         F.lit('{"config": {"chunk_max_chars": '),
         (F.col("s_nationkey") + 900).cast("string"),
@@ -196,7 +197,6 @@ def src_5(spark, d):
         key,
         F.lit('_1.pdf"], "type": "txt", "force_ocr": true, "chunk_max_chars": 700, "chunk_min_chars": null}]}, "rtf": 5}'),
     )
-    del nat
     return C.job_tasks(load(spark, d, "supplier").select("s_suppkey", spec.alias("spec")), "s_suppkey", "spec").select(
         "s_suppkey",
         "file_type",
@@ -346,8 +346,8 @@ def order_results(spark, d):
 @query(
     "src_9_run_text",
     """with r as (select *, row_number() over (partition by o_custkey order by o_orderkey) as ord from orders)
-select o_custkey, (ord - 1) // 4096 as part, string_agg('=== 段落ID: ' || o_orderkey || ' ===' || chr(10) || o_orderpriority || chr(10), chr(10) order by ord) as text
-from r group by o_custkey, (ord - 1) // 4096""",
+select o_custkey, (ord - 1) // 512 as part, string_agg('=== 段落ID: ' || o_orderkey || ' ===' || chr(10) || o_orderpriority || chr(10), chr(10) order by ord) as text
+from r group by o_custkey, (ord - 1) // 512""",
 )
 def src_9(spark, d):
     return P.paragraph_text(order_results(spark, d), "o_custkey", "ord", "o_orderkey", "o_orderpriority").withColumn(
@@ -438,6 +438,33 @@ def alc_2(spark, d):
     return _matches(spark, d).select("s_suppkey", "item_id", F.array_join("matched", ",").alias("matched"))
 
 
+@query(
+    "alc_2_allocation_run",
+    """select s_suppkey, 'i' || s_suppkey as item_id, case when s_suppkey % 5 >= 3 then '' else 'f' || (s_suppkey + 2) || ',f' || s_suppkey end as matched from supplier""",
+)
+def alc_2_run(spark, d):
+    """The whole path: prompt, answer, parse with up to three attempts, restrict to the candidates.
+
+    The stand-in answers wrongly on the first (suppkey mod 5) attempts.
+    """
+    asked = (
+        A.flatten_requests(requests(spark, d), "s_suppkey", "request")
+        .where("needs_match")
+        .select("s_suppkey", "item_id", "candidates", F.concat("rule", F.lit("\n"), F.array_join("candidates", "\n")).alias("prompt"))
+    )
+
+    def ask(pending, attempt):
+        answer = F.concat(
+            F.lit('```json\n{"Compliant": ["nobody", "f'), text("s_suppkey"), F.lit('", "f'), (F.col("s_suppkey") + 2).cast("string"), F.lit('"],}\n```')
+        )
+        return pending.withColumn("output", F.when(F.col("s_suppkey") % 5 < attempt, answer).otherwise(F.lit("no idea")))
+
+    last_chance = 3
+    answered = retry_until_parsed(asked, "item_id", ask, lambda a: parse_responses(a, "output", strong=True), last_chance)
+    names = F.from_json(F.get_json_object("json", "$.Compliant"), "array<string>")
+    return answered.select("s_suppkey", "item_id", F.array_join(A.restrict_matches(F.col("candidates"), names), ",").alias("matched"))
+
+
 @query(
     "alc_3_rules_and_files",
     """select p_partkey, case p_partkey % 5 when 0 then 'flat' when 1 then 'FLAT' when 2 then 'cat' when 3 then 'named' else '' end as rules,

@@ -245,7 +245,7 @@ g as (select *, last_value(case when kind in ('register', '_complete') then kind
 select request, ts, event_id, kind from g where gate = 'register' and kind <> 'register'""",
 )
 def str_9(spark, d):
-    return T.event_feed(feed(load(spark, d, "events")), F.date_trunc("day", "ts"))
+    return T.event_feed(feed(load(spark, d, "events")), F.date_trunc("hour", "ts"))
 
 
 @query(

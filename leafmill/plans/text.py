@@ -10,6 +10,7 @@ from leafmill.operators import images as I
 from leafmill.operators import regions as R
 from leafmill.operators import sections as S
 from leafmill.operators import tables as T
+from leafmill.operators.model import model_column, with_outputs
 from leafmill.plans.recipes import LN_SQL, MD_SQL, load, md_docs, s_strip
 
 QUERIES = {}
@@ -139,6 +140,24 @@ def doc_4(spark, d):
     return S.section_table(md_docs(spark, d), "doc_id", "md").select("doc_id", "section_id", "summary")
 
 
+@query(
+    "doc_4_model_summary",
+    f"""with {SECTIONS_SQL},
+c as (select *, {s_strip("regexp_replace(regexp_replace(content, '\\n\\s*\\n', chr(10), 'g'), '\\{\\{[^}]+\\}\\}', '', 'g')")} as cleaned from section_table),
+q as (select *, title || chr(10) || case when length(cleaned) > 50000 then substr(cleaned, 1, 50000) || '...' else cleaned end as prompt from c)
+select doc_id, 'h1_' || ord as section_id, case when length(content) % 3 = 0 then summary else 'summary:' || md5(prompt) end as summary from q""",
+)
+def doc_4_model(spark, d):
+    """Model summaries (offline backend); sections of every third length get no answer and fall back."""
+    secs = S.section_table(md_docs(spark, d), "doc_id", "md").withColumn(
+        "prompt", F.concat("title", F.lit("\n"), S.summary_model_input(F.col("content")))
+    )
+    outputs = model_column(secs, task="summary")
+    answered = with_outputs(secs, outputs)
+    output = F.when(F.length("content") % 3 != 0, F.col("output"))
+    return answered.select("doc_id", "section_id", S.finish_summary(output, F.col("content"), F.col("title")).alias("summary"))
+
+
 # First start tag from the current position, then its end tag; unclosed takes the rest.
 CARVE_SQL = MD_SQL + f""",
 carve as (

@@ -19,6 +19,8 @@ def build_session(app: str = "leafmill", master: str | None = None, shuffle_part
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # whole texts travel in Arrow batches: keep a batch small
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     )
     if master:
         b = b.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
