@@ -94,8 +94,9 @@ def line_roles(df: DataFrame, doc: str, text: str) -> DataFrame:
 
 
 def decode_text(data: Column) -> Column:
-    """Bytes as UTF-8, else GBK."""
-    return F.coalesce(F.try_validate_utf8(data.cast("string")), F.decode(data, "GBK"))
+    """Bytes as UTF-8 without the bytes that do not fit (so no second encoding is ever tried)."""
+    text = data.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))
 
 
 def pick_title(text: Column, fallback: Column) -> Column:

@@ -13,11 +13,16 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+import leafmill
 from leafmill.session import cut_lineage
 
+# Task functions travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(leafmill)
+
 # Failure mark and call limits.
 FAILED = "[生成失败]"
 ATTEMPTS = 3

@@ -67,7 +67,7 @@ def src_1_binary(spark, d):
 @query(
     "src_2_text_documents",
     """select 'in/doc' || doc_id || case when doc_id % 3 = 0 then '.log' else '' end as path, 'doc' || doc_id as name,
-  'PLAIN_TEXT' as content_type, text, 'text' as method from documents where doc_id % 3 <> 1""",
+  'PLAIN_TEXT' as content_type, text, 'fallback_text' as method from documents where doc_id % 3 <> 1""",
 )
 def src_2(spark, d):
     k = F.col("doc_id") % 3

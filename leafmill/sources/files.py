@@ -5,7 +5,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import none_if_blank, stem, suffix
-from leafmill.operators.clean import decode_text
 
 # Suffix routing.
 SUFFIX_TYPE = {"docx": "docx", "doc": "doc", "rtf": "rtf", "xlsx": "xlsx", "xls": "xlsx", "pdf": "pdf"}
@@ -68,13 +67,13 @@ def text_documents(files: DataFrame) -> DataFrame:
 
     Unreadable bytes give an empty document with method ``failed``.
     """
-    text = decode_text(F.col("content"))
+    text = F.try_validate_utf8(F.col("content").cast("string"))
     return files.where(_lookup(SUFFIX_TYPE, suffix(F.col("path"))).isNull()).select(
         "path",
         stem(F.col("path")).alias("name"),
         F.lit("PLAIN_TEXT").alias("content_type"),
         F.coalesce(text, F.lit("")).alias("text"),
-        F.when(text.isNotNull(), "text").otherwise("failed").alias("method"),
+        F.when(text.isNotNull(), "fallback_text").otherwise("failed").alias("method"),
     )
 
 
