@@ -5,20 +5,10 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.ordered import bucketed_rank, join_parts
 from leafmill.operators import assemble as G
+from leafmill.plans.family import family
 from leafmill.plans.recipes import load, spread
 
-QUERIES = {}
-SQL = {}
-
-
-def query(name, sql=None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql:
-            SQL[name] = sql
-        return fn
-
-    return add
+QUERIES, SQL, query = family()
 
 
 def big(*names):

@@ -11,23 +11,13 @@ from leafmill.operators import rollup as RU
 from leafmill.operators import select as SE
 from leafmill.operators.sections import chunk_catalogue, section_table
 from leafmill.plans.catalogue import MATCH_SQL, matches
+from leafmill.plans.family import family
 from leafmill.plans.recipes import MD_SQL, load, md_docs
 from leafmill.plans.sources import CORPUS_SQL, corpora
 from leafmill.plans.text import SECTIONS_SQL
 from leafmill.sources.config import CORPUS
 
-QUERIES = {}
-SQL = {}
-
-
-def query(name, sql=None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql:
-            SQL[name] = sql
-        return fn
-
-    return add
+QUERIES, SQL, query = family()
 
 
 def big(*names):
@@ -142,7 +132,7 @@ def ext_5(spark, d):
 
 @query(
     "ext_6_relevant_chunks",
-    """select doc_id, 1 as rel_ord, 'h1_2' as wanted, 0.5 as score, 'a } b' as reason from documents
+    """select doc_id, 1 as rel_ord, 'h1_2' as wanted, 0.5::double as score, 'a } b' as reason from documents
 union all select doc_id, 2, 'h1_1', 1.0, null from documents""",
 )
 def ext_6(spark, d):

@@ -4,20 +4,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmill.operators import sheets as H
+from leafmill.plans.family import family
 from leafmill.plans.recipes import load
 
-QUERIES = {}
-SQL = {}
-
-
-def query(name, sql=None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql:
-            SQL[name] = sql
-        return fn
-
-    return add
+QUERIES, SQL, query = family()
 
 
 def big(*names):

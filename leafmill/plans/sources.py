@@ -7,23 +7,13 @@ from leafmill.functions.ordered import bucketed_rank
 from leafmill.operators import allocate as A
 from leafmill.operators.model import retry_until_parsed
 from leafmill.operators.responses import parse_responses
+from leafmill.plans.family import family
 from leafmill.plans.recipes import load
 from leafmill.sources import config as C
 from leafmill.sources import files as FS
 from leafmill.sources import packages as P
 
-QUERIES = {}
-SQL = {}
-
-
-def query(name, sql=None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql:
-            SQL[name] = sql
-        return fn
-
-    return add
+QUERIES, SQL, query = family()
 
 
 def big(*names):

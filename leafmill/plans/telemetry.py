@@ -6,23 +6,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from leafmill.operators import telemetry as T
+from leafmill.plans.family import family
 from leafmill.plans.recipes import load
 from leafmill.session import shared_dir
 from leafmill.sources.files import route
 from leafmill.streaming import telemetry as ST
 
-QUERIES = {}
-SQL = {}
-
-
-def query(name, sql=None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql:
-            SQL[name] = sql
-        return fn
-
-    return add
+QUERIES, SQL, query = family()
 
 
 def text(c):

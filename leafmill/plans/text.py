@@ -11,20 +11,10 @@ from leafmill.operators import regions as R
 from leafmill.operators import sections as S
 from leafmill.operators import tables as T
 from leafmill.operators.model import model_column, with_outputs
+from leafmill.plans.family import family
 from leafmill.plans.recipes import LN_SQL, MD_SQL, load, md_docs, s_strip
 
-QUERIES = {}
-SQL = {}
-
-
-def query(name, sql=None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql:
-            SQL[name] = sql
-        return fn
-
-    return add
+QUERIES, SQL, query = family()
 
 
 START = r"(?i)\{\{\s*([A-Za-z0-9_\-]+?)\s*_Start\s*\}\}"
