@@ -105,3 +105,12 @@ def match_rates(df: DataFrame, category: str, total: Column, matched: Column) ->
         .agg(F.sum(total).alias("total_files"), F.sum(matched).alias("matched_files"))
         .withColumn("match_rate", percent_text(F.col("matched_files"), F.col("total_files")))
     )
+
+
+def pass_rates(df: DataFrame, category: str, check_files: str) -> DataFrame:
+    """Share of specs with nothing to check, per category and overall (NULL category)."""
+    return (
+        df.rollup(category)
+        .agg(F.count(F.lit(1)).alias("total"), F.count_if(F.size(check_files) == 0).alias("passed"))
+        .withColumn("pass_rate", percent_text(F.col("passed"), F.col("total")))
+    )

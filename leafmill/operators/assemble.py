@@ -331,6 +331,22 @@ def delivery_manifest(plan: DataFrame, exported: DataFrame, run: str) -> DataFra
     )
 
 
+def delivery_files(mappings: DataFrame, known_files: DataFrame, run: str) -> DataFrame:
+    """File entries of the manifest: placeholder (or one made from the file name) and archive path.
+
+    Mappings without a path or whose file does not exist are left out; repeats are kept.
+    """
+    name = base_name(F.col("path"))
+    made = F.concat(F.lit("{{TFL_"), F.regexp_replace(name, r"\.[^.]*$", ""), F.lit("}}"))
+    usable = mappings.where(~blank(F.col("path"))).join(known_files.select("path"), "path", "left_semi")
+    return usable.select(
+        run,
+        "ord",
+        F.when(blank(F.col("placeholder")), made).otherwise(F.col("placeholder")).alias("id"),
+        F.concat(F.lit("datas/data/rtf&index/"), name).alias("path"),
+    )
+
+
 def result_payloads(paragraphs: DataFrame, provenance: DataFrame, paragraph: str) -> DataFrame:
     """Outbox row per paragraph; a paragraph without provenance gets an empty list."""
     traced = paragraphs.join(provenance, paragraph, "left")

@@ -1,7 +1,7 @@
 """Markdown blocks and size-bounded chunks."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.arrays import let
@@ -13,6 +13,7 @@ from leafmill.operators.regions import carve
 FENCE = r"^```+"
 HEADING = r"^(#{1,6})\s+(.*)$"
 IMAGE_LINE = r"!\[[^\]]*\]\([^\)]+\)"
+SENTENCE = r"[^。！？!\?；;…]+(?:[。！？!；;…]+|$)"
 MAX_CHARS = 1200
 MIN_CHARS = 600
 
@@ -257,11 +258,31 @@ def flat_chunk_index(chunks: DataFrame, doc: str, file_name) -> DataFrame:
     )
 
 
+def sentence_array(text: Column) -> Column:
+    packed = strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    found = F.regexp_extract_all(packed, F.lit(SENTENCE), F.lit(0))
+    return F.filter(F.transform(found, strip), lambda s: s != "")
+
+
+def with_overlap(chunks: DataFrame, doc: str, overlap: int = 1) -> DataFrame:
+    """Chunks that start with the last sentences of the one before (off in the default chain).
+
+    Only those sentences travel in the window, not the chunk texts twice.
+    """
+    tail = F.slice(sentence_array(F.col("content")), -overlap, overlap) if overlap > 0 else F.array().cast("array<string>")
+    usable = F.when(F.size(sentence_array(F.col("content"))) >= overlap, tail).otherwise(sentence_array(F.col("content")))
+    before = F.lag("_tail").over(Window.partitionBy(doc).orderBy("chunk_no"))
+    carried = chunks.withColumn("_tail", usable).withColumn("_before", F.coalesce(before, F.array().cast("array<string>")))
+    return carried.select(
+        *[c for c in chunks.columns if c != "content"],
+        F.size("_before").alias("overlap_from_prev"),
+        F.when(F.size("_before") > 0, F.concat(F.array_join("_before", ""), F.lit("\n\n"), F.col("content")))
+        .otherwise(F.col("content"))
+        .alias("content"),
+    )
+
+
 def sentences(df: DataFrame, doc: str, text: str) -> DataFrame:
     """Sentences with their closing marks, white space collapsed."""
-    packed = strip(F.regexp_replace(F.col(text), r"(?U)\s+", " "))
-    parts = F.filter(
-        F.transform(F.regexp_extract_all(packed, F.lit(r"[^。！？!\?；;…]+(?:[。！？!；;…]+|$)"), F.lit(0)), strip),
-        lambda s: s != "",
-    )
+    parts = sentence_array(F.col(text))
     return df.select(doc, F.posexplode(parts).alias("ord", "sentence"))

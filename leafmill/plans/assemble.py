@@ -378,6 +378,17 @@ def gen_11_manifest(spark, d):
     return G.delivery_manifest(p, exported, "run")
 
 
+@query(
+    "gen_11_delivery_files",
+    f"""with {TAGS_SQL} select paragraph, ord, case when item % 8 < 4 then placeholder else '{{{{TFL_' || item || '}}}}' end as id, 'datas/data/rtf&index/' || substr(path, 7) as path
+from (select paragraph, item, item as ord, '{{{{TFL_t' || (item % 4) || '}}}}' as placeholder, 'AAA/x/' || item || case data_type when 'excel' then '.xlsx' else '.rtf' end as path from items where data_type in ('excel', 'rtf')) where item % 3 <> 0""",
+)
+def gen_11_files(spark, d):
+    tags = file_tags(spark, d).withColumn("placeholder", F.when(F.col("ord") % 8 < 4, F.col("placeholder")).otherwise(F.lit(" ")))
+    known = file_tags(spark, d).where("ord % 3 <> 0").select("path")
+    return G.delivery_files(tags, known, "paragraph")
+
+
 @query(
     "gen_12_result_payloads",
     """select c_custkey as paragraph, case when c_custkey % 5 = 0 then '生成失败' else '生成完毕' end as label, 'text of ' || c_name as generated_content, case when c_custkey % 3 = 0 then 1 else 0 end as traced, c_custkey % 5 <> 0 as success from customer""",

@@ -279,7 +279,7 @@ def package_rows(spark, d):
     "src_7_packages",
     """with p as (select *, case doc_id % 4 when 0 then 'docx' when 1 then 'pdf' when 2 then 'xlsx' else 'unknown' end as ft from documents)
 select 'in/' || doc_id as source_file, ft as file_type, case when ft in ('docx', 'pdf') then text end as text_content,
-  'Table_' || doc_id || '>r/' || doc_id || '>m.md' as regions,
+  'Table_' || doc_id || '>r/' || doc_id || '>m.md' || case when ft <> 'xlsx' then '>' || n_chars else '' end as regions,
   case when ft <> 'xlsx' then 'a.png' end as assets,
   case when ft = 'xlsx' then 'extract_assets=false,extract_regions=false,markdown_files=[],original_file=' || doc_id || ',processing_time=0.0,sheets_total=' || n_chars
     else 'original_file=' || doc_id || ',private=x,sheets_total=' || n_chars end as info,
@@ -294,7 +294,7 @@ def src_7(spark, d):
         "source_file",
         "file_type",
         "text_content",
-        F.array_join(F.transform("regions", lambda r: F.concat_ws(">", r["label"], r["path"], r["markdown_path"])), ";").alias("regions"),
+        F.array_join(F.transform("regions", lambda r: F.concat_ws(">", r["label"], r["path"], r["markdown_path"], r["extra"].cast("string"))), ";").alias("regions"),
         F.array_join("assets", ",").alias("assets"),
         F.array_join(pairs, ",").alias("info"),
         "structured_data",
@@ -510,3 +510,13 @@ def alc_5(spark, d):
     return A.match_rates(_matches(spark, d), "tag", F.size("candidates"), F.size("matched")).select(
         "tag", *big("total_files", "matched_files"), "match_rate"
     )
+
+
+@query(
+    "alc_5_pass_rates",
+    """select p_brand as category, count(*) as total, count(*) filter (where p_size % 4 = 0) as passed, printf('%.2f%%', count(*) filter (where p_size % 4 = 0) * 100.0::double / count(*)) as pass_rate from part group by rollup(p_brand)""",
+)
+def alc_5_pass(spark, d):
+    checks = F.when(F.col("p_size") % 4 != 0, F.array(F.lit("f1"))).otherwise(F.array().cast("array<string>"))
+    rows = load(spark, d, "part").select(F.col("p_brand").alias("category"), checks.alias("check_files"))
+    return A.pass_rates(rows, "category", "check_files")

@@ -310,6 +310,19 @@ def doc_10(spark, d):
     )
 
 
+@query(
+    "doc_10_chunk_overlap",
+    f"""with recursive {MERGED_SQL},
+t as (select doc_id, chunk_no, content, list_filter(list_transform(regexp_extract_all({s_strip("regexp_replace(content, '\\s+', ' ', 'g')")}, '[^。！？!\\?；;…]+(?:[。！？!；;…]+|$)'), lambda x: {s_strip('x')}), lambda x: x <> '') as xs from merged),
+p as (select *, lag(xs[-1]) over (partition by doc_id order by chunk_no) as ov from t)
+select doc_id, chunk_no::bigint as chunk_no, case when ov is null then 0 else 1 end::bigint as overlap_from_prev, coalesce(ov || chr(10) || chr(10), '') || content as content from p""",
+)
+def doc_10_overlap(spark, d):
+    return B.with_overlap(_packed(spark, d, True), "doc_id").select(
+        "doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.col("overlap_from_prev").cast("bigint").alias("overlap_from_prev"), "content"
+    )
+
+
 @query(
     "doc_11_flat_chunk_index",
     f"""with recursive {MERGED_SQL}

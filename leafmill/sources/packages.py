@@ -9,6 +9,7 @@ from leafmill.functions.ordered import join_parts
 # What each family keeps.
 TEXT_TYPES = ["docx", "doc", "word", "pdf"]
 SHEET_TYPES = ["xlsx", "excel", "rtf"]
+SHEET_REGION_FIELDS = ["label", "path", "markdown_path"]
 STANDARD_INFO = {
     "processing_time": "0.0",
     "extract_regions": "false",
@@ -37,15 +38,20 @@ def standard_info(info: Column) -> Column:
 
 
 def package_table(df: DataFrame, chunk_files: DataFrame) -> DataFrame:
-    """Per-type package rows; ``chunks_file`` only where the file exists."""
+    """Per-type package rows; ``chunks_file`` only where the file exists.
+
+    Sheet packages keep only label, path and markdown_path of a region; the other
+    fields of the region struct are NULL there.
+    """
     kind = F.lower(F.col("file_type"))
     is_text, is_sheet = kind.isin(TEXT_TYPES), kind.isin(SHEET_TYPES)
-    short = F.transform(
-        "regions",
-        lambda r: F.struct(
-            r["label"].alias("label"), r["path"].alias("path"), r["markdown_path"].alias("markdown_path")
-        ),
-    )
+    extra = [f for f in df.schema["regions"].dataType.elementType.fields if f.name not in SHEET_REGION_FIELDS]
+
+    def shortened(r):
+        for f in extra:
+            r = r.withField(f.name, F.lit(None).cast(f.dataType))
+        return r
+
     known = chunk_files.select(F.col("path").alias("chunks_file"), F.lit(True).alias("_known")).distinct()
     return df.join(known, "chunks_file", "left").select(
         "source_file",
@@ -53,14 +59,7 @@ def package_table(df: DataFrame, chunk_files: DataFrame) -> DataFrame:
         "content_type",
         F.when(is_text, F.col("text_content")).alias("text_content"),
         F.when(is_text, F.col("markdown_content")).alias("markdown_content"),
-        F.when(is_sheet, short)
-        .otherwise(
-            F.transform(
-                "regions",
-                lambda r: F.struct(r["label"].alias("label"), r["path"].alias("path"), r["markdown_path"].alias("markdown_path")),
-            )
-        )
-        .alias("regions"),
+        F.when(is_sheet, F.transform("regions", shortened)).otherwise(F.col("regions")).alias("regions"),
         F.when(~is_sheet, F.col("assets")).alias("assets"),
         F.when(is_sheet, standard_info(F.col("info"))).otherwise(F.col("info")).alias("info"),
         F.when(F.col("structured_data") != "", F.col("structured_data")).alias("structured_data"),
@@ -80,6 +79,23 @@ def paragraph_text(results: DataFrame, run: str, ord_col: str, paragraph: str, c
     return join_parts(headed, [run], ord_col, "text", "\n")
 
 
+def write_text_parts(parts: DataFrame, run: str, content: str, path: str) -> None:
+    """Text files per run in part order; a long run is spread over several files by part range."""
+    (
+        parts.repartitionByRange(F.col(run), F.col("part"))
+        .sortWithinPartitions(run, "part")
+        .select(run, F.col(content).alias("value"))
+        .write.mode("append")
+        .partitionBy(run)
+        .text(path)
+    )
+
+
+def write_run_table(rows: DataFrame, run: str, path: str) -> None:
+    """Summaries, extracted data, provenance or timings of runs, partitioned by run."""
+    rows.write.mode("append").partitionBy(run).parquet(path)
+
+
 def run_summary(results: DataFrame, run: str) -> DataFrame:
     """Counts of one run and whether any result waits for a selection."""
     return results.groupBy(run).agg(

@@ -161,6 +161,11 @@ def test_clean(spark):
     assert one(spark, " \n", lambda c: clean.pick_title(c, F.lit("f"))) == "f"
 
 
+def test_decode(spark):
+    df = spark.createDataFrame([(bytearray(b"h\xc3\xa9\xff\xef\xbf\xbd"),), (bytearray("好\ufffd".encode()),)], "b binary")
+    assert [r.t for r in df.select(clean.decode_text(F.col("b")).alias("t")).collect()] == ["hé", "好\ufffd"]
+
+
 def test_line_roles(spark):
     got = clean.line_roles(docs(spark, "第1章\n- x\n\nk: v\na:b:c\n6. z"), "doc", "md").orderBy("ord").collect()
     assert [r.line_role for r in got] == ["章节: 第1章", "列表项: - x", "键值对: k = v", "段落: a:b:c", "段落: 6. z"]

@@ -132,6 +132,13 @@ def test_packages_round_trip(spark, sf_dir, tmp_path):
     assert {r.file_type for r in back.select("file_type").distinct().collect()} == {"docx", "pdf", "xlsx", "unknown"}
 
 
+def test_text_export(spark, tmp_path):
+    parts = spark.range(40).select((F.col("id") % 2).alias("run"), F.floor(F.col("id") / 2).alias("part"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("text"))
+    packages.write_text_parts(parts, "run", "text", str(tmp_path / "out"))
+    back = spark.read.option("basePath", str(tmp_path / "out")).text(str(tmp_path / "out/run=*"))
+    assert sorted((r.run, r.value) for r in back.collect()) == sorted((i % 2, f"p{i}") for i in range(40))
+
+
 def test_log_round_trip(spark, sf_dir, tmp_path):
     from leafmill.plans.sources import log_rows
 
