@@ -4,18 +4,29 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Java regex with UNICODE_CHARACTER_CLASS: every Unicode white space.
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
+# The characters that count as white space.
+WHITE = (
+    " \t\n\u000b\u000c\r\u001c\u001d\u001e\u001f\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+# The predefined class is several times faster than the same set spelled out.
+WHITE_RUN = r"(?U)\s+"
+NOT_WHITE = f"[^{WHITE}]"
 
 
 def strip(c: Column) -> Column:
-    """Remove all Unicode white space at both ends (``trim`` only knows U+0020)."""
-    return F.regexp_replace(c, _EDGE_SPACE, "")
+    """Remove all Unicode white space at both ends (``trim`` alone only knows U+0020)."""
+    return F.btrim(c, F.lit(WHITE))
+
+
+def collapse(c: Column) -> Column:
+    """Every run of white space becomes one space; the ends are clean."""
+    return strip(F.regexp_replace(c, WHITE_RUN, " "))
 
 
 def blank(c: Column) -> Column:
     """NULL, empty or white space only."""
-    return F.coalesce(F.length(strip(c)) == 0, F.lit(True))
+    return F.coalesce(~c.rlike(NOT_WHITE), F.lit(True))
 
 
 def none_if_blank(c: Column) -> Column:

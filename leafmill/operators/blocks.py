@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.arrays import let
-from leafmill.functions.text import blank, stem, strip
+from leafmill.functions.text import blank, collapse, stem, strip
 from leafmill.operators.clean import LINE_BREAKS
 from leafmill.operators.regions import carve
 
@@ -259,8 +259,7 @@ def flat_chunk_index(chunks: DataFrame, doc: str, file_name) -> DataFrame:
 
 
 def sentence_array(text: Column) -> Column:
-    packed = strip(F.regexp_replace(text, r"(?U)\s+", " "))
-    found = F.regexp_extract_all(packed, F.lit(SENTENCE), F.lit(0))
+    found = F.regexp_extract_all(collapse(text), F.lit(SENTENCE), F.lit(0))
     return F.filter(F.transform(found, strip), lambda s: s != "")
 
 

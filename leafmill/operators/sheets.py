@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.ordered import bucketed_rank, join_parts
-from leafmill.functions.text import blank, strip, suffix
+from leafmill.functions.text import blank, collapse, strip, suffix
 
 SHEET = ["workbook", "sheet"]
 # Placeholder, names, footer marks.
@@ -146,7 +146,7 @@ def format_cell(text: Column, num: Column, is_int: Column, number_format: Column
 
 def sanitize(c: Column) -> Column:
     flat = F.replace(F.regexp_replace(c, "\r\n|\n|\r", " "), F.lit("|"), F.lit("\\|"))
-    return strip(F.regexp_replace(flat, r"(?U)\s+", " "))
+    return collapse(flat)
 
 
 def formatted(cells: DataFrame) -> DataFrame:

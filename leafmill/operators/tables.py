@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import blank, count_text, lines, strip
+from leafmill.functions.text import WHITE, blank, collapse, count_text, lines, strip
 from leafmill.operators.images import ANY_IMAGE
 
 # Table syntax.
@@ -80,8 +80,7 @@ def tag_tables_and_images(df: DataFrame, doc: str, text: str, out: str = "marked
 
 
 def _clean_cell(c: Column) -> Column:
-    packed = F.regexp_replace(strip(c), r"(?U)\s+", " ")
-    return F.regexp_replace(F.regexp_replace(packed, r"\(\s+", "("), r"\s+\)", ")")
+    return F.regexp_replace(F.regexp_replace(collapse(c), r"\(\s+", "("), r"\s+\)", ")")
 
 
 def simplify_grid_tables(df: DataFrame, doc: str, text: str, out: str = "simplified") -> DataFrame:
@@ -144,7 +143,7 @@ def split_by_tables(df: DataFrame, doc: str, text: str) -> DataFrame:
         F.count_if("is_table").alias("table_lines"),
         F.min_by(name_line, F.when(name_line.isNotNull(), F.col("ln"))).alias("first_line"),
     )
-    name = F.regexp_replace(F.regexp_replace(F.col("first_line"), r"(?U)^[#\s*]+", ""), r"\*\*", "")
+    name = F.regexp_replace(F.regexp_replace(F.col("first_line"), f"^[#*{WHITE}]+", ""), r"\*\*", "")
     name = F.substring(F.regexp_replace(name, r'[\\/:*?"<>|]', "_"), 1, NAME_LIMIT)
     return (
         out.where("table_lines > 0")
