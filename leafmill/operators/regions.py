@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions.arrays import let, window_of
+from leafmill.functions.arrays import let
 from leafmill.functions.text import capped, lines, strip
 from leafmill.operators.images import count_embedded, rewrite_embedded
 
@@ -73,33 +73,20 @@ def paired_ranges(ls: Column, tag_scope: str = "stack") -> Column:
         return let(opened, close)
 
     def single(acc, t):
-        closes = (t["s"] == "") & F.coalesce(acc["open"][0]["name"] == t["e"], F.lit(False))
+        current = F.get(acc["open"], F.lit(0))
+        closes = (t["s"] == "") & F.coalesce(current["name"] == t["e"], F.lit(False))
+        body = F.struct(t["e"].alias("name"), (current["at"] + 1).alias("first"), (t["at"] - 1).alias("last"))
         return F.struct(
             F.when(t["s"] != "", F.array(F.struct(t["s"].alias("name"), t["at"].alias("at"))))
             .when(closes, F.array().cast(_OPEN))
             .otherwise(acc["open"])
             .alias("open"),
-            F.when(
-                closes,
-                F.concat(
-                    acc["done"],
-                    F.array(
-                        F.struct(
-                            t["e"].alias("name"), (acc["open"][0]["at"] + 1).alias("first"), (t["at"] - 1).alias("last")
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc["done"])
-            .alias("done"),
+            F.when(closes, F.concat(acc["done"], F.array(body))).otherwise(acc["done"]).alias("done"),
         )
 
     if tag_scope == "single_open":
         trimmed = F.transform(ls, strip)
-        single_safe = lambda acc, t: single(
-            F.struct(F.when(F.size(acc["open"]) > 0, acc["open"]).otherwise(F.array(F.lit(None).cast("struct<name:string,at:int>"))).alias("open"), acc["done"].alias("done")), t
-        )
-        return F.aggregate(_tag_events(trimmed, BODY_START, BODY_END), init, single_safe, lambda a: a["done"])
+        return F.aggregate(_tag_events(trimmed, BODY_START, BODY_END), init, single, lambda a: a["done"])
     return F.aggregate(_tag_events(ls, START_TAG, END_TAG), init, stacked, lambda a: a["done"])
 
 
@@ -254,7 +241,3 @@ def region_summary(regions: DataFrame, doc: str) -> DataFrame:
         F.count(F.lit(1)).alias("total_regions"),
         F.sum("images").cast("bigint").alias("total_extracted_images"),
     )
-
-
-def region_lines(ls: Column, start: Column, end: Column) -> Column:
-    return F.array_join(window_of(ls, start, end), "\n")

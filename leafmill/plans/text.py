@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import strip
 from leafmill.operators import blocks as B
 from leafmill.operators import clean as C
 from leafmill.operators import images as I
