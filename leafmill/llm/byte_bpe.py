@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,10 +30,10 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 class BacktrackingEncoder:
     """Exact BPE of one pre-split piece in linear time.
 
-    Bytes stand as Latin-1 characters in the automaton, whose one pass over a piece gives
-    every token that starts at each place. The search takes the longest token whose pair
-    with the token before it is *compatible*: merging the two tokens' bytes gives just these
-    two again. A place from which no token leads on is marked and never tried again (the
+    Bytes stand as Latin-1 characters in the automaton, which gives the longest token that
+    starts at a place. The search takes the longest token (or the longest that this one
+    begins with, and so on) whose pair with the token before it is *compatible*: merging the
+    two tokens' bytes gives just these two again. A place from which no token leads on is marked and never tried again (the
     encoding of a prefix is unique, so it would fail again); so each place is left at most
     once. Pair answers are memoised. A sequence whose adjacent pairs are all compatible is
     what the merges give.
@@ -44,11 +45,14 @@ class BacktrackingEncoder:
         self.ranks = ranks
         self.token = {r: t for t, r in ranks.items()}
         self.length = {r: len(t) for t, r in ranks.items()}
+        self.widest = max(map(len, ranks), default=1)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for token, rank in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
+        # of each token, the longest other token that it begins with; -1: none
+        self.shorter = {r: next((ranks[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in ranks), -1) for t, r in ranks.items()}
 
     def merge(self, piece: bytes) -> list[int]:
         """The merges step by step: quadratic, used on pairs of tokens only."""
@@ -78,29 +82,56 @@ class BacktrackingEncoder:
         if whole is not None:
             return [whole]
         n, length = len(piece), self.length
-        starts: list[list[int]] = [[] for _ in range(n)]
-        for end, rank in self.automaton.iter(piece.decode("latin-1")):
-            starts[end + 1 - length[rank]].append(rank)  # ends rise, so each list is from short to long
+        chars = piece.decode("latin-1")
+        # longest matches all along: where no pair clashes, nothing is left to take back
+        longest = [rank for _, rank in self.automaton.iter_long(chars)]
+        left = -1
+        for rank in longest:
+            if left >= 0 and not self.compatible(left, rank):
+                break
+            left = rank
+        else:
+            return longest
         out: list[int] = []
-        at = 0
         blocked = bytearray(n + 1)
-        while at < n:
-            options = starts[at]
-            step = -1
-            while options:
-                rank = options.pop()
-                if not blocked[at + length[rank]] and (not out or self.compatible(out[-1], rank)):
-                    step = rank
-                    break
-            if step >= 0:
-                out.append(step)
-                at += length[step]
+        at, rank = 0, longest[0]
+        while True:
+            while rank >= 0 and (blocked[at + length[rank]] or (out and not self.compatible(out[-1], rank))):
+                rank = self.shorter[rank]
+            if rank >= 0:
+                out.append(rank)
+                at += length[rank]
+                if at == n:
+                    return out
+                rank = next(self.automaton.iter_long(chars[at : at + self.widest]))[1]
             elif out:
                 blocked[at] = 1
-                at -= length[out.pop()]
+                back = out.pop()
+                at -= length[back]
+                rank = self.shorter[back]
             else:
                 raise ValueError("these ranks give no encoding with compatible pairs")
-        return out
+
+
+class PieceMemo(dict):
+    """Packed ids of the pieces seen lately, in two generations of at most ``MEMO`` entries each."""
+
+    def __init__(self, encoder: BacktrackingEncoder):
+        super().__init__()
+        self.encoder = encoder
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            found = self.encoder.encode(piece.encode("utf-8", "surrogatepass"))
+            ids = struct.pack(f"<{len(found)}I", *found)
+        if len(piece) <= 64:
+            if len(self) >= MEMO:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 @lru_cache(maxsize=4)
@@ -108,23 +139,13 @@ def _codec(data: bytes, pattern: str):
     import regex
 
     encoder = BacktrackingEncoder(read_ranks(data))
-    return encoder, regex.compile(pattern), {}
+    return encoder, regex.compile(pattern), PieceMemo(encoder)
 
 
 def encode_bytes(text: str, data: bytes, pattern: str) -> bytes:
     """Ids of one text as little-endian unsigned 32-bit integers."""
     encoder, split, memo = _codec(data, pattern)
-    out = []
-    for piece in split.findall(text):
-        ids = memo.get(piece)
-        if ids is None:
-            if len(memo) >= MEMO:
-                memo.clear()
-            ids = b"".join(i.to_bytes(4, "little") for i in encoder.encode(piece.encode("utf-8", "surrogatepass")))
-            if len(piece) <= 64:
-                memo[piece] = ids
-        out.append(ids)
-    return b"".join(out)
+    return b"".join(map(memo.__getitem__, split.findall(text)))
 
 
 def decode_bytes(packed: bytes, data: bytes, pattern: str) -> bytes:

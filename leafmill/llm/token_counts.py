@@ -31,32 +31,53 @@ def tokenizer_digest(definition: str) -> str:
     return hashlib.sha256(definition.encode()).hexdigest()
 
 
+class WordCounts(dict):
+    """Counts of the words seen lately, in two generations of at most ``MEMO`` entries each."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer = tokenizer
+        self.old: dict[bytes, int] = {}
+
+    def learn(self, words: list[bytes]) -> None:
+        new = []
+        for w in set(words):
+            if w not in self:
+                if w in self.old:
+                    self[w] = self.old[w]
+                else:
+                    new.append(w)
+        for i in range(0, len(new), 1024):
+            some = new[i : i + 1024]
+            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in some], add_special_tokens=False)
+            self.update(zip(some, map(len, found)))
+
+    def total(self, words: list[bytes]) -> int:
+        self.learn(words)
+        n = sum(map(self.__getitem__, words))
+        if len(self) >= MEMO:
+            self.old = dict(self)
+            self.clear()
+        return n
+
+
 @lru_cache(maxsize=2)
-def _tokenizer(definition: str):
+def _tokenizer(definition: str) -> WordCounts:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_str(definition), {}
+    return WordCounts(Tokenizer.from_str(definition))
 
 
 def count_tokens(text: str, definition: str) -> int:
-    """Tokens of a text for a tokenizer that drops white space: the sum over its words, each counted once per worker.
+    """Tokens of a text for a tokenizer that lower-cases and drops white space: the sum over its words.
 
     Splits at ASCII white space only; whatever else is in a word (other spaces, special
-    strings) is left to the library.
+    strings) is left to the library. A-Z is lowered first, except where a special string
+    could arise from it.
     """
-    tok, memo = _tokenizer(definition)
-    words = text.encode("utf-8", "surrogatepass").split()
-    new = [w for w in set(words) if w not in memo]
-    if new:
-        if len(memo) >= MEMO:
-            memo.clear()
-            new = list(set(words))
-        for i in range(0, len(new), 1024):
-            some = new[i : i + 1024]
-            for w, e in zip(some, tok.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in some], add_special_tokens=False)):
-                memo[w] = len(e)
-    return sum(map(memo.__getitem__, words))
+    data = text.encode("utf-8", "surrogatepass")
+    return _tokenizer(definition).total((data if b"<|" in data else data.lower()).split())
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
