@@ -184,11 +184,11 @@ queued as (
     (sum(u.size * n) over (partition by u.source order by key, u.size rows unbounded preceding))::bigint as done
   from units u join targets t on u.source is not distinct from t.source),
 entries as (
-  select q.*, p.pass, (done + source_size * p.pass)::double / target as at
+  select q.*, p.pass, (done + source_size * p.pass)::double / target as finish
   from queued q, (values (0), (1)) p(pass) where target > 0),
 taken as (
   select source, doc_id, size, count(*) as copies
-  from (select *, sum(size * n) over (order by at, rank, pass, key, size rows unbounded preceding) as run from entries)
+  from (select *, sum(size * n) over (order by finish, rank, pass, key, size rows unbounded preceding) as run from entries)
   where run <= budget group by source, doc_id, size)
 select s.doc_id, s.size, q.source_size, q.target, (coalesce(t.copies, 0) * s.size)::bigint as taken
 from sized s

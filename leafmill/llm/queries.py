@@ -3,20 +3,36 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from leafmill.llm import byte_bpe, simhash, token_counts
-from leafmill.llm.common import shared_folder, table
+from leafmill.llm import byte_bpe, mixing, secret_scan, simhash, token_counts, toxicity
+from leafmill.llm.common import is_held_out, shared_folder, table
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 COUNT_TOKENIZER = "word_bpe_49k.json"
+#: Labelled documents that the toxicity model learns from, at most.
+TOXICITY_SAMPLE = 12_000
+
+
+def byte_ranks() -> bytes:
+    with open(public_tokenizers.path(BYTE_RANKS), "rb") as f:
+        return f.read()
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~is_held_out())
+    model = toxicity.fit(toxicity.labelled_sample(docs, labels, "toxic", TOXICITY_SAMPLE, "doc_id", "text"))
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", is_held_out().alias("held_out"), "score", "predicted", "offending")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    with open(public_tokenizers.path(BYTE_RANKS), "rb") as f:
-        ranks = f.read()
-    return byte_bpe.token_digests(docs, ranks, public_tokenizers.PATTERN).drop("text")
+    return byte_bpe.token_digests(docs, byte_ranks(), public_tokenizers.PATTERN).drop("text")
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,9 +43,16 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_documents(docs, definition, shared_folder(spark, "token-cache"), 2048).drop("text")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.component_rows(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_token_counts, op7_simhash)}
-SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_secret_scan, op4_token_counts, op6_mixing, op7_simhash)
+}
+SQL: dict[str, str] = {"op6_mixing": mixing.SQL}
