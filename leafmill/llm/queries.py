@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import byte_bpe, mixing, secret_scan, simhash, token_counts, toxicity
+from leafmill.llm import byte_bpe, mixing, repetition, secret_scan, simhash, token_counts, toxicity
 from leafmill.llm.common import is_held_out, shared_folder, table
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -43,6 +43,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_documents(docs, definition, shared_folder(spark, "token-cache"), 2048).drop("text")
 
 
+def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without the length of the longest repeat, which the SQL twin, made of windows, does not know."""
+    return repetition.judge_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "longest_repeat")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -53,6 +58,6 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_secret_scan, op4_token_counts, op6_mixing, op7_simhash)
+    f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_secret_scan, op4_token_counts, op5_repetition, op6_mixing, op7_simhash)
 }
-SQL: dict[str, str] = {"op6_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op5_repetition": repetition.SQL, "op6_mixing": mixing.SQL}
