@@ -4,13 +4,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import byte_bpe, mixing, repetition, secret_scan, simhash, token_counts, toxicity
+from leafmill.llm import byte_bpe, mixing, quality, repetition, secret_scan, simhash, token_counts, toxicity
 from leafmill.llm.common import is_held_out, shared_folder, table
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 COUNT_TOKENIZER = "word_bpe_49k.json"
 #: Labelled documents that the toxicity model learns from, at most.
 TOXICITY_SAMPLE = 12_000
+#: Labelled documents that the quality model learns from, at most.
+QUALITY_SAMPLE = 60_000
 
 
 def byte_ranks() -> bytes:
@@ -57,7 +59,18 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.component_rows(table(spark, sf_dir, "documents"))
 
 
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.QualityModel:
+    """Learned from labelled rows that are not held out."""
+    return quality.fit(quality.labelled_statistics(docs, labels.where(~is_held_out()), "quality", QUALITY_SAMPLE, "doc_id", "text"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score_documents(docs, quality_model(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", is_held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
-    f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_secret_scan, op4_token_counts, op5_repetition, op6_mixing, op7_simhash)
+    f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_secret_scan, op4_token_counts, op5_repetition, op6_mixing, op7_simhash, op9_quality)
 }
 SQL: dict[str, str] = {"op5_repetition": repetition.SQL, "op6_mixing": mixing.SQL}
