@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import byte_bpe, mixing, quality, repetition, secret_scan, simhash, token_counts, toxicity
+from leafmill.llm import byte_bpe, mixing, quality, repetition, secret_scan, simhash, token_counts, toxicity, tree_forest
 from leafmill.llm.common import is_held_out, shared_folder, table
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -70,7 +70,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", is_held_out().alias("held_out"), "score", "predicted")
 
 
+def op10_tree_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_forest.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
-    f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_secret_scan, op4_token_counts, op5_repetition, op6_mixing, op7_simhash, op9_quality)
+    f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_secret_scan, op4_token_counts, op5_repetition, op6_mixing, op7_simhash, op9_quality, op10_tree_forest)
 }
 SQL: dict[str, str] = {"op5_repetition": repetition.SQL, "op6_mixing": mixing.SQL}
