@@ -159,6 +159,13 @@ def mix_sources(
     )
 
 
+def take_mix(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each row as often as ``mix_sources`` takes it; columns are those of ``docs``."""
+    mixed = mix_sources(docs.select(F.struct(*docs.columns).alias("_row"), *docs.columns), **options).where("copies > 0")
+    repeated = mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select("_row.*")
+
+
 SQL = r"""
 with sized as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),

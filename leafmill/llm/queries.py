@@ -3,8 +3,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leafmill.llm import byte_bpe, mixing, quality, repetition, secret_scan, simhash, token_counts, toxicity, tree_forest
+from leafmill.llm import byte_bpe, mixing, quality, repetition, secret_scan, simhash, token_counts, toxicity, tree_forest, wrappers
 from leafmill.llm.common import is_held_out, shared_folder, table
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -59,6 +60,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.component_rows(table(spark, sf_dir, "documents"))
 
 
+def op8_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = wrappers.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality.QualityModel:
     """Learned from labelled rows that are not held out."""
     return quality.fit(quality.labelled_statistics(docs, labels.where(~is_held_out()), "quality", QUALITY_SAMPLE, "doc_id", "text"))
@@ -75,6 +81,6 @@ def op10_tree_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_secret_scan, op4_token_counts, op5_repetition, op6_mixing, op7_simhash, op9_quality, op10_tree_forest)
+    f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_secret_scan, op4_token_counts, op5_repetition, op6_mixing, op7_simhash, op8_html_wrappers, op9_quality, op10_tree_forest)
 }
 SQL: dict[str, str] = {"op5_repetition": repetition.SQL, "op6_mixing": mixing.SQL}
