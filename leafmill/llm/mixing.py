@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import WORD, cut
+from leafmill.llm.common import WORD, cut, free_name
 
 #: Rows that one bucket of a source's queue should hold; only the shape of the plan depends on it.
 BUCKET_ROWS = 20_000
@@ -147,23 +147,18 @@ def mix_sources(
     added = ("size", "source_size", "target", "copies", "taken")
     plan = plan_mix(docs, share, weights, most, doc_id, source, text)
     rest = [c for c in docs.columns if c.lower() not in added]
-    sized = docs.withColumn("_size", word_count(text))
-    joined = sized.join(plan, _same(sized, plan, [(source, "u_source"), (doc_id, "u_id"), ("_size", "u_size")]))
+    sized = docs.select(*rest, word_count(text).alias("size"))
+    joined = sized.join(plan, _same(sized, plan, [(source, "u_source"), (doc_id, "u_id"), ("size", "u_size")]))
     return joined.select(
-        *[sized[c] for c in rest],
-        F.col("_size").alias("size"),
-        "source_size",
-        "target",
-        "copies",
-        (F.col("copies") * F.col("_size")).alias("taken"),
+        *[sized[c] for c in (*rest, "size")], "source_size", "target", "copies", (plan["copies"] * sized["size"]).alias("taken")
     )
 
 
 def take_mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row as often as ``mix_sources`` takes it; columns are those of ``docs``."""
-    mixed = mix_sources(docs.select(F.struct(*docs.columns).alias("_row"), *docs.columns), **options).where("copies > 0")
-    repeated = mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select("_row.*")
+    row, copy = free_name(docs, "row"), free_name(docs, "copy")
+    mixed = mix_sources(docs.select(F.struct(*docs.columns).alias(row), *docs.columns), **options).where("copies > 0")
+    return mixed.select(row, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(copy)).select(f"{row}.*")
 
 
 SQL = r"""

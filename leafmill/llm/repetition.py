@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import SPACES, ship, split_words
+from leafmill.llm.common import SPACES, free_name, ship, split_words
 
 SYMBOLS = "#*$%&|<>"
 #: Words that texts are gathered to before they share one suffix array; only the number of array calls depends on it.
@@ -179,7 +179,8 @@ def judge_documents(
             yield pd.DataFrame(measure([t or "" for t in part], least), columns=names)
 
     rest = [c for c in docs.columns if c.lower() not in (*names, "base_failed", "kept")]
-    measured = docs.select(*rest, run.asNondeterministic()(F.col(text)).alias("_measured")).select(*rest, "_measured.*")
+    found = free_name(docs, "measured")
+    measured = docs.select(*rest, run.asNondeterministic()(F.col(text)).alias(found)).select(*rest, f"{found}.*")
     words = F.col("n_words")
     failed = (words < min_words) | (F.col("n_repeat_words") > max_window_share * words)
     return measured.withColumn("base_failed", failed).withColumn(

@@ -163,8 +163,8 @@ def one_of_each_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     name = free_name(docs, "fp")
     known, classes = near_duplicate_classes(docs, doc_id, text)
-    keys = known.select(F.col(name).alias("fp"), F.col(doc_id).alias("_id")).distinct().join(classes.select("fp", "root"), "fp")
-    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("fp"))
-    keep = keys.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first._id").alias("_id"), F.col("first.fp").alias("_fp"))
-    kept = known.join(keep, known[doc_id].eqNullSafe(F.col("_id")) & (known[name] == F.col("_fp")), "left_semi")
+    keys = known.select(F.col(name).alias("fp"), F.col(doc_id).alias("id")).distinct().join(classes.select("fp", "root"), "fp")
+    first = keys.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("first"))
+    keep = first.select(F.col("first.id").alias("id"), F.col("first.fp").alias("fp"))
+    kept = known.join(keep, known[doc_id].eqNullSafe(keep["id"]) & (known[name] == keep["fp"]), "left_semi")
     return kept.dropDuplicates([doc_id, name]).select(*docs.columns)

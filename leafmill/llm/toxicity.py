@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import LETTERS, bounded_sample, cut, ship
+from leafmill.llm.common import LETTERS, bounded_sample, cut, free_name, ship
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 #: Lengths of the beginnings of words that are features beside whole words.
@@ -217,9 +217,10 @@ def score_documents(docs: DataFrame, model: ToxicityModel, text: str = "text", f
 
     added = ("score", "offending", "predicted")
     rest = [c for c in docs.columns if c.lower() not in added]
-    return docs.select(*rest, run.asNondeterministic()(F.col(text)).alias("_scored")).select(
+    found = free_name(docs, "scored")
+    return docs.select(*rest, run.asNondeterministic()(F.col(text)).alias(found)).select(
         *rest,
-        F.col("_scored.score").alias("score"),
-        (F.col("_scored.score") >= from_score).cast("int").alias("predicted"),
-        F.col("_scored.offending").alias("offending"),
+        F.col(found)["score"].alias("score"),
+        (F.col(found)["score"] >= from_score).cast("int").alias("predicted"),
+        F.col(found)["offending"].alias("offending"),
     )
