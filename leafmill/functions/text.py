@@ -64,6 +64,28 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(base_name(path), r"\.([^.]+)$", 1))
 
 
+def fixed_text(x: Column, digits: int) -> Column:
+    """A double with ``digits`` decimals, its exact binary value rounded, exact halves to even.
+
+    The fraction is a whole number of 2**-60 parts (finer parts decide nothing at up to 9
+    decimals), so whole-number arithmetic gives quotient and remainder exactly. Values of
+    2**53 and more have no fraction; from 9e18 on Spark's formatter takes over.
+    """
+    size = F.abs(x.cast("double"))
+    whole = F.floor(size)
+    parts = ((size - whole) * F.lit(float(1 << 60))).cast("bigint").cast("decimal(38,0)") * F.lit(10**digits).cast("decimal(10,0)")
+    unit, half = F.lit(1 << 60).cast("decimal(38,0)"), F.lit(1 << 59).cast("decimal(38,0)")
+    down = F.call_function("div", parts.cast("decimal(38,0)"), unit)
+    rest = parts.cast("decimal(38,0)") - (down.cast("decimal(19,0)") * F.lit(1 << 60).cast("decimal(19,0)")).cast("decimal(38,0)")
+    odd = (whole % 2 + down % 2) % 2 == 1 if digits == 0 else down % 2 == 1
+    total = down + F.when((rest > half) | ((rest == half) & odd), 1).otherwise(0)
+    carry = F.when(total >= 10**digits, 1).otherwise(0)
+    shown = (whole + carry).cast("string")
+    if digits:
+        shown = F.concat(shown, F.lit("."), F.lpad((total - carry * 10**digits).cast("string"), digits, "0"))
+    return F.when(size < 9e18, F.concat(F.when(x < 0, "-").otherwise(""), shown)).otherwise(F.format_string(f"%.{digits}f", x.cast("double")))
+
+
 def percent_text(part: Column, whole: Column) -> Column:
-    """``12.34%`` with a zero-safe denominator."""
-    return F.format_string("%.2f%%", (part * F.lit(100.0)) / F.greatest(whole, F.lit(1)))
+    """``12.34%``; ``0%`` where there is nothing to count."""
+    return F.when(whole == 0, F.lit("0%")).otherwise(F.concat(fixed_text((part * F.lit(100.0)) / whole, 2), F.lit("%")))

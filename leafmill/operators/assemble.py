@@ -302,9 +302,10 @@ def merged_plan(plan_labels: DataFrame, outputs: DataFrame, run: str) -> DataFra
     """Start tags of a run: those found in the outputs if any, else the distinct planned ones.
 
     ``plan_labels``: run, plan_ord, kind, start, end; ``outputs``: run, para_ord,
-    content. ``first_seen`` orders the rows.
+    content. ``first_seen`` and ``first_pos`` order the rows.
     """
     planned = plan_labels.groupBy(run, "kind", "start", "end").agg(F.min("plan_ord").cast("bigint").alias("first_seen"))
+    planned = planned.withColumn("first_pos", F.lit(0).cast("bigint"))
     tags = outputs.select(
         run, "para_ord", F.posexplode(F.regexp_extract_all("content", F.lit(START_TAG), F.lit(0))).alias("pos", "start")
     )
@@ -313,10 +314,11 @@ def merged_plan(plan_labels: DataFrame, outputs: DataFrame, run: str) -> DataFra
         F.when(F.col("start").startswith("{{Table"), "table").otherwise("image").alias("kind"),
         "start",
         F.lit("").alias("end"),
-        (F.col("at.para_ord") * 1000000 + F.col("at.pos")).cast("bigint").alias("first_seen"),
+        F.col("at.para_ord").cast("bigint").alias("first_seen"),
+        F.col("at.pos").cast("bigint").alias("first_pos"),
     )
     kept = planned.join(found.select(run).distinct(), run, "left_anti")
-    return found.unionByName(kept.select(run, "kind", "start", "end", "first_seen"))
+    return found.unionByName(kept.select(run, "kind", "start", "end", "first_seen", "first_pos"))
 
 
 def delivery_manifest(plan: DataFrame, exported: DataFrame, run: str) -> DataFrame:
@@ -327,7 +329,7 @@ def delivery_manifest(plan: DataFrame, exported: DataFrame, run: str) -> DataFra
         parent.endswith("_marked"), F.concat(F.lit("datas/data/index/"), parent, F.lit("/"), name)
     ).otherwise(F.concat(F.lit("datas/data/index/"), name))
     return plan.join(exported.select(run, F.col("tag").alias("start"), "path"), [run, "start"]).select(
-        run, "kind", F.col("start").alias("id"), archive.alias("path"), "first_seen"
+        run, "kind", F.col("start").alias("id"), archive.alias("path"), "first_seen", "first_pos"
     )
 
 

@@ -65,8 +65,8 @@ def project_of(path: Column) -> Column:
 
 
 def file_key(file_id: Column, name: Column) -> Column:
-    """Given id, else a stable 16-character digest of the name."""
-    return F.coalesce(file_id, F.substring(F.sha2(name, 256), 1, 16))
+    """Given id, else the SHA-256 digest of the name."""
+    return F.coalesce(file_id, F.sha2(name, 256))
 
 
 def upsert(events: DataFrame, keys: Sequence[str], stamp: Sequence[str]) -> DataFrame:

@@ -12,7 +12,6 @@ SPECIAL_SPACES = "\u00a0\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u
 INVISIBLE = "\u200b\u200c\u200d\u200e\u200f\ufeff\u00ad\u2028\u2029"
 CHAPTER_MARK = "第"
 BULLETS = ["•", "-", "*", "1.", "2.", "3.", "4.", "5."]
-ROLE_LIMIT = 20
 LABEL_BLOCK = r"##\s*标签信息\s*\(JSON\)\s*```json\s*(\{[\s\S]*?\})\s*```"
 LABEL_BLOCK_CUT = r"##\s*标签信息\s*\(JSON\)[\s\S]*?```\s*"
 LABEL_REST = "## 清理后的原文内容"
@@ -69,8 +68,8 @@ def normalise_characters(text: Column, newline_mode: str = "reference") -> Colum
     return F.coalesce(strip(out), F.lit(""))
 
 
-def line_roles(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """Role of each of the first twenty non-blank lines."""
+def line_roles(df: DataFrame, doc: str, text: str, limit: int | None = None) -> DataFrame:
+    """Role of each non-blank line; with ``limit``, of the first so many (the measured service shows 20)."""
     full = F.filter(F.transform(lines(F.col(text)), strip), lambda x: x != "")
 
     def role(x):
@@ -90,7 +89,8 @@ def line_roles(df: DataFrame, doc: str, text: str) -> DataFrame:
             .otherwise(F.concat(F.lit("段落: "), x))
         )
 
-    return df.select(doc, F.posexplode(F.transform(F.slice(full, 1, ROLE_LIMIT), role)).alias("ord", "line_role"))
+    shown = full if limit is None else F.slice(full, 1, limit)
+    return df.select(doc, F.posexplode(F.transform(shown, role)).alias("ord", "line_role"))
 
 
 def decode_text(data: Column) -> Column:

@@ -41,6 +41,7 @@ def _describe(match: Column, folder: str) -> Column:
             raw.isNotNull(),
             F.struct(
                 F.concat(F.lit("image_"), F.substring(F.md5(raw), 1, 12), F.lit("."), ext).alias("name"),
+                F.sha2(raw, 256).alias("digest"),
                 ext.alias("format"),
                 F.octet_length(raw).alias("size"),
                 alt.alias("alt_text"),
@@ -84,22 +85,28 @@ def embedded_images(df: DataFrame, doc: str, text: str, folder: str = "images")
             "d.size",
             "d.alt_text",
             "d.bytes",
+            "d.digest",
         )
     )
 
 
-def asset_store(images: DataFrame) -> DataFrame:
-    """One row per distinct image: the names are unique by content.
+def asset_store(images: DataFrame, doc: str) -> DataFrame:
+    """One row per distinct image by its full SHA-256 and format; ``name`` is for display.
 
-    Occurrences are counted before any bytes move; the bytes of one occurrence
-    per name are kept by a combinable ``any_value``.
+    Digests, sizes and counts combine in a hash aggregate that no bytes enter. The bytes are
+    fetched by a join with the one occurrence of each image that the aggregate names
+    (``doc`` and ``ord`` of the first); where two images share a short name, ``name`` is
+    followed by the digest.
     """
-    return images.groupBy("name").agg(
-        F.any_value("format").alias("format"),
-        F.any_value("size").alias("size"),
-        F.count(F.lit(1)).alias("occurrences"),
-        F.any_value("bytes").alias("bytes"),
+    keys = ["digest", "format"]
+    counted = images.groupBy(*keys).agg(
+        F.min(F.struct(doc, "ord")).alias("_first"), F.max("size").alias("size"), F.count(F.lit(1)).alias("occurrences")
     )
+    first = counted.select(*keys, F.col("_first")[doc].alias(doc), F.col("_first.ord").alias("ord"), "size", "occurrences")
+    whole = first.join(images.select(*keys, doc, "ord", "name", "bytes"), [*keys, doc, "ord"])
+    shared = whole.groupBy("name").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("name", F.lit(True).alias("_shared"))
+    own = F.when(F.col("_shared"), F.concat("name", F.lit("."), "digest")).otherwise(F.col("name"))
+    return whole.join(shared, "name", "left").select(own.alias("name"), "digest", "format", "size", "occurrences", "bytes")
 
 
 def count_embedded(text: Column) -> Column:

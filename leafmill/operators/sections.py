@@ -13,7 +13,6 @@ PREFACE_TITLE = "文档开头"
 SUMMARY_LIMIT = 200
 SUMMARY_SENTENCES = 3
 SUMMARY_MIN_CHARS = 10
-MODEL_INPUT_LIMIT = 50000
 
 
 def _section_array(ls: Column) -> Column:
@@ -99,10 +98,11 @@ def extractive_summary(content: Column, title: Column) -> Column:
     )
 
 
-def summary_model_input(content: Column) -> Column:
-    """Section text as sent to a summary model."""
+def summary_model_input(content: Column, limit: int | None = None) -> Column:
+    """Section text as sent to a summary model, whole; ``limit`` caps it (the measured service: 50,000 characters)."""
     packed = F.regexp_replace(content, r"\n\s*\n", "\n")
-    return capped(strip(F.regexp_replace(packed, r"\{\{[^}]+\}\}", "")), MODEL_INPUT_LIMIT)
+    bare = strip(F.regexp_replace(packed, r"\{\{[^}]+\}\}", ""))
+    return bare if limit is None else capped(bare, limit)
 
 
 def finish_summary(output: Column, content: Column, title: Column) -> Column:

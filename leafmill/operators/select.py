@@ -78,7 +78,7 @@ def resolve_chunks(wanted: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
     forms = chunks.groupBy(key).agg(F.any_value("generation").alias("generation"))
     w = F.col("wanted")
     after = F.element_at(F.split(w, "_"), -1)
-    number = F.when(after.rlike(r"^\d{1,18}$"), after.cast("bigint"))
+    number = F.when(after.rlike(r"^\d+$"), after.try_cast("decimal(38,0)"))
     tries = F.when(F.col("generation") == "sections", F.array(w)).otherwise(
         F.array(
             w,

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.ordered import join_parts
-from leafmill.functions.text import blank, collapse, strip, suffix
+from leafmill.functions.text import blank, collapse, fixed_text, strip, suffix
 
 SHEET = ["workbook", "sheet"]
 # Placeholder, names, footer marks.
@@ -34,11 +34,17 @@ def _shown_text(num: Column, text: Column) -> Column:
 def filled_sheets(cells: DataFrame) -> DataFrame:
     """Sheets with at least one non-blank cell, with their file-safe names."""
     full = ~blank(_shown_text(F.col("num"), F.col("text")))
+    sheets = cells.groupBy(*SHEET).agg(F.bool_or(full).alias("_full"), F.count_if(full).alias("filled_cells")).where("_full")
+    # sheets of one workbook whose names are equal once made safe: the second gets ``~2`` and so on, within the limit
+    same = Window.partitionBy("workbook", F.lower("safe_name")).orderBy("sheet")
+    nth = F.row_number().over(same)
+    tail = F.concat(F.lit("~"), F.col("_nth").cast("string"))
+    apart = F.concat(F.substring("safe_name", F.lit(1), F.lit(NAME_LIMIT) - F.length(tail)), tail)
     return (
-        cells.groupBy(*SHEET)
-        .agg(F.bool_or(full).alias("_full"), F.count_if(full).alias("filled_cells"))
-        .where("_full")
-        .select(*SHEET, safe_sheet_name(F.col("sheet")).alias("safe_name"), "filled_cells")
+        sheets.select(*SHEET, safe_sheet_name(F.col("sheet")).alias("safe_name"), "filled_cells")
+        .withColumn("_nth", nth)
+        .withColumn("safe_name", F.when(F.col("_nth") > 1, apart).otherwise(F.col("safe_name")))
+        .drop("_nth")
     )
 
 
@@ -131,14 +137,14 @@ def format_cell(text: Column, num: Column, is_int: Column, number_format: Column
     def trimmed(v):
         return F.regexp_replace(F.regexp_replace(v, r"0+$", ""), r"\.$", "")
 
-    percent = F.format_string(f"%.{percent_dp}f", num * F.lit(100.0))
+    percent = fixed_text(num * F.lit(100.0), percent_dp)
     percent = trimmed(percent) if percent_dp > 0 else percent
     whole = F.abs(num - F.rint(num)) < 1e-12
     is_percent = F.lit(enable_percent) & F.coalesce(F.contains(number_format, F.lit("%")), F.lit(False)) & num.isNotNull()
     return (
         F.when(is_percent, percent)
         .when(num.isNotNull() & (is_int | whole), F.rint(num).cast("decimal(38,0)").cast("string"))
-        .when(num.isNotNull(), trimmed(F.format_string("%.6f", num)))
+        .when(num.isNotNull(), trimmed(fixed_text(num, 6)))
         .when(blank(text), F.lit(PLACEHOLDER))
         .otherwise(text)
     )
@@ -183,7 +189,7 @@ def grid_rows(cells: DataFrame, bounds: DataFrame) -> DataFrame:
 def row_kind(cells: Column) -> Column:
     """``title``, ``footer`` or ``data``: a title or footer row has one real cell, the first."""
     first = strip(F.coalesce(cells[0], F.lit("")))
-    rest = F.slice(cells, 2, 16384)
+    rest = F.slice(cells, 2, F.greatest(F.size(cells), F.lit(1)))
     single = (first != "") & (first != PLACEHOLDER) & ~F.exists(
         rest, lambda c: (strip(F.coalesce(c, F.lit(""))) != "") & (strip(c) != PLACEHOLDER)
     )
@@ -276,9 +282,9 @@ def rtf_orientation(head: Column) -> Column:
     Reading stops at the first ``\\landscape`` or once both sizes are known.
     """
     ls = F.slice(F.split(head, "\n", -1), 1, 10)
-    num = lambda x, k: F.try_to_number(F.nullif(F.regexp_extract(x, rf"\\{k}(\d+)", 1), F.lit("")), F.lit("999999999")).cast("int")
+    num = lambda x, k: F.nullif(F.regexp_extract(x, rf"\\{k}(\d+)", 1), F.lit("")).try_cast("decimal(38,0)")
     init = F.struct(
-        F.lit(None).cast("int").alias("w"), F.lit(None).cast("int").alias("h"), F.lit(False).alias("land"), F.lit(False).alias("stop")
+        F.lit(None).cast("decimal(38,0)").alias("w"), F.lit(None).cast("decimal(38,0)").alias("h"), F.lit(False).alias("land"), F.lit(False).alias("stop")
     )
 
     def step(a, x):

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.ordered import bucketed_last, first_by, trailing_count
+from leafmill.functions.text import fixed_text
 
 # Stage labels and milestones.
 STAGE_LABELS = {
@@ -147,9 +148,9 @@ def timing_summary(timings: DataFrame) -> DataFrame:
 
 def duration_text(seconds: Column) -> Column:
     return (
-        F.when(seconds < 1, F.format_string("%.2fms", seconds * 1000))
-        .when(seconds < 60, F.format_string("%.2fs", seconds))
-        .otherwise(F.format_string("%dm %.2fs", F.floor(seconds / 60), seconds % 60))
+        F.when(seconds < 1, F.concat(fixed_text(seconds * 1000, 2), F.lit("ms")))
+        .when(seconds < 60, F.concat(fixed_text(seconds, 2), F.lit("s")))
+        .otherwise(F.concat(F.floor(seconds / 60).cast("string"), F.lit("m "), fixed_text(seconds % 60, 2), F.lit("s")))
     )
 
 

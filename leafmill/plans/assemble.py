@@ -343,8 +343,8 @@ PLAN_SQL = ITEMS_SQL + "," + OUT_SQL + """,
 labels as (select c_nationkey as run, item, 'table' as kind, '{{Table_' || (item % 5) || '_Start}}' as s, '{{Table_' || (item % 5) || '_End}}' as e from items join customer on c_custkey = paragraph),
 rawout as (select c_nationkey as run, o.paragraph, case when c_nationkey % 4 = 0 then 'none' else o.content end as content from outs o join customer on c_custkey = o.paragraph),
 pos as (select run, paragraph, unnest(regexp_extract_all(content, '\\{\\{(?:Table|Image)_\\d+_Start\\}\\}')) as s, generate_subscripts(regexp_extract_all(content, '\\{\\{(?:Table|Image)_\\d+_Start\\}\\}'), 1) - 1 as pos from rawout),
-found as (select run, 'table' as kind, s as start, '' as "end", min(paragraph * 1000000 + pos) as first_seen from pos group by run, s),
-plan as (select * from found union all select run, kind, s, e, min(item) from labels where run not in (select run from found) group by run, kind, s, e)"""
+found as (select run, 'table' as kind, s as start, '' as "end", min(paragraph)::bigint as first_seen, arg_min(pos, (paragraph, pos))::bigint as first_pos from pos group by run, s),
+plan as (select * from found union all select run, kind, s, e, min(item), 0 from labels where run not in (select run from found) group by run, kind, s, e)"""
 
 
 def plan(spark, d):
@@ -359,14 +359,14 @@ def plan(spark, d):
     return G.merged_plan(labels, outs, "run")
 
 
-@query("gen_11_merged_plan", f"""with {PLAN_SQL} select run, kind, start, "end", first_seen from plan""")
+@query("gen_11_merged_plan", f"""with {PLAN_SQL} select run, kind, start, "end", first_seen, first_pos from plan""")
 def gen_11(spark, d):
     return plan(spark, d)
 
 
 @query(
     "gen_11_delivery_manifest",
-    f"""with {PLAN_SQL} select run, kind, start as id, 'datas/data/index/' || case when run % 2 = 0 then 'd_marked/' else '' end || substr(start, 3, 7) || '.docx' as path, first_seen from plan where start <> '{{{{Table_2_Start}}}}'""",
+    f"""with {PLAN_SQL} select run, kind, start as id, 'datas/data/index/' || case when run % 2 = 0 then 'd_marked/' else '' end || substr(start, 3, 7) || '.docx' as path, first_seen, first_pos from plan where start <> '{{{{Table_2_Start}}}}'""",
 )
 def gen_11_manifest(spark, d):
     p = plan(spark, d)

@@ -74,7 +74,7 @@ EVENTS_SQL = """
 ev as (select source as project, lang || '_' || (doc_id % 50) || '.docx' as file, case when doc_id % 2 = 0 then 'id' || doc_id end as file_id,
   case when doc_id % 7 <> 0 then 'success' when doc_id % 14 = 0 then 'failed' end as status, doc_id as processed_at, 'p/' || doc_id || '.json' as json_path,
   case when doc_id % 21 = 0 then 'broken' end as error_message, case doc_id % 3 when 0 then 'docx' when 1 then 'pdf' end as file_type from documents),
-cat as (select project, file, coalesce(file_id, substr(sha256(file), 1, 16)) as file_id, status, processed_at,
+cat as (select project, file, coalesce(file_id, sha256(file)) as file_id, status, processed_at,
   case when status = 'success' then json_path end as json_path, case when status = 'success' then null else coalesce(error_message, '处理失败') end as error_message, file_type
   from (select *, row_number() over (partition by project, file order by processed_at desc) as rn from ev) where rn = 1),
 pord as (select project, min(processed_at) as project_ord from ev group by project)"""

@@ -133,7 +133,7 @@ def doc_4(spark, d):
     "doc_4_model_summary",
     f"""with {SECTIONS_SQL},
 c as (select *, {s_strip("regexp_replace(regexp_replace(content, '\\n\\s*\\n', chr(10), 'g'), '\\{\\{[^}]+\\}\\}', '', 'g')")} as cleaned from section_table),
-q as (select *, title || chr(10) || case when length(cleaned) > 50000 then substr(cleaned, 1, 50000) || '...' else cleaned end as prompt from c)
+q as (select *, title || chr(10) || cleaned as prompt from c)
 select doc_id, 'h1_' || ord as section_id, case when length(content) % 3 = 0 then summary else 'summary:' || md5(prompt) end as summary from q""",
 )
 def doc_4_model(spark, d):
@@ -462,11 +462,11 @@ def doc_16(spark, d):
 
 @query(
     "doc_16_asset_store",
-    f"with {IMAGES_SQL} select name, 'png' as format, max(size) as size, count(*) as occurrences, hex(any_value(raw)) as content_hex from named group by name",
+    f"with {IMAGES_SQL} select any_value(name) as name, sha256(raw) as digest, 'png' as format, max(size) as size, count(*) as occurrences, hex(raw) as content_hex from named group by raw",
 )
 def doc_16_store(spark, d):
-    return I.asset_store(I.embedded_images(md_docs(spark, d), "doc_id", "md")).select(
-        "name", "format", F.col("size").cast("bigint").alias("size"), "occurrences", F.hex("bytes").alias("content_hex")
+    return I.asset_store(I.embedded_images(md_docs(spark, d), "doc_id", "md"), "doc_id").select(
+        "name", "digest", "format", F.col("size").cast("bigint").alias("size"), "occurrences", F.hex("bytes").alias("content_hex")
     )
 
 
@@ -583,7 +583,7 @@ def doc_21(spark, d):
 @query(
     "doc_22_line_roles",
     f"""with {MD_SQL},
-l as (select doc_id, list_filter(list_transform(string_split(replace(md, chr(10) || '## ', chr(10) || '第 '), chr(10)), lambda x: {s_strip('x')}), lambda x: x <> '')[1:20] as xs from md),
+l as (select doc_id, list_filter(list_transform(string_split(replace(md, chr(10) || '## ', chr(10) || '第 '), chr(10)), lambda x: {s_strip('x')}), lambda x: x <> '') as xs from md),
 u as (select doc_id, generate_subscripts(xs, 1) - 1 as ord, unnest(xs) as x from l)
 select doc_id, ord, case when starts_with(x, '第') then '章节: ' || x
   when starts_with(x, '•') or starts_with(x, '-') or starts_with(x, '*') or regexp_matches(x, '^[1-5]\\.') then '列表项: ' || x

@@ -161,3 +161,44 @@ def test_tag_machine_against_replay(spark):
             s["status"] = "success"
     got = {r.tag: {"status": r.status, "stage": r.current_stage, "start": r.started_at} for r in telemetry.tag_state(events).collect()}
     assert got == state
+
+
+def test_fixed_text_rounds_the_binary_value(spark):
+    """Exact halves to even, everything else by its exact value, as Python does."""
+    import random
+
+    from leafmill.functions.text import fixed_text, percent_text
+
+    rnd = random.Random(5)
+    values = [3.125, 28.125, 0.5, 1.5, 2.5, 2.675, 1.005, 0.125, -0.125, 0.0, -0.001, 99.995, 0.999, 9.5, 1e-7, 123456789.125, 2.0**53, 1e-300]
+    values += [rnd.randint(0, 4000) / 8 for _ in range(200)] + [rnd.random() * 10 ** rnd.randint(-6, 6) for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for d in (0, 1, 2, 6):
+        for r in df.select("x", fixed_text(F.col("x"), d).alias("t")).collect():
+            assert r["t"] == f"{r['x']:.{d}f}"
+    rates = spark.createDataFrame([(18, 64), (0, 0), (1, 3)], "a long, b long").select(percent_text(F.col("a"), F.col("b")).alias("t"))
+    assert [r["t"] for r in rates.collect()] == ["28.12%", "0%", "33.33%"]
+
+
+def test_no_limit_hides_cells_lines_or_names(spark):
+    from leafmill.operators import clean, sections, sheets
+
+    wide = spark.range(1).select(F.concat(F.array(F.lit("head")), F.array_repeat(F.lit("..."), 20_000), F.array(F.lit("value"))).alias("c"))
+    assert wide.select(sheets.row_kind(F.col("c")).alias("k")).first()["k"] == "data"
+    text = spark.createDataFrame([(1, "\n".join(f"line {i}" for i in range(30)))], "d long, t string")
+    assert clean.line_roles(text, "d", "t").count() == 30 and clean.line_roles(text, "d", "t", 20).count() == 20
+    long = spark.createDataFrame([("x" * 60_000,)], "t string")
+    assert long.select(F.length(sections.summary_model_input(F.col("t"))).alias("n")).first()["n"] == 60_000
+    names = ["n" * 31 + "a", "n" * 31 + "b", "N" * 31, "other"]
+    cells = spark.createDataFrame([("w", n, 1, 1, None, "v") for n in names], "workbook string, sheet string, row int, col int, num double, text string")
+    safe = [r["safe_name"] for r in sheets.filled_sheets(cells).collect()]
+    assert len({s.lower() for s in safe}) == 4 and max(map(len, safe)) <= 31
+
+
+def test_images_with_one_short_name_stay_apart(spark):
+    from leafmill.operators import images
+
+    rows = [(1, 0, "same.png", "png", 1, "d1", b"a"), (2, 0, "same.png", "png", 1, "d2", b"b"), (3, 0, "same.png", "png", 1, "d1", b"a")]
+    got = images.asset_store(spark.createDataFrame(rows, "doc long, ord int, name string, format string, size int, digest string, bytes binary"), "doc").collect()
+    assert {(r["digest"], bytes(r["bytes"]), r["occurrences"]) for r in got} == {("d1", b"a", 2), ("d2", b"b", 1)}
+    assert len({r["name"] for r in got}) == 2
