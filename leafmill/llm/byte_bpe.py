@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import free_name, ship
 
 #: Entries a worker's memo may hold before it starts anew; a memo, not a limit on the input.
-MEMO = 400_000
+MEMO = 150_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -27,6 +27,9 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return out
 
 
+ADDED = ("n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
+
+
 class BacktrackingEncoder:
     """Exact BPE of one pre-split piece in linear time.
 
@@ -185,25 +188,31 @@ def decode_documents(encoded: DataFrame, ranks: bytes, pattern: str, ids: str =
     return encoded.withColumn(out, run.asNondeterministic()(F.col(ids)))
 
 
-def token_digests(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> DataFrame:
-    """Adds ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of the encoding and of its decoding.
+def round_trip(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> DataFrame:
+    """Adds ``n_tokens``, ``token_ids`` (packed), ``ids_sha256`` and ``decoded_sha256`` of the encoding and of its decoding.
 
-    Encodes and decodes a text in one pass, so neither ids nor bytes leave the task.
+    Encodes and decodes a text in one pass through one Python worker. Columns of the added
+    names are replaced; null texts count as empty.
     """
     shipped = ship(docs.sparkSession).sparkContext.broadcast(ranks)
     packed = free_name(docs, "digests")
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.pandas_udf("n_tokens long, token_ids binary, ids_sha256 string, decoded_sha256 string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         data = shipped.value
         for part in parts:
             rows = []
             for t in part:
                 ids = encode_bytes(t or "", data, pattern)
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decode_bytes(ids, data, pattern)).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+                rows.append((len(ids) // 4, ids, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decode_bytes(ids, data, pattern)).hexdigest()))
+            yield pd.DataFrame(rows, columns=list(ADDED))
 
-    clash = [c for c in docs.columns if c.lower() in ("n_tokens", "ids_sha256", "decoded_sha256")]
+    clash = [c for c in docs.columns if c.lower() in ADDED]
     return docs.drop(*clash).withColumn(packed, run.asNondeterministic()(F.col(text))).select(
         *[c for c in docs.columns if c not in clash], f"{packed}.*"
     )
+
+
+def token_digests(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> DataFrame:
+    """As ``round_trip``, without the ids."""
+    return round_trip(docs, ranks, pattern, text).drop("token_ids")
