@@ -42,13 +42,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, source, n_tokens, token_ids`` (packed, little-endian unsigned 32-bit) ``, decoded_sha256``."""
-    ranks = byte_ranks()
-    encoded = byte_bpe.encode_documents(docs.select("doc_id", "source", "text"), ranks, public_tokenizers.PATTERN)
-    decoded = byte_bpe.decode_documents(encoded, ranks, public_tokenizers.PATTERN)
-    return decoded.select(
-        "doc_id", "source", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), "token_ids", F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    """``doc_id, source, n_tokens, token_ids`` (packed, little-endian unsigned 32-bit) and digests of ids and decoded bytes."""
+    return byte_bpe.round_trip(docs.select("doc_id", "source", "text"), byte_ranks(), public_tokenizers.PATTERN).drop("text")
 
 
 STAGES = [
