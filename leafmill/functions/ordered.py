@@ -97,3 +97,31 @@ def bucketed_last(
         .withColumn(out, F.coalesce("_near", "_carry"))
         .drop(b, "_v", "_near", "_carry")
     )
+
+
+def bucketed_max(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: Column, out: str = "highest"
+) -> DataFrame:
+    """Largest ``value`` on the earlier rows of the group, exact, bucket by bucket."""
+    b = "_bucket"
+    keyed = df.withColumn(b, bucket).withColumn("_v", value)
+    inside = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    carry = keyed.groupBy(*keys, b).agg(F.max("_v").alias("_top")).withColumn("_carry", F.max("_top").over(before)).drop("_top")
+    near = keyed.withColumn("_near", F.max("_v").over(inside)).join(carry, [*keys, b])
+    both = F.when(F.col("_near").isNull() | (F.col("_carry") > F.col("_near")), F.col("_carry")).otherwise(F.col("_near"))
+    return near.withColumn(out, F.when(F.col("_carry").isNull(), F.col("_near")).otherwise(both)).drop(b, "_v", "_near", "_carry")
+
+
+def join_glued(df: DataFrame, keys: Sequence[str], order: str, text: str, sep: str, glued: str, rows: int = PART_ROWS) -> DataFrame:
+    """As ``join_parts``, for rows of which some follow the row before without ``sep`` (``glued``).
+
+    Every part but a group's first begins with its own separator, so a group's text is its
+    parts joined with nothing between. ``order`` is positive and unique, not necessarily dense.
+    """
+    first = df.groupBy(*keys).agg(F.min(order).alias("_first"))
+    lead = F.when((F.col(order) == F.col("_first")) | F.coalesce(F.col(glued), F.lit(False)), F.lit("")).otherwise(F.lit(sep))
+    led = df.join(first, list(keys)).withColumn(text, F.concat(lead, F.col(text)))
+    parts = join_parts(led.select(*keys, order, text), keys, order, text, "", rows)
+    low = parts.groupBy(*keys).agg(F.min("part").alias("_low"))
+    return parts.join(low, list(keys)).withColumn("part", (F.col("part") - F.col("_low")).cast("int")).drop("_low")

@@ -10,8 +10,9 @@ from leafmill.functions.arrays import let
 from leafmill.functions.ordered import PART_ROWS, bucketed_rank, first_by, join_parts
 from leafmill.functions.text import base_name, blank, strip, suffix
 from leafmill.operators.catalog import below_root
-from leafmill.operators.clean import plain_from_markdown
+from leafmill.operators.clean import plain_from_markdown, table_open_after
 from leafmill.operators.rollup import first_error
+from leafmill.operators.spans import state_before
 from leafmill.session import cut_lineage
 
 # Types, labels, syntax.
@@ -28,12 +29,16 @@ def two_phases(items: DataFrame, paragraph: str, generate: Callable[[DataFrame],
 
     The items are checkpointed between the phases, so generation never runs
     extraction again. ``generate`` gets the items of sound paragraphs and returns
-    ``paragraph, generated_content``.
+    ``paragraph, generated_content``; a sound paragraph that it leaves out has an empty text.
     """
     ready = cut_lineage(items)
     failed = first_error(ready, paragraph)
     sound = ready.join(failed.select(paragraph), paragraph, "left_anti")
-    good = generate(sound).select(paragraph, "generated_content").withColumn("status", F.lit("success"))
+    texts = generate(sound).select(paragraph, "generated_content")
+    good = (
+        sound.select(paragraph).distinct().join(texts, paragraph, "left")
+        .select(paragraph, F.coalesce("generated_content", F.lit("")).alias("generated_content"), F.lit("success").alias("status"))
+    )
     bad = failed.select(
         paragraph,
         F.lit("").alias("generated_content"),
@@ -44,14 +49,14 @@ def two_phases(items: DataFrame, paragraph: str, generate: Callable[[DataFrame],
 
 
 def reference_text(items: DataFrame, paragraph: str) -> DataFrame:
-    """Successful document items with their quote line, blank line between, in parts."""
+    """Successful document items with their quote line, blank line between, in parts; every paragraph has one."""
     used = items.where(
         (F.col("status") == "success") & (F.coalesce("content", F.lit("")) != "") & F.coalesce("data_type", F.lit("word")).isin(DOCUMENT_TYPES)
     )
     quoted = F.when(
         F.coalesce("quote", F.lit("")) != "", F.concat(F.lit("【"), F.col("quote"), F.lit("】\n"), F.col("content"))
     ).otherwise(F.col("content"))
-    return join_parts(used.withColumn("content", quoted), [paragraph], "ord", "content", "\n\n")
+    return with_empty(join_parts(used.withColumn("content", quoted), [paragraph], "ord", "content", "\n\n"), items, paragraph)
 
 
 def without_markers(content: Column) -> Column:
@@ -64,8 +69,14 @@ def without_markers(content: Column) -> Column:
     return strip(F.regexp_replace(c, r"\{\{ORIGINAL_CONTENT:[^}]*\}\}", ""))
 
 
-def direct_text(items: DataFrame, files: DataFrame, paragraph: str) -> DataFrame:
-    """Paragraph text without a model, in parts.
+def with_empty(parts: DataFrame, items: DataFrame, paragraph: str) -> DataFrame:
+    """Part 0 with an empty text for every paragraph of ``items`` that has no text."""
+    missing = items.select(paragraph).distinct().join(parts.select(paragraph), paragraph, "left_anti")
+    return parts.unionByName(missing.select(paragraph, F.lit(0).alias("part"), F.lit("").alias("content")))
+
+
+def direct_text(items: DataFrame, files: DataFrame, paragraph: str, part_rows: int = PART_ROWS) -> DataFrame:
+    """Paragraph text without a model, in parts that join with a line break; every paragraph has one.
 
     Cleaned item texts, then (for inserting paragraphs) the file placeholders.
     ``items``: paragraph, ord, status, content, insert_original; ``files``:
@@ -87,8 +98,10 @@ def direct_text(items: DataFrame, files: DataFrame, paragraph: str) -> DataFrame
         F.struct("section", F.floor(F.col("ord") / PART_ROWS).alias("b")),
         "nth",
     )
-    joined = join_parts(placed, [paragraph], "nth", "content", "\n\n")
-    return joined.withColumn("content", plain_from_markdown(strip(F.col("content"))))
+    # an HTML table may begin in one row and end in another; blank lines go, so rows meet with one line break
+    placed = state_before(placed, paragraph, "nth", table_open_after(F.col("content")), "_inside")
+    tidy = placed.withColumn("content", plain_from_markdown(strip(F.col("content")), F.col("_inside"))).where("content <> ''")
+    return with_empty(join_parts(tidy, [paragraph], "nth", "content", "\n", part_rows), items, paragraph)
 
 
 def append_placeholders(texts: DataFrame, files: DataFrame, tags: DataFrame, paragraph: str) -> DataFrame:

@@ -32,11 +32,22 @@ CLASS_SYNONYMS = {
 }
 
 
-def plain_from_markdown(text: Column) -> Column:
-    """Drop HTML tables, lone fences, image references, heading marks and blank lines."""
+def table_open_after(text: Column) -> Column:
+    """Whether an HTML table is open behind the text's last line with a table mark; NULL without one."""
+    marks = F.filter(lines(text), lambda x: x.contains("<table>") | x.contains("</table>"))
+    return F.when(F.size(marks) > 0, ~F.element_at(marks, -1).contains("</table>"))
+
+
+def plain_from_markdown(text: Column, inside: Column | None = None) -> Column:
+    """Drop HTML tables, lone fences, image references, heading marks and blank lines.
+
+    ``inside`` says whether the text begins within an HTML table.
+    """
+    start = F.lit(False) if inside is None else F.coalesce(inside, F.lit(False))
+    within = F.when(start, F.concat(F.array(F.lit("<table>")), lines(text))).otherwise(lines(text))
     kept = F.when(
-        text.contains("<table>") | text.contains("</table>"),
-        outside_spans(lines(text), lambda x: x.contains("<table>"), lambda x: x.contains("</table>")),
+        text.contains("<table>") | text.contains("</table>") | start,
+        outside_spans(within, lambda x: x.contains("<table>"), lambda x: x.contains("</table>")),
     ).otherwise(lines(text))
 
     def tidy(x):

@@ -6,8 +6,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions.ordered import PART_ROWS, bucketed_rank, first_by, join_parts
+from leafmill.functions.ordered import PART_ROWS, bucketed_rank, first_by, join_glued, join_parts
 from leafmill.functions.text import blank
+from leafmill.operators.spans import collapse_regions
 
 # Tags, separators and instructions added to queries.
 ANY_BRACES = r"\{*((Table|Image)_\d+_(Start|End))\}*"
@@ -56,17 +57,27 @@ def extraction_query(extract: Column, original_mode: Column, insert_original: Co
     return F.when(insert_original, F.concat(q, F.lit(KEEP_TAGS))).otherwise(q)
 
 
-def file_results(files: DataFrame, item: str) -> DataFrame:
-    """Item text from its successful files, in parts.
+def canonical_parts(rows: DataFrame, item: str, sep: str, part_rows: int = PART_ROWS) -> DataFrame:
+    """Rows (item, ord, content) joined by ``sep`` with placeholders as in ``canonical_placeholders`` of the whole text.
+
+    Regions may span rows; the size of the parts changes nothing. Joined with nothing
+    between, the parts of an item are its text.
+    """
+    out = rows.select(item, "ord", F.regexp_replace("content", ANY_BRACES, r"{{$1}}").alias("content"), F.lit(False).alias("_glued"))
+    for kind in ("Table", "Image"):
+        out = collapse_regions(out, item, "ord", "content", kind, "_glued")
+    return join_glued(out, [item], "ord", "content", sep, "_glued", part_rows)
+
+
+def file_results(files: DataFrame, item: str, part_rows: int = PART_ROWS) -> DataFrame:
+    """Item text from its successful files, in parts that join with nothing between.
 
     ``files``: item, ord (1-based), file, status, content.
     """
     good = files.where("status = 'success' and coalesce(content, '') <> ''").withColumn(
         "content", F.concat(F.lit("## Source: "), F.col("file"), F.lit("\n\n"), F.col("content"))
     )
-    return join_parts(good, [item], "ord", "content", FILE_RULE).withColumn(
-        "content", canonical_placeholders(F.col("content"))
-    )
+    return canonical_parts(good, item, FILE_RULE, part_rows)
 
 
 def file_status(files: DataFrame, item: str) -> DataFrame:
@@ -179,14 +190,14 @@ def source_text(files: DataFrame, item: str) -> DataFrame:
     return join_parts(named, [item], "ord", "content", SOURCE_RULE)
 
 
-def full_content(items: DataFrame, chunks: DataFrame, item: str) -> DataFrame:
-    """Original mode without a query: all chunk contents of the item, no model, in parts.
+def full_content(items: DataFrame, chunks: DataFrame, item: str, part_rows: int = PART_ROWS) -> DataFrame:
+    """Original mode without a query: all chunk contents of the item, no model, in parts that join with nothing between.
 
     ``items``: item, extract, original_mode; ``chunks``: item, ord, content.
     """
     wanted = items.where(F.col("original_mode") & blank(F.col("extract"))).select(item)
     full = chunks.where("coalesce(content, '') <> ''").join(wanted, item, "left_semi")
-    return join_parts(full, [item], "ord", "content", "\n\n").withColumn("content", canonical_placeholders(F.col("content")))
+    return canonical_parts(full, item, "\n\n", part_rows)
 
 
 Handler = Callable[[DataFrame], DataFrame]

@@ -73,7 +73,8 @@ def gen_1(spark, d):
 @query(
     "gen_2_reference_text",
     f"""with {ITEMS_SQL} select paragraph, (ord - 1) // 512 as part, string_agg(case when quote is not null then '【' || quote || '】' || chr(10) else '' end || content, chr(10) || chr(10) order by ord) as content
-from items where ok and data_type <> 'tfl' group by paragraph, (ord - 1) // 512""",
+from items where ok and data_type <> 'tfl' group by paragraph, (ord - 1) // 512
+union all select distinct paragraph, 0, '' from items where paragraph not in (select paragraph from items where ok and data_type <> 'tfl')""",
 )
 def gen_2(spark, d):
     return G.reference_text(items(spark, d), "paragraph").withColumn("part", F.col("part").cast("bigint"))
@@ -105,7 +106,8 @@ c as (select paragraph, 0 as section, ord, trim(regexp_replace(regexp_replace(re
    from items where ok
   union all select paragraph, 1, ord, placeholder from tags where paragraph in (select paragraph from items where ins)),
 j as (select paragraph, string_agg(t, chr(10) || chr(10) order by section, ord) as t from c where t <> '' group by paragraph)
-select paragraph, 0 as part, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^#+\\s*', '')), lambda x: trim(x) <> ''), chr(10)) as content from j""",
+select paragraph, 0 as part, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^#+\\s*', '')), lambda x: trim(x) <> ''), chr(10)) as content from j
+union all select distinct paragraph, 0, '' from items where paragraph not in (select paragraph from j)""",
 )
 def gen_3(spark, d):
     return G.direct_text(raw_items(spark, d), file_tags(spark, d), "paragraph").withColumn("part", F.col("part").cast("bigint"))

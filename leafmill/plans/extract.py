@@ -269,8 +269,8 @@ def file_rows(spark, d):
 
 @query(
     "ext_10_file_results",
-    f"""with {MATCH_SQL} select item, (ord - 1) // 512 as part, string_agg('## Source: src/' || k || '.json' || chr(10) || chr(10) || '{{{{Table_' || ord || '_Start}}}} after src/' || k, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by ord) as content
-from m where state = 'O' group by item, (ord - 1) // 512""",
+    f"""with {MATCH_SQL} select item, 0::bigint as part, string_agg('## Source: src/' || k || '.json' || chr(10) || chr(10) || '{{{{Table_' || ord || '_Start}}}} after src/' || k, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by ord) as content
+from m where state = 'O' group by item""",
 )
 def ext_10(spark, d):
     return RU.file_results(file_rows(spark, d), "item").withColumn("part", F.col("part").cast("bigint"))
@@ -410,8 +410,8 @@ def ext_14(spark, d):
 
 @query(
     "ext_15_full_content",
-    f"""with {SECTIONS_SQL} select doc_id, (ord - 1) // 512 as part, regexp_replace(string_agg(content, chr(10) || chr(10) order by ord), '\\{{\\{{Table_(\\d+)_Start\\}}\\}}(?s:.*?)\\{{\\{{Table_\\d+_End\\}}\\}}', '{{{{Table_\\1_Start}}}}', 'g') as content
-from secs where content <> '' and doc_id % 3 = 1 group by doc_id, (ord - 1) // 512""",
+    f"""with {SECTIONS_SQL} select doc_id, 0::bigint as part, regexp_replace(string_agg(content, chr(10) || chr(10) order by ord), '\\{{\\{{Table_(\\d+)_Start\\}}\\}}(?s:.*?)\\{{\\{{Table_\\d+_End\\}}\\}}', '{{{{Table_\\1_Start}}}}', 'g') as content
+from secs where content <> '' and doc_id % 3 = 1 group by doc_id""",
 )
 def ext_15(spark, d):
     items = load(spark, d, "documents").select(

@@ -202,3 +202,47 @@ def test_images_with_one_short_name_stay_apart(spark):
     got = images.asset_store(spark.createDataFrame(rows, "doc long, ord int, name string, format string, size int, digest string, bytes binary"), "doc").collect()
     assert {(r["digest"], bytes(r["bytes"]), r["occurrences"]) for r in got} == {("d1", b"a", 2), ("d2", b"b", 1)}
     assert len({r["name"] for r in got}) == 2
+
+
+def test_part_size_changes_no_text(spark):
+    """Regions and HTML tables that span rows: parts of 2 and of 10,000 rows give the text of the whole item."""
+    import random
+    import re
+
+    from leafmill.operators import assemble
+
+    def canonical(t):
+        t = re.sub(rollup.ANY_BRACES.replace(r"\{", "{").replace(r"\}", "}"), r"{{\1}}", t)
+        for k in ("Table", "Image"):
+            t = re.sub(r"\{\{" + k + r"_(\d+)_Start\}\}[\s\S]*?\{\{" + k + r"_\1_End\}\}", "{{" + k + r"_\1_Start}}", t)
+        return t
+
+    rnd = random.Random(8)
+    bits = [f"{{{{{k}_{n}_{s}}}}}" for k in ("Table", "Image") for n in (1, 2, 3) for s in ("Start", "End")] + ["{Table_1_Start}", "a", "b c", " ", "\n", "x"]
+    rows, texts = [], {}
+    for item in range(60):
+        own = ["".join(rnd.choice(bits) for _ in range(rnd.randint(1, 6))) for _ in range(rnd.randint(1, 14))]
+        own += ["plain"] * (1500 if item == 7 else 0) + ["{{Table_9_Start}} in", "middle", "{{Table_9_End}} out"]
+        texts[item] = canonical("\n\n".join(own))
+        rows += [(item, i + 1, "success", t) for i, t in enumerate(own)]
+    chunks = spark.createDataFrame(rows, "item long, ord int, status string, content string").repartition(5)
+    asked = spark.range(60).select(F.col("id").alias("item"), F.lit("").alias("extract"), F.lit(True).alias("original_mode"))
+    for part_rows in (2, 512, 10_000):
+        got = defaultdict(list)
+        for r in rollup.full_content(asked, chunks, "item", part_rows).collect():
+            got[r["item"]].append((r["part"], r["content"]))
+        assert {i: "".join(t for _, t in sorted(p)) for i, p in got.items()} == texts
+        assert all(min(p)[0] == 0 for p in got.values())
+
+    items = [(1, i, "success", "line", False) for i in range(1, 1501)] + [(2, 1, "error", "x", False)]
+    items[511] = (1, 512, "success", "before\n<table>", False)
+    items[513] = (1, 514, "success", "gone\n</table>\nafter", False)
+    frame = spark.createDataFrame(items, "paragraph long, ord long, status string, content string, insert_original boolean")
+    files = spark.createDataFrame([], "paragraph long, ord long, placeholder string")
+    want = "\n".join(["line"] * 511 + ["before", "after"] + ["line"] * 986)
+    for part_rows in (2, 512, 10_000):
+        got = defaultdict(list)
+        for r in assemble.direct_text(frame, files, "paragraph", part_rows).collect():
+            got[r["paragraph"]].append((r["part"], r["content"]))
+        assert "\n".join(t for _, t in sorted(got[1])) == want
+        assert got[2] == [(0, "")]
