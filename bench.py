@@ -4,6 +4,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -59,7 +60,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     wanted = sys.argv[1:] or HEADLINE
-    spark = build_session("bench", master=f"local[{cpus}]", shuffle_partitions=int(cpus))
+    shared = tempfile.TemporaryDirectory(prefix="leafmill-bench-")
+    spark = build_session("bench", master=f"local[{cpus}]", shuffle_partitions=int(cpus), shared=shared.name)
     spark.sparkContext.setLogLevel("ERROR")
     queries = registry.queries()
     run(spark, queries["str_6_log_counters"], sf_dir)  # start-up is not a query
@@ -76,6 +78,7 @@ def main() -> None:
         )
     )
     spark.stop()
+    shared.cleanup()
 
 
 if __name__ == "__main__":

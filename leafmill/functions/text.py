@@ -86,6 +86,11 @@ def fixed_text(x: Column, digits: int) -> Column:
     return F.when(size < 9e18, F.concat(F.when(x < 0, "-").otherwise(""), shown)).otherwise(F.format_string(f"%.{digits}f", x.cast("double")))
 
 
+def grain(key: str, own: str) -> Column:
+    """Inside a roll-up: ``own`` for rows of one key (a NULL key too), ``total`` for the row over all."""
+    return F.when(F.grouping(key) == 0, F.lit(own)).otherwise(F.lit("total")).alias("grain")
+
+
 def percent_text(part: Column, whole: Column) -> Column:
     """``12.34%``; ``0%`` where there is nothing to count."""
     return F.when(whole == 0, F.lit("0%")).otherwise(F.concat(fixed_text((part * F.lit(100.0)) / whole, 2), F.lit("%")))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import blank, none_if_blank, percent_text
+from leafmill.functions.text import blank, grain, none_if_blank, percent_text
 
 GROUP = (
     "array<struct<tagId string, tag_id string, data array<struct<id string, first_match_logic string, "
@@ -99,18 +99,18 @@ def compliance_split(df: DataFrame, files: str, compliant: str, check: str, reas
 
 
 def match_rates(df: DataFrame, category: str, total: Column, matched: Column) -> DataFrame:
-    """Totals and rates per category and overall (NULL category)."""
+    """Totals and rates per category and overall; ``grain`` tells the two apart."""
     return (
         df.rollup(category)
-        .agg(F.sum(total).alias("total_files"), F.sum(matched).alias("matched_files"))
+        .agg(grain(category, "category"), F.sum(total).alias("total_files"), F.sum(matched).alias("matched_files"))
         .withColumn("match_rate", percent_text(F.col("matched_files"), F.col("total_files")))
     )
 
 
 def pass_rates(df: DataFrame, category: str, check_files: str) -> DataFrame:
-    """Share of specs with nothing to check, per category and overall (NULL category)."""
+    """Share of specs with nothing to check, per category and overall; ``grain`` tells the two apart."""
     return (
         df.rollup(category)
-        .agg(F.count(F.lit(1)).alias("total"), F.count_if(F.size(check_files) == 0).alias("passed"))
+        .agg(grain(category, "category"), F.count(F.lit(1)).alias("total"), F.count_if(F.size(check_files) == 0).alias("passed"))
         .withColumn("pass_rate", percent_text(F.col("passed"), F.col("total")))
     )

@@ -1,15 +1,17 @@
 """The one step that is not relational: text out of a model, as a column.
 
 A backend is any picklable object with ``generate(prompts, task) -> list[str]``.
-Spark partitions the distinct prompts; each task holds one backend and one rate
-limiter, so the overall rate is (running tasks × rate of one task).
+Spark partitions the distinct prompts; each task sends lists of prompts through a small
+pool of threads and paces them with its share of the total rate.
 """
 from __future__ import annotations
 
 import hashlib
 import random
+import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
@@ -28,7 +30,6 @@ FAILED = "[生成失败]"
 ATTEMPTS = 3
 BACKOFF = 1.5
 BACKOFF_CAP = 10.0
-RATE = 3.0
 CONCURRENCY = 4
 
 
@@ -57,6 +58,37 @@ def _answer(backend: Backend, prompt: str, task: str, sleep: Callable[[float], N
     return f"{FAILED} {error}"
 
 
+def _answers(backend: Backend, prompts: list[str], task: str, sleep: Callable[[float], None]) -> list[str]:
+    """A list of prompts in one call; a list that fails is asked prompt by prompt, so one bad prompt spoils no other."""
+    if len(prompts) > 1:
+        try:
+            found = backend.generate(prompts, task)
+            if len(found) == len(prompts):
+                return found
+        except Exception:  # noqa: BLE001,S110 - asked again one by one
+            pass
+    return [_answer(backend, p, task, sleep) for p in prompts]
+
+
+class Pace:
+    """Lets one call begin every ``gap`` seconds, over all threads of a task."""
+
+    def __init__(self, gap: float):
+        self.gap = gap
+        self.next = 0.0
+        self.lock = threading.Lock()
+
+    def wait(self) -> None:
+        if not self.gap:
+            return
+        with self.lock:
+            now = time.monotonic()
+            at = max(now, self.next)
+            self.next = at + self.gap
+        if at > now:
+            time.sleep(at - now)
+
+
 def model_column(
     prompts: DataFrame,
     prompt: str = "prompt",
@@ -64,32 +96,38 @@ def model_column(
     backend: Backend | None = None,
     rate: float | None = None,
     partitions: int | None = None,
+    batch_size: int = 1,
+    concurrency: int = CONCURRENCY,
 ) -> DataFrame:
     """``prompt_hash, output`` for every distinct prompt.
 
-    Equal prompts are asked once. ``partitions`` fixes how many tasks may call
-    the backend at a time; without it Spark's own partitioning is kept.
+    Equal prompts are asked once, in lists of ``batch_size``, by ``concurrency`` threads a
+    task. ``rate`` is the total of calls per second; each of ``partitions`` tasks keeps to
+    its share of it, so the total holds however many of them run at once. With a rate and
+    no ``partitions`` there is one task.
     """
     client = backend or OfflineBackend()
+    tasks = partitions or (1 if rate else None)
+    gap = (tasks or 1) / rate if rate else 0.0
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gap = 1.0 / rate if rate else 0.0
-        last = 0.0
-        for batch in batches:
-            out = []
-            for text in batch["prompt"]:
-                wait = last + gap - time.monotonic()
-                if gap and wait > 0:
-                    time.sleep(wait)
-                last = time.monotonic()
-                out.append(_answer(client, text, task, time.sleep))
-            yield pd.DataFrame({"prompt_hash": batch["prompt_hash"], "output": out})
+        pace = Pace(gap)
+
+        def ask(some: list[str]) -> list[str]:
+            pace.wait()
+            return _answers(client, some, task, time.sleep)
+
+        with ThreadPoolExecutor(max_workers=concurrency) as pool:
+            for batch in batches:
+                asked = list(batch["prompt"])
+                lists = [asked[i : i + batch_size] for i in range(0, len(asked), batch_size)]
+                yield pd.DataFrame({"prompt_hash": batch["prompt_hash"], "output": [x for found in pool.map(ask, lists) for x in found]})
 
     distinct = prompts.select(F.sha2(prompt, 256).alias("prompt_hash"), F.col(prompt).alias("prompt")).dropDuplicates(
         ["prompt_hash"]
     )
-    if partitions:
-        distinct = distinct.repartition(partitions)
+    if tasks:
+        distinct = distinct.repartition(tasks)
     return distinct.mapInPandas(call, "prompt_hash string, output string")
 
 

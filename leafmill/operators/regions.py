@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.arrays import let
-from leafmill.functions.text import capped, lines, strip
+from leafmill.functions.text import capped, grain, lines, strip
 from leafmill.operators.images import count_embedded, rewrite_embedded
 
 # Tag syntax.
@@ -234,8 +234,9 @@ def extract_regions(df: DataFrame, doc: str, text: str) -> DataFrame:
 
 
 def region_summary(regions: DataFrame, doc: str) -> DataFrame:
-    """Counts per document and, with a NULL document, over the whole collection."""
+    """Counts per document and over the whole collection; ``grain`` tells the two apart."""
     return regions.rollup(doc).agg(
+        grain(doc, "document"),
         F.count_if(F.col("type") == "table").alias("total_tables"),
         F.count_if(F.col("type") == "image").alias("total_images"),
         F.count(F.lit(1)).alias("total_regions"),

@@ -140,11 +140,11 @@ def strong_cascade(text: Column) -> Column:
         )
         quoted = F.to_json(F.from_json(literal, "variant", {"allowSingleQuotes": "true", "mode": "PERMISSIVE"}))
         return F.coalesce(
+            _first_parsed([("clean", clean)]),  # a readable answer is not folded character by character
             let(
                 balanced_prefix(clean),
                 lambda part: _first_parsed(
                     [
-                        ("clean", clean),
                         ("balanced", part),
                         ("balanced_commas", _no_trailing_commas(part)),
                         ("commas", _no_trailing_commas(clean)),

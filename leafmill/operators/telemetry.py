@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.ordered import bucketed_last, first_by, trailing_count
-from leafmill.functions.text import fixed_text
+from leafmill.functions.text import fixed_text, grain
 
 # Stage labels and milestones.
 STAGE_LABELS = {
@@ -136,8 +136,9 @@ def final_label(failed: Column, status: Column) -> Column:
 
 
 def timing_summary(timings: DataFrame) -> DataFrame:
-    """Count, total, extremes and mean per operation; the grand total has a NULL name."""
+    """Count, total, extremes and mean per operation and over all; ``grain`` tells the two apart."""
     return timings.rollup("name").agg(
+        grain("name", "operation"),
         F.count(F.lit(1)).alias("count"),
         F.sum("duration").alias("total_duration"),
         F.min("duration").alias("min_duration"),

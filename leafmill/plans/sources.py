@@ -501,20 +501,20 @@ def alc_4(spark, d):
 
 @query(
     "alc_5_match_rates",
-    """select case when s_nationkey % 5 = 0 then 'unknown' else s_nationkey::varchar end as tag, sum(6)::bigint as total_files,
+    """select case when s_nationkey % 5 = 0 then 'unknown' else s_nationkey::varchar end as tag, case when grouping(case when s_nationkey % 5 = 0 then 'unknown' else s_nationkey::varchar end) = 0 then 'category' else 'total' end as grain, sum(6)::bigint as total_files,
   sum(case when s_suppkey % 4 = 0 then 0 else 2 end)::bigint as matched_files,
   printf('%.2f%%', sum(case when s_suppkey % 4 = 0 then 0 else 2 end) * 100.0::double / sum(6)) as match_rate
 from supplier group by rollup(case when s_nationkey % 5 = 0 then 'unknown' else s_nationkey::varchar end)""",
 )
 def alc_5(spark, d):
     return A.match_rates(_matches(spark, d), "tag", F.size("candidates"), F.size("matched")).select(
-        "tag", *big("total_files", "matched_files"), "match_rate"
+        "tag", "grain", *big("total_files", "matched_files"), "match_rate"
     )
 
 
 @query(
     "alc_5_pass_rates",
-    """select p_brand as category, count(*) as total, count(*) filter (where p_size % 4 = 0) as passed, printf('%.2f%%', count(*) filter (where p_size % 4 = 0) * 100.0::double / count(*)) as pass_rate from part group by rollup(p_brand)""",
+    """select p_brand as category, case when grouping(p_brand) = 0 then 'category' else 'total' end as grain, count(*) as total, count(*) filter (where p_size % 4 = 0) as passed, printf('%.2f%%', count(*) filter (where p_size % 4 = 0) * 100.0::double / count(*)) as pass_rate from part group by rollup(p_brand)""",
 )
 def alc_5_pass(spark, d):
     checks = F.when(F.col("p_size") % 4 != 0, F.array(F.lit("f1"))).otherwise(F.array().cast("array<string>"))

@@ -143,7 +143,7 @@ def timings(e):
 
 @query(
     "str_5_timing_summary",
-    """select event_type as name, count(*) as count, round(sum(value), 4) as total_duration, min(value) as min_duration, max(value) as max_duration, round(avg(value), 6) as avg_duration,
+    """select event_type as name, case when grouping(event_type) = 0 then 'operation' else 'total' end as grain, count(*) as count, round(sum(value), 4) as total_duration, min(value) as min_duration, max(value) as max_duration, round(avg(value), 6) as avg_duration,
   printf('%dm', floor(round(sum(value), 4) / 60)::bigint) as minutes from events group by rollup(event_type)""",
 )
 def str_5(spark, d):
@@ -151,6 +151,7 @@ def str_5(spark, d):
     total = F.round("total_duration", 4)
     return s.select(
         "name",
+        "grain",
         "count",
         total.alias("total_duration"),
         "min_duration",
@@ -170,10 +171,12 @@ def str_5_text(spark, d):
 
 @query(
     "str_5_timing_stream",
-    """select event_type as name, count(*) as count, round(sum(value), 4) as total_duration, min(value) as min_duration, max(value) as max_duration from events group by event_type""",
+    """select event_type as name, count(*) as count, round(sum(value), 4) as total_duration, min(value) as min_duration, max(value) as max_duration, round(avg(value), 6) as avg_duration from events group by event_type""",
 )
 def str_5_stream(spark, d):
-    return ST.run_state(ST.timing_stream(timings(event_stream(spark, d))), ["name"]).withColumn("total_duration", F.round("total_duration", 4))
+    return ST.run_state(ST.timing_stream(timings(event_stream(spark, d))), ["name"]).withColumns(
+        {"total_duration": F.round("total_duration", 4), "avg_duration": F.round("avg_duration", 6)}
+    )
 
 
 def logs(e):

@@ -435,7 +435,7 @@ def doc_14(spark, d):
 @query(
     "doc_15_region_summary",
     f"""with {CHAIN_SQL}
-select doc_id, count(*) filter (where type = 'table') as total_tables, count(*) filter (where type = 'image') as total_images,
+select doc_id, case when grouping(doc_id) = 0 then 'document' else 'total' end as grain, count(*) filter (where type = 'table') as total_tables, count(*) filter (where type = 'image') as total_images,
        count(*) as total_regions, sum(images)::bigint as total_extracted_images
 from content group by rollup(doc_id)""",
 )

@@ -6,8 +6,10 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def build_session(app: str = "leafmill", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
-    """Session with the settings the operators expect.
+def build_session(
+    app: str = "leafmill", master: str | None = None, shuffle_partitions: int | None = None, shared: str | None = None
+) -> SparkSession:
+    """Session with the settings the operators expect; ``shared`` is the folder for checkpoints and streams.
 
     On a cluster leave ``master`` and ``shuffle_partitions`` unset: the submit
     configuration and adaptive execution decide.
@@ -24,6 +26,8 @@ def build_session(app: str = "leafmill", master: str | None = None, shuffle_part
     )
     if master:
         b = b.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
+    if shared:
+        b = b.config("spark.checkpoint.dir", shared)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b.getOrCreate()

@@ -9,8 +9,8 @@ from leafmill.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("tests", master="local[8]", shuffle_partitions=8)
+def spark(tmp_path_factory):
+    session = build_session("tests", master="local[8]", shuffle_partitions=8, shared=str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -170,3 +170,33 @@ def test_paragraph_flags(spark):
 def test_duration_text(spark, seconds, shown):
     df = spark.createDataFrame([(seconds,)], "s double")
     assert df.select(telemetry.duration_text(F.col("s")).alias("x")).first()["x"] == shown
+
+
+def test_model_lists_and_pace(spark, tmp_path):
+    """Lists of the asked size, a bad prompt alone fails, calls keep the total rate."""
+    import time
+
+    log = str(tmp_path)
+
+    class Listed:
+        def generate(self, prompts, task):
+            import os
+            import uuid
+
+            with open(os.path.join(log, uuid.uuid4().hex), "w") as f:
+                f.write(f"{len(prompts)} {time.time()}")
+            if "bad" in prompts:
+                raise ValueError("no")
+            return [p.upper() for p in prompts]
+
+    rows = spark.createDataFrame([(f"p{i}",) for i in range(11)] + [("bad",)], "prompt string").coalesce(1)
+    out = {r["output"] for r in model.model_column(rows, backend=Listed(), batch_size=4, partitions=1).collect()}
+    assert {f"P{i}" for i in range(11)} <= out and any(o.startswith(model.FAILED) for o in out) and len(out) == 12
+    sizes = [int(p.read_text().split()[0]) for p in tmp_path.iterdir()]
+    assert max(sizes) == 4
+    for p in tmp_path.iterdir():
+        p.unlink()
+    good = rows.where("prompt <> 'bad'")
+    model.model_column(good, backend=Listed(), rate=20.0, partitions=2).collect()
+    times = sorted(float(p.read_text().split()[1]) for p in tmp_path.iterdir())
+    assert len(times) >= 11 and times[-1] - times[0] >= 0.3
