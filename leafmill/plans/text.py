@@ -163,7 +163,7 @@ carve as (
     select *, strpos(rest, tag) as tag_at, strpos(rest, end_tag) as close_at from (
       select *, regexp_extract(tag, '{START}', 1) as tag_name, '{{{{' || regexp_extract(tag, '{START}', 1) || '_End}}}}' as end_tag from (
         select doc_id, rest, step, regexp_extract(rest, '{START}', 0) as tag from carve where rest <> '')))),
-segs as (select doc_id, row_number() over (partition by doc_id order by step) as seg_no, kind, name, seg from carve where step > 0)"""
+segs as materialized (select doc_id, row_number() over (partition by doc_id order by step) as seg_no, kind, name, seg from carve where step > 0)"""
 
 
 @query("doc_6_region_carving", f"with recursive {CARVE_SQL} select doc_id, kind, name, seg, seg_no from segs")
@@ -197,7 +197,7 @@ f6 as (
   from f5
   union all
   select doc_id, seg_no, 0, 0, 0, 'region', null, name, seg from segs where kind <> 'text'),
-blk as (select doc_id, row_number() over (partition by doc_id order by seg_no, k0, k1, k2) as ord, type, level, name, text from f6)"""
+blk as materialized (select doc_id, row_number() over (partition by doc_id order by seg_no, k0, k1, k2) as ord, type, level, name, text from f6)"""
 
 
 @query("doc_5_blocks", f"with recursive {BLOCKS_SQL} select doc_id, ord, type, level, name, text from blk")
@@ -221,31 +221,32 @@ paths as (
     on b.doc_id = h1.doc_id and b.ord >= h1.ord
   asof left join (select doc_id, ord, text as t from blk where type = 'heading' and level = 2) h2
     on b.doc_id = h2.doc_id and b.ord >= h2.ord),
-units as (
+units as materialized (
   select *, row_number() over (partition by doc_id order by ord) as u, length(text) as n from paths where type <> 'heading'),
+slim as materialized (select doc_id, u, n, type from units),
 walk as (
-  select doc_id, u, n as len, 1 as chunk, type = 'region' or n >= 1200 as shut from units where u = 1
+  select doc_id, u, n as len, 1 as chunk, type = 'region' or n >= 1200 as shut from slim where u = 1
   union all
   select x.doc_id, x.u,
     case when w.shut or x.type = 'region' or w.len + x.n > 1200 then x.n else w.len + x.n end,
     w.chunk + case when w.shut or x.type = 'region' or w.len + x.n > 1200 then 1 else 0 end,
     x.type = 'region' or (case when w.shut or w.len + x.n > 1200 then x.n else w.len + x.n end) >= 1200
-  from walk w join units x on x.doc_id = w.doc_id and x.u = w.u + 1),
+  from walk w join slim x on x.doc_id = w.doc_id and x.u = w.u + 1),
 last_head as (select doc_id, max(ord) as last_ord from blk group by doc_id),
 members as (
   select x.*, w.chunk, w.shut from units x join walk w on w.doc_id = x.doc_id and w.u = x.u),
 ends as (
   select doc_id, chunk, min(u) as first_u, max(u) as last_u, string_agg(text, chr(10) || chr(10) order by u) as body,
-         bool_or(shut) as shut, max(ord) as last_ord from members group by doc_id, chunk),
+         bool_or(shut) as shut, min(ord) as first_ord, max(ord) as last_ord from members group by doc_id, chunk),
 nxt as (
   -- a chunk closes at its own last block when full (or a region), else at the block that opens the next chunk
   select e.*, case when e.shut then e.last_ord else coalesce(
-      (select min(m.ord) from members m where m.doc_id = e.doc_id and m.chunk = e.chunk + 1), h.last_ord) end as close_ord
+      lead(e.first_ord) over (partition by e.doc_id order by e.chunk), h.last_ord) end as close_ord
   from ends e join last_head h on h.doc_id = e.doc_id),
 titled as (
   select n.*, array_to_string(list_filter([p.p1, p.p2], lambda t: t is not null and t <> ''), ' / ') as title_path
   from nxt n join paths p on p.doc_id = n.doc_id and p.ord = n.close_ord),
-counted as (select *, count(*) over (partition by doc_id) as n_chunks from titled)"""
+counted as materialized (select *, count(*) over (partition by doc_id) as n_chunks from titled)"""
 
 MERGED_SQL = PACK_SQL + """,
 merged as (
