@@ -180,9 +180,13 @@ def event_feed(events: DataFrame, tile: Column) -> DataFrame:
     control event before it is a registration; the completion marker is the last
     one delivered. Exact for requests of any size (bucket by bucket).
     """
+    return event_gates(events, tile).where("gate = 'register' and kind <> 'register'").drop("gate")
+
+
+def event_gates(events: DataFrame, tile: Column) -> DataFrame:
+    """Adds ``gate``: the last control event of the request before each event."""
     control = F.when(F.col("kind").isin("register", COMPLETE), F.col("kind"))
-    placed = bucketed_last(events, ["request"], ["ts", "event_id"], tile, control, "gate")
-    return placed.where("gate = 'register' and kind <> 'register'").drop("gate")
+    return bucketed_last(events, ["request"], ["ts", "event_id"], tile, control, "gate")
 
 
 def batch_tally(results: DataFrame, batch: str) -> DataFrame:

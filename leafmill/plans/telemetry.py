@@ -241,17 +241,9 @@ def str_9(spark, d):
     return T.event_feed(feed(load(spark, d, "events")), F.date_trunc("hour", "ts"))
 
 
-@query(
-    "str_9_event_feed_stream",
-    """with r as (select user_id, min(ts) filter (where event_type = 'signup') as a, max(ts) filter (where event_type = 'error') as b from events group by user_id)
-select e.user_id as request, ts, event_id, case event_type when 'signup' then 'register' when 'error' then '_complete' else event_type end as kind from events e join r using (user_id) where ts > a and (b is null or ts <= b)""",
-)
+@query("str_9_event_feed_stream", SQL["str_9_event_feed"])
 def str_9_stream(spark, d):
-    registered = feed(load(spark, d, "events")).groupBy("request").agg(
-        F.min(F.when(F.col("kind") == "register", F.col("ts"))).alias("registered_at"),
-        F.max(F.when(F.col("kind") == "_complete", F.col("ts"))).alias("completed_at"),
-    )
-    return ST.run_available(ST.feed_stream(feed(event_stream(spark, d)), registered), "append").select("request", "ts", "event_id", "kind")
+    return ST.run_feed(feed(event_stream(spark, d)))
 
 
 @query(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
-from leafmill.operators.telemetry import latest_per_key, log_counters, tag_state, task_state
+from leafmill.operators.telemetry import COMPLETE, event_gates, latest_per_key, log_counters, tag_state, task_state
 from leafmill.session import cut_lineage, shared_dir
 
 WATERMARK = "10 minutes"
@@ -88,17 +88,48 @@ def windowed_log_counts(logs: DataFrame, width: str = "1 hour") -> DataFrame:
     )
 
 
-def feed_stream(events: DataFrame, registrations: DataFrame) -> DataFrame:
-    """Stream side of the event feed: events of requests registered before them.
+def run_feed(events: DataFrame, width: str = "hour") -> DataFrame:
+    """Delivered events of a stream of ``request, ts, event_id, kind``: the batch feed's rows, whatever the order of arrival.
 
-    ``registrations``: request, registered_at, completed_at (NULL while open).
+    Every micro-batch is added to a log that is partitioned by time tile, with the last
+    control event of each request and tile beside it. An arriving row can only change what
+    lies behind it in its request, so the requests of a batch are decided anew from the
+    batch's earliest tile on, starting from the gate that the earlier tiles leave. A decision
+    is ``delivered`` or not; the last one on an event holds. A repeated batch replaces itself.
     """
-    r = registrations.select("request", "registered_at", "completed_at")
-    return (
-        events.join(r, "request")
-        .where("ts > registered_at and (completed_at is null or ts <= completed_at)")
-        .drop("registered_at", "completed_at")
+    spark = events.sparkSession
+    base = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+    columns = ["request", "ts", "event_id", "kind"]
+    tile = F.date_trunc(width, "ts")
+    control = F.col("kind").isin("register", COMPLETE)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        own = batch.select(*columns, F.unix_seconds(tile.cast("timestamp")).alias("tile"))
+        own = cut_lineage(own)
+        own.write.mode("overwrite").partitionBy("tile").parquet(f"{base}/log/batch_id={batch_id}")
+        gates = own.where(control).groupBy("request", "tile").agg(F.max(F.struct("ts", "event_id", "kind")).alias("gate"))
+        gates.write.mode("overwrite").parquet(f"{base}/gates/batch_id={batch_id}")
+        first = own.agg(F.min("tile").alias("t")).first()["t"]
+        if first is None:
+            return
+        touched = own.select("request").distinct()
+        log = spark.read.parquet(f"{base}/log").where((F.col("batch_id") <= batch_id) & (F.col("tile") >= first))
+        known = spark.read.schema(gates.schema.add("batch_id", "long")).parquet(f"{base}/gates")
+        carried = known.where((F.col("batch_id") <= batch_id) & (F.col("tile") < first)).groupBy("request").agg(F.max("gate").alias("gate"))
+        rows = log.select(*columns, F.lit(False).alias("carried")).unionByName(carried.select("request", "gate.*", F.lit(True).alias("carried")))
+        placed = event_gates(rows.join(touched, "request", "left_semi"), tile)
+        delivered = F.coalesce((F.col("gate") == "register") & (F.col("kind") != "register"), F.lit(False))
+        decided = placed.where("not carried").select(*columns, delivered.alias("delivered"))
+        decided.write.mode("overwrite").parquet(f"{base}/rows/batch_id={batch_id}")
+
+    query = (
+        events.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     )
+    query.awaitTermination()
+    schema = events.select(*columns).schema.add("delivered", "boolean").add("batch_id", "long")
+    decisions = spark.read.schema(schema).parquet(f"{base}/rows")
+    last = decisions.groupBy(*columns).agg(F.max(F.struct("batch_id", "delivered")).alias("last"))
+    return last.where("last.delivered").select(*columns)
 
 
 def intake(

@@ -200,3 +200,21 @@ def test_model_lists_and_pace(spark, tmp_path):
     model.model_column(good, backend=Listed(), rate=20.0, partitions=2).collect()
     times = sorted(float(p.read_text().split()[1]) for p in tmp_path.iterdir())
     assert len(times) >= 11 and times[-1] - times[0] >= 0.3
+
+
+def test_feed_in_any_order_of_arrival(spark, tmp_path):
+    """Five shuffled files, one micro-batch each, give the rows of the batch feed."""
+    from leafmill.operators.telemetry import event_feed
+    from leafmill.streaming.telemetry import run_feed
+
+    kinds = ["register", "_complete", "a", "b", "c"]
+    rows = spark.range(400).selectExpr(
+        "id % 7 as request", "timestamp_seconds(1700000000 + id * 997) as ts", "id as event_id",
+        f"element_at(array({', '.join(repr(k) for k in kinds)}), cast(pmod(xxhash64(id), 5) as int) + 1) as kind",
+    )
+    folder = str(tmp_path / "events")
+    rows.repartition(5, F.xxhash64(F.lit(3), "event_id")).write.parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    got = sorted(map(tuple, run_feed(stream).collect()))
+    want = sorted(map(tuple, event_feed(rows, F.date_trunc("hour", "ts")).select("request", "ts", "event_id", "kind").collect()))
+    assert got == want and len(want) > 50
