@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut, free_name, ship
+from leafmill.llm.common import cut, free_name, ship, stored
 from leafmill.llm.html import INLINE, Node, parse
 
 OPTIONAL, REPEATED = 1, 2
@@ -349,10 +349,11 @@ def _read(wrapper: str) -> tuple[str, frozenset[str]]:
 def extract_text(pages: DataFrame, url: str = "url", html: str = "html", text: str = "text") -> DataFrame:
     """Adds ``text`` (replacing a column of that name): the main text of each page by its host's wrapper.
 
-    Wrappers come to the pages by a join on the host; Spark broadcasts them when their
-    measured size is small and otherwise splits a hot host's partition. Null pages give empty text.
+    Wrappers come to the pages by a join on the host. They are written first, so Spark knows
+    their size: it broadcasts them if they are small, so that no page moves, and otherwise
+    splits a hot host's partition. Null pages give empty text.
     """
-    wrappers = cut(infer_wrappers(pages, url, html))
+    wrappers = stored(infer_wrappers(pages, url, html), "wrappers")
     host, wrapper = free_name(pages, "host_"), free_name(pages, "wrapper_")
     wrappers = wrappers.select(F.col("host").alias(host), F.col("wrapper").alias(wrapper))
 
