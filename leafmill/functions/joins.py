@@ -23,14 +23,14 @@ def substring_join(needles: DataFrame, needle: str, hay: DataFrame, text: str) -
     that occur nowhere rule the needle out. The candidates are then verified.
     Needles should be distinct before they come here.
     """
-    texts = hay.withColumn(
-        "_gram", F.explode(F.array_distinct(F.flatten(F.array(*[_grams(F.col(text), k) for k in range(1, GRAM + 1)]))))
-    )
+    known = hay.withColumn("_id", F.xxhash64(text))
+    sizes = range(1, GRAM + 1)
+    # a text's grams travel with its number only; texts come back for the candidates
+    texts = known.select("_id", F.explode(F.array_distinct(F.flatten(F.array(*[_grams(F.col(text), k) for k in sizes])))).alias("_gram")).distinct()
     counts = texts.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
     own = F.when(F.length(needle) < GRAM, F.array(F.col(needle))).otherwise(_grams(F.col(needle), GRAM))
     keyed = needles.where(F.length(needle) > 0).withColumn("_gram", F.explode(own))
     rated = keyed.join(counts, "_gram", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     rarest = rated.groupBy(*needles.columns).agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"), F.min("_n").alias("_n"))
-    return (
-        rarest.where("_n > 0").drop("_n").join(texts, "_gram").where(F.contains(F.col(text), F.col(needle))).drop("_gram")
-    )
+    candidates = rarest.where("_n > 0").drop("_n").join(texts, "_gram").drop("_gram")
+    return candidates.join(known, "_id").where(F.contains(F.col(text), F.col(needle))).drop("_id")

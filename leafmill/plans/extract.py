@@ -36,7 +36,7 @@ def sections(spark, d):
     "ext_1_prompts",
     f"""with {SECTIONS_SQL},
 p as (select s.doc_id, s.section_id, b.text as t, s.title, s.content, s.wc from (select doc_id, 'h1_' || ord as section_id, title, content, length(content) as wc from secs) s
-  left join benchmark b on b.item_id = s.doc_id % 50)
+  left join benchmark b on b.item_id = s.doc_id % (select count(*) from benchmark))
 select doc_id, section_id, case when t is null then '' else replace(replace(
    t || chr(10) || title || ' / ' || content || ' ', '{{{{', '{{'), '}}}}', '}}') || wc || ' 项目 {{}}' end as prompt from p""",
 )
@@ -45,7 +45,8 @@ def ext_1(spark, d):
         F.concat(F.lit("t"), text("item_id")).alias("template_id"),
         F.concat("text", F.lit("\n{{title}} / {{ content }} {{none}}{word_count} {project_desc} {{{{x}}}}")).alias("template"),
     )
-    rows = sections(spark, d).withColumn("template_id", F.concat(F.lit("t"), (F.col("doc_id") % 50).cast("string")))
+    n = load(spark, d, "benchmark").count()
+    rows = sections(spark, d).withColumn("template_id", F.concat(F.lit("t"), (F.col("doc_id") % n).cast("string")))
     return PR.build_prompts(rows, templates, ["title", "content", "word_count"], "项目").select("doc_id", "section_id", "prompt")
 
 
