@@ -129,16 +129,19 @@ def link_fingerprints(fps: DataFrame, fp: str = "fp", distance: int = 4, heavy:
     return pairs.union(points.select("fp", hub.alias("b")).where("fp <> b").select(F.col("fp").alias("a"), "b").distinct())
 
 
-def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = True) -> tuple[DataFrame, DataFrame]:
     """The documents with ``fp``, written once, and ``fp, component_id`` of every distinct fingerprint.
 
+    Without ``with_text`` the documents come back without their texts, which are then not written.
+
     Exact copies meet first, by an aggregate that combines before the shuffle; links are then
     sought between distinct fingerprints only. ``component_id`` is the smallest ``doc_id`` of
     all documents that links reach (null ids are never the smallest). Texts without words
     have fingerprint 0 and link like any other. An empty table gives two empty frames.
     """
     name = free_name(docs, "fp")
-    known = stored(add_fingerprints(docs, text, name), "simhash")
+    known = add_fingerprints(docs, text, name)
+    known = stored(known if with_text else known.drop(text), "simhash")
     own = known.groupBy(F.col(name).alias("fp")).agg(F.min(doc_id).alias("low"))
     own = cut(own)
     roots = connected_components(link_fingerprints(own), "a", "b").withColumnRenamed("node", "fp")
@@ -149,7 +152,7 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
 
 def component_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row; fingerprint as 16 lowercase hex digits."""
-    known, classes = near_duplicate_classes(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    known, classes = near_duplicate_classes(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), with_text=False)
     slim = known.select("doc_id", "fp")
     return slim.join(classes.select("fp", "component_id"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
