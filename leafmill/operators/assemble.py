@@ -179,15 +179,9 @@ def run_resource_map(mapping: DataFrame, order: DataFrame, run: str, paragraph:
 
     ``order``: run, paragraph, para_ord. ``owners`` shows how many paragraphs claim the placeholder.
     """
-    placed = mapping.join(order, paragraph)
-    last = first_by(
-        placed.select(run, "placeholder", "para_ord", "type", "path", "source_file", paragraph),
-        [run, "placeholder"],
-        ["para_ord"],
-        last=True,
-    )
-    owners = placed.groupBy(run, "placeholder").agg(F.count(F.lit(1)).alias("owners"))
-    return last.drop("para_ord").join(owners, [run, "placeholder"])
+    won = F.max_by(F.struct("type", "path", "source_file", paragraph), "para_ord")
+    placed = mapping.join(order, paragraph).groupBy(run, "placeholder").agg(won.alias("_won"), F.count(F.lit(1)).alias("owners"))
+    return placed.select(run, "placeholder", "_won.*", "owners")
 
 
 def orientation_split(texts: DataFrame, mapping: DataFrame, orientations: DataFrame, paragraph: str, content: str) -> DataFrame:
