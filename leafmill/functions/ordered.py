@@ -113,15 +113,16 @@ def bucketed_max(
     return near.withColumn(out, F.when(F.col("_carry").isNull(), F.col("_near")).otherwise(both)).drop(b, "_v", "_near", "_carry")
 
 
-def join_glued(df: DataFrame, keys: Sequence[str], order: str, text: str, sep: str, glued: str, rows: int = PART_ROWS) -> DataFrame:
+def join_glued(df: DataFrame, keys: Sequence[str], order: str, text: str, sep: str, glued: str, bucket: Column, rows: int = PART_ROWS) -> DataFrame:
     """As ``join_parts``, for rows of which some follow the row before without ``sep`` (``glued``).
 
-    Every part but a group's first begins with its own separator, so a group's text is its
-    parts joined with nothing between. ``order`` is positive and unique, not necessarily dense.
+    Rows that are glued together stay in one part, that of the first of them, so joining
+    the parts with ``sep`` gives the whole text. ``bucket`` must not decrease along ``order``.
     """
-    first = df.groupBy(*keys).agg(F.min(order).alias("_first"))
-    lead = F.when((F.col(order) == F.col("_first")) | F.coalesce(F.col(glued), F.lit(False)), F.lit("")).otherwise(F.lit(sep))
-    led = df.join(first, list(keys)).withColumn(text, F.concat(lead, F.col(text)))
-    parts = join_parts(led.select(*keys, order, text), keys, order, text, "", rows)
-    low = parts.groupBy(*keys).agg(F.min("part").alias("_low"))
-    return parts.join(low, list(keys)).withColumn("part", (F.col("part") - F.col("_low")).cast("int")).drop("_low")
+    own = F.when(~F.coalesce(F.col(glued), F.lit(False)), F.col(order))
+    headed = bucketed_last(df, keys, [order], bucket, own, "_head").withColumn("_head", F.coalesce(own, "_head"))
+    alone = ~F.coalesce(F.col(glued), F.lit(False))
+    tails = headed.where(~alone).groupBy(*keys, "_head").agg(F.sort_array(F.collect_list(F.struct(order, text))).alias("_tail"))
+    whole = headed.where(alone).join(tails, [*keys, "_head"], "left")
+    more = F.coalesce(F.array_join(F.transform("_tail", lambda r: r[text]), ""), F.lit(""))
+    return join_parts(whole.withColumn(text, F.concat(text, more)).select(*keys, order, text), keys, order, text, sep, rows)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.ordered import PART_ROWS, bucketed_rank, first_by, join_glued, join_parts
 from leafmill.functions.text import blank
-from leafmill.operators.spans import collapse_regions
+from leafmill.operators.spans import BUCKET, collapse_regions
 
 # Tags, separators and instructions added to queries.
 ANY_BRACES = r"\{*((Table|Image)_\d+_(Start|End))\}*"
@@ -60,17 +60,17 @@ def extraction_query(extract: Column, original_mode: Column, insert_original: Co
 def canonical_parts(rows: DataFrame, item: str, sep: str, part_rows: int = PART_ROWS) -> DataFrame:
     """Rows (item, ord, content) joined by ``sep`` with placeholders as in ``canonical_placeholders`` of the whole text.
 
-    Regions may span rows; the size of the parts changes nothing. Joined with nothing
-    between, the parts of an item are its text.
+    Regions may span rows; the size of the parts changes nothing. Joined by ``sep``, the
+    parts of an item are its text.
     """
     out = rows.select(item, "ord", F.regexp_replace("content", ANY_BRACES, r"{{$1}}").alias("content"), F.lit(False).alias("_glued"))
     for kind in ("Table", "Image"):
         out = collapse_regions(out, item, "ord", "content", kind, "_glued")
-    return join_glued(out, [item], "ord", "content", sep, "_glued", part_rows)
+    return join_glued(out, [item], "ord", "content", sep, "_glued", F.floor(F.col("ord") / BUCKET), part_rows)
 
 
 def file_results(files: DataFrame, item: str, part_rows: int = PART_ROWS) -> DataFrame:
-    """Item text from its successful files, in parts that join with nothing between.
+    """Item text from its successful files, in parts.
 
     ``files``: item, ord (1-based), file, status, content.
     """
@@ -191,7 +191,7 @@ def source_text(files: DataFrame, item: str) -> DataFrame:
 
 
 def full_content(items: DataFrame, chunks: DataFrame, item: str, part_rows: int = PART_ROWS) -> DataFrame:
-    """Original mode without a query: all chunk contents of the item, no model, in parts that join with nothing between.
+    """Original mode without a query: all chunk contents of the item, no model, in parts.
 
     ``items``: item, extract, original_mode; ``chunks``: item, ord, content.
     """

@@ -231,8 +231,7 @@ def test_part_size_changes_no_text(spark):
         got = defaultdict(list)
         for r in rollup.full_content(asked, chunks, "item", part_rows).collect():
             got[r["item"]].append((r["part"], r["content"]))
-        assert {i: "".join(t for _, t in sorted(p)) for i, p in got.items()} == texts
-        assert all(min(p)[0] == 0 for p in got.values())
+        assert {i: "\n\n".join(t for _, t in sorted(p)) for i, p in got.items()} == texts
 
     items = [(1, i, "success", "line", False) for i in range(1, 1501)] + [(2, 1, "error", "x", False)]
     items[511] = (1, 512, "success", "before\n<table>", False)
