@@ -17,6 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHIPPED: set[str] = set()
 
 
@@ -24,7 +25,11 @@ def ship(spark: SparkSession) -> SparkSession:
     """Sends the package's source to the Python workers, once per application (as ``--py-files`` would).
 
     The archive is built in the driver's temporary folder; Spark copies it to every executor.
+    Whole texts travel to the workers in Arrow batches: where the session has Spark's default
+    of 10,000 rows a batch, 512 are set, so that a worker holds few texts at a time.
     """
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "512")
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         import leafmill
