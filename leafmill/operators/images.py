@@ -1,7 +1,7 @@
 """Images written into Markdown as data URIs."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.arrays import let, weave
@@ -100,13 +100,13 @@ def asset_store(images: DataFrame, doc: str) -> DataFrame:
     """
     keys = ["digest", "format"]
     counted = images.groupBy(*keys).agg(
-        F.min(F.struct(doc, "ord")).alias("_first"), F.max("size").alias("size"), F.count(F.lit(1)).alias("occurrences")
+        F.min(F.struct(doc, "ord", "name")).alias("_first"), F.max("size").alias("size"), F.count(F.lit(1)).alias("occurrences")
     )
-    first = counted.select(*keys, F.col("_first")[doc].alias(doc), F.col("_first.ord").alias("ord"), "size", "occurrences")
-    whole = first.join(images.select(*keys, doc, "ord", "name", "bytes"), [*keys, doc, "ord"])
-    shared = whole.groupBy("name").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("name", F.lit(True).alias("_shared"))
-    own = F.when(F.col("_shared"), F.concat("name", F.lit("."), "digest")).otherwise(F.col("name"))
-    return whole.join(shared, "name", "left").select(own.alias("name"), "digest", "format", "size", "occurrences", "bytes")
+    first = counted.select(*keys, "_first.*", "size", "occurrences")
+    alike = F.count(F.lit(1)).over(Window.partitionBy("name"))  # images of one short name: nearly always one
+    named = first.withColumn("name", F.when(alike > 1, F.concat("name", F.lit("."), "digest")).otherwise(F.col("name")))
+    whole = named.join(images.select(*keys, doc, "ord", "bytes"), [*keys, doc, "ord"])
+    return whole.select("name", "digest", "format", "size", "occurrences", "bytes")
 
 
 def count_embedded(text: Column) -> Column:
