@@ -4,7 +4,7 @@ from __future__ import annotations
 import html as entities
 import json
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from zlib import crc32
 
@@ -20,7 +20,12 @@ TEXT = "#"
 #: Longest group of siblings that is looked for as one repeated unit.
 GROUP = 4
 
-# Elements whose text is never main text, and words of class, id or role that say so.
+#: Weight of content in items whose tag or class names say boilerplate.
+HINTED = 0.1
+#: With fewer pages than this, a host's constants are taken for template only if they are the smaller part of its region.
+FEW_PAGES = 5
+
+# Elements that rarely hold main text, and words of class, id or role that say so.
 NO_TEXT = set(
     "head script style noscript template iframe noframes noembed object svg math canvas audio video map nav footer aside form button select textarea option datalist dialog menu xmp title".split()
 )
@@ -167,90 +172,168 @@ def _split_key(key: str) -> tuple[str, list[str]]:
     return tag, hints
 
 
-def read_wrapper(wrapper: list) -> tuple[str, frozenset[str]]:
-    """What a wrapper says of its host's pages: the path of the main region, and paths of text that all pages share.
+def _weight(key: str) -> float:
+    """What the tag and the class names of an item make of its content: they weigh it, they do not decide."""
+    tag, hints = _split_key(key)
+    if is_boilerplate(tag, hints):
+        return HINTED
+    return 2.0 if tag in ("article", "main") or (tag not in ("html", "body") and has_main_words(tuple(hints))) else 1.0
+
+
+def below(path: object, key: str) -> int:
+    """Name of the path that leads on to ``key``; the same within a process."""
+    return hash((path, key))
 
-    The main region is found from the body down: as long as one item holds most of the
-    free text outside links, step into it. An item all of whose texts are the same on
-    every page, of two at least, is part of the template; that is asked only where the
-    host's pages differ at all.
+
+def read_wrapper(wrapper: list) -> tuple[tuple | None, frozenset, frozenset]:
+    """What a wrapper says of its host's pages: the way to the main region, paths of the template, paths of hinted boilerplate.
+
+    An item is template if its texts are the same wherever it stands and it stands on most
+    of the host's pages; content is the text of all other items outside links, weighed by their
+    tags and class names. The main region is found from the top down: as long as one item
+    holds most of the content, step into it. An item whose names say boilerplate is left out
+    unless it holds most of the content even so. A path is left out only if all its
+    items are. The way is None for hosts with too few pages to align.
     """
-    template: set[str] = set()
+    pages = _pages(wrapper)
+    if pages < 2:
+        return None, frozenset(), frozenset()
 
     def constant(item: list) -> bool:
-        return item[2] != 0 if item[0] == TEXT else all(map(constant, item[6]))
+        if item[0] == TEXT:
+            return item[2] != 0
+        for x in item[6]:
+            if not constant(x):
+                return False
+        return True
 
-    def has_text(item: list) -> bool:
-        return item[4] > 0
+    shared: set[int] = set()  # items that are template
 
-    def visit(item: list, path: str) -> None:
+    def mark(item: list) -> None:
+        for x in item[6]:
+            if x[0] == TEXT:
+                continue
+            if x[0][0] != "(" and x[4] > 0 and _on_most(x, wrapper) and constant(x):
+                shared.add(id(x))
+            else:
+                mark(x)
+
+    mark(wrapper)
+    held: dict[int, tuple[float, float]] = {}  # content of an item: weighed by its own names and without them
+
+    def weigh(item: list) -> float:
+        total = 0.0
+        if item[0] == TEXT:
+            total = item[4] - item[5]
+        elif id(item) not in shared:
+            for x in item[6]:
+                total += weigh(x)
+        weight = 1.0 if item[0] == TEXT or item[0][0] == "(" else _weight(item[0])
+        held[id(item)] = (total * weight, total)
+        return total * weight
+
+    weigh(wrapper)
+
+    def inside(item: list) -> list[list]:
+        out = []
         for x in item[6]:
             if x[0][0] == "(":
-                visit(x, path)
+                out += inside(x)
             elif x[0] != TEXT:
-                own = f"{path}/{x[0]}"
-                if has_text(x) and constant(x) and x[3] >= 2:
-                    template.add(own)
+                out.append(x)
+        return out
+
+    item, way = wrapper, []
+    while True:
+        whole = held[id(item)][1]
+        best = max(inside(item), key=lambda x: held[id(x)][0], default=None)
+        if not whole or best is None or held[id(best)][0] < 0.7 * whole or best[1] & REPEATED:
+            break
+        tag = best[0].split(".")[0]
+        if tag in INLINE or tag in ("p", "h1", "h2", "h3", "ul", "ol", "table"):
+            break
+        item = best
+        way.append(below(way[-1] if way else "", best[0]))
+    if pages < FEW_PAGES:
+        # few pages that agree in most of their region are copies of one text, not one template
+        constants = 0
+
+        def count(at: list) -> None:
+            nonlocal constants
+            for x in at[6]:
+                if id(x) in shared:
+                    constants += x[4] - x[5] if _weight(x[0]) != HINTED else 0
                 else:
-                    visit(x, own)
+                    count(x)
 
-    def free(item: list) -> int:
-        if item[0] == TEXT or item[0][0] == "(":
-            return sum(map(free, item[6])) if item[6] else item[4] - item[5]
-        if is_boilerplate(*_split_key(item[0])):
-            return 0
-        return sum(free(x) for x in item[6])
+        count(item)
+        if constants > held[id(item)][1]:
+            shared.clear()
+            weigh(wrapper)
 
-    def inside(item: list, path: str):
-        for x in item[6]:
+    verdicts: dict[int, set[str]] = {}
+
+    def visit(at: list, path: object, scale: float) -> None:
+        for x in at[6]:
+            if x[0] == TEXT:
+                continue
             if x[0][0] == "(":
-                yield from inside(x, path)
-            elif x[0] != TEXT:
-                yield x, f"{path}/{x[0]}"
+                visit(x, path, scale)
+                continue
+            own = below(path, x[0])
+            said = verdicts.setdefault(own, set())
+            hinted = is_boilerplate(*_split_key(x[0]))
+            if id(x) in shared:
+                said.add("template")
+            elif hinted and held[id(x)][0] <= 0.5 * scale:
+                said.add("hinted")
+            else:
+                said.add("content")
+                visit(x, own, held[id(x)][1] if hinted else scale)
 
-    if not constant(wrapper):
-        visit(wrapper, "")
-    item, path = wrapper, ""
-    while True:
-        whole = free(item)
-        best = max(inside(item, path), key=lambda p: free(p[0]), default=None)
-        if not whole or best is None or free(best[0]) < 0.7 * whole or best[0][1] & REPEATED or best[0][0].split(".")[0] in ("p", "h1", "h2", "ul", "ol", "table"):
-            return path, frozenset(template)
-        item, path = best
+    visit(wrapper, "", held[id(wrapper)][1])
+    template = frozenset(p for p, said in verdicts.items() if said == {"template"})
+    return tuple(way), template, frozenset(p for p, said in verdicts.items() if said in ({"hinted"}, {"hinted", "template"}))
 
 
-def main_nodes(root: Node, path: str) -> list[tuple[Node, str]]:
-    """Where a page's main text stands: its articles, else its main element, else what is named so, else the wrapper's region, else all."""
-    articles, mains, named, region = [], [], [], []
+def _pages(wrapper: list) -> int:
+    return wrapper[3]
 
-    def visit(node: Node, at: str, depth_named: bool) -> None:
+
+def _on_most(item: list, wrapper: list) -> bool:
+    """Whether an item stands on most of the host's pages."""
+    return 2 * item[3] > wrapper[3]
+
+
+def main_nodes(root: Node) -> list[Node]:
+    """Where the main text of a page without a wrapper stands: its articles, else its main element, else what is named so, else all."""
+    articles, mains, named = [], [], []
+
+    def visit(node: Node, depth_named: bool) -> None:
         for child in node.children:
             if isinstance(child, str):
                 continue
-            own = f"{at}/{child.key}"
-            if own == path:
-                region.append((child, own))
             if is_boilerplate(child.tag, child.hints) and child.tag != "main":
                 if not (child.tag == "article" and not {"comment", "comments", "reply", "related", "ad", "ads", "sponsored", "promo"} & set(child.hints)):
                     continue
             if child.tag == "article":
-                articles.append((child, own))
+                articles.append(child)
                 continue
             if child.tag == "main":
-                mains.append((child, own))
+                mains.append(child)
             elif has_main_words(child.hints) and not depth_named and child.tag not in ("html", "body"):
-                named.append((child, own))
-            visit(child, own, depth_named or (has_main_words(child.hints) and child.tag not in ("html", "body")))
+                named.append(child)
+            visit(child, depth_named or (has_main_words(child.hints) and child.tag not in ("html", "body")))
 
-    visit(root, "", False)
-    return articles or mains or named or region or [(root, "")]
+    visit(root, False)
+    return articles or mains or named or [root]
 
 
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
-def text_blocks(node: Node, path: str, template: frozenset[str], trusted: bool) -> list[str]:
-    """Blocks of text below a main node. ``trusted``: the page itself marks the region, so shared text in it stays."""
+def text_blocks(node: Node, path: object, left_out: Callable[[Node, object], bool]) -> list[str]:
+    """Blocks of text below a node, without the elements that ``left_out`` names by their node and path."""
     blocks: list[str] = []
     held: list[str] = []
 
@@ -260,7 +343,7 @@ def text_blocks(node: Node, path: str, template: frozenset[str], trusted: bool)
         if text:
             blocks.append(text)
 
-    def walk(at: Node, own: str, heads_only: bool) -> None:
+    def walk(at: Node, own: object, heads_only: bool) -> None:
         for child in at.children:
             if isinstance(child, str):
                 if not heads_only:
@@ -269,16 +352,16 @@ def text_blocks(node: Node, path: str, template: frozenset[str], trusted: bool)
             if child.tag == "br":
                 held.append(" ")
                 continue
-            below = f"{own}/{child.key}"
-            if is_boilerplate(child.tag, child.hints) or (not trusted and below in template):
+            path = below(own, child.key)
+            if left_out(child, path):
                 flush()
                 continue
             only = (heads_only or child.tag == "header" or "header" in child.hints) and child.tag not in HEADINGS
             if child.tag in INLINE:
-                walk(child, below, only)
+                walk(child, path, only)
             else:
                 flush()
-                walk(child, below, only)
+                walk(child, path, only)
                 flush()
 
     walk(node, path, False)
@@ -286,12 +369,34 @@ def text_blocks(node: Node, path: str, template: frozenset[str], trusted: bool)
     return blocks
 
 
-def main_text(html: str, path: str, template: frozenset[str]) -> str:
-    """Main text of one page: blocks in page order, one a line; character references decoded, white space in a block one space."""
+def main_text(html: str, way: Sequence | None, template: frozenset, hinted: frozenset = frozenset()) -> str:
+    """Main text of one page: blocks in page order, one a line; character references decoded, white space in a block one space.
+
+    With a wrapper, the text stands in the region at the end of ``way``, or, where a page
+    has none or an empty one, in the nearest element on the way that has text; items of
+    ``template`` and ``hinted`` are left out. Without (``way`` is None) tags and class names
+    decide. Class names never empty a page: one with all its text in elements named as
+    boilerplate keeps that text, without the template and the tags that hold no main text.
+    """
     root = parse(html)
-    found = main_nodes(root, path)
-    trusted = found[0][0].tag in ("article", "main") or has_main_words(found[0][0].hints)
-    return "\n".join(b for node, own in found for b in text_blocks(node, own, template, trusted))
+    by_tag = lambda node, path: node.tag in NO_TEXT or path in template
+    if way is None:
+        steps = [[(n, "") for n in main_nodes(root)]]
+        by_name = lambda node, path: is_boilerplate(node.tag, node.hints)
+    else:
+        steps = [[(root, "")]]
+        for step in way:
+            found = [(c, step) for n, path in steps[-1] for c in n.children if not isinstance(c, str) and below(path, c.key) == step]
+            if not found:
+                break
+            steps.append(found)
+        by_name = lambda node, path: path in hinted or path in template
+    for left_out in (by_name, by_tag):
+        for nodes in reversed(steps):
+            text = "\n".join(b for node, path in nodes for b in text_blocks(node, path, left_out))
+            if text:
+                return text
+    return ""
 
 
 def host_of(url: Column) -> Column:
@@ -342,7 +447,7 @@ def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html", hosts
 
 
 @lru_cache(maxsize=2000)
-def _read(wrapper: str) -> tuple[str, frozenset[str]]:
+def _read(wrapper: str) -> tuple[tuple | None, frozenset, frozenset]:
     return read_wrapper(json.loads(wrapper))
 
 

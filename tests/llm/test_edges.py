@@ -299,6 +299,36 @@ def test_wrapper_of_a_host(spark):
     assert wrappers.extract_text(frame.limit(0)).collect() == []
 
 
+def read_host(*pages):
+    """What the wrapper of a host with these pages gives as their texts."""
+    whole = None
+    for page in pages:
+        one = wrappers.page_wrapper(html.parse(page))
+        whole = one if whole is None else wrappers.merge_item(whole, one, False)
+    return [wrappers.main_text(page, *wrappers.read_wrapper(whole)) for page in pages]
+
+
+def test_wrapper_decides_over_tags_and_names(spark):
+    """The same page gives other rows with another wrapper, also with an article in it; names only weigh."""
+    body = "<article><p>Subscribe to our paper today</p></article><div class=x><h1>T%s</h1><p>long story %s of today</p><div class=y>Follow us</div></div>"
+    page = body % (1, "one")
+    frame = [(k, f"https://{h}.example/", b) for k, h, b in [(0, "a", page), *((k, "a", body % (k, f"number {k}")) for k in range(2, 8)), (8, "b", page)]]
+    rows = wrappers.extract_text(spark.createDataFrame(frame, "page_id long, url string, html string")).collect()
+    texts = {r["page_id"]: r["text"] for r in rows}
+    assert texts[0] == "T1\nlong story one of today"
+    assert texts[5] == "T5\nlong story number 5 of today"
+    assert texts[8] == "Subscribe to our paper today"  # too few pages to align: tags and names
+    # template inside an article goes
+    assert read_host(*(f"<article><p>story {k} with words<p>and {k * k} more</p><div>Read our terms</div></article>" for k in range(1, 8)))[2] == "story 3 with words\nand 9 more"
+    # all content in an element that is named as boilerplate, or in a form, as old frameworks have it
+    assert read_host(*(f"<div class=menu>Home</div><div class=widget><p>text {k} is here</p><div class=comments>nice {k}</div></div>" for k in range(6)))[1] == "text 1 is here"
+    assert read_host(*(f"<form><div class=top>Top</div><p>text {k} is here</p></form>" for k in range(6)))[4] == "text 4 is here"
+    assert read_host("<div class=widget>only text</div>") == ["only text"]
+    # a page without the region of most pages, and one path with constant and free items
+    assert read_host(*(f"<body><div class=s><p>text {k} is here</p></div>" for k in range(9)), "<body><div class=t>other</div>")[9] == "other"
+    assert read_host(*(f"<body><p>a {k}</p><hr><p>same</p><hr><p>b {k}</p>" for k in range(9)))[3] == "a 3\nsame\nb 3"
+
+
 def test_wrappers_fold_and_align():
     def wrapper(*bodies):
         whole = None
