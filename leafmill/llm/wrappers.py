@@ -3,9 +3,11 @@ from __future__ import annotations
 
 import html as entities
 import json
+from array import array
 from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
+from hashlib import blake2b
 from zlib import crc32
 
 import pandas as pd
@@ -22,7 +24,7 @@ GROUP = 4
 
 #: Weight of content in items whose tag or class names say boilerplate.
 HINTED = 0.1
-#: With fewer pages than this, a host's constants are taken for template only if they are the smaller part of its region.
+#: With fewer contents than this, a host's constants are taken for template only if they are the smaller part of its region.
 FEW_PAGES = 5
 
 # Elements that rarely hold main text, and words of class, id or role that say so.
@@ -37,7 +39,11 @@ BOILERPLATE = set(
 )
 MAIN_WORDS = ({"articlebody"}, {"article", "body"}, {"article", "content"}, {"post", "content"}, {"post", "body"}, {"entry", "content"}, {"main", "content"}, {"story", "body"}, {"main"})
 
-# An item of a wrapper is a list: key, flags, constant text (0: a slot), pages, characters, characters in links, items.
+#: A wrapper's items know the least so many marks of their pages: all of them on small hosts, a sample on others.
+MARKS = 32
+
+# An item of a wrapper is a list: key, flags, constant text (0: a slot), pages, characters, characters in links, items,
+# marks of its pages' contents (0: those of the item around it; optional items have their own).
 
 
 def _text_item(text: str, in_link: bool) -> list | None:
@@ -45,33 +51,65 @@ def _text_item(text: str, in_link: bool) -> list | None:
     if not words:
         return None
     size = sum(map(len, words))
-    return [TEXT, 0, crc32(" ".join(words).encode("utf-8", "surrogatepass")) or 1, 1, size, size if in_link else 0, []]
-
-
-def page_wrapper(node: Node, in_link: bool = False) -> list:
-    """The expression of one page: its token stream with tandem repeats folded."""
-    in_link = in_link or node.tag == "a"
-    items = []
-    for child in node.children:
-        if isinstance(child, str):
-            item = _text_item(child, in_link)
-            if item:
-                items.append(item)
-        elif child.tag not in ("script", "style"):
-            items.append(page_wrapper(child, in_link))
-    items = fold(items)
-    return [node.key, 0, 0, 1, sum(i[4] for i in items), sum(i[5] for i in items), items]
-
-
-def merge_item(a: list, b: list, same_page: bool) -> list:
-    """One item for two that match; texts that differ become a slot. ``same_page``: both are of the same pages."""
+    return [TEXT, 0, crc32(" ".join(words).encode("utf-8", "surrogatepass")) or 1, 1, size, size if in_link else 0, [], 0]
+
+
+def page_wrapper(root: Node) -> list:
+    """The expression of one page: its token stream with tandem repeats folded.
+
+    Its mark is a digest of its texts outside links and elements named as boilerplate (of
+    all its texts, if it has no others), so pages of one content have one mark.
+    """
+    texts: tuple[list, list] = ([], [])
+
+    def build(node: Node, in_link: bool, free: bool) -> list:
+        in_link = in_link or node.tag == "a"
+        free = free and not in_link and not is_boilerplate(node.tag, node.hints)
+        items = []
+        for child in node.children:
+            if isinstance(child, str):
+                item = _text_item(child, in_link)
+                if item:
+                    texts[free].append(item[2])
+                    items.append(item)
+            elif child.tag not in ("script", "style"):
+                items.append(build(child, in_link, free))
+        # the mark is known at the end, so the items hold the list that it is put in
+        items = fold(items, marks)
+        return [node.key, 0, 0, 1, sum(i[4] for i in items), sum(i[5] for i in items), items, 0]
+
+    marks: list[int] = []
+    whole = build(root, False, True)
+    marks.append(int.from_bytes(blake2b(array("Q", texts[True] or texts[False]).tobytes(), digest_size=6).digest()))
+    whole[7] = marks
+    return whole
+
+
+def _join_marks(a: list[int], b: list[int]) -> list[int]:
+    return a if a is b or a == b else sorted({*a, *b})[:MARKS]
+
+
+def _marks_of(item: list, around: list[int]) -> list[int]:
+    return around if item[7] == 0 else item[7]
+
+
+def merge_item(a: list, b: list, same_page: bool, marks: tuple = ((), (), ())) -> list:
+    """One item for two that match; texts that differ become a slot.
+
+    ``same_page``: both are of the same pages. ``marks``: those of the items around them, and of both together.
+    """
+    own = 0
+    if a[7] != 0 or b[7] != 0:
+        of_a, of_b = _marks_of(a, marks[0]), _marks_of(b, marks[1])
+        own = _join_marks(of_a, of_b)
+        marks = (of_a, of_b, own)
     constant = a[2] if a[2] == b[2] else 0
-    items = merge_items(a[6], b[6], same_page) if a[6] or b[6] else []
-    return [a[0], a[1] | b[1], constant, max(a[3], b[3]) if same_page else a[3] + b[3], a[4] + b[4], a[5] + b[5], items]
+    items = merge_items(a[6], b[6], same_page, marks) if a[6] or b[6] else []
+    return [a[0], a[1] | b[1], constant, max(a[3], b[3]) if same_page else a[3] + b[3], a[4] + b[4], a[5] + b[5], items, own]
 
 
-def fold(items: list) -> list:
-    """Tandem repeats of groups of up to ``GROUP`` siblings become one repeated item or group."""
+def fold(items: list, marks: list[int]) -> list:
+    """Tandem repeats of groups of up to ``GROUP`` siblings become one repeated item or group. ``marks``: of the item around them."""
     for size in range(1, GROUP + 1):
         if len({x[0] for x in items}) == len(items):
             return items  # no key twice: nothing repeats
@@ -82,7 +120,7 @@ def fold(items: list) -> list:
             unit = items[i : i + size]
             again = False
             while len(unit) == size and [x[0] for x in items[j : j + size]] == keys:
-                unit = [merge_item(x, y, True) for x, y in zip(unit, items[j : j + size])]
+                unit = [merge_item(x, y, True, (marks, marks, marks)) for x, y in zip(unit, items[j : j + size])]
                 again = True
                 j += size
             if again and size == 1:
@@ -99,7 +137,7 @@ def fold(items: list) -> list:
 
 
 def _group(unit: list) -> list:
-    return ["(" + " ".join(x[0] for x in unit) + ")", REPEATED, 0, max(x[3] for x in unit), sum(x[4] for x in unit), sum(x[5] for x in unit), unit]
+    return ["(" + " ".join(x[0] for x in unit) + ")", REPEATED, 0, max(x[3] for x in unit), sum(x[4] for x in unit), sum(x[5] for x in unit), unit, 0]
 
 
 def _regroup(items: list, groups: dict[str, list[str]]) -> list:
@@ -142,21 +180,22 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def merge_items(a: list, b: list, same_page: bool = False) -> list:
+def merge_items(a: list, b: list, same_page: bool, marks: tuple) -> list:
     """Aligns two sequences: what matches is merged, what does not is optional, repeats are folded again."""
     if len(a) == len(b) and all(x[0] == y[0] for x, y in zip(a, b)):
-        return fold([merge_item(x, y, same_page) for x, y in zip(a, b)])
+        return fold([merge_item(x, y, same_page, marks) for x, y in zip(a, b)], marks[2])
     groups_a = {x[0]: [y[0] for y in x[6]] for x in a if x[0][0] == "("}
     groups_b = {x[0]: [y[0] for y in x[6]] for x in b if x[0][0] == "("}
     a, b = _regroup(a, {k: v for k, v in groups_b.items() if k not in groups_a}), _regroup(b, {k: v for k, v in groups_a.items() if k not in groups_b})
     out, i, j = [], 0, 0
     for x, y in [*align([k[0] for k in a], [k[0] for k in b]), (len(a), len(b))]:
-        for item in (*a[i:x], *b[j:y]):
-            out.append([item[0], item[1] | OPTIONAL, *item[2:]])
+        for side, around in ((a[i:x], marks[0]), (b[j:y], marks[1])):
+            for item in side:
+                out.append([item[0], item[1] | OPTIONAL, *item[2:7], _marks_of(item, around)])
         if x < len(a):
-            out.append(merge_item(a[x], b[y], same_page))
+            out.append(merge_item(a[x], b[y], same_page, marks))
         i, j = x + 1, y + 1
-    return fold(out)
+    return fold(out, marks[2])
 
 
 def has_main_words(hints: tuple[str, ...]) -> bool:
@@ -188,37 +227,38 @@ def below(path: object, key: str) -> int:
 def read_wrapper(wrapper: list) -> tuple[tuple | None, frozenset, frozenset]:
     """What a wrapper says of its host's pages: the way to the main region, paths of the template, paths of hinted boilerplate.
 
-    An item is template if its texts are the same wherever it stands and it stands on most
-    of the host's pages; content is the text of all other items outside links, weighed by their
+    An item is template if its texts are the same wherever it stands, none of them optional,
+    and it stands on most of the host's pages, where pages of one content count once; content is the text of all other items outside links, weighed by their
     tags and class names. The main region is found from the top down: as long as one item
     holds most of the content, step into it. An item whose names say boilerplate is left out
     unless it holds most of the content even so. A path is left out only if all its
     items are. The way is None for hosts with too few pages to align.
     """
-    pages = _pages(wrapper)
-    if pages < 2:
+    pages = set(wrapper[7])
+    if len(pages) < 2:
         return None, frozenset(), frozenset()
 
     def constant(item: list) -> bool:
         if item[0] == TEXT:
             return item[2] != 0
         for x in item[6]:
-            if not constant(x):
+            if x[1] & OPTIONAL or not constant(x):
                 return False
         return True
 
     shared: set[int] = set()  # items that are template
 
-    def mark(item: list) -> None:
+    def mark(item: list, on_most: bool) -> None:
         for x in item[6]:
             if x[0] == TEXT:
                 continue
-            if x[0][0] != "(" and x[4] > 0 and _on_most(x, wrapper) and constant(x):
+            most = 2 * len(pages.intersection(x[7])) > len(pages) if x[7] != 0 else on_most
+            if x[0][0] != "(" and x[4] > 0 and most and constant(x):
                 shared.add(id(x))
             else:
-                mark(x)
+                mark(x, most)
 
-    mark(wrapper)
+    mark(wrapper, True)
     held: dict[int, tuple[float, float]] = {}  # content of an item: weighed by its own names and without them
 
     def weigh(item: list) -> float:
@@ -254,7 +294,7 @@ def read_wrapper(wrapper: list) -> tuple[tuple | None, frozenset, frozenset]:
             break
         item = best
         way.append(below(way[-1] if way else "", best[0]))
-    if pages < FEW_PAGES:
+    if len(pages) < FEW_PAGES:
         # few pages that agree in most of their region are copies of one text, not one template
         constants = 0
 
@@ -296,15 +336,6 @@ def read_wrapper(wrapper: list) -> tuple[tuple | None, frozenset, frozenset]:
     return tuple(way), template, frozenset(p for p, said in verdicts.items() if said in ({"hinted"}, {"hinted", "template"}))
 
 
-def _pages(wrapper: list) -> int:
-    return wrapper[3]
-
-
-def _on_most(item: list, wrapper: list) -> bool:
-    """Whether an item stands on most of the host's pages."""
-    return 2 * item[3] > wrapper[3]
-
-
 def main_nodes(root: Node) -> list[Node]:
     """Where the main text of a page without a wrapper stands: its articles, else its main element, else what is named so, else all."""
     articles, mains, named = [], [], []

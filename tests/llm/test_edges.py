@@ -329,6 +329,24 @@ def test_wrapper_decides_over_tags_and_names(spark):
     assert read_host(*(f"<body><p>a {k}</p><hr><p>same</p><hr><p>b {k}</p>" for k in range(9)))[3] == "a 3\nsame\nb 3"
 
 
+def test_copies_are_no_template():
+    story = "<body><div class=top>Our paper</div><div class=story><p>story {0} of the day<p>more {0} words</div>"
+    copy = "<body><div class=top>Our paper</div><div class=post><h3>Head</h3><p>one text that was copied</div>"
+    for copies in (2, 40):
+        texts = read_host(*(story.format(k * k + 7) for k in range(30)), *[copy] * copies)
+        assert texts[3] == "story 16 of the day\nmore 16 words"
+        assert texts[-1] == "Head\none text that was copied"
+    # near copies, and an optional heading that only copies have
+    near = "<body><div class=top>Our paper</div><div class=post><p>one text that was copied and changed a little<p>edition {0}</div>"
+    assert read_host(*(story.format(k * k + 7) for k in range(30)), near.format(1), near.format(2))[-1] == "one text that was copied and changed a little\nedition 2"
+    headed = "<body><div class=top>Our paper</div><div class=story><h3>Head</h3><p>one text that was copied<p>more</div>"
+    assert read_host(*(story.format(k * k + 7) for k in range(30)), headed, headed)[-1] == "Head\none text that was copied\nmore"
+    # two layouts of one page each: nothing varies, yet nothing is template; a page outside them keeps its text as well
+    assert read_host("<body><div class=a>first text</div>", "<body><div class=b>other text</div>") == ["first text", "other text"]
+    assert read_host("<body><div class=a>first text</div>", "<body><div class=b>other text</div>", "<p>outside") == ["first text", "other text", "outside"]
+    assert read_host(*["<body><div class=a>first text</div>"] * 5)[0] == "first text"
+
+
 def test_wrappers_fold_and_align():
     def wrapper(*bodies):
         whole = None
