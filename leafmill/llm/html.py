@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 # Names of elements, as the HTML standard groups them.
@@ -27,8 +28,6 @@ IMPLIED = {
     "option": ({"option"}, {"select"}),
     "body": ({"head"}, set()),
 }
-#: Elements nested deeper are read as children of the ancestor at this depth; no text is lost.
-MAX_DEPTH = 120
 
 NAME = re.compile(r"/?[A-Za-z][^\s/>]*")
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -119,9 +118,27 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
 
 
 def parse(html: str) -> Node:
-    """Tree of a page; end tags without a start are passed over, elements without an end last as long as their parent."""
+    """Tree of a page, of any depth; end tags without a start are passed over, elements without an end last as long as their parent."""
     root = Node("#root")
     stack = [root]
+    places: dict[str, list[int]] = {}  # where in the stack the open elements of a tag are
+    blocks = [0]  # for each element of the stack, the nearest that is not inline, itself or above
+
+    def cut(at: int) -> None:
+        for node in stack[at:]:
+            places[node.tag].pop()
+        del stack[at:], blocks[at:]
+
+    def imply_ends(name: str) -> None:
+        if name in CLOSES_P and stack[blocks[-1]].tag == "p":
+            cut(blocks[-1])
+        if name in IMPLIED:
+            ends, limits = IMPLIED[name]
+            limit = max((places[t][-1] for t in limits if places.get(t)), default=0)
+            found = [at[k] for t in ends if (at := places.get(t)) and (k := bisect_right(at, limit)) < len(at)]
+            if found:
+                cut(min(found))
+
     for kind, name, rest in tokens(html):
         if kind == "text":
             children = stack[-1].children
@@ -130,33 +147,13 @@ def parse(html: str) -> Node:
             else:
                 children.append(rest)
         elif kind == "start":
-            _imply_ends(stack, name)
+            imply_ends(name)
             node = Node(name, hint_words(rest))
             stack[-1].children.append(node)
-            if name not in VOID and not (rest.endswith("/") and name not in INLINE and name not in CLOSES_P) and len(stack) < MAX_DEPTH:
+            if name not in VOID and not (rest.endswith("/") and name not in INLINE and name not in CLOSES_P):
+                places.setdefault(name, []).append(len(stack))
+                blocks.append(blocks[-1] if name in INLINE else len(stack))
                 stack.append(node)
-        else:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == name:
-                    del stack[i:]
-                    break
+        elif places.get(name):
+            cut(places[name][-1])
     return root
-
-
-def _imply_ends(stack: list[Node], name: str) -> None:
-    if name in CLOSES_P:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == "p":
-                del stack[i:]
-                break
-            if stack[i].tag not in INLINE:
-                break
-    ends, limits = IMPLIED.get(name, ((), ()))
-    last = None
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in limits:
-            break
-        if stack[i].tag in ends:
-            last = i
-    if last is not None:
-        del stack[last:]

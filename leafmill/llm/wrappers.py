@@ -3,10 +3,11 @@ from __future__ import annotations
 
 import html as entities
 import json
+import sys
 from array import array
 from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
+from functools import lru_cache, wraps
 from hashlib import blake2b
 from zlib import crc32
 
@@ -54,6 +55,22 @@ def _text_item(text: str, in_link: bool) -> list | None:
     return [TEXT, 0, crc32(" ".join(words).encode("utf-8", "surrogatepass")) or 1, 1, size, size if in_link else 0, [], 0]
 
 
+def any_depth(walk: Callable) -> Callable:
+    """Lets a function's walks go as deep as pages nest: they call themselves from Python only, which takes no room on the C stack."""
+
+    @wraps(walk)
+    def run(*args):
+        limit = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(limit, 1 << 30))
+        try:
+            return walk(*args)
+        finally:
+            sys.setrecursionlimit(limit)
+
+    return run
+
+
+@any_depth
 def page_wrapper(root: Node) -> list:
     """The expression of one page: its token stream with tandem repeats folded.
 
@@ -93,11 +110,14 @@ def _marks_of(item: list, around: list[int]) -> list[int]:
     return around if item[7] == 0 else item[7]
 
 
-def merge_item(a: list, b: list, same_page: bool, marks: tuple = ((), (), ())) -> list:
-    """One item for two that match; texts that differ become a slot.
+@any_depth
+def merge_item(a: list, b: list, same_page: bool) -> list:
+    """One wrapper for two of one host; texts that differ become a slot. ``same_page``: both are of the same pages."""
+    return _merge_item(a, b, same_page, (a[7], b[7], a[7]))
 
-    ``same_page``: both are of the same pages. ``marks``: those of the items around them, and of both together.
-    """
+
+def _merge_item(a: list, b: list, same_page: bool, marks: tuple) -> list:
+    """``marks``: those of the items around the two, and of both together."""
     own = 0
     if a[7] != 0 or b[7] != 0:
         of_a, of_b = _marks_of(a, marks[0]), _marks_of(b, marks[1])
@@ -120,7 +140,7 @@ def fold(items: list, marks: list[int]) -> list:
             unit = items[i : i + size]
             again = False
             while len(unit) == size and [x[0] for x in items[j : j + size]] == keys:
-                unit = [merge_item(x, y, True, (marks, marks, marks)) for x, y in zip(unit, items[j : j + size])]
+                unit = [_merge_item(x, y, True, (marks, marks, marks)) for x, y in zip(unit, items[j : j + size])]
                 again = True
                 j += size
             if again and size == 1:
@@ -183,7 +203,7 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 def merge_items(a: list, b: list, same_page: bool, marks: tuple) -> list:
     """Aligns two sequences: what matches is merged, what does not is optional, repeats are folded again."""
     if len(a) == len(b) and all(x[0] == y[0] for x, y in zip(a, b)):
-        return fold([merge_item(x, y, same_page, marks) for x, y in zip(a, b)], marks[2])
+        return fold([_merge_item(x, y, same_page, marks) for x, y in zip(a, b)], marks[2])
     groups_a = {x[0]: [y[0] for y in x[6]] for x in a if x[0][0] == "("}
     groups_b = {x[0]: [y[0] for y in x[6]] for x in b if x[0][0] == "("}
     a, b = _regroup(a, {k: v for k, v in groups_b.items() if k not in groups_a}), _regroup(b, {k: v for k, v in groups_a.items() if k not in groups_b})
@@ -193,7 +213,7 @@ def merge_items(a: list, b: list, same_page: bool, marks: tuple) -> list:
             for item in side:
                 out.append([item[0], item[1] | OPTIONAL, *item[2:7], _marks_of(item, around)])
         if x < len(a):
-            out.append(merge_item(a[x], b[y], same_page, marks))
+            out.append(_merge_item(a[x], b[y], same_page, marks))
         i, j = x + 1, y + 1
     return fold(out, marks[2])
 
@@ -224,6 +244,7 @@ def below(path: object, key: str) -> int:
     return hash((path, key))
 
 
+@any_depth
 def read_wrapper(wrapper: list) -> tuple[tuple | None, frozenset, frozenset]:
     """What a wrapper says of its host's pages: the way to the main region, paths of the template, paths of hinted boilerplate.
 
@@ -238,14 +259,18 @@ def read_wrapper(wrapper: list) -> tuple[tuple | None, frozenset, frozenset]:
     if len(pages) < 2:
         return None, frozenset(), frozenset()
 
-    def constant(item: list) -> bool:
-        if item[0] == TEXT:
-            return item[2] != 0
+    constants: set[int] = set()
+
+    def find_constants(item: list) -> bool:
+        same = item[0] != TEXT or item[2] != 0
         for x in item[6]:
-            if x[1] & OPTIONAL or not constant(x):
-                return False
-        return True
+            if not find_constants(x) or x[1] & OPTIONAL:
+                same = False
+        if same:
+            constants.add(id(item))
+        return same
 
+    find_constants(wrapper)
     shared: set[int] = set()  # items that are template
 
     def mark(item: list, on_most: bool) -> None:
@@ -253,7 +278,7 @@ def read_wrapper(wrapper: list) -> tuple[tuple | None, frozenset, frozenset]:
             if x[0] == TEXT:
                 continue
             most = 2 * len(pages.intersection(x[7])) > len(pages) if x[7] != 0 else on_most
-            if x[0][0] != "(" and x[4] > 0 and most and constant(x):
+            if x[0][0] != "(" and x[4] > 0 and most and id(x) in constants:
                 shared.add(id(x))
             else:
                 mark(x, most)
@@ -296,18 +321,18 @@ def read_wrapper(wrapper: list) -> tuple[tuple | None, frozenset, frozenset]:
         way.append(below(way[-1] if way else "", best[0]))
     if len(pages) < FEW_PAGES:
         # few pages that agree in most of their region are copies of one text, not one template
-        constants = 0
+        agreed = 0
 
         def count(at: list) -> None:
-            nonlocal constants
+            nonlocal agreed
             for x in at[6]:
                 if id(x) in shared:
-                    constants += x[4] - x[5] if _weight(x[0]) != HINTED else 0
+                    agreed += x[4] - x[5] if _weight(x[0]) != HINTED else 0
                 else:
                     count(x)
 
         count(item)
-        if constants > held[id(item)][1]:
+        if agreed > held[id(item)][1]:
             shared.clear()
             weigh(wrapper)
 
@@ -400,6 +425,7 @@ def text_blocks(node: Node, path: object, left_out: Callable[[Node, object], boo
     return blocks
 
 
+@any_depth
 def main_text(html: str, way: Sequence | None, template: frozenset, hinted: frozenset = frozenset()) -> str:
     """Main text of one page: blocks in page order, one a line; character references decoded, white space in a block one space.
 
@@ -435,12 +461,39 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[^/?#]*//([^/?#]*)", 1), F.lit("")))
 
 
+def dump_wrapper(wrapper: list) -> str:
+    """A wrapper as JSON of one level: its items in order, each with the number of its items in their place."""
+    flat, open_items = [], [wrapper]
+    while open_items:
+        item = open_items.pop()
+        flat.append([*item[:6], len(item[6]), item[7]])
+        open_items += reversed(item[6])
+    return json.dumps(flat, separators=(",", ":"))
+
+
+def load_wrapper(dumped: str) -> list:
+    around: list[tuple[list, int]] = []  # open items, each with the number of items still to come
+    flat = json.loads(dumped)
+    for item in flat:
+        if around:
+            parent, more = around.pop()
+            parent.append(item)
+            if more > 1:
+                around.append((parent, more - 1))
+        if item[6]:
+            around.append((inner := [], item[6]))
+            item[6] = inner
+        else:
+            item[6] = []
+    return flat[0]
+
+
 def _merge_all(wrappers) -> str:
     whole = None
     for w in wrappers:
-        one = json.loads(w)
+        one = load_wrapper(w)
         whole = one if whole is None else merge_item(whole, one, False)
-    return json.dumps(whole, separators=(",", ":"))
+    return dump_wrapper(whole)
 
 
 def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html", hosts_held: int = 500) -> DataFrame:
@@ -457,7 +510,7 @@ def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html", hosts
         held: dict[str, list] = {}
 
         def flush() -> pd.DataFrame:
-            out = pd.DataFrame([(h, json.dumps(w, separators=(",", ":"))) for h, w in held.items()], columns=["host", "wrapper"])
+            out = pd.DataFrame([(h, dump_wrapper(w)) for h, w in held.items()], columns=["host", "wrapper"])
             held.clear()
             return out
 
@@ -479,7 +532,7 @@ def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html", hosts
 
 @lru_cache(maxsize=2000)
 def _read(wrapper: str) -> tuple[tuple | None, frozenset, frozenset]:
-    return read_wrapper(json.loads(wrapper))
+    return read_wrapper(load_wrapper(wrapper))
 
 
 def extract_text(pages: DataFrame, url: str = "url", html: str = "html", text: str = "text") -> DataFrame:

@@ -347,6 +347,23 @@ def test_copies_are_no_template():
     assert read_host(*["<body><div class=a>first text</div>"] * 5)[0] == "first text"
 
 
+def test_deep_pages(spark):
+    """Nothing depends on how deep a page nests: ends close their own starts, and boilerplate stays boilerplate."""
+    nest = "<div><article><p>before {0}</p>" + "<div>" * 500 + "<nav>menu</nav><p>deep {0}</p>" + "</div>" * 500 + "<p>after {0}</p></article><div class=comments>nice {0}</div></div>"
+    want = "before {0}\ndeep {0}\nafter {0}"
+    assert read_host(nest.format("x")) == [want.format("x")]
+    assert read_host(*(nest.format(k) for k in range(4)))[2] == want.format(2)
+    frame = spark.createDataFrame([(k, "https://d.example/", nest.format(k)) for k in range(4)], "page_id long, url string, html string")
+    assert {r["text"] for r in wrappers.extract_text(frame).collect()} == {want.format(k) for k in range(4)}
+    deep = "<b>" * 20_000 + "<i>{0}</i>"
+    assert read_host(deep.format("one"), deep.format("two")) == ["one", "two"]
+    whole = wrappers.merge_item(*(wrappers.page_wrapper(html.parse(deep.format(x))) for x in ("one", "two")), False)
+    dumped = wrappers.dump_wrapper(whole)
+    assert wrappers.dump_wrapper(wrappers.load_wrapper(dumped)) == dumped
+    for many in ("<div>" * 30_000 + "<li>x" * 30_000, "<span>" * 30_000 + "<hr></p>" * 30_000, "<td><b>" * 30_000 + "</i>" * 30_000):
+        html.parse(many)  # in linear time
+
+
 def test_wrappers_fold_and_align():
     def wrapper(*bodies):
         whole = None
