@@ -22,10 +22,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_CHARS = 12
 
-#: Where credentials stand: a keyword (also inside a longer name), a sign, a value up to a blank, quote or bracket.
+#: Where credentials stand: a keyword (also inside a longer name), a sign, and a value: if a quote opens it, all up to the
+#: same quote, unescaped, on the same line (group 1, 2 or 3); else up to a blank, quote, comma, semicolon or bracket (group 4).
 CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key|private[_-]?key|auth)"""
-    r"""["'\]]?[\x20\t]*(?::=|=>|==|[:=])[\x20\t]*(?:bearer[\x20\t]+|basic[\x20\t]+)?["'`]?([^\s"'`,;<>(){}\[\]]{6,})""",
+    r"""["'\]]?[\x20\t]*(?::=|=>|==|[:=])[\x20\t]*(?:bearer[\x20\t]+|basic[\x20\t]+)?"""
+    r"""(?:"((?:[^"\\\r\n]|\\[^\r\n]){6,})"|'((?:[^'\\\r\n]|\\[^\r\n]){6,})'|`((?:[^`\\\r\n]|\\[^\r\n]){6,})`|["'`]?([^\s"'`,;<>(){}\[\]]{6,}))""",
     re.I | re.A,
 )
 
@@ -132,9 +134,9 @@ def scan(text: str, min_bits: float) -> list[tuple[str, int, int]]:
     found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     for m in CONTEXT.finditer(text):
-        value = m[1]
+        value = m[m.lastindex]
         if (_memo_bits(value) if len(value) <= 256 else guess_bits(value)) >= min_bits:
-            found.append(("guess", m.start(1), m.end(1)))
+            found.append(("guess", *m.span(m.lastindex)))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

@@ -171,6 +171,19 @@ def test_guess_cost():
     assert secret_scan.scan("token=secret:abcdefghijklmnop", 1e9) == []
 
 
+def test_quoted_values_are_whole():
+    for value in ("aZ3(q9;Lm2#Xp", "correct horse battery staple", "kF8x!2mQ9zR7;Yp4[tB6", r"aZ3\"q9;Lm2#Xp", "it's {q9} Lm2#Xp"):
+        for text in (f'password = "{value}"', f'"api_key": "{value}", "n": "x"', f"x\nmy_token => `{value}`; y"):
+            spans = [s for s in secret_scan.scan(text, 40.0) if s[0] == "guess"]
+            at = text.index(value)
+            assert spans == [("guess", at, at + len(value))]
+            assert value not in secret_scan.redact(text, spans, "*") and secret_scan.redact(text, spans, "*") == text.replace(value, "*")
+    # cheap whole values, a quote that does not end on its line, values without quotes
+    assert secret_scan.scan('password = "your password here" token: "abc"', 40.0) == []
+    assert secret_scan.scan('pwd = "Xk9#mQ2$vL7!\n"', 40.0) == [("guess", 7, 19)]
+    assert secret_scan.scan("pwd = Xk9#mQ2$vL7!, more words", 40.0) == [("guess", 6, 18)]
+
+
 def test_cache_encodes_misses_only(spark, definition):
     path = shared_folder(spark, "cache")
     first = spark.createDataFrame([(1, "a b"), (2, " a \n b "), (3, "c")], "doc_id long, text string")
