@@ -64,13 +64,16 @@ def _char_bits(value: str) -> float:
 
 
 def guess_bits(value: str) -> float:
-    """Least log2 guesses over all segmentations of the value, by dynamic programming.
+    """Least log2 guesses over the segmentations that are offered, by dynamic programming.
 
     A segment is a common word (rank, with a bit for capitals or signs that stand for
     letters), a date, a run of one character or of a repeated unit of up to 4, a walk over
     neighbouring keys or letters, a separator, or a brute-forced character. Each segment but a
     single character adds two bits for its kind and place. Runs and walks of any
-    length are one step, so the cost is linear in the value's length.
+    length are one step, so the cost is linear in the value's length: a run is offered at
+    its full length, a walk at its full length and at 3 to 11 characters. A word that
+    begins inside the tail of a longer walk or run is therefore not reached, and such a
+    value can cost more than its least (a span too many, never one too few).
     """
     n = len(value)
     if not n:
