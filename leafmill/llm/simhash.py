@@ -74,9 +74,9 @@ def link_fingerprints(fps: DataFrame, fp: str = "fp", distance: int = 4, heavy:
     bytes, so they share at least 4 positional bytes: the guaranteed minimum. The index
     therefore lists each value under every choice of 4 byte positions with their content (70
     postings, each as selective as 32 bits) instead of single bytes, whose postings would
-    hold a 256th of all values. Within a posting the shared positions of a pair are tallied;
-    a pair is kept at one posting only, that of its first 4 shared positions, and then
-    verified on all 64 bits.
+    hold a 256th of all values. A pair that meets in a posting shares these 4 positions, so a
+    tally of shared positions is implied and filters nothing; a pair is kept at one posting
+    only, that of its first 4 shared positions, and verified on all 64 bits.
 
     A posting with more than ``heavy`` values (a crowd of near copies) is not paired: each
     value is listed under all points within 2 bits of it in the 32 free bits (529). Two values
