@@ -5,11 +5,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import byte_bpe, mixing, quality, repetition, secret_scan, simhash, token_counts, toxicity, tree_forest, wrappers
+from leafmill.llm import (
+    byte_bpe,
+    importance,
+    mixing,
+    quality,
+    repetition,
+    secret_scan,
+    simhash,
+    token_counts,
+    toxicity,
+    tree_forest,
+    url_rules,
+    whitening,
+    wrappers,
+)
 from leafmill.llm.common import is_held_out, shared_folder, table
 
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 COUNT_TOKENIZER = "word_bpe_49k.json"
+#: URL rules: sites first, patterns for the rest.
+RULES = (*url_rules.SITES, *url_rules.PATTERNS)
 #: Labelled documents that the toxicity model learns from, at most.
 TOXICITY_SAMPLE = 12_000
 #: Labelled documents that the quality model learns from, at most.
@@ -80,7 +96,25 @@ def op10_tree_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_forest.link_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation`` as a long, null where the exact number, also given, does not fit one."""
+    white = whitening.whiten_vectors(table(spark, sf_dir, "embeddings"))
+    short = F.when(F.col("deviation") <= F.lit((1 << 63) - 1), F.col("deviation")).cast("long")
+    return white.withColumn("deviation_exact", F.col("deviation")).withColumn("deviation", short)
+
+
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Site rules of the contract, and the patterns for all other URLs."""
+    return url_rules.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).drop("url")
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents of 20 words or more, drawn towards the benchmark texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance.resample(docs, table(spark, sf_dir, "benchmark").select("text")).drop("n_words")
+
+
 QUERIES = {
-    f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_secret_scan, op4_token_counts, op5_repetition, op6_mixing, op7_simhash, op8_html_wrappers, op9_quality, op10_tree_forest)
+    f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_secret_scan, op4_token_counts, op5_repetition, op6_mixing, op7_simhash, op8_html_wrappers, op9_quality, op10_tree_forest, op11_whitening, op12_url_rules, op13_importance)
 }
-SQL: dict[str, str] = {"op5_repetition": repetition.SQL, "op6_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op5_repetition": repetition.SQL, "op6_mixing": mixing.SQL, "op12_url_rules": url_rules.sql_twin(RULES), "op13_importance": importance.SQL}

@@ -20,7 +20,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     con = duckdb.connect()
-    for name in ("documents", "labels", "pages", "embeddings"):
+    for name in ("documents", "labels", "pages", "embeddings", "benchmark"):
         con.sql(f"create view {name} as select * from '{os.path.join(sf_dir, name)}.parquet'")
     return con
 
@@ -35,7 +35,7 @@ def result(spark, sf_dir, name):
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in corpus.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in corpus.QUERIES) == list(range(1, 14))
     assert set(corpus.SQL) <= set(corpus.QUERIES)
 
 
