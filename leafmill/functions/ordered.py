@@ -113,16 +113,15 @@ def bucketed_max(
     return near.withColumn(out, F.when(F.col("_carry").isNull(), F.col("_near")).otherwise(both)).drop(b, "_v", "_near", "_carry")
 
 
-def join_glued(df: DataFrame, keys: Sequence[str], order: str, text: str, sep: str, glued: str, bucket: Column, rows: int = PART_ROWS) -> DataFrame:
+def join_glued(df: DataFrame, keys: Sequence[str], order: str, text: str, sep: str, glued: str, rows: int = PART_ROWS) -> DataFrame:
     """As ``join_parts``, for rows of which some follow the row before without ``sep`` (``glued``).
 
-    Rows that are glued together stay in one part, that of the first of them, so joining
-    the parts with ``sep`` gives the whole text. ``bucket`` must not decrease along ``order``.
+    A run of such rows may be of any length, so it is not kept together: a part has the
+    column ``glued`` as well, true if it follows the part before without ``sep``. ``order``
+    need not be dense; parts without rows do not appear.
     """
-    own = F.when(~F.coalesce(F.col(glued), F.lit(False)), F.col(order))
-    headed = bucketed_last(df, keys, [order], bucket, own, "_head").withColumn("_head", F.coalesce(own, "_head"))
-    alone = ~F.coalesce(F.col(glued), F.lit(False))
-    tails = headed.where(~alone).groupBy(*keys, "_head").agg(F.sort_array(F.collect_list(F.struct(order, text))).alias("_tail"))
-    whole = headed.where(alone).join(tails, [*keys, "_head"], "left")
-    more = F.coalesce(F.array_join(F.transform("_tail", lambda r: r[text]), ""), F.lit(""))
-    return join_parts(whole.withColumn(text, F.concat(text, more)).select(*keys, order, text), keys, order, text, sep, rows)
+    rows_of = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(F.col(glued), F.lit(False)).alias("g"), F.col(text).alias("t"))))
+    parts = df.groupBy(*keys, part_of(F.col(order), rows).alias("part")).agg(rows_of.alias("_rows"))
+    between = lambda r, i: F.when((i == 0) | r["g"], F.lit("")).otherwise(F.lit(sep))
+    whole = F.array_join(F.transform("_rows", lambda r, i: F.concat(between(r, i), r["t"])), "")
+    return parts.select(*keys, "part", whole.alias(text), F.col("_rows")[0]["g"].alias("glued"))

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.ordered import PART_ROWS, bucketed_rank, first_by, join_glued, join_parts
 from leafmill.functions.text import blank
-from leafmill.operators.spans import BUCKET, collapse_regions
+from leafmill.operators.spans import collapse_regions, collapsed, crossing_items
 
 # Tags, separators and instructions added to queries.
 ANY_BRACES = r"\{*((Table|Image)_\d+_(Start|End))\}*"
 START_ANY_BRACES = r"\{*((Table|Image)_\d+_Start)\}*"
+KINDS = ["Table", "Image"]
 FILE_RULE = "\n\n---\n\n"
 SHEET_RULE = "\n---\n\n"
 DIRECTORY_RULE = "\n\n====\n\n"
@@ -30,12 +31,8 @@ SHEET_FAMILIES = ["excel", "rtf"]
 def canonical_placeholders(text: Column) -> Column:
     """Two braces around every tag; each closed region collapses to its Start tag."""
     out = F.regexp_replace(text, ANY_BRACES, r"{{$1}}")
-    for kind in ("Table", "Image"):
-        out = F.regexp_replace(
-            out,
-            r"\{\{" + kind + r"_(\d+)_Start\}\}[\s\S]*?\{\{" + kind + r"_\1_End\}\}",
-            "{{" + kind + r"_$1_Start}}",
-        )
+    for kind in KINDS:
+        out = collapsed(out, kind)
     return out
 
 
@@ -60,17 +57,24 @@ def extraction_query(extract: Column, original_mode: Column, insert_original: Co
 def canonical_parts(rows: DataFrame, item: str, sep: str, part_rows: int = PART_ROWS) -> DataFrame:
     """Rows (item, ord, content) joined by ``sep`` with placeholders as in ``canonical_placeholders`` of the whole text.
 
-    Regions may span rows; the size of the parts changes nothing. Joined by ``sep``, the
-    parts of an item are its text.
+    Regions may span rows; the size of the parts changes nothing. Joined by ``sep``, except
+    before a part that is ``glued``, the parts of an item are its text. Items in which no
+    region leaves its row, nearly all as a rule, are worked on inside their rows.
     """
-    out = rows.select(item, "ord", F.regexp_replace("content", ANY_BRACES, r"{{$1}}").alias("content"), F.lit(False).alias("_glued"))
-    for kind in ("Table", "Image"):
-        out = collapse_regions(out, item, "ord", "content", kind, "_glued")
-    return join_glued(out, [item], "ord", "content", sep, "_glued", F.floor(F.col("ord") / BUCKET), part_rows)
+    braced = rows.select(item, "ord", F.regexp_replace("content", ANY_BRACES, r"{{$1}}").alias("content"))
+    crossing = crossing_items(braced, item, "ord", "content", KINDS)
+    inside = braced if crossing is None else braced.join(crossing, item, "left_anti")
+    out = inside.select(item, "ord", canonical_placeholders(F.col("content")).alias("content"), F.lit(False).alias("_glued"))
+    if crossing is not None:
+        across = braced.join(crossing, item, "left_semi").withColumn("_glued", F.lit(False))
+        for kind in KINDS:
+            across = collapse_regions(across, item, "ord", "content", kind, "_glued")
+        out = out.unionByName(across.select(item, "ord", "content", "_glued"))
+    return join_glued(out, [item], "ord", "content", sep, "_glued", part_rows)
 
 
 def file_results(files: DataFrame, item: str, part_rows: int = PART_ROWS) -> DataFrame:
-    """Item text from its successful files, in parts.
+    """Item text from its successful files: ``item, part, content, glued`` as in ``canonical_parts``.
 
     ``files``: item, ord (1-based), file, status, content.
     """

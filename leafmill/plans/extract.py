@@ -270,7 +270,7 @@ def file_rows(spark, d):
 
 @query(
     "ext_10_file_results",
-    f"""with {MATCH_SQL} select item, 0::bigint as part, string_agg('## Source: src/' || k || '.json' || chr(10) || chr(10) || '{{{{Table_' || ord || '_Start}}}} after src/' || k, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by ord) as content
+    f"""with {MATCH_SQL} select item, 0::bigint as part, string_agg('## Source: src/' || k || '.json' || chr(10) || chr(10) || '{{{{Table_' || ord || '_Start}}}} after src/' || k, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by ord) as content, false as glued
 from m where state = 'O' group by item""",
 )
 def ext_10(spark, d):
@@ -411,7 +411,7 @@ def ext_14(spark, d):
 
 @query(
     "ext_15_full_content",
-    f"""with {SECTIONS_SQL} select doc_id, 0::bigint as part, regexp_replace(string_agg(content, chr(10) || chr(10) order by ord), '\\{{\\{{Table_(\\d+)_Start\\}}\\}}(?s:.*?)\\{{\\{{Table_\\d+_End\\}}\\}}', '{{{{Table_\\1_Start}}}}', 'g') as content
+    f"""with {SECTIONS_SQL} select doc_id, 0::bigint as part, regexp_replace(string_agg(content, chr(10) || chr(10) order by ord), '\\{{\\{{Table_(\\d+)_Start\\}}\\}}(?s:.*?)\\{{\\{{Table_\\d+_End\\}}\\}}', '{{{{Table_\\1_Start}}}}', 'g') as content, false as glued
 from secs where content <> '' and doc_id % 3 = 1 group by doc_id""",
 )
 def ext_15(spark, d):

@@ -204,19 +204,75 @@ def test_images_with_one_short_name_stay_apart(spark):
     assert len({r["name"] for r in got}) == 2
 
 
+def joined(parts, sep):
+    """Text of ``part, glued, content`` rows."""
+    return "".join((sep if k and not glued else "") + t for k, (_, glued, t) in enumerate(sorted(parts)))
+
+
+def canonical(t):
+    """The rule on a whole text."""
+    import re
+
+    t = re.sub(rollup.ANY_BRACES.replace(r"\{", "{").replace(r"\}", "}"), r"{{\1}}", t)
+    for k in rollup.KINDS:
+        t = re.sub(r"\{\{" + k + r"_(\d+)_Start\}\}[\s\S]*?\{\{" + k + r"_\1_End\}\}", "{{" + k + r"_\1_Start}}", t)
+    return t
+
+
+def test_an_item_glued_from_end_to_end(spark, monkeypatch):
+    """Every row ends one region and begins the next: parts stay small, and so does every list that Spark gathers."""
+    from leafmill.operators import spans
+
+    monkeypatch.setattr(spans, "BUCKET", 50)
+    n = 1500
+    rows = [(1, i + 1, f"a{i} {{{{Table_{i}_End}}}} b{i} {{{{Table_{i + 1}_Start}}}} c{i}") for i in range(n)]
+    rows += [(2, i + 1, f"{{{{Image_{i % 2}_Start}}}} x {{{{Image_{(i + 1) % 2}_End}}}}") for i in range(n)]
+    rows += [(3, i + 1, "{{Table_1_Start}} t {{Table_1_End}} {{Image_7_Start}}") for i in range(20)]
+    want = {k: canonical("\n\n".join(t for i, _, t in rows if i == k)) for k in (1, 2, 3)}
+    chunks = spark.createDataFrame(rows, "item long, ord int, content string").repartition(6)
+    asked = spark.range(4).select(F.col("id").alias("item"), F.lit("").alias("extract"), F.lit(True).alias("original_mode"))
+    got = defaultdict(list)
+    for r in rollup.full_content(asked, chunks, "item", 100).collect():
+        got[r["item"]].append((r["part"], r["glued"], r["content"]))
+        assert len(r["content"]) < 100 * 40
+    assert {k: joined(p, "\n\n") for k, p in got.items()} == want
+    assert len(got[1]) == n // 100 and all(glued for part, glued, _ in got[1] if part)
+    crossing = spans.crossing_items(chunks, "item", "ord", "content", rollup.KINDS)
+    assert sorted(r["item"] for r in crossing.collect()) == [1, 2]
+    assert spans.crossing_items(chunks.where("item = 3"), "item", "ord", "content", rollup.KINDS) is None
+
+
+def test_regions_are_chosen_from_the_left(spark, monkeypatch):
+    import random
+
+    from leafmill.operators import spans
+
+    monkeypatch.setattr(spans, "BUCKET", 8)
+    rnd = random.Random(12)
+    rows, want = [], set()
+    for item in range(30):
+        reach = rnd.choice([2, 9, 60])
+        places = sorted(rnd.sample(range(400), rnd.randint(1, 80)))
+        own = []
+        for p in places:
+            own.append((p, p + rnd.randint(1, reach)))
+        last = -1
+        for a, b in own:
+            rows.append((item, (a // 3, 2 * (a % 3)), (b // 3, 2 * (b % 3) + 1)))
+            if 2 * a > last:
+                want.add((item, a))
+                last = 2 * b + 1
+    schema = "item long, start struct<o:bigint,i:int>, end struct<o:bigint,i:int>"
+    got = spans.chosen_regions(spark.createDataFrame(rows, schema).repartition(5), "item").collect()
+    assert sorted((r["item"], r["start"]["o"] * 3 + r["start"]["i"] // 2) for r in got) == sorted(want)
+
+
 def test_part_size_changes_no_text(spark):
     """Regions and HTML tables that span rows: parts of 2 and of 10,000 rows give the text of the whole item."""
     import random
-    import re
 
     from leafmill.operators import assemble
 
-    def canonical(t):
-        t = re.sub(rollup.ANY_BRACES.replace(r"\{", "{").replace(r"\}", "}"), r"{{\1}}", t)
-        for k in ("Table", "Image"):
-            t = re.sub(r"\{\{" + k + r"_(\d+)_Start\}\}[\s\S]*?\{\{" + k + r"_\1_End\}\}", "{{" + k + r"_\1_Start}}", t)
-        return t
-
     rnd = random.Random(8)
     bits = [f"{{{{{k}_{n}_{s}}}}}" for k in ("Table", "Image") for n in (1, 2, 3) for s in ("Start", "End")] + ["{Table_1_Start}", "a", "b c", " ", "\n", "x"]
     rows, texts = [], {}
@@ -230,8 +286,8 @@ def test_part_size_changes_no_text(spark):
     for part_rows in (2, 512, 10_000):
         got = defaultdict(list)
         for r in rollup.full_content(asked, chunks, "item", part_rows).collect():
-            got[r["item"]].append((r["part"], r["content"]))
-        assert {i: "\n\n".join(t for _, t in sorted(p)) for i, p in got.items()} == texts
+            got[r["item"]].append((r["part"], r["glued"], r["content"]))
+        assert {i: joined(p, "\n\n") for i, p in got.items()} == texts
 
     items = [(1, i, "success", "line", False) for i in range(1, 1501)] + [(2, 1, "error", "x", False)]
     items[511] = (1, 512, "success", "before\n<table>", False)
