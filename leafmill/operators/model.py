@@ -44,11 +44,13 @@ class OfflineBackend:
         return [f"{task}:{hashlib.md5(p.encode()).hexdigest()}" for p in prompts]
 
 
-def _answer(backend: Backend, prompt: str, task: str, sleep: Callable[[float], None]) -> str:
-    """One prompt with retries; a ``retry_after`` attribute on the error sets the wait."""
+def _answer(backend: Backend, prompt: str, task: str, sleep: Callable[[float], None], pace: Pace | None = None) -> str:
+    """One prompt with retries, each of them paced; a ``retry_after`` attribute on the error sets the wait."""
     error: Exception | None = None
     for attempt in range(ATTEMPTS):
         try:
+            if pace:
+                pace.wait()
             return backend.generate([prompt], task)[0]
         except Exception as exc:  # noqa: BLE001 - every failure becomes a row
             error = exc
@@ -58,16 +60,18 @@ def _answer(backend: Backend, prompt: str, task: str, sleep: Callable[[float], N
     return f"{FAILED} {error}"
 
 
-def _answers(backend: Backend, prompts: list[str], task: str, sleep: Callable[[float], None]) -> list[str]:
+def answers_of(backend: Backend, prompts: list[str], task: str, sleep: Callable[[float], None], pace: Pace | None = None) -> list[str]:
     """A list of prompts in one call; a list that fails is asked prompt by prompt, so one bad prompt spoils no other."""
     if len(prompts) > 1:
         try:
+            if pace:
+                pace.wait()
             found = backend.generate(prompts, task)
             if len(found) == len(prompts):
                 return found
         except Exception:  # noqa: BLE001,S110 - asked again one by one
             pass
-    return [_answer(backend, p, task, sleep) for p in prompts]
+    return [_answer(backend, p, task, sleep, pace) for p in prompts]
 
 
 class Pace:
@@ -101,8 +105,8 @@ def model_column(
 ) -> DataFrame:
     """``prompt_hash, output`` for every distinct prompt.
 
-    Equal prompts are asked once, in lists of ``batch_size``, by ``concurrency`` threads a
-    task. ``rate`` is the total of calls per second; each of ``partitions`` tasks keeps to
+    Equal prompts are asked once per action (``answers.ask_once`` keeps them), in lists of ``batch_size``, by ``concurrency`` threads a
+    task. ``rate`` is the total of calls per second, retries included; each of ``partitions`` tasks keeps to
     its share of it, so the total holds however many of them run at once. With a rate and
     no ``partitions`` there is one task.
     """
@@ -114,8 +118,7 @@ def model_column(
         pace = Pace(gap)
 
         def ask(some: list[str]) -> list[str]:
-            pace.wait()
-            return _answers(client, some, task, time.sleep)
+            return answers_of(client, some, task, time.sleep, pace)
 
         with ThreadPoolExecutor(max_workers=concurrency) as pool:
             for batch in batches:

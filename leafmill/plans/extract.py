@@ -1,6 +1,8 @@
 """Queries of the extraction family (model outputs are data or the offline backend)."""
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from leafmill.operators import judge as J
@@ -9,6 +11,7 @@ from leafmill.operators import prompts as PR
 from leafmill.operators import responses as RS
 from leafmill.operators import rollup as RU
 from leafmill.operators import select as SE
+from leafmill.operators.answers import AnswerStore, ask_once
 from leafmill.operators.sections import chunk_catalogue, section_table
 from leafmill.plans.catalogue import MATCH_SQL, matches
 from leafmill.plans.family import family
@@ -68,6 +71,28 @@ def ext_3(spark, d):
     return M.model_column(load(spark, d, "documents"), "text")
 
 
+class Signed:
+    """Answers with a digest of the prompt, signed, so that a row shows which run asked."""
+
+    def __init__(self, name):
+        self.name = name
+
+    def generate(self, prompts, task):
+        return [f"{self.name}:{hashlib.md5(p.encode()).hexdigest()}" for p in prompts]
+
+
+@query(
+    "ext_3_answer_store",
+    "select sha256(text) as prompt_hash, case when bool_or(lang = 'en') then 'first:' else 'second:' end || md5(text) as output from documents group by text",
+)
+def ext_3_store(spark, d):
+    """A first run asks for the English documents, a second for all: it finds those answers in the store."""
+    docs = load(spark, d, "documents")
+    store = AnswerStore(spark, buckets=16)
+    ask_once(docs.where("lang = 'en'"), store, "text", backend=Signed("first"), batch_size=50)
+    return ask_once(docs, store, "text", backend=Signed("second"), batch_size=50)
+
+
 def responses(spark, d):
     """Relevance answers in five disguises: plain, fenced, inside prose, trailing comma, cut off."""
     i = text("doc_id")
