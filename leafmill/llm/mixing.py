@@ -10,8 +10,12 @@ from leafmill.llm.common import WORD, cut, free_name
 
 #: Rows that one bucket of a source's queue should hold; only the shape of the plan depends on it.
 BUCKET_ROWS = 20_000
-#: Steps of each of the two levels at which the end of the mix is sought.
+#: Ranges into which the part of the queue that holds the end of the mix is cut at each step of the search.
 STEPS = 4096
+#: The search ends with a window over so few entries, or over entries of one finish time.
+LAST_ROWS = 10_000
+#: Equal rows that are dealt out in one piece.
+DEAL_ROWS = 8192
 
 
 def word_count(text: str = "text") -> Column:
@@ -53,8 +57,59 @@ def _same(a: DataFrame, b: DataFrame, pairs: Sequence[tuple[str, str]]) -> Colum
     return cond
 
 
+def _entries(queued: DataFrame, most: int) -> DataFrame:
+    """One row per row of ``docs`` and round: ``weight, rank, pass, key, size, nth, at``; ``nth`` numbers equal rows.
+
+    Groups of equal rows are dealt out in pieces first, so that one of any size is spread over the tasks.
+    """
+    columns = ["rank", "key", "size", "before", "source_size", "target"]
+    single = queued.where("rows = 1").select(*columns, F.lit(1).cast("long").alias("nth"))
+    many = queued.where("rows > 1").select(*columns, "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / DEAL_ROWS))).alias("piece"))
+    first = F.col("piece") * DEAL_ROWS + 1
+    dealt = many.repartition(*columns, "piece").select(*columns, F.explode(F.sequence(first, F.least("rows", first + DEAL_ROWS - 1))).alias("nth"))
+    rows = single.unionByName(dealt).select("*", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("pass"))
+    return rows.select(F.col("size").alias("weight"), "rank", "pass", "key", "size", "nth", _finish("pass", F.col("nth")).alias("at"))
+
+
+def _finish(which: str | int, nth: Column) -> Column:
+    """Virtual finish time of the ``nth`` of equal rows in a round."""
+    done = F.col("before") + nth * F.col("size") + F.col("source_size") * (F.col(which) if isinstance(which, str) else which)
+    return F.when(F.col("target") > 0, done / F.col("target"))
+
+
+ORDER = ["at", "rank", "pass", "key", "size", "nth"]
+
+
+def _first_out(entries: DataFrame, budget: float):
+    """The first entry in order that does not fit the budget; None if all fit.
+
+    Sums over ranges of finish time say in which range the budget ends; that range is cut
+    again until few entries, or those of one finish time, are left. Entries without words
+    change no sum and take no part.
+    """
+    open_rows, left = entries.where("weight > 0"), budget
+    while True:
+        seen = open_rows.agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).first()
+        if not seen["n"] or seen["w"] <= left:
+            return None
+        if seen["n"] <= LAST_ROWS or seen["low"] == seen["high"]:
+            break
+        scale = F.lit(float(STEPS) / (seen["high"] - seen["low"]))
+        step = F.least(F.floor((F.col("at") - F.lit(seen["low"])) * scale), F.lit(STEPS - 1)).cast("int")
+        sums = open_rows.groupBy(step.alias("step")).agg(F.sum("weight").alias("n"))
+        run = F.sum("n").over(Window.partitionBy().orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+        edge = sums.withColumn("run", run).where(F.col("run") > F.lit(float(left))).orderBy("step").first()
+        left -= edge["run"] - edge["n"]
+        open_rows = cut(open_rows.where(step == edge["step"]))
+    run = F.sum("weight").over(Window.partitionBy().orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0))
+    return open_rows.withColumn("run", run).where(F.col("run") > F.lit(float(left))).select(F.min(F.struct(*ORDER)).alias("cut")).first()["cut"]
+
+
 def plan_mix(docs: DataFrame, share: float, weights: Sequence[int], most: int, doc_id: str, source: str, text: str) -> DataFrame:
-    """``u_source, u_id, u_size, source_size, target, copies``: one row per distinct (source, id, size)."""
+    """``u_source, u_id, u_size, source_size, target, each, more``: one row per distinct (source, id, size).
+
+    Every row of a group is taken ``each`` times, and ``more`` of its rows once again.
+    """
     units = (
         docs.select(F.col(source).alias("source"), F.col(doc_id).alias("id"), word_count(text).alias("size"))
         .groupBy("source", "id", "size")
@@ -76,48 +131,51 @@ def plan_mix(docs: DataFrame, share: float, weights: Sequence[int], most: int, d
     inside = Window.partitionBy("source", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)
     queued = units.withColumn("run", F.sum("weight").over(inside))
     queued = queued.join(starts, _same(queued, starts, [("source", "s_source"), ("bucket", "s_bucket")]))
-    done = F.col("start") + F.col("run")
-    finish = F.array(*[F.when(F.col("target") > 0, (done + F.col("source_size") * p) / F.col("target")) for p in range(most)])
-    queued = cut(queued.select("source", "id", "size", "key", "weight", "rank", "source_size", "target", "budget", finish.alias("finish")))
-
-    entries = queued.select("weight", "rank", "key", "size", "budget", F.posexplode("finish").alias("pass", "at")).where("at is not null")
-    coarse = F.least(F.floor(F.col("at") * STEPS), F.lit(2 * STEPS)).cast("int")
-    fine = F.least(F.floor((F.col("at") * STEPS - F.col("coarse")) * STEPS), F.lit(STEPS)).cast("int")
-    entries = entries.withColumn("coarse", coarse).withColumn("fine", fine)
+    before = F.col("start") + F.col("run") - F.col("weight")
+    queued = cut(queued.select("source", "id", "size", "rows", "key", "rank", "source_size", "target", "budget", before.alias("before")))
+
     head = queued.select("budget").first()
-    left = head["budget"] if head else 0.0
-    picked = entries
-    for step in ("coarse", "fine"):
-        sums = picked.groupBy(step).agg(F.sum("weight").alias("n"))
-        run = F.sum("n").over(Window.partitionBy().orderBy(step).rowsBetween(Window.unboundedPreceding, 0))
-        edge = sums.withColumn("run", run).where(F.col("run") > F.lit(float(left))).orderBy(step).first()
-        if edge is None:  # the whole of it fits
-            picked = None
-            break
-        left -= edge["run"] - edge["n"]
-        picked = picked.where(F.col(step) == edge[step])
-    place = F.struct("at", "rank", "pass", "key", "size")
-    if picked is None:
-        last, within = None, F.lit(True)
-    else:
-        run = F.sum("weight").over(Window.partitionBy().orderBy("at", "rank", "pass", "key", "size").rowsBetween(Window.unboundedPreceding, 0))
-        first_out = picked.withColumn("run", run).where(F.col("run") > F.lit(float(left))).select(F.min(place).alias("cut")).first()
-        last = first_out["cut"]
-        if last is None:
-            within = F.lit(True)
-    copies = F.lit(0)
+    last = _first_out(_entries(queued, most).where("at is not null"), head["budget"] if head else 0.0)
+    taken = F.lit(0).cast("long")
     for p in range(most):
-        at = F.element_at("finish", p + 1)
-        if last is not None:
-            edge = F.struct(
-                F.lit(last["at"]).alias("at"), F.lit(last["rank"]).cast("int").alias("rank"), F.lit(last["pass"]).cast("int").alias("pass"),
-                F.lit(last["key"]).alias("key"), F.lit(last["size"]).cast("long").alias("size"),
-            )
-            within = F.struct(at.alias("at"), F.col("rank").cast("int").alias("rank"), F.lit(p).alias("pass"), "key", "size") < edge
-        copies = copies + F.when(at.isNotNull() & within, 1).otherwise(0)
-    return queued.select(
-        F.col("source").alias("u_source"), F.col("id").alias("u_id"), F.col("size").alias("u_size"), "source_size", "target", copies.alias("copies")
-    )
+        if last is None:
+            count = F.when(F.col("target") > 0, F.col("rows")).otherwise(0)
+        else:
+            # finish times rise with nth: the number of rows in front of the cut is guessed by division and then put right
+            edge = F.struct(*[F.lit(last[c]).cast(t).alias(c) for c, t in zip(ORDER, ("double", "int", "int", "string", "long", "long"))])
+
+            def is_in(nth: Column, p: int = p) -> Column:
+                own = F.struct(
+                    _finish(p, nth).alias("at"), F.col("rank").cast("int").alias("rank"), F.lit(p).alias("pass"), "key", "size", nth.cast("long").alias("nth")
+                )
+                return own < edge
+
+            spare = F.lit(last["at"]) * F.col("target") - F.col("before") - F.col("source_size") * p
+            guess = F.when(F.col("size") > 0, F.greatest(F.lit(0), F.least(F.floor(spare / F.col("size")), F.col("rows")))).otherwise(0).cast("long")
+            near = [F.greatest(F.lit(0), F.least(guess + d, F.col("rows"))).cast("long") for d in (-2, -1, 0, 1, 2)]
+            fits = F.greatest(*[F.when((n == 0) | is_in(n), n).otherwise(0) for n in near])
+            count = F.when(F.col("target") > 0, F.when(F.col("size") > 0, fits).when(is_in(F.col("rows")), F.col("rows")).otherwise(0)).otherwise(0)
+        taken = taken + count
+    planned = queued.withColumn("taken", taken)
+    return planned.select(
+        F.col("source").alias("u_source"), F.col("id").alias("u_id"), F.col("size").alias("u_size"), "source_size", "target",
+        F.floor(F.col("taken") / F.col("rows")).cast("int").alias("each"), (F.col("taken") % F.col("rows")).alias("more"),
+    )
+
+
+def _numbered(rows: DataFrame, keys: list[str], digest: Column) -> DataFrame:
+    """Numbers the rows of each group from 1 in the order of a digest, by one range sort of all of them; no group meets in one task."""
+    at, block = "_at", F.shiftright("_at", 33)
+    unique = cut(rows.withColumn("_digest", digest).withColumn("_row", F.monotonically_increasing_id()))
+    placed = cut(unique.orderBy(*keys, "_digest", "_row")).withColumn(at, F.monotonically_increasing_id())
+    starts = placed.groupBy(block.alias("_block")).agg(F.count(F.lit(1)).alias("_n"))  # one row per range of the sort
+    before = Window.partitionBy().orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    places = placed.withColumn("_block", block).join(starts, "_block")
+    places = places.withColumn("_place", F.col("_start") + F.col(at) - F.shiftleft("_block", 33)).drop("_block", "_start", at, "_digest", "_row")
+    firsts = places.groupBy(*[F.col(k).alias(f"_f{i}") for i, k in enumerate(keys)]).agg(F.min("_place").alias("_first"))
+    joined = places.join(firsts, _same(places, firsts, [(k, f"_f{i}") for i, k in enumerate(keys)]))
+    return joined.withColumn("_nth", F.col("_place") - F.col("_first") + 1).drop("_place", "_first", *[f"_f{i}" for i in range(len(keys))])
 
 
 def mix_sources(
@@ -131,7 +189,7 @@ def mix_sources(
 ) -> DataFrame:
     """Every row with ``size`` (words), ``source_size``, ``target`` (of its source), ``copies`` and ``taken``.
 
-    Each source queues its documents in the order of a digest of their ids, ``most`` times
+    Each source queues its rows in the order of a digest of their ids, ``most`` times
     over; an entry's virtual finish time is the source's words up to and with it, divided by
     the target. All entries are ordered by finish time (then source, round, digest) and taken
     while they fit the total budget, ``share`` of all sizes; ``copies`` says how often a row
@@ -139,19 +197,31 @@ def mix_sources(
 
     A source may hold any share of the rows: its running totals are made bucket by bucket of
     the digest and shifted by the totals of earlier buckets, and the end of the budget is
-    sought by sums over ranges of finish time, then exactly inside one range. Rows equal in
-    source, id and size queue as one entry and share its fate. Null texts have size 0, a null
+    sought by sums over ever smaller ranges of finish time. Rows equal in source, id and
+    size queue one after the other; where the mix ends among them, those with the smaller
+    MD5 of their text are in (of rows with equal texts any). Null texts have size 0, a null
     source is a source, null ids count as empty text in the digest. Columns of ``docs`` with
     the names of added ones are replaced; an empty table gives an empty one.
     """
     added = ("size", "source_size", "target", "copies", "taken")
-    plan = plan_mix(docs, share, weights, most, doc_id, source, text)
+    plan = cut(plan_mix(docs, share, weights, most, doc_id, source, text))
     rest = [c for c in docs.columns if c.lower() not in added]
     sized = docs.select(*rest, word_count(text).alias("size"))
-    joined = sized.join(plan, _same(sized, plan, [(source, "u_source"), (doc_id, "u_id"), ("size", "u_size")]))
-    return joined.select(
-        *[sized[c] for c in (*rest, "size")], "source_size", "target", "copies", (plan["copies"] * sized["size"]).alias("taken")
-    )
+    keys = [(source, "u_source"), (doc_id, "u_id"), ("size", "u_size")]
+    joined = sized.join(plan, _same(sized, plan, keys))
+    columns = [*[sized[c] for c in (*rest, "size")], plan["source_size"], plan["target"]]
+    result = lambda rows, copies: rows.select(*columns, copies.cast("int").alias("copies"), (copies * sized["size"]).alias("taken"))
+    edge = plan.where("more > 0")  # at most one group of each source
+    if edge.isEmpty():
+        return result(joined, plan["each"])
+    whole = result(joined.where(plan["more"] == 0), plan["each"])
+    place = free_name(docs, "place")
+    split = sized.join(edge, _same(sized, edge, keys))
+    kept = split.select(F.struct(*[sized[c] for c in (*rest, "size")]).alias(place), *[edge[c] for c in edge.columns])
+    dealt = _numbered(kept, ["u_source", "u_id", "u_size"], F.md5(F.coalesce(F.col(place)[text].cast("string"), F.lit("")).cast("binary")))
+    copies = (F.col("each") + F.when(F.col("_nth") <= F.col("more"), 1).otherwise(0)).cast("int")
+    parts = dealt.select(f"{place}.*", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    return whole.unionByName(parts)
 
 
 def take_mix(docs: DataFrame, **options) -> DataFrame:
@@ -163,7 +233,7 @@ def take_mix(docs: DataFrame, **options) -> DataFrame:
 
 SQL = r"""
 with sized as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+  select doc_id, source, md5(coalesce(text, '')) as digest, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
 totals as (select source, sum(size)::bigint as source_size from sized group by source),
 weighed as (
   select source, source_size, rank, w, source_size * 2 as "limit", source_size * 2 / w::double as ratio,
@@ -178,22 +248,19 @@ targets as (
   select source, source_size, rank, budget,
     least("limit"::double, coalesce(max(case when own <= ratio then own end) over () * w, "limit"::double)) as target
   from levels),
-units as (
-  select source, doc_id, size, count(*) as n, md5(coalesce(doc_id::varchar, '')) as key
-  from sized group by source, doc_id, size),
 queued as (
   select u.*, t.rank, t.source_size, t.target, t.budget,
-    (sum(u.size * n) over (partition by u.source order by key, u.size rows unbounded preceding))::bigint as done
-  from units u join targets t on u.source is not distinct from t.source),
+    (sum(u.size) over (partition by u.source order by key, u.size, nth rows unbounded preceding))::bigint as done
+  from (select *, md5(coalesce(doc_id::varchar, '')) as key, row_number() over (partition by source, doc_id, size order by digest) as nth from sized) u
+  join targets t on u.source is not distinct from t.source),
 entries as (
   select q.*, p.pass, (done + source_size * p.pass)::double / target as finish
   from queued q, (values (0), (1)) p(pass) where target > 0),
 taken as (
-  select source, doc_id, size, count(*) as copies
-  from (select *, sum(size * n) over (order by finish, rank, pass, key, size rows unbounded preceding) as run from entries)
-  where run <= budget group by source, doc_id, size)
-select s.doc_id, s.size, q.source_size, q.target, (coalesce(t.copies, 0) * s.size)::bigint as taken
-from sized s
-join targets q on s.source is not distinct from q.source
-left join taken t on s.source is not distinct from t.source and s.doc_id is not distinct from t.doc_id and s.size = t.size
+  select source, doc_id, size, nth, count(*) as copies
+  from (select *, sum(size) over (order by finish, rank, pass, key, size, nth rows unbounded preceding) as run from entries)
+  where run <= budget group by source, doc_id, size, nth)
+select q.doc_id, q.size, q.source_size, q.target, (coalesce(t.copies, 0) * q.size)::bigint as taken
+from queued q
+left join taken t on q.source is not distinct from t.source and q.doc_id is not distinct from t.doc_id and q.size = t.size and q.nth = t.nth
 """
