@@ -4,13 +4,12 @@ from __future__ import annotations
 import html as entities
 import json
 import sys
-from array import array
 from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache, wraps
-from hashlib import blake2b
 from zlib import crc32
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,13 +19,12 @@ from leafmill.llm.html import INLINE, Node, parse
 
 OPTIONAL, REPEATED = 1, 2
 TEXT = "#"
-#: Longest group of siblings that is looked for as one repeated unit.
-GROUP = 4
-
 #: Weight of content in items whose tag or class names say boilerplate.
 HINTED = 0.1
-#: With fewer contents than this, a host's constants are taken for template only if they are the smaller part of its region.
-FEW_PAGES = 5
+#: Of more than this share of the text outside links of the pages it stands on, a constant is no template: those pages are copies.
+MOST_TEXT = 0.5
+#: Elements that running text is made of.
+FLOW = INLINE | set("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table thead tbody tfoot tr td th figure figcaption hr".split())
 
 # Elements that rarely hold main text, and words of class, id or role that say so.
 NO_TEXT = set(
@@ -40,11 +38,11 @@ BOILERPLATE = set(
 )
 MAIN_WORDS = ({"articlebody"}, {"article", "body"}, {"article", "content"}, {"post", "content"}, {"post", "body"}, {"entry", "content"}, {"main", "content"}, {"story", "body"}, {"main"})
 
-#: A wrapper's items know the least so many marks of their pages: all of them on small hosts, a sample on others.
-MARKS = 32
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 # An item of a wrapper is a list: key, flags, constant text (0: a slot), pages, characters, characters in links, items,
-# marks of its pages' contents (0: those of the item around it; optional items have their own).
+# characters outside links of all pages it stands on (items named as boilerplate left out, unless they hold all). All numbers add up, so a wrapper
+# says the same however its pages were grouped.
 
 
 def _text_item(text: str, in_link: bool) -> list | None:
@@ -72,14 +70,11 @@ def any_depth(walk: Callable) -> Callable:
 
 @any_depth
 def page_wrapper(root: Node) -> list:
-    """The expression of one page: its token stream with tandem repeats folded.
-
-    Its mark is a digest of its texts outside links and elements named as boilerplate (of
-    all its texts, if it has no others), so pages of one content have one mark.
-    """
-    texts: tuple[list, list] = ([], [])
+    """The expression of one page: its token stream with tandem repeats folded."""
+    free_text = all_text = 0
 
     def build(node: Node, in_link: bool, free: bool) -> list:
+        nonlocal free_text, all_text
         in_link = in_link or node.tag == "a"
         free = free and not in_link and not is_boilerplate(node.tag, node.hints)
         items = []
@@ -87,52 +82,70 @@ def page_wrapper(root: Node) -> list:
             if isinstance(child, str):
                 item = _text_item(child, in_link)
                 if item:
-                    texts[free].append(item[2])
+                    free_text += item[4] if free else 0
+                    all_text += 0 if in_link else item[4]
                     items.append(item)
             elif child.tag not in ("script", "style"):
                 items.append(build(child, in_link, free))
-        # the mark is known at the end, so the items hold the list that it is put in
-        items = fold(items, marks)
+        items = fold(items)
         return [node.key, 0, 0, 1, sum(i[4] for i in items), sum(i[5] for i in items), items, 0]
 
-    marks: list[int] = []
+    def set_around(item: list) -> None:
+        item[7] = free_text or all_text
+        for x in item[6]:
+            set_around(x)
+
     whole = build(root, False, True)
-    marks.append(int.from_bytes(blake2b(array("Q", texts[True] or texts[False]).tobytes(), digest_size=6).digest()))
-    whole[7] = marks
+    set_around(whole)
     return whole
 
 
-def _join_marks(a: list[int], b: list[int]) -> list[int]:
-    return a if a is b or a == b else sorted({*a, *b})[:MARKS]
-
-
-def _marks_of(item: list, around: list[int]) -> list[int]:
-    return around if item[7] == 0 else item[7]
-
-
 @any_depth
 def merge_item(a: list, b: list, same_page: bool) -> list:
     """One wrapper for two of one host; texts that differ become a slot. ``same_page``: both are of the same pages."""
-    return _merge_item(a, b, same_page, (a[7], b[7], a[7]))
+    return _merge_item(a, b, same_page)
 
 
-def _merge_item(a: list, b: list, same_page: bool, marks: tuple) -> list:
-    """``marks``: those of the items around the two, and of both together."""
-    own = 0
-    if a[7] != 0 or b[7] != 0:
-        of_a, of_b = _marks_of(a, marks[0]), _marks_of(b, marks[1])
-        own = _join_marks(of_a, of_b)
-        marks = (of_a, of_b, own)
+def _merge_item(a: list, b: list, same_page: bool) -> list:
     constant = a[2] if a[2] == b[2] else 0
-    items = merge_items(a[6], b[6], same_page, marks) if a[6] or b[6] else []
-    return [a[0], a[1] | b[1], constant, max(a[3], b[3]) if same_page else a[3] + b[3], a[4] + b[4], a[5] + b[5], items, own]
+    items = merge_items(a[6], b[6], same_page) if a[6] or b[6] else []
+    pages, around = (max(a[3], b[3]), max(a[7], b[7])) if same_page else (a[3] + b[3], a[7] + b[7])
+    return [a[0], a[1] | b[1], constant, pages, a[4] + b[4], a[5] + b[5], items, around]
 
 
-def fold(items: list, marks: list[int]) -> list:
-    """Tandem repeats of groups of up to ``GROUP`` siblings become one repeated item or group. ``marks``: of the item around them."""
-    for size in range(1, GROUP + 1):
-        if len({x[0] for x in items}) == len(items):
-            return items  # no key twice: nothing repeats
+def _next_period(keys: list[str], after: int) -> int | None:
+    """Smallest length above ``after`` at which a group of siblings follows itself.
+
+    A length is a distance between two equal keys that follow one another; a unit in which
+    some key stands once has its own length among these.
+    """
+    last: dict[str, int] = {}
+    gaps = set()
+    for i, key in enumerate(keys):
+        if key in last and i - last[key] > after:
+            gaps.add(i - last[key])
+        last[key] = i
+    codes = None
+    for size in sorted(gaps):
+        if size == 1:
+            return size
+        if codes is None:
+            numbers: dict[str, int] = {}
+            codes = np.array([numbers.setdefault(k, len(numbers)) for k in keys])
+        differs = np.flatnonzero(codes[:-size] != codes[size:])
+        runs = np.diff(np.concatenate(([-1], differs, [len(keys) - size])))
+        if len(runs) and runs.max() > size:
+            return size
+    return None
+
+
+def fold(items: list) -> list:
+    """Tandem repeats of groups of siblings become one repeated item or group, shorter groups first."""
+    size = 0
+    while len({x[0] for x in items}) < len(items):  # else no key twice: nothing repeats
+        size = _next_period([x[0] for x in items], size)
+        if size is None:
+            break
         i, out = 0, []
         while i < len(items):
             keys = [x[0] for x in items[i : i + size]]
@@ -140,7 +153,7 @@ def fold(items: list, marks: list[int]) -> list:
             unit = items[i : i + size]
             again = False
             while len(unit) == size and [x[0] for x in items[j : j + size]] == keys:
-                unit = [_merge_item(x, y, True, (marks, marks, marks)) for x, y in zip(unit, items[j : j + size])]
+                unit = [_merge_item(x, y, True) for x, y in zip(unit, items[j : j + size])]
                 again = True
                 j += size
             if again and size == 1:
@@ -157,7 +170,7 @@ def fold(items: list, marks: list[int]) -> list:
 
 
 def _group(unit: list) -> list:
-    return ["(" + " ".join(x[0] for x in unit) + ")", REPEATED, 0, max(x[3] for x in unit), sum(x[4] for x in unit), sum(x[5] for x in unit), unit, 0]
+    return ["(" + " ".join(x[0] for x in unit) + ")", REPEATED, 0, max(x[3] for x in unit), sum(x[4] for x in unit), sum(x[5] for x in unit), unit, max(x[7] for x in unit)]
 
 
 def _regroup(items: list, groups: dict[str, list[str]]) -> list:
@@ -200,22 +213,20 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def merge_items(a: list, b: list, same_page: bool, marks: tuple) -> list:
+def merge_items(a: list, b: list, same_page: bool) -> list:
     """Aligns two sequences: what matches is merged, what does not is optional, repeats are folded again."""
     if len(a) == len(b) and all(x[0] == y[0] for x, y in zip(a, b)):
-        return fold([_merge_item(x, y, same_page, marks) for x, y in zip(a, b)], marks[2])
+        return fold([_merge_item(x, y, same_page) for x, y in zip(a, b)])
     groups_a = {x[0]: [y[0] for y in x[6]] for x in a if x[0][0] == "("}
     groups_b = {x[0]: [y[0] for y in x[6]] for x in b if x[0][0] == "("}
     a, b = _regroup(a, {k: v for k, v in groups_b.items() if k not in groups_a}), _regroup(b, {k: v for k, v in groups_a.items() if k not in groups_b})
     out, i, j = [], 0, 0
     for x, y in [*align([k[0] for k in a], [k[0] for k in b]), (len(a), len(b))]:
-        for side, around in ((a[i:x], marks[0]), (b[j:y], marks[1])):
-            for item in side:
-                out.append([item[0], item[1] | OPTIONAL, *item[2:7], _marks_of(item, around)])
+        out += [[item[0], item[1] | OPTIONAL, *item[2:]] for side in (a[i:x], b[j:y]) for item in side]
         if x < len(a):
-            out.append(_merge_item(a[x], b[y], same_page, marks))
+            out.append(_merge_item(a[x], b[y], same_page))
         i, j = x + 1, y + 1
-    return fold(out, marks[2])
+    return fold(out)
 
 
 def has_main_words(hints: tuple[str, ...]) -> bool:
@@ -249,41 +260,78 @@ def read_wrapper(wrapper: list) -> tuple[tuple | None, frozenset, frozenset]:
     """What a wrapper says of its host's pages: the way to the main region, paths of the template, paths of hinted boilerplate.
 
     An item is template if its texts are the same wherever it stands, none of them optional,
-    and it stands on most of the host's pages, where pages of one content count once; content is the text of all other items outside links, weighed by their
-    tags and class names. The main region is found from the top down: as long as one item
-    holds most of the content, step into it. An item whose names say boilerplate is left out
-    unless it holds most of the content even so. A path is left out only if all its
-    items are. The way is None for hosts with too few pages to align.
+    and it stands on most of the host's pages; all pages are counted. Pages may also agree
+    because they are copies or near copies of one text, so an item is no template if it
+    holds more than ``MOST_TEXT`` of the text of the pages it stands on, nor are the items
+    beside it that stand on no other pages; nor are items of one parent that together hold
+    so much. Content is the text of all other items outside links, weighed by their tags
+    and class names. The main region is found from the top down: as long as one item
+    holds most of the content, step into it, but not into parts of an article or main
+    element, nor past a heading that is content. An item whose names say boilerplate is left out
+    unless it holds most of the content even so. Inside a region below the body, elements of
+    running text stay, also if all pages have them: only boxes are left out there. A path is left out only if all its items are. The way is None
+    for one page, and for hosts whose pages say the same throughout.
     """
-    pages = set(wrapper[7])
-    if len(pages) < 2:
+    pages = wrapper[3]
+
+    def has_slot(item: list) -> bool:
+        found = item[0] == TEXT and item[2] == 0
+        for x in item[6]:
+            found = found or has_slot(x)
+        return found
+
+    if pages < 2 or not has_slot(wrapper):
         return None, frozenset(), frozenset()
 
-    constants: set[int] = set()
+    # pages, text outside links and text around of each constant: alignment may put equal boxes of one path in several items
+    signs: dict[int, int] = {}
+    constants: dict[object, dict[tuple, list]] = {}
 
-    def find_constants(item: list) -> bool:
-        same = item[0] != TEXT or item[2] != 0
+    def find_constants(item: list, path: object) -> int | None:
+        """Signature of an item's texts; None if they vary."""
+        found: list = [item[0], item[2]]
         for x in item[6]:
-            if not find_constants(x) or x[1] & OPTIONAL:
-                same = False
-        if same:
-            constants.add(id(item))
-        return same
-
-    find_constants(wrapper)
+            sign = find_constants(x, below(path, x[0]) if x[0] != TEXT and x[0][0] != "(" else path)
+            found.append(None if x[1] & OPTIONAL else sign)
+            if sign is not None and x[0] != TEXT and x[0][0] != "(" and x[4] > 0:
+                signs[id(x)] = sign
+                total = constants.setdefault(path, {}).setdefault((x[0], sign), [0, 0, 0])
+                for k, n in enumerate((x[3], x[4] - x[5], x[7])):
+                    total[k] += n
+        if (item[0] == TEXT and item[2] == 0) or None in found:
+            return None
+        return hash(tuple(found))
+
+    find_constants(wrapper, "")
     shared: set[int] = set()  # items that are template
 
-    def mark(item: list, on_most: bool) -> None:
+    @lru_cache(maxsize=None)
+    def verdicts_at(path: object) -> tuple[set, set]:
+        """Constants below a path that most pages have, and those of them that are template."""
+        on_most = {k: v for k, v in constants.get(path, {}).items() if 2 * v[0] > pages}
+        named = {k for k in on_most if is_boilerplate(*_split_key(k[0]))}
+        found = {k: v for k, v in on_most.items() if k not in named}
+        copied = max((v[0] for v in found.values() if v[1] > MOST_TEXT * v[2]), default=0)
+        found = {k: v for k, v in found.items() if v[0] > copied}
+        if sum(v[1] for v in found.values()) > MOST_TEXT * max((v[2] for v in found.values()), default=0):
+            found = {}
+        return set(on_most), named | set(found)
+
+    def mark(item: list, path: object) -> None:
         for x in item[6]:
             if x[0] == TEXT:
                 continue
-            most = 2 * len(pages.intersection(x[7])) > len(pages) if x[7] != 0 else on_most
-            if x[0][0] != "(" and x[4] > 0 and most and id(x) in constants:
+            if x[0][0] == "(":
+                mark(x, path)
+                continue
+            on_most, template = verdicts_at(path)
+            own = (x[0], signs.get(id(x)))
+            if own in template:
                 shared.add(id(x))
-            else:
-                mark(x, most)
+            elif own not in on_most:
+                mark(x, below(path, x[0]))
 
-    mark(wrapper, True)
+    mark(wrapper, "")
     held: dict[int, tuple[float, float]] = {}  # content of an item: weighed by its own names and without them
 
     def weigh(item: list) -> float:
@@ -308,7 +356,7 @@ def read_wrapper(wrapper: list) -> tuple[tuple | None, frozenset, frozenset]:
                 out.append(x)
         return out
 
-    item, way = wrapper, []
+    item, way, trusted = wrapper, [], False
     while True:
         whole = held[id(item)][1]
         best = max(inside(item), key=lambda x: held[id(x)][0], default=None)
@@ -317,46 +365,36 @@ def read_wrapper(wrapper: list) -> tuple[tuple | None, frozenset, frozenset]:
         tag = best[0].split(".")[0]
         if tag in INLINE or tag in ("p", "h1", "h2", "h3", "ul", "ol", "table"):
             break
+        if trusted and _weight(best[0]) <= 1 or any(_split_key(x[0])[0] in HEADINGS and held[id(x)][0] for x in inside(item)):
+            break  # all of an article is its text; a heading belongs to what follows it
         item = best
+        trusted = trusted or _weight(best[0]) > 1
         way.append(below(way[-1] if way else "", best[0]))
-    if len(pages) < FEW_PAGES:
-        # few pages that agree in most of their region are copies of one text, not one template
-        agreed = 0
-
-        def count(at: list) -> None:
-            nonlocal agreed
-            for x in at[6]:
-                if id(x) in shared:
-                    agreed += x[4] - x[5] if _weight(x[0]) != HINTED else 0
-                else:
-                    count(x)
-
-        count(item)
-        if agreed > held[id(item)][1]:
-            shared.clear()
-            weigh(wrapper)
-
     verdicts: dict[int, set[str]] = {}
 
-    def visit(at: list, path: object, scale: float) -> None:
+    def stays(x: list) -> bool:
+        """Running text, if it stands in the region."""
+        return _split_key(x[0])[0] in FLOW and 2 * (x[4] - x[5]) > x[4]
+
+    def visit(at: list, path: object, scale: float, in_region: bool) -> None:
         for x in at[6]:
             if x[0] == TEXT:
                 continue
             if x[0][0] == "(":
-                visit(x, path, scale)
+                visit(x, path, scale, in_region)
                 continue
             own = below(path, x[0])
             said = verdicts.setdefault(own, set())
             hinted = is_boilerplate(*_split_key(x[0]))
-            if id(x) in shared:
+            if id(x) in shared and not (in_region and not hinted and stays(x)):
                 said.add("template")
             elif hinted and held[id(x)][0] <= 0.5 * scale:
                 said.add("hinted")
             else:
                 said.add("content")
-                visit(x, own, held[id(x)][1] if hinted else scale)
+                visit(x, own, held[id(x)][1] if hinted else scale, in_region or (bool(way) and own == way[-1] and _split_key(x[0])[0] not in ("html", "body")))
 
-    visit(wrapper, "", held[id(wrapper)][1])
+    visit(wrapper, "", held[id(wrapper)][1], False)
     template = frozenset(p for p, said in verdicts.items() if said == {"template"})
     return tuple(way), template, frozenset(p for p, said in verdicts.items() if said in ({"hinted"}, {"hinted", "template"}))
 
@@ -385,9 +423,6 @@ def main_nodes(root: Node) -> list[Node]:
     return articles or mains or named or [root]
 
 
-HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-
-
 def text_blocks(node: Node, path: object, left_out: Callable[[Node, object], bool]) -> list[str]:
     """Blocks of text below a node, without the elements that ``left_out`` names by their node and path."""
     blocks: list[str] = []

@@ -360,6 +360,85 @@ def test_copies_are_no_template():
     assert read_host(*["<body><div class=a>first text</div>"] * 5)[0] == "first text"
 
 
+def test_hosts_of_near_copies(spark):
+    """An article of one text with a line that varies: nothing of it is template, on a host of any number of pages."""
+    long = " ".join(f"word{i} of the text" for i in range(30))
+    page = "<body><nav><a href=/>Home</a></nav><div class=top>Our paper</div>{0}<footer>(c) us</footer>"
+    inner = "<h1>Title here</h1><div class=text>{1}</div><div class=seen>Read {0} times so far today.</div>"
+    split = "<h1>Title here</h1>" + "".join(f"<div class=b{i}>part {i} {long[i * 80 : i * 80 + 80]}</div>" for i in range(6)) + "<div class=seen>Read {0} times so far today.</div>"
+    for n in (2, 4, 5, 8, 40, 1000):
+        for body in (f"<article>{inner}</article>", f"<article>{split}</article>", f"<div class=x>{inner}</div>", f"<div class=x>{split}</div>"):
+            texts = read_host(*(page.format(body.format(k, long)) for k in range(n)))
+            assert all(t.startswith("Title here\n") and t.endswith(f"\nRead {k} times so far today.") for k, t in enumerate(texts)), (n, body)
+            assert len(texts[0].split()) >= len(long.split()) and "Home" not in texts[0] and "(c)" not in texts[0]
+    # the same among stories of another layout
+    stories = [page.format(f"<div class=story><p>story {k * k} of the day {'word ' * 40}<p>more {k} words</div>") for k in range(30)]
+    copies = [page.format(f"<div class=post>{inner.format(k, long)}</div>") for k in range(50)]
+    texts = read_host(*stories, *copies)
+    assert texts[-1] == f"Title here\n{long}\nRead 49 times so far today." and texts[3] == f"story 9 of the day {'word ' * 39}word\nmore 3 words"
+    # through Spark, however the pages are dealt
+    rows = [(k, "https://n.example/", page.format(f"<article>{inner.format(k, long)}</article>")) for k in range(8)] + [(100 + k, "https://m.example/", p) for k, p in enumerate(stories + copies)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [{r["page_id"]: r["text"] for r in wrappers.extract_text(frame.repartition(n)).collect()} for n in (1, 7)]
+    assert got[0] == got[1] and got[0][7] == f"Title here\n{long}\nRead 7 times so far today." and got[0][179] == texts[-1]
+
+
+def test_constant_paragraphs_by_exact_counts():
+    """A line on a given share of a host's contents gets one verdict, whatever the contents and their number."""
+    rnd = random.Random(9)
+    for kind, keeps in (("<article>{0}</article>", lambda share: True), ("<div class=x>{0}</div>", lambda share: share <= 50)):
+        for n in (20, 200, 1000):
+            for share in (40, 45, 55, 60):
+                for _ in range(2):
+                    has = set(rnd.sample(range(n), n * share // 100))
+                    bodies = [f"<h1>T{rnd.random()}</h1><p>story {rnd.random()} of a day with more words in it</p><div class=z><p>Text under a licence.</p></div>" if k in has else f"<h1>T{k}</h1><p>story {rnd.random()} of a day with more words in it</p>" for k in range(n)]
+                    # in an article a paragraph stays, a box goes; elsewhere both follow the count
+                    bodies = [b.replace("<div class=z>", "").replace("</div>", "") if "article" in kind else b for b in bodies]
+                    texts = read_host(*(f"<body><div class=top>Top of all</div>{kind.format(b)}" for b in bodies))
+                    assert all(("licence" in t) == (k in has and keeps(share)) for k, t in enumerate(texts)), (kind, n, share)
+                    assert not any("Top of all" in t for t in texts)
+    articles = [f"<article><h1>T{k}</h1><p>story {k} is told here</p><p>Text under a licence.</p></article>" for k in range(10)]
+    assert read_host(*articles)[3] == "T3\nstory 3 is told here\nText under a licence."
+
+
+def test_template_rule_on_small_hosts():
+    """Random hosts of flat boxes against the rule written out over pages."""
+    rnd = random.Random(10)
+    for _ in range(150):
+        n = rnd.randint(2, 7)
+        fixed = {c: " ".join(rnd.choice(["one", "two", "three"]) for _ in range(rnd.randint(1, 9))) for c in "abcd"}
+        pages = []
+        for k in range(n):
+            boxes = {c: (fixed[c] if c in "ab" else rnd.choice([fixed[c], f"free {c} {k} text"])) for c in "abcd" if rnd.random() < 0.8}
+            pages.append({"m": f"story {k} told in a few words", **boxes})
+        size = lambda t: len(t.replace(" ", ""))
+        around = [sum(map(size, p.values())) for p in pages]
+        on = {c: [k for k, p in enumerate(pages) if c in p] for c in "abcd"}
+        found = [c for c in "abcd" if 2 * len(on[c]) > n and len({pages[k][c] for k in on[c]}) == 1]
+        chars = {c: sum(size(pages[k][c]) for k in on[c]) for c in found}
+        room = {c: sum(around[k] for k in on[c]) for c in found}
+        copied = max((len(on[c]) for c in found if chars[c] > room[c] / 2), default=0)
+        found = [c for c in found if len(on[c]) > copied]
+        if found and sum(chars[c] for c in found) > max(room[c] for c in found) / 2:
+            found = []
+        texts = read_host(*("<body>" + "".join(f"<div class={c}x>{t}</div>" for c, t in p.items()) for p in pages))
+        way_to_story = texts[0] == pages[0]["m"]  # the region may be the story alone
+        for p, text in zip(pages, texts):
+            assert text == (p["m"] if way_to_story and text == p["m"] else "\n".join(t for c, t in p.items() if c not in found)), (pages, found)
+
+
+def test_repeated_units_of_any_length():
+    def unit(k, keys):
+        return "".join(f"<{t}>{k}{t}</{t}>" for t in keys)
+
+    for keys in (["h3", "p", "ul", "p", "pre"], ["h2", "h3", "h4", "h5", "h6", "p", "dl", "p", "p"]):
+        for times in (2, 7, 300):
+            items = wrappers.page_wrapper(html.parse("".join(unit(k, keys) for k in range(times))))[6]
+            assert len(items) == 1 and items[0][1] & wrappers.REPEATED and len(items[0][6]) <= len(keys)
+    many = wrappers.page_wrapper(html.parse("".join(f"<h{k * k % 5 + 1}>x<p>y<div class=c{k % 97}>z</div>" for k in range(4000))))
+    assert many[6]
+
+
 def test_deep_pages(spark):
     """Nothing depends on how deep a page nests: ends close their own starts, and boilerplate stays boilerplate."""
     nest = "<div><article><p>before {0}</p>" + "<div>" * 500 + "<nav>menu</nav><p>deep {0}</p>" + "</div>" * 500 + "<p>after {0}</p></article><div class=comments>nice {0}</div></div>"
