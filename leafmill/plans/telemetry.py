@@ -222,6 +222,11 @@ def str_8(spark, d):
     return T.request_rate(e, "user_id", micros, 3600000000, 3).select("event_id", "user_id", "recent", "violation")
 
 
+@query("str_8_request_rate_stream", SQL["str_8_request_rate"])
+def str_8_stream(spark, d):
+    return ST.run_request_rate(event_stream(spark, d), "user_id", "event_id", "ts", 3600000000, 3, buckets=2).select("event_id", "user_id", "recent", "violation")
+
+
 def feed(e):
     return e.select(
         F.col("user_id").alias("request"),

@@ -7,11 +7,14 @@ folder of the cluster.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from leafmill.operators.telemetry import COMPLETE, event_gates, latest_per_key, log_counters, tag_state, task_state
@@ -132,6 +135,97 @@ def run_feed(events: DataFrame, width: str = "hour") -> DataFrame:
     return last.where("last.delivered").select(*columns)
 
 
+class TrailingCount(StatefulProcessor):
+    """Counts of the keys of one bucket and tile: rows wait in list state until the watermark has passed the tile, then all of it goes."""
+
+    def __init__(self, width: int, max_requests: int):
+        self.width, self.max_requests = width, max_requests
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", "k string, us long, id long, own boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if not self.rows.exists():
+            self.handle.registerTimer((int(key[1]) + 1) * self.width // 1000)
+        for part in rows:
+            names = [None if k is None or k != k else k for k in part["k"].tolist()]
+            self.rows.appendList(list(zip(names, part["us"].tolist(), part["id"].tolist(), part["own"].tolist())))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame(list(self.rows.get()), columns=["k", "us", "id", "own"]).sort_values("us")
+        self.rows.clear()
+        for _, one in held.groupby("k", dropna=False):
+            times = one["us"].to_numpy()
+            one = one.assign(recent=np.searchsorted(times, times, "right") - np.searchsorted(times, times - self.width, "right"))
+            one = one[one["own"]]
+            if len(one):
+                yield pd.DataFrame({"k": one["k"], "id": one["id"], "recent": one["recent"], "violation": one["recent"] > self.max_requests})
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def rocks_state(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB, which list state and timers need; the session's setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def request_rate_stream(requests: DataFrame, key: str, event_id: str, ts: str, width: int, max_requests: int, delay: str = WATERMARK, buckets: int = 16) -> DataFrame:
+    """Streaming form of ``request_rate``: ``key, event_id, recent, violation``, each request once, when it is final.
+
+    Time is cut into tiles of ``width`` microseconds (whole milliseconds). A request waits
+    in its own tile and is lent to the next one; once the watermark, ``delay`` behind the
+    latest request, has passed a tile, its requests are counted and its state is dropped, so
+    a key that falls silent leaves nothing behind and a hot key is spread over its tiles.
+    A tile's keys are dealt to ``buckets`` groups, so that few rows do not make many groups.
+    Requests may arrive in any order inside the watermark; later ones are dropped by Spark
+    and counted in its metrics. Needs ``rocks_state`` where the query is started.
+    """
+    at = F.col(ts).cast("timestamp")
+    timed = requests.select(at.alias("at"), F.col(key).cast("string").alias("k"), F.col(event_id).alias("id"), F.unix_micros(at).alias("us")).withWatermark("at", delay)
+    lent = timed.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn(
+        "tile", F.floor(F.col("us") / width) + F.when(F.col("own"), 0).otherwise(1)
+    )
+    grouped = lent.withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(buckets))).groupBy("bucket", "tile")
+    counted = grouped.transformWithStateInPandas(TrailingCount(width, max_requests), "k string, id long, recent long, violation boolean", "Append", "eventTime")
+    return counted.select(F.col("k").cast(requests.schema[key].dataType).alias(key), F.col("id").alias(event_id), "recent", "violation")
+
+
+#: Time of the row that ends a feed, late in what nanoseconds of 64 bits hold: the watermark passes every tile before it.
+END = "2250-01-01 00:00:00"
+
+
+def run_request_rate(requests: DataFrame, key: str, event_id: str, ts: str, width: int, max_requests: int, delay: str = WATERMARK, buckets: int = 16) -> DataFrame:
+    """All rows of ``request_rate_stream`` over what is available, after which the feed is ended.
+
+    The end is a row of its own, in a second run of the same query, so that the tiles that
+    are still open count as well.
+    """
+    spark = requests.sparkSession
+    base = f"{shared_dir(spark)}/rate-{uuid.uuid4().hex}"
+    slim = requests.select(key, event_id, ts)
+    spark.createDataFrame([], slim.schema).write.parquet(f"{base}/end")
+    both = slim.unionByName(spark.readStream.schema(slim.schema).parquet(f"{base}/end"))
+    for last in (False, True):
+        if last:
+            row = [F.lit(None).cast(slim.schema[c].dataType).alias(c) if c != ts else F.lit(END).cast(slim.schema[ts].dataType).alias(ts) for c in slim.columns]
+            spark.range(1).select(*row).write.mode("append").parquet(f"{base}/end")
+        with rocks_state(spark):
+            query = start_to_folder(request_rate_stream(both, key, event_id, ts, width, max_requests, delay, buckets), f"{base}/rows", f"{base}/checkpoint", "append")
+        query.awaitTermination()
+    schema = request_rate_stream(both, key, event_id, ts, width, max_requests, delay, buckets).schema
+    return spark.read.schema(schema).parquet(f"{base}/rows")
+
+
 def intake(
     files: DataFrame, process: Callable[[DataFrame], DataFrame], packages: str, results: str, checkpoint: str
 ) -> StreamingQuery:
