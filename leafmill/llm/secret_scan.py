@@ -3,8 +3,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from math import log2
 
 import pandas as pd
@@ -24,8 +24,10 @@ ASSIGN_CHARS = 12
 
 #: Where credentials stand: a keyword (also inside a longer name), a sign, and a value: if a quote opens it, all up to the
 #: same quote, unescaped, on the same line (group 1, 2 or 3); else up to a blank, quote, comma, semicolon or bracket (group 4).
+#: ``pass`` and ``auth`` end many words, so they count at the start of a name or in camel case only.
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key|private[_-]?key|auth)"""
+    r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key|private[_-]?key"""
+    r"""|(?:(?<![a-z])|(?-i:(?<=[a-z])(?=[PA])))(?:pass|auth))"""
     r"""["'\]]?[\x20\t]*(?::=|=>|==|[:=])[\x20\t]*(?:bearer[\x20\t]+|basic[\x20\t]+)?"""
     r"""(?:"((?:[^"\\\r\n]|\\[^\r\n]){6,})"|'((?:[^'\\\r\n]|\\[^\r\n]){6,})'|`((?:[^`\\\r\n]|\\[^\r\n]){6,})`|["'`]?([^\s"'`,;<>(){}\[\]]{6,}))""",
     re.I | re.A,
@@ -43,7 +45,13 @@ michael jordan hunter ranger harley killer pepper ginger joshua cheese coffee or
 facebook github twitter the and for with from this that not are was have
 """.split()
 RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys(COMMON_WORDS))}
-LONGEST = max(map(len, RANK))
+#: Words of the corpus that the dictionary takes in at most, from how many documents on, and their lengths.
+MOST_WORDS, LEAST_DOCS = 50_000, 5
+CORPUS_WORD = re.compile(r"[^\W\d_]{3,30}")
+#: Runs and walks end at any of so many characters, or at their full length.
+INNER = 64
+#: Distinct words that a task holds before it hands them on.
+HELD_WORDS = 200_000
 
 # Rows of keys, read both ways.
 KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
@@ -63,17 +71,15 @@ def _char_bits(value: str) -> float:
     return log2(max(size, 2))
 
 
-def guess_bits(value: str) -> float:
-    """Least log2 guesses over the segmentations that are offered, by dynamic programming.
+def guess_bits(value: str, ranks: dict[str, int] = RANK) -> float:
+    """Least log2 guesses over all segmentations, by dynamic programming.
 
-    A segment is a common word (rank, with a bit for capitals or signs that stand for
+    A segment is a word of ``ranks`` (rank, with a bit for capitals or signs that stand for
     letters), a date, a run of one character or of a repeated unit of up to 4, a walk over
     neighbouring keys or letters, a separator, or a brute-forced character. Each segment but a
-    single character adds two bits for its kind and place. Runs and walks of any
-    length are one step, so the cost is linear in the value's length: a run is offered at
-    its full length, a walk at its full length and at 3 to 11 characters. A word that
-    begins inside the tail of a longer walk or run is therefore not reached, and such a
-    value can cost more than its least (a span too many, never one too few).
+    single character adds two bits for its kind and place. Runs and walks are offered at
+    each of their first ``INNER`` lengths and at their full one, so the cost is linear in the
+    value's length; only in values with longer runs or walks a segmentation is left out.
     """
     n = len(value)
     if not n:
@@ -81,6 +87,7 @@ def guess_bits(value: str) -> float:
     low = value.lower()
     plain = low.translate(LEET)
     per_char = _char_bits(value)
+    longest = max(map(len, ranks), default=0) if len(ranks) < 1000 else 30
     best = [0.0] + [float("inf")] * n
     dates: dict[int, list[int]] = {}
     for i in range(n):
@@ -106,43 +113,91 @@ def guess_bits(value: str) -> float:
                 best[end] = base + bits
 
         offer(i + 1, 3.0 if value[i] in "_-./" else per_char)
-        for k in range(3, min(LONGEST, n - i) + 1):
+        for k in range(3, min(longest, n - i) + 1):
             for text, extra in ((low, 0.0), (plain, 1.0)):
-                rank = RANK.get(text[i : i + k])
+                rank = ranks.get(text[i : i + k])
                 if rank:
                     capitals = 0.0 if value[i : i + k] == low[i : i + k] else 1.0
                     offer(i + k, 2 + log2(rank) + capitals + extra)
         for end in dates.get(i, ()):
             offer(end, 2 + (log2(366 * 120) + 1 if end - i > 4 else log2(120)))
         for p, ends in period_end.items():
-            end = ends[i]
-            if end - i >= max(3, 2 * p):
-                offer(end, 2 + p * per_char + log2((end - i) / p))
-        end = walk_end[i]
-        if end - i >= 3:
-            offer(end, 2 + log2(40) + log2(end - i))
-            for shorter in range(i + 3, min(end, i + 12)):
-                offer(shorter, 2 + log2(40) + log2(shorter - i))
+            for end in (*range(i + max(3, 2 * p), min(ends[i], i + INNER)), ends[i]):
+                if end - i >= max(3, 2 * p):
+                    offer(end, 2 + p * per_char + log2((end - i) / p))
+        for end in (*range(i + 3, min(walk_end[i], i + INNER)), walk_end[i]):
+            if end - i >= 3:
+                offer(end, 2 + log2(40) + log2(end - i))
     return best[n]
 
 
-@lru_cache(maxsize=65536)
-def _memo_bits(value: str) -> float:
-    return guess_bits(value)
+class Guesser:
+    """``guess_bits`` by one dictionary, with a bounded memo of values."""
 
+    def __init__(self, ranks: dict[str, int] = RANK):
+        self.ranks = ranks
+        self.memo: dict[str, float] = {}
 
-def scan(text: str, min_bits: float) -> list[tuple[str, int, int]]:
+    def __call__(self, value: str) -> float:
+        if len(value) > 256:
+            return guess_bits(value, self.ranks)
+        bits = self.memo.get(value)
+        if bits is None:
+            if len(self.memo) >= 65_536:
+                self.memo.clear()
+            bits = self.memo[value] = guess_bits(value, self.ranks)
+        return bits
+
+
+def scan(text: str, min_bits: float, guesser: Guesser | None = None) -> list[tuple[str, int, int]]:
     """Spans ``(kind, start, end)`` of one text, by start, then by kind as listed; code points, end exclusive."""
+    cost = guesser or Guesser()
     found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_CHARS]
     found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     for m in CONTEXT.finditer(text):
-        value = m[m.lastindex]
-        if (_memo_bits(value) if len(value) <= 256 else guess_bits(value)) >= min_bits:
+        if cost(m[m.lastindex]) >= min_bits:
             found.append(("guess", *m.span(m.lastindex)))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+def words_of(text: str) -> set[str]:
+    """Words of a text, without what stands where credentials stand or has the form of one."""
+    for form in (CONTEXT, ASSIGN, ACCESS, HEX):
+        text = form.sub(" ", text)
+    return set(CORPUS_WORD.findall(text.lower()))
+
+
+def learn_ranks(docs: DataFrame, text: str = "text", most_words: int = MOST_WORDS, least_docs: int = LEAST_DOCS) -> dict[str, int]:
+    """Ranks of the words of a corpus by the number of documents that have them, over all documents.
+
+    At most ``most_words`` words that stand in ``least_docs`` documents or more are taken, the
+    first by number, then by code point; the fixed list of common passwords keeps its own
+    ranks where these are lower. Null texts have no words.
+    """
+    ship(docs.sparkSession)
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter[str] = Counter()
+
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame(list(seen.items()), columns=["word", "n"])
+            seen.clear()
+            return out
+
+        for part in parts:
+            for t in part["text"]:
+                seen.update(words_of(t or ""))
+            if len(seen) > HELD_WORDS:
+                yield flush()
+        yield flush()
+
+    counted = docs.select(F.col(text).alias("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counted.where(F.col("n") >= least_docs).orderBy(F.desc("n"), "word").limit(most_words).collect()
+    ranks = {r["word"]: i + 1 for i, r in enumerate(top)}
+    return ranks | {w: min(r, ranks.get(w, r)) for w, r in RANK.items()}
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -162,21 +217,25 @@ def redact(text: str, spans: list[tuple[str, int, int]], mark: str) -> str:
     return "".join([*out, mark, text[end:]])
 
 
-def scan_documents(docs: DataFrame, text: str = "text", min_bits: float = 40.0) -> DataFrame:
+def scan_documents(docs: DataFrame, text: str = "text", min_bits: float = 40.0, ranks: dict[str, int] | None = None) -> DataFrame:
     """Adds ``n_assign, n_access, n_hex, base_sha256, spans`` (they replace columns of these names).
 
     A value in a credential's place adds a ``guess`` span if guessing it takes ``min_bits``
-    bits or more. Null texts count as empty. No shuffle.
+    bits or more, with the words of ``ranks``, learned from all of ``docs`` if none are given
+    (``learn_ranks``: one row per distinct word and task is shuffled, at most ``MOST_WORDS``
+    words reach the driver and the tasks). The scan itself moves nothing. Null texts count
+    as empty, rows that repeat or tie are scanned alike, an empty table gives an empty one.
     """
-    ship(docs.sparkSession)
+    shipped = ship(docs.sparkSession).sparkContext.broadcast(learn_ranks(docs, text) if ranks is None else ranks)
     name = free_name(docs, "found")
 
     @F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        guesser = Guesser(shipped.value)
         for part in parts:
             rows = []
             for t in part:
-                spans = scan(t or "", min_bits)
+                spans = scan(t or "", min_bits, guesser)
                 base = [s for s in spans if s[0] != "guess"]
                 kinds = [s[0] for s in base]
                 digest = hashlib.sha256(joined(base).encode()).hexdigest()
@@ -188,13 +247,17 @@ def scan_documents(docs: DataFrame, text: str = "text", min_bits: float = 40.0)
     return docs.select(*rest, run.asNondeterministic()(F.col(text)).alias(name)).select(*rest, f"{name}.*")
 
 
-def redact_documents(docs: DataFrame, text: str = "text", min_bits: float = 40.0, mark: str = "[secret]") -> DataFrame:
-    """The rows with all spans of ``text`` replaced by ``mark``; null texts stay null, rows and columns stay as they are."""
-    ship(docs.sparkSession)
+def redact_documents(docs: DataFrame, text: str = "text", min_bits: float = 40.0, mark: str = "[secret]", ranks: dict[str, int] | None = None) -> DataFrame:
+    """The rows with all spans of ``text`` replaced by ``mark``; null texts stay null, rows and columns stay as they are.
+
+    Words as in ``scan_documents``; repeated rows are treated alike, an empty table gives an empty one.
+    """
+    shipped = ship(docs.sparkSession).sparkContext.broadcast(learn_ranks(docs, text) if ranks is None else ranks)
 
     @F.pandas_udf("string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        guesser = Guesser(shipped.value)
         for part in parts:
-            yield pd.Series([t if t is None else redact(t, scan(t, min_bits), mark) for t in part], dtype=object)
+            yield pd.Series([t if t is None else redact(t, scan(t, min_bits, guesser), mark) for t in part], dtype=object)
 
     return docs.withColumn(text, run.asNondeterministic()(F.col(text)))

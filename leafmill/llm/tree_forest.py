@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import bounded_sample, cut, ship
@@ -21,7 +21,7 @@ class Forest:
     Directions are not stored: those of a node are drawn anew from its number and its tree's.
     """
 
-    splits: dict[int, list[dict[int, tuple[float, float]]]]
+    splits: dict[str, list[dict[int, tuple[float, float]]]]
     trees: int
     seed: int
 
@@ -78,19 +78,19 @@ def fit_forest(sample: DataFrame, share: float, trees: int, leaf_rows: int, leas
             left, right = own[at < middle + spill], own[at >= middle - spill]
             if max(len(left), len(right)) > 0.9 * len(own):
                 continue  # one crowd: the leaf stays together and is compared block by block
-            out.append((int(key[0]), tree, node, middle))
+            out.append((key[0], tree, node, middle))
             todo += [(2 * node, left), (2 * node + 1, right)]
         return pd.DataFrame(out, columns=["label", "tree", "node", "threshold"])
 
     copies = sample.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    found = copies.groupBy("label", "tree").applyInPandas(fit, "label long, tree int, node long, threshold double").collect()
-    splits: dict[int, list[dict[int, tuple[float, float]]]] = {}
+    found = copies.groupBy("label", "tree").applyInPandas(fit, "label string, tree int, node long, threshold double").collect()
+    splits: dict[str, list[dict[int, tuple[float, float]]]] = {}
     for r in found:
         splits.setdefault(r["label"], [{} for _ in range(trees)])[r["tree"]][r["node"]] = (r["threshold"], spill)
     return Forest(splits, trees, seed)
 
 
-def leaves(forest: Forest, label: int, x: np.ndarray) -> list[list[int]]:
+def leaves(forest: Forest, label: str, x: np.ndarray) -> list[list[int]]:
     """Leaf codes of each row of ``x``, of all trees, ascending."""
     out: list[list[int]] = [[] for _ in range(len(x))]
     trees = forest.splits.get(label)
@@ -135,6 +135,12 @@ def _forest_edges(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def label_key(vectors: DataFrame, label: str) -> Column:
+    """Text that is equal for equal labels of whatever type (zero has one sign)."""
+    kind = vectors.schema[label].dataType.typeName()
+    return (F.col(label) + F.lit(0.0) if kind in ("float", "double") else F.col(label)).cast("string")
+
+
 def link_vectors(
     vectors: DataFrame,
     vec_id: str = "vec_id",
@@ -151,7 +157,7 @@ def link_vectors(
     """``vec_id, n_links, component_id, kept``, one row per row of ``vectors``.
 
     Rows link if their labels are equal and not null and their cosine, in double precision, is
-    ``threshold`` or more. Equal vectors of a label are one class with a count, found by an
+    ``threshold`` or more; labels may be of any type and are compared as they are. Equal vectors of a label are one class with a count, found by an
     aggregate. Trees are fitted on about ``sample_rows`` rows picked by a hash of the id; every
     row then walks all trees of its label and lands, with spill, in one leaf or more of each.
     Rows of one leaf are compared: a leaf of more than ``block_rows`` rows is cut into blocks
@@ -164,7 +170,7 @@ def link_vectors(
     id; vectors of different lengths never link. Repeated ids count as separate vectors.
     """
     spark = ship(vectors.sparkSession)
-    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"), F.col(label).cast("long").alias("label"))
+    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"), label_key(vectors, label).alias("label"))
 
     @F.pandas_udf("boolean")
     def sound(part: pd.Series) -> pd.Series:
@@ -188,13 +194,13 @@ def link_vectors(
                 x, _ = unit(list(group["embedding"]))
                 for i in range(0, len(group), 2048):
                     some = group.iloc[i : i + 2048]
-                    codes = leaves(shipped.value, int(own_label), np.array(x[i : i + 2048]))
+                    codes = leaves(shipped.value, own_label, np.array(x[i : i + 2048]))
                     yield pd.DataFrame({
-                        "label": int(own_label), "size": int(size), "digest": some["digest"].to_numpy(), "id": some["id"].to_numpy(), "n": some["n"].to_numpy(),
+                        "label": own_label, "size": int(size), "digest": some["digest"].to_numpy(), "id": some["id"].to_numpy(), "n": some["n"].to_numpy(),
                         "codes": codes, "vector": [v.tobytes() for v in x[i : i + 2048]],
                     })
 
-    routed = classes.mapInPandas(route, "label long, size int, digest string, id long, n long, codes array<long>, vector binary")
+    routed = classes.mapInPandas(route, "label string, size int, digest string, id long, n long, codes array<long>, vector binary")
     routed = cut(routed)
     listed = routed.select("*", F.explode("codes").alias("leaf"))
     sizes = listed.groupBy("label", "size", "leaf").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
@@ -230,7 +236,7 @@ def link_vectors(
         return pd.DataFrame(out, columns=["digest", "id", "links", "other"])
 
     found = dealt.groupBy("label", "size", "leaf", "a", "b").applyInPandas(
-        lambda key, part: compare(part).assign(label=int(key[0])), "label long, digest string, id long, links long, other string"
+        lambda key, part: compare(part).assign(label=key[0]), "label string, digest string, id long, links long, other string"
     )
     found = cut(found)
     key = F.concat_ws(":", F.col("label").cast("string"), "digest")
