@@ -8,10 +8,10 @@ from collections.abc import Iterator
 from math import log2
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import free_name, ship
+from leafmill.llm.common import cut, free_name, ship
 
 #: Kinds of spans, in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "guess")
@@ -47,7 +47,10 @@ facebook github twitter the and for with from this that not are was have
 RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys(COMMON_WORDS))}
 #: Words of the corpus that the dictionary takes in at most, from how many documents on, and their lengths.
 MOST_WORDS, LEAST_DOCS = 50_000, 5
-CORPUS_WORD = re.compile(r"[^\W\d_]{3,30}")
+WORD_LENGTHS = range(3, 31)
+_LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
+#: Every form with a keyword holds one of these and one of the signs; most texts are told by that.
+KEYWORDS, SIGNS = ("pass", "pwd", "secret", "token", "credential", "key", "auth"), (":", "=")
 #: Runs and walks end at any of so many characters, or at their full length.
 INNER = 64
 #: Distinct words that a task holds before it hands them on.
@@ -152,36 +155,50 @@ class Guesser:
 def scan(text: str, min_bits: float, guesser: Guesser | None = None) -> list[tuple[str, int, int]]:
     """Spans ``(kind, start, end)`` of one text, by start, then by kind as listed; code points, end exclusive."""
     cost = guesser or Guesser()
-    found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_CHARS]
-    found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
-    found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
-    for m in CONTEXT.finditer(text):
-        if cost(m[m.lastindex]) >= min_bits:
-            found.append(("guess", *m.span(m.lastindex)))
+    found = [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
+    if "AKIA" in text:
+        found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
+    if may_assign(text, text.lower()):
+        found += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_CHARS]
+        for m in CONTEXT.finditer(text):
+            if cost(m[m.lastindex]) >= min_bits:
+                found.append(("guess", *m.span(m.lastindex)))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def words_of(text: str) -> set[str]:
-    """Words of a text, without what stands where credentials stand or has the form of one."""
-    for form in (CONTEXT, ASSIGN, ACCESS, HEX):
-        text = form.sub(" ", text)
-    return set(CORPUS_WORD.findall(text.lower()))
+def may_assign(text: str, low: str) -> bool:
+    """False where no keyword is followed by a sign, so that neither ``ASSIGN`` nor ``CONTEXT`` matches."""
+    return any(c in text for c in SIGNS) and any(k in low for k in KEYWORDS)
+
+
+def words_of(text: str) -> set[bytes]:
+    """Words of a text in lower case, as UTF-8, without what stands where credentials stand.
+
+    A word is a run of letters a to z and of characters outside ASCII.
+    """
+    if may_assign(text, text.lower()):
+        text = ASSIGN.sub(" ", CONTEXT.sub(" ", text))
+    if "AKIA" in text:
+        text = ACCESS.sub(" ", text)
+    return set(text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split())
 
 
 def learn_ranks(docs: DataFrame, text: str = "text", most_words: int = MOST_WORDS, least_docs: int = LEAST_DOCS) -> dict[str, int]:
     """Ranks of the words of a corpus by the number of documents that have them, over all documents.
 
-    At most ``most_words`` words that stand in ``least_docs`` documents or more are taken, the
-    first by number, then by code point; the fixed list of common passwords keeps its own
+    Taken are words of 3 to 30 characters that stand in ``least_docs`` documents or more, the
+    most frequent first (then by code point), of each number of documents all or none, so
+    that there are at most ``most_words``. The fixed list of common passwords keeps its own
     ranks where these are lower. Null texts have no words.
     """
     ship(docs.sparkSession)
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter[str] = Counter()
+        seen: Counter[bytes] = Counter()
 
         def flush() -> pd.DataFrame:
-            out = pd.DataFrame(list(seen.items()), columns=["word", "n"])
+            words = ((w.decode("utf-8", "replace"), n) for w, n in seen.items() if 3 <= len(w) <= 120)
+            out = pd.DataFrame([x for x in words if len(x[0]) in WORD_LENGTHS], columns=["word", "n"])
             seen.clear()
             return out
 
@@ -193,7 +210,13 @@ def learn_ranks(docs: DataFrame, text: str = "text", most_words: int = MOST_WORD
         yield flush()
 
     counted = docs.select(F.col(text).alias("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.where(F.col("n") >= least_docs).orderBy(F.desc("n"), "word").limit(most_words).collect()
+    counted = cut(counted.where(F.col("n") >= least_docs))
+    # how many words each number of documents has: few rows, the more frequent numbers first
+    numbers = counted.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+    run = F.sum("words").over(Window.partitionBy().orderBy(F.desc("n")))
+    least = numbers.withColumn("run", run).where(F.col("run") <= most_words).agg(F.min("n").alias("n")).first()["n"]
+    top = counted.where(F.col("n") >= least).collect() if least is not None else []  # at most most_words rows
+    top.sort(key=lambda r: (-r["n"], r["word"]))
     ranks = {r["word"]: i + 1 for i, r in enumerate(top)}
     return ranks | {w: min(r, ranks.get(w, r)) for w, r in RANK.items()}
 

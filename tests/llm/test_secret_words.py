@@ -65,7 +65,13 @@ def test_words_are_learned_and_secrets_are_not(spark):
     assert spans[92] == "guess:9:21,guess:32:44"
     assert all("guess" in spans[i] for i in range(40))
     assert secret_scan.learn_ranks(docs.limit(0)) == secret_scan.RANK
-    assert len(secret_scan.learn_ranks(docs, most_words=3)) == 3 + len(set(secret_scan.RANK) - {"the"})
+    few = secret_scan.learn_ranks(docs, most_words=3)
+    assert len(set(few) - set(secret_scan.RANK)) <= 3
+    rows = [(i, f"alpha {'beta' if i < 8 else ''} {'gamma' if i < 8 else ''} {'delta' if i < 6 else ''}") for i in range(9)]
+    greek = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda n: {w: r for w, r in secret_scan.learn_ranks(greek, most_words=n).items() if w not in secret_scan.RANK}
+    assert found(10) == found(4) == {"alpha": 1, "beta": 2, "gamma": 3, "delta": 4}
+    assert found(3) == {"alpha": 1, "beta": 2, "gamma": 3} and found(2) == {"alpha": 1} and found(0) == {}
 
 
 def test_compass_and_bypass_are_no_context():
