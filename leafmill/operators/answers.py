@@ -25,19 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.operators.model import CONCURRENCY, FAILED, Backend, OfflineBackend, Pace, answers_of
-from leafmill.session import shared_dir
+from leafmill.session import shared_dir, shared_files
 
 LOGGED = "task string, attempt int, bucket int, prompt_hash string, output string, failed boolean"
 KEPT = "prompt_hash string, output string, run string, task string, attempt int, bucket int"
 _LOG_TYPE = pa.schema([("task", pa.string()), ("attempt", pa.int32()), ("bucket", pa.int32()), ("prompt_hash", pa.string()), ("output", pa.string()), ("failed", pa.bool_())])
 
 
-def _files(folder: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a folder as a task sees it."""
-    path = folder.removeprefix("file://").removeprefix("file:")
-    return (fs.LocalFileSystem(), path) if "://" not in path else fs.FileSystem.from_uri(path)
-
-
 class AnswerStore:
     """Answers of all runs in ``folder``; ``buckets`` is the number of tasks that ask at once and stays the same for a folder. One run at a time."""
 
@@ -47,13 +41,13 @@ class AnswerStore:
         self.buckets = buckets
 
     def _logs(self) -> DataFrame:
-        files, path = _files(f"{self.folder}/log")
+        files, path = shared_files(f"{self.folder}/log")
         if files.get_file_info(path).type != fs.FileType.Directory:
             return self.spark.createDataFrame([], f"{LOGGED}, run string, part int")
         return self.spark.read.schema(f"{LOGGED}, run string, part int").parquet(f"{self.folder}/log")
 
     def _table(self) -> DataFrame:
-        files, path = _files(f"{self.folder}/answers")
+        files, path = shared_files(f"{self.folder}/answers")
         if files.get_file_info(path).type != fs.FileType.Directory:
             return self.spark.createDataFrame([], KEPT)
         return self.spark.read.schema(KEPT).parquet(f"{self.folder}/answers")
@@ -68,7 +62,7 @@ class AnswerStore:
     def commit(self) -> None:
         """Moves the logs of all runs into the table; what a died commit left is done again and gives each answer once."""
         runs = [r["run"] for r in self._logs().select("run").distinct().collect()]  # one row per open run
-        files, path = _files(self.folder)
+        files, path = shared_files(self.folder)
         for run in sorted(runs):
             good = self._logs().where((F.col("run") == run) & ~F.col("failed"))
             new = good.join(self._table().where(F.col("run") != run).select("task", "attempt", "bucket", "prompt_hash"), ["task", "attempt", "bucket", "prompt_hash"], "left_anti")
@@ -113,7 +107,7 @@ def ask_once(
     missing = distinct.join(store.known(task, attempt), ["bucket", "prompt_hash"], "left_anti").repartition(buckets, "bucket")
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        files, base = _files(log)
+        files, base = shared_files(log)
         pace = Pace(gap)
         logged: dict[int, set[str]] = {}  # by bucket: hashes that an earlier attempt of this task has answered
 
@@ -150,7 +144,7 @@ def ask_once(
 
     missing.mapInPandas(call, "asked long").write.format("noop").mode("overwrite").save()
     failed = spark.createDataFrame([], "prompt_hash string, output string")
-    files, base = _files(log)
+    files, base = shared_files(log)
     if files.get_file_info(base).type == fs.FileType.Directory:
         own = store._logs().where((F.col("run") == run) & F.col("failed"))
         # few as a rule, and the log goes with the commit: kept aside

@@ -1,6 +1,8 @@
 """Queries of the source, sink and allocation families."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from leafmill.functions.ordered import bucketed_rank
@@ -9,6 +11,7 @@ from leafmill.operators.model import retry_until_parsed
 from leafmill.operators.responses import parse_responses
 from leafmill.plans.family import family
 from leafmill.plans.recipes import load
+from leafmill.session import shared_dir
 from leafmill.sources import config as C
 from leafmill.sources import files as FS
 from leafmill.sources import packages as P
@@ -49,8 +52,25 @@ def src_1(spark, d):
     return FS.hash_items(items, contents).select("doc_id", "name", "file_id", "sha256")
 
 
-@query("src_1_binary_manifest")
+@query(
+    "src_1_binary_manifest",
+    """select coalesce(source, '') || '/' || doc_id % 40 as file, sum(strlen(coalesce(text, '')) + 1)::bigint as length, sha256(string_agg(coalesce(text, '') || chr(10), '' order by doc_id)) as sha256
+from documents group by 1""",
+)
 def src_1_binary(spark, d):
+    """The texts of a source and a remainder of the id make one file; files above 64 KiB are streamed."""
+    docs = load(spark, d, "documents").select(F.coalesce("text", F.lit("")).alias("value"), F.coalesce("source", F.lit("")).alias("s"), (F.col("doc_id") % 40).alias("k"), "doc_id")
+    folder = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    named = docs.select("value", "doc_id", F.concat("s", F.lit("~"), "k").alias("name"))
+    named.repartition("name").sortWithinPartitions("name", "doc_id").drop("doc_id").write.partitionBy("name").text(folder)
+    found = FS.binary_manifest(spark, folder, "*.txt", 64 << 10)
+    file = F.translate(F.url_decode(F.regexp_extract("path", "/name=([^/]*)/", 1)), "~", "/")
+    return found.select(file.alias("file"), "length", "sha256")
+
+
+@query("src_1_table_files")
+def src_1_tables(spark, d):
+    """The files of the tables themselves; their listing is not known to SQL."""
     return FS.binary_manifest(spark, d, "*.parquet").select("name", "length", "sha256")
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 
 
@@ -52,6 +53,12 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def shared_files(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a shared folder, and its path there."""
+    path = folder.removeprefix("file://").removeprefix("file:")
+    return (fs.LocalFileSystem(), path) if "://" not in path else fs.FileSystem.from_uri(path)
+
+
 def cut_lineage(df):
     """Reliable checkpoint in the shared folder; survives executor loss."""
     shared_dir(df.sparkSession)

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
-from leafmill.operators.telemetry import COMPLETE, event_gates, latest_per_key, log_counters, tag_state, task_state
+from leafmill.operators.telemetry import COMPLETE, event_gates, log_counters, tag_state, task_state
 from leafmill.session import cut_lineage, shared_dir
+from leafmill.streaming.levels import LevelledTable
 
 WATERMARK = "10 minutes"
 
@@ -53,8 +54,19 @@ def run_available(stream: DataFrame, mode: str = "update") -> DataFrame:
 
 
 def run_state(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """Latest state per key after an available-now run of an update-mode query."""
-    return latest_per_key(run_available(stream), keys)
+    """Latest state per key after an available-now run of an update-mode query, from a table that is merged as it grows."""
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"
+    table = LevelledTable(spark, f"{base}/rows", keys, stream.schema)
+    query = (
+        stream.writeStream.outputMode("update")
+        .option("checkpointLocation", f"{base}/checkpoint")
+        .trigger(availableNow=True)
+        .foreachBatch(table.write)
+        .start()
+    )
+    query.awaitTermination()
+    return table.rows().drop("batch_id")
 
 
 def task_state_stream(events: DataFrame) -> DataFrame:
@@ -95,7 +107,8 @@ def run_feed(events: DataFrame, width: str = "hour") -> DataFrame:
     """Delivered events of a stream of ``request, ts, event_id, kind``: the batch feed's rows, whatever the order of arrival.
 
     Every micro-batch is added to a log that is partitioned by time tile, with the last
-    control event of each request and tile beside it. An arriving row can only change what
+    control event of each request and tile beside it, in a table that is merged as it grows
+    and of which a batch reads its own requests. An arriving row can only change what
     lies behind it in its request, so the requests of a batch are decided anew from the
     batch's earliest tile on, starting from the gate that the earlier tiles leave. A decision
     is ``delivered`` or not; the last one on an event holds. A repeated batch replaces itself.
@@ -105,20 +118,24 @@ def run_feed(events: DataFrame, width: str = "hour") -> DataFrame:
     columns = ["request", "ts", "event_id", "kind"]
     tile = F.date_trunc(width, "ts")
     control = F.col("kind").isin("register", COMPLETE)
+    gate_columns = ["request", F.lit(0).cast("long").alias("tile"), F.struct("ts", "event_id", "kind").alias("gate")]
+    gate_table = LevelledTable(spark, f"{base}/gates", ["request", "tile"], events.select(*gate_columns).schema)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         own = batch.select(*columns, F.unix_seconds(tile.cast("timestamp")).alias("tile"))
         own = cut_lineage(own)
         own.write.mode("overwrite").partitionBy("tile").parquet(f"{base}/log/batch_id={batch_id}")
         gates = own.where(control).groupBy("request", "tile").agg(F.max(F.struct("ts", "event_id", "kind")).alias("gate"))
-        gates.write.mode("overwrite").parquet(f"{base}/gates/batch_id={batch_id}")
+        # a tile's last control event may have come in an earlier batch
+        earlier = gate_table.rows(gates.select("request", "tile")).select("request", "tile", "gate")
+        gate_table.write(cut_lineage(gates.unionByName(earlier).groupBy("request", "tile").agg(F.max("gate").alias("gate"))), batch_id)
         first = own.agg(F.min("tile").alias("t")).first()["t"]
         if first is None:
             return
         touched = own.select("request").distinct()
         log = spark.read.parquet(f"{base}/log").where((F.col("batch_id") <= batch_id) & (F.col("tile") >= first))
-        known = spark.read.schema(gates.schema.add("batch_id", "long")).parquet(f"{base}/gates")
-        carried = known.where((F.col("batch_id") <= batch_id) & (F.col("tile") < first)).groupBy("request").agg(F.max("gate").alias("gate"))
+        known = gate_table.rows(touched)
+        carried = known.where(F.col("tile") < first).groupBy("request").agg(F.max("gate").alias("gate"))
         rows = log.select(*columns, F.lit(False).alias("carried")).unionByName(carried.select("request", "gate.*", F.lit(True).alias("carried")))
         placed = event_gates(rows.join(touched, "request", "left_semi"), tile)
         delivered = F.coalesce((F.col("gate") == "register") & (F.col("kind") != "register"), F.lit(False))

@@ -78,7 +78,7 @@ def test_a_died_run_and_a_died_commit(spark, tmp_path, calls, monkeypatch):
     assert asked(calls) == ["x", "y", "z"]
     monkeypatch.undo()
     with monkeypatch.context() as m:
-        m.setattr(answers, "_files", lambda folder: (Sulky(), folder))
+        m.setattr(answers, "shared_files", lambda folder: (Sulky(), folder))
         with pytest.raises(OSError):
             store.commit()  # written to the table, not yet out of the log
     store.commit()

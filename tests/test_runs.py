@@ -121,6 +121,39 @@ def test_files_on_disk(spark, tmp_path):
     assert files.read_text_documents(spark, str(tmp_path / "in/a.txt")).first()["text"] == "héllo"
 
 
+def test_files_of_any_size(spark, tmp_path):
+    """A file of more than 2 GiB has its hash, in little memory; both readers give the same rows."""
+    import hashlib
+    import tracemalloc
+
+    (tmp_path / "deep/er").mkdir(parents=True)
+    (tmp_path / "_hidden").mkdir()
+    (tmp_path / "_hidden/x.bin").write_bytes(b"x")
+    (tmp_path / ".y.bin").write_bytes(b"y")
+    size = (2 << 30) + 100_000_000
+    with open(tmp_path / "big.bin", "wb") as f:
+        f.truncate(size)
+    for k in range(5):
+        (tmp_path / f"deep/er/f {k}.bin").write_bytes(bytes([k]) * (1000 * k))
+    want = hashlib.sha256()
+    for _ in range(size >> 20):
+        want.update(bytes(1 << 20))
+    want.update(bytes(size & ((1 << 20) - 1)))
+    got = {r["name"]: (r["length"], r["sha256"]) for r in files.binary_manifest(spark, str(tmp_path), "*.bin").collect()}
+    assert got["big.bin"] == (size, want.hexdigest()) and len(got) == 6
+    (tmp_path / "big.bin").write_bytes(b"small now")
+    tracemalloc.start()
+    reader = files.DigestReader({"path": str(tmp_path)})
+    assert len(list(reader.partitions())) == 6
+    for part in reader.partitions():
+        list(reader.read(part))
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    both = [files.binary_manifest(spark, str(tmp_path), "*.bin", n) for n in (-1, 2000, 1 << 40)]
+    rows = [sorted((r["name"], r["path"].removeprefix("file:").replace("%20", " ").replace("///", "/"), r["length"], r["sha256"]) for r in b.collect()) for b in both]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) == 6
+
+
 def test_packages_round_trip(spark, sf_dir, tmp_path):
     from leafmill.plans.sources import package_rows
 

@@ -31,7 +31,7 @@ def rows(columns, data):
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"src_1_binary_manifest"}
+    assert set(QUERIES) - set(SQL) == {"src_1_table_files"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
