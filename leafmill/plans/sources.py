@@ -15,6 +15,7 @@ from leafmill.session import shared_dir
 from leafmill.sources import config as C
 from leafmill.sources import files as FS
 from leafmill.sources import packages as P
+from leafmill.sources.commits import CommittedTable
 
 QUERIES, SQL, query = family()
 
@@ -375,6 +376,22 @@ def src_9_summary(spark, d):
     return P.run_summary(load(spark, d, "orders").select("o_custkey", state.alias("status")), "o_custkey")
 
 
+@query(
+    "src_9_rewritten_runs",
+    """select o_custkey, o_orderkey, case when o_custkey % 2 = 0 then o_orderstatus else 'old' end as status from orders""",
+)
+def src_9_rewritten(spark, d):
+    """All runs (customers) in a first batch, half of them again in a second one, which is written twice."""
+    rows = load(spark, d, "orders").select("o_custkey", "o_orderkey", F.col("o_orderstatus").alias("status"))
+    folder = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    bucket = lambda df: df.withColumn("run", F.col("o_custkey") % 16)
+    first, second = bucket(rows.withColumn("status", F.lit("old"))), bucket(rows.where("o_custkey % 2 = 0"))
+    table = CommittedTable(spark, folder, first.schema)
+    for batch, part in (("first", first), ("second", second), ("second", second)):
+        table.write(part, batch, ["run"])
+    return table.newest_rows(["o_custkey"]).select("o_custkey", "o_orderkey", "status")
+
+
 @query(
     "src_10_prompt_templates",
     """select 't' || item_id as template_id, case when item_id % 3 = 0 then text else 'head' || chr(10) || chr(10) || text || chr(10) || chr(10) || '{content}' end as template from benchmark""",

@@ -1,10 +1,12 @@
 """Standard package table and run outputs."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from leafmill.functions.ordered import join_parts
+from leafmill.sources.commits import CommittedTable
 
 # What each family keeps.
 TEXT_TYPES = ["docx", "doc", "word", "pdf"]
@@ -67,8 +69,14 @@ def package_table(df: DataFrame, chunk_files: DataFrame) -> DataFrame:
     )
 
 
-def write_packages(packages: DataFrame, path: str) -> None:
-    packages.write.mode("append").partitionBy("file_type").parquet(path)
+def write_packages(packages: DataFrame, path: str, job: str = "job") -> None:
+    """Adds the packages of a job; a job that is written again replaces its own."""
+    CommittedTable(packages.sparkSession, path, packages.schema).write(packages, job, ["file_type"])
+
+
+def read_packages(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """One package per source file, that of the last job that made it."""
+    return CommittedTable(spark, path, schema).newest_row(["source_file"])
 
 
 def paragraph_text(results: DataFrame, run: str, ord_col: str, paragraph: str, content: str) -> DataFrame:
@@ -80,20 +88,26 @@ def paragraph_text(results: DataFrame, run: str, ord_col: str, paragraph: str, c
 
 
 def write_text_parts(parts: DataFrame, run: str, content: str, path: str) -> None:
-    """Text files per run in part order; a long run is spread over several files by part range."""
+    """Text files per run in part order; a long run is spread over several files by part range. A run written again replaces its files."""
     (
         parts.repartitionByRange(F.col(run), F.col("part"))
         .sortWithinPartitions(run, "part")
         .select(run, F.col(content).alias("value"))
-        .write.mode("append")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy(run)
         .text(path)
     )
 
 
-def write_run_table(rows: DataFrame, run: str, path: str) -> None:
-    """Summaries, extracted data, provenance or timings of runs, partitioned by run."""
-    rows.write.mode("append").partitionBy(run).parquet(path)
+def write_run_table(rows: DataFrame, run: str, path: str, batch: str = "batch") -> None:
+    """Summaries, extracted data, provenance or timings of runs, partitioned by run; a batch written again replaces its rows."""
+    CommittedTable(rows.sparkSession, path, rows.schema).write(rows, batch, [run])
+
+
+def read_run_table(spark: SparkSession, path: str, schema: StructType, run: str) -> DataFrame:
+    """Rows of every run, those of the last batch that wrote it."""
+    return CommittedTable(spark, path, schema).newest_rows([run])
 
 
 def run_summary(results: DataFrame, run: str) -> DataFrame:

@@ -158,20 +158,47 @@ def test_packages_round_trip(spark, sf_dir, tmp_path):
     from leafmill.plans.sources import package_rows
 
     rows = packages.package_table(package_rows(spark, sf_dir), spark.createDataFrame([("c/0.json",)], "path string"))
-    packages.write_packages(rows, str(tmp_path / "packages"))
-    back = spark.read.parquet(str(tmp_path / "packages"))
-    assert back.count() == rows.count()
+    for job in ("one", "one", "two/again"):  # a repeated job, and a second one over the same files
+        packages.write_packages(rows, str(tmp_path / "packages"), job)
+        back = packages.read_packages(spark, str(tmp_path / "packages"), rows.schema)
+        assert back.count() == rows.count()
     assert back.where("chunks_file is not null").count() == 1
     assert {r.file_type for r in back.select("file_type").distinct().collect()} == {"docx", "pdf", "xlsx", "unknown"}
 
 
 def test_text_export(spark, tmp_path):
     parts = spark.range(40).select((F.col("id") % 2).alias("run"), F.floor(F.col("id") / 2).alias("part"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("text"))
-    packages.write_text_parts(parts, "run", "text", str(tmp_path / "out"))
+    for _ in range(2):
+        packages.write_text_parts(parts, "run", "text", str(tmp_path / "out"))
+    packages.write_text_parts(parts.where("run = 1"), "run", "text", str(tmp_path / "out"))
     back = spark.read.option("basePath", str(tmp_path / "out")).text(str(tmp_path / "out/run=*"))
     assert sorted((r.run, r.value) for r in back.collect()) == sorted((i % 2, f"p{i}") for i in range(40))
 
 
+def test_commits_are_seen_once(spark, tmp_path, monkeypatch):
+    """A batch written twice, one that dies between rows and log, and runs that later batches write again."""
+    from leafmill.sources import commits
+
+    frame = lambda *rows: spark.createDataFrame(rows, "run string, v long")
+    path, schema = str(tmp_path / "t"), frame(("a", 1)).schema
+    table = commits.CommittedTable(spark, path, schema)
+    assert table.rows().collect() == []
+    write = lambda batch, *rows: packages.write_run_table(frame(*rows), "run", path, batch)
+    seen = lambda: sorted(map(str, (tuple(r) for r in packages.read_run_table(spark, path, schema, "run").collect())))
+    write("b1", ("a", 1), ("a", 2), ("b", 3), (None, 9))
+    write("b2", ("b", 4))
+    write("b2", ("b", 5), ("b", 6))
+    with monkeypatch.context() as m:
+        m.setattr(commits, "shared_files", lambda folder: 1 / 0 if not folder.endswith("/log") else (commits.fs.LocalFileSystem(), folder))
+        with pytest.raises(ZeroDivisionError):
+            write("b3", ("a", 100))
+    assert seen() == sorted(map(str, [("a", 1), ("a", 2), ("b", 5), ("b", 6), (None, 9)]))
+    write("b3", ("a", 7))
+    write("b1", ("a", 8), ("c", 8))  # the whole batch anew, and now the last word on run a
+    assert seen() == sorted(map(str, [("a", 8), ("b", 5), ("b", 6), ("c", 8)]))
+    assert sorted(r["v"] for r in table.rows().collect()) == [5, 6, 7, 8, 8]
+
+
 def test_log_round_trip(spark, sf_dir, tmp_path):
     from leafmill.plans.sources import log_rows
 
