@@ -38,6 +38,7 @@ def byte_ranks() -> bytes:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a model of the labelled rows that are not held out, with the offending sentences."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(~is_held_out())
     model = toxicity.fit(toxicity.labelled_sample(docs, labels, "toxic", TOXICITY_SAMPLE, "doc_id", "text"))
@@ -46,11 +47,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and of decoded bytes; whole texts, null as empty."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return byte_bpe.token_digests(docs, byte_ranks(), public_tokenizers.PATTERN).drop("text")
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and guessed spans of every document; the dictionary of the guesses is learned from all of them."""
     return secret_scan.scan_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
@@ -68,15 +71,18 @@ def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix of all documents takes of each row."""
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and class of every document."""
     return simhash.component_rows(table(spark, sf_dir, "documents"))
 
 
 def op8_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by the wrapper of its host."""
     pages = wrappers.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
@@ -87,12 +93,14 @@ def quality_model(docs: DataFrame, labels: DataFrame) -> quality.QualityModel:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by a model of the labelled rows that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score_documents(docs, quality_model(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", is_held_out().alias("held_out"), "score", "predicted")
 
 
 def op10_tree_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and class of every vector."""
     return tree_forest.link_vectors(table(spark, sf_dir, "embeddings"))
 
 
