@@ -347,9 +347,12 @@ def pick_by_type(items: DataFrame, packages: DataFrame) -> DataFrame:
     return items.join(best.drop("named"), "item_type", "left")
 
 
-def unfinished(manifest: DataFrame, packages: DataFrame) -> DataFrame:
-    """Files whose path and content hash have no finished package yet."""
-    return manifest.join(packages.select("path", "sha256"), ["path", "sha256"], "left_anti")
+def unfinished(manifest: DataFrame, packages: DataFrame, keys: Sequence[str] = ("path", "sha256")) -> DataFrame:
+    """Files whose path and content hash have no finished package yet.
+
+    With ``packages`` from a ``KeyedTable`` of these keys, only the manifest is shuffled.
+    """
+    return manifest.join(packages.select(*keys), list(keys), "left_anti")
 
 
 def file_placeholders(source: Column, root: str = ROOT, base: str = "") -> Column:

@@ -1,12 +1,16 @@
 """Queries of the catalogue family."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from leafmill.functions.ordered import bucketed_rank
 from leafmill.operators import catalog as K
 from leafmill.plans.family import family
 from leafmill.plans.recipes import load, spread
+from leafmill.session import shared_dir
+from leafmill.sources.keyed import KeyedTable
 
 QUERIES, SQL, query = family()
 
@@ -89,6 +93,16 @@ def catalog(spark, d):
     ).withColumn("status", F.when(F.col("status") != "unknown", F.col("status")))
 
 
+def stored_catalog(spark, d):
+    """The catalogue as a table laid out by key, filled by two upserts: a first load, then a late batch."""
+    shaped = events(spark, d).withColumn("status", F.coalesce("status", F.lit("unknown"))).withColumn("file_id", K.file_key(F.col("file_id"), F.col("file")))
+    first, late = (K.upsert(shaped.where(c), ["project", "file"], ["processed_at"]) for c in ("processed_at % 5 <> 0", "processed_at % 5 = 0"))
+    store = KeyedTable(spark, f"{shared_dir(spark)}/catalogue-{uuid.uuid4().hex}", first.schema, ["project", "file"], slots=16, buckets=8)
+    store.upsert(first, ["processed_at"])
+    store.upsert(late, ["processed_at"])
+    return store.rows().withColumn("status", F.when(F.col("status") != "unknown", F.col("status")))
+
+
 def ordered_catalog(spark, d):
     first_seen = events(spark, d).groupBy("project").agg(F.min("processed_at").alias("project_ord"))
     return catalog(spark, d).join(first_seen, "project")
@@ -99,6 +113,11 @@ def cat_2(spark, d):
     return catalog(spark, d).select("project", "file", "file_id", "status", "processed_at", "json_path", "error_message", "file_type")
 
 
+@query("cat_2_stored_upsert", SQL["cat_2_upsert"])
+def cat_2_stored(spark, d):
+    return stored_catalog(spark, d).select("project", "file", "file_id", "status", "processed_at", "json_path", "error_message", "file_type")
+
+
 def asked(spark, d):
     i = F.col("doc_id")
     return load(spark, d, "documents").select(
@@ -120,6 +139,11 @@ def cat_3(spark, d):
     return K.lookup(asked(spark, d), catalog(spark, d)).select("req", "project", "file", "found_path")
 
 
+@query("cat_3_stored_lookup", SQL["cat_3_lookup"])
+def cat_3_stored(spark, d):
+    return K.lookup(asked(spark, d), stored_catalog(spark, d)).select("req", "project", "file", "found_path")
+
+
 @query(
     "cat_3_lookup_any_project",
     f"""with {EVENTS_SQL}, {ASKED_SQL},
@@ -363,6 +387,16 @@ def cat_11(spark, d):
     return K.unfinished(docs, done).select("path", "sha256", "n_chars")
 
 
+@query("cat_11_stored_unfinished", SQL["cat_11_unfinished_files"])
+def cat_11_stored(spark, d):
+    """As above; the finished packages are a table laid out by path and hash, of which the join moves nothing."""
+    docs = load(spark, d, "documents").select("doc_id", F.concat(F.lit("d/"), text("doc_id")).alias("path"), F.sha2("text", 256).alias("sha256"), "n_chars")
+    done = docs.where("doc_id % 3 = 0").select("path", F.when(F.col("doc_id") % 5 == 0, F.lit("old")).otherwise(F.col("sha256")).alias("sha256"))
+    store = KeyedTable(spark, f"{shared_dir(spark)}/finished-{uuid.uuid4().hex}", done.schema, ["path", "sha256"], slots=16, buckets=8)
+    store.upsert(done.distinct(), ["path"])
+    return K.unfinished(docs, store.rows()).select("path", "sha256", "n_chars")
+
+
 @query(
     "cat_12_file_placeholders",
     """select doc_id, '{{TFL_' || source || '.v' || doc_id || '}}' as placeholder, case doc_id % 3 when 0 then 'AAA/in/' || source || '.v' || doc_id || '.rtf' when 1 then 'AAA/in/' || source || '.v' || doc_id || '.rtf' else '/base/data/x.xlsx' end as path,
