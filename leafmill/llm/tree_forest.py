@@ -14,21 +14,35 @@ from leafmill.llm.common import bounded_sample, cut, ship
 from leafmill.llm.components import connected_components
 
 
+#: Random directions tried at a node; the one with the fewest sample rows near its split point is taken.
+PICKS = 4
+#: Leaf codes from here on stand for leaves that cannot be split any more.
+CLOSED = 1 << 62
+
+#: ``nodes[node] = (threshold, pick)``; nodes are numbered as in a heap from 1.
+Nodes = dict[int, tuple[float, int]]
+
+
 @dataclass
 class Forest:
-    """Split points of each tree: ``splits[label][tree][node] = (threshold, spill)``; nodes are numbered as in a heap from 1.
+    """Split points of each tree: ``splits[label][tree]``.
 
-    Directions are not stored: those of a node are drawn anew from its number and its tree's.
+    Directions are not stored: those of a node are drawn anew from its number, its pick and its tree's number.
     """
 
-    splits: dict[str, list[dict[int, tuple[float, float]]]]
+    splits: dict[str, list[Nodes]]
     trees: int
+    width: float
     seed: int
 
+    def spill(self, size: int) -> float:
+        """Distance from a split point within which vectors of ``size`` numbers go both ways."""
+        return self.width / size**0.5
+
 
 @lru_cache(maxsize=100_000)
-def direction(seed: int, tree: int, node: int, size: int) -> np.ndarray:
-    v = np.random.default_rng((seed, tree, node, size)).normal(size=size)
+def direction(seed: int, tree: int, node: int, pick: int, size: int) -> np.ndarray:
+    v = np.random.default_rng((seed, tree, node, pick, size)).normal(size=size)
     return v / np.linalg.norm(v)
 
 
@@ -53,69 +67,140 @@ def unit(vectors: list) -> tuple[list[np.ndarray], np.ndarray]:
     return rows, np.array(keep, dtype=np.int64)
 
 
-def fit_forest(sample: DataFrame, share: float, trees: int, leaf_rows: int, least: int, spill: float, seed: int) -> Forest:
-    """Split points at the medians of projections of a bounded sample, ``share`` of all rows.
+def grow(x: np.ndarray, forest: Forest, tree: int, root: int, stop: float, least: int) -> list[tuple[int, float, int]]:
+    """``(node, threshold, pick)`` of the splits below ``root``, at medians of projections of the sample rows ``x``.
+
+    A node is split while it has ``least`` rows and more than ``stop``.
+    """
+    out = []
+    size = x.shape[1]
+    spill = forest.spill(size)
+    todo = [(root, np.arange(len(x)))]
+    while todo:
+        node, own = todo.pop()
+        if len(own) < max(least, 2) or len(own) <= stop or node >= 1 << 46:
+            continue
+        tried = []
+        for pick in range(PICKS):
+            at = x[own] @ direction(forest.seed, tree, node, pick, size)
+            middle = float(np.median(at))
+            tried.append((int((np.abs(at - middle) < spill).sum()), pick, middle, at))
+        _, pick, middle, at = min(tried, key=lambda t: t[:2])
+        left, right = own[at < middle + spill], own[at >= middle - spill]
+        if max(len(left), len(right)) > 0.9 * len(own):
+            continue  # one crowd: the leaf stays together and is compared block by block
+        out.append((node, middle, pick))
+        todo += [(2 * node, left), (2 * node + 1, right)]
+    return out
+
+
+def walk(x: np.ndarray, forest: Forest, tree: int, root: int, nodes: Nodes) -> Iterator[tuple[int, np.ndarray]]:
+    """Leaves below ``root`` with the rows of ``x`` that come to them."""
+    spill = forest.spill(x.shape[1])
+    todo = [(root, np.arange(len(x)))]
+    while todo:
+        node, own = todo.pop()
+        if node not in nodes:
+            yield node, own
+            continue
+        middle, pick = nodes[node]
+        at = x[own] @ direction(forest.seed, tree, node, pick, x.shape[1])
+        left, right = own[at < middle + spill], own[at >= middle - spill]
+        todo += [(n, some) for n, some in ((2 * node, left), (2 * node + 1, right)) if len(some)]
+
+
+def fit_forest(sample: DataFrame, share: float, trees: int, leaf_rows: int, least: int, width: float, seed: int) -> Forest:
+    """The upper levels of all trees, from a bounded sample, ``share`` of all rows.
 
     A node is split while it stands for more than ``leaf_rows`` rows and has ``least`` rows
-    of the sample. A vector within ``spill`` of a split point goes both ways.
+    of the sample, so the forest that reaches the driver is bounded as the sample is.
     """
+    plain = Forest({}, trees, width, seed)
 
     def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         rows, _ = unit(list(part["embedding"]))
-        out = []
         by_size: dict[int, list] = {}
         for r in rows:
             by_size.setdefault(len(r), []).append(r)
         x = np.array(max(by_size.values(), key=len)) if by_size else np.zeros((0, 1))
-        tree = int(key[1])
-        todo = [(1, np.arange(len(x)))]
-        while todo:
-            node, own = todo.pop()
-            if len(own) < max(least, 2) or len(own) <= leaf_rows * share:
-                continue
-            at = x[own] @ direction(seed, tree, node, x.shape[1])
-            middle = float(np.median(at))
-            left, right = own[at < middle + spill], own[at >= middle - spill]
-            if max(len(left), len(right)) > 0.9 * len(own):
-                continue  # one crowd: the leaf stays together and is compared block by block
-            out.append((key[0], tree, node, middle))
-            todo += [(2 * node, left), (2 * node + 1, right)]
-        return pd.DataFrame(out, columns=["label", "tree", "node", "threshold"])
+        found = grow(x, plain, int(key[1]), 1, leaf_rows * share, least)
+        return pd.DataFrame([(key[0], key[1], *f) for f in found], columns=["label", "tree", "node", "threshold", "pick"])
 
     copies = sample.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    found = copies.groupBy("label", "tree").applyInPandas(fit, "label string, tree int, node long, threshold double").collect()
-    splits: dict[str, list[dict[int, tuple[float, float]]]] = {}
+    found = copies.groupBy("label", "tree").applyInPandas(fit, "label string, tree int, node long, threshold double, pick int").collect()
+    splits: dict[str, list[Nodes]] = {}
     for r in found:
-        splits.setdefault(r["label"], [{} for _ in range(trees)])[r["tree"]][r["node"]] = (r["threshold"], spill)
-    return Forest(splits, trees, seed)
+        splits.setdefault(r["label"], [{} for _ in range(trees)])[r["tree"]][r["node"]] = (r["threshold"], r["pick"])
+    return Forest(splits, trees, width, seed)
 
 
 def leaves(forest: Forest, label: str, x: np.ndarray) -> list[list[int]]:
-    """Leaf codes of each row of ``x``, of all trees, ascending."""
+    """Leaf codes of each row of ``x``, of all trees, ascending. A label without splits has one leaf a tree."""
     out: list[list[int]] = [[] for _ in range(len(x))]
     trees = forest.splits.get(label)
-    for t in range(forest.trees if trees else 1):
-        nodes = trees[t] if trees else {}
-        todo = [(1, np.arange(len(x)))]
-        while todo:
-            node, own = todo.pop()
-            split = nodes.get(node)
-            if split is None:
-                code = (t << 48) | node
-                for i in own:
-                    out[i].append(code)
-                continue
-            at = x[own] @ direction(forest.seed, t, node, x.shape[1])
-            left, right = own[at < split[0] + split[1]], own[at >= split[0] - split[1]]
-            if len(left):
-                todo.append((2 * node, left))
-            if len(right):
-                todo.append((2 * node + 1, right))
+    for t in range(forest.trees):
+        for node, own in walk(x, forest, t, 1, trees[t] if trees else {}):
+            for i in own:
+                out[i].append((t << 48) | node)
     for codes in out:
         codes.sort()
     return out
 
 
+def narrow_leaves(routed: DataFrame, forest: Forest, leaf_rows: int, least: int, leaf_sample: int) -> DataFrame:
+    """``routed`` with ``codes`` of leaves that hold at most ``2 * leaf_rows`` rows, crowds apart.
+
+    Leaves that are still wider get split points from about ``leaf_sample`` of their own rows, in
+    tasks of their own, and their rows go on from there, at most about ``leaf_sample`` a task;
+    again until no leaf is left that splits. Every round divides leaves by ``leaf_sample / least``
+    or down to ``leaf_rows``, so rounds grow with the logarithm of the table. Nothing but the question whether a wide leaf is left
+    reaches the driver. The input comes back as it is if no leaf is wide.
+    """
+    row, key = ["label", "size", "digest"], ["label", "size", "leaf"]
+    plain = Forest({}, forest.trees, forest.width, forest.seed)
+    vectors = routed.select(*row, "vector")
+    slim = routed.select(*row, F.explode("codes").alias("leaf"))
+    node_of = (1 << 48) - 1
+
+    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack([np.frombuffer(v) for v in part["vector"]])
+        rows, leaf = int(part["rows"].iloc[0]), int(key[2])
+        found = grow(x, plain, leaf >> 48, leaf & node_of, leaf_rows * min(1.0, len(x) / rows), least)
+        return pd.DataFrame([(*key, *f) for f in found], columns=["label", "size", "leaf", "node", "threshold", "pick"])
+
+    def step(key: tuple, part: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        leaf = int(key[2])
+        nodes = {int(n): (float(t), int(p)) for n, t, p in zip(found["node"], found["threshold"], found["pick"], strict=True)}
+        if part.empty:
+            return part[["label", "size", "digest", "leaf"]]
+        if not nodes:
+            return part[["label", "size", "digest"]].assign(leaf=leaf | CLOSED)
+        x = np.stack([np.frombuffer(v) for v in part["vector"]])
+        moved = [part.iloc[own][["label", "size", "digest"]].assign(leaf=(leaf >> 48 << 48) | n) for n, own in walk(x, plain, leaf >> 48, leaf & node_of, nodes)]
+        return pd.concat(moved)
+
+    narrowed = False
+    while True:
+        wide = slim.where(F.col("leaf") < CLOSED).groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 2 * leaf_rows)
+        wide = cut(wide.withColumn("tiles", F.ceil(F.col("rows") / leaf_sample).cast("int")))
+        if wide.isEmpty():
+            break
+        narrowed = True
+        inside = slim.join(wide, key)
+        scale = 1 << 30
+        picked = inside.where(F.pmod(F.xxhash64(F.lit(forest.seed), "digest"), F.lit(scale)) < F.lit(scale * leaf_sample) / F.col("rows"))
+        schema = "label string, size int, leaf long, node long, threshold double, pick int"
+        found = cut(picked.join(vectors, row).groupBy(*key).applyInPandas(fit, schema))
+        dealt = inside.withColumn("tile", F.pmod(F.xxhash64("digest"), F.col("tiles")).cast("int")).join(vectors, row).select(*key, "tile", "digest", "vector")
+        plans = found.join(wide, key).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(*key, "tile", "node", "threshold", "pick")
+        moved = dealt.groupBy(*key, "tile").cogroup(plans.groupBy(*key, "tile")).applyInPandas(step, "label string, size int, digest string, leaf long")
+        slim = cut(slim.join(wide, key, "left_anti").select(*row, "leaf").union(moved.select(*row, "leaf")))
+    if not narrowed:
+        return routed
+    codes = slim.groupBy(*row).agg(F.sort_array(F.collect_list("leaf")).alias("codes"))  # a row's own leaves
+    return cut(routed.drop("codes").join(codes, row))
+
+
 def _forest_edges(linked: np.ndarray) -> list[tuple[int, int]]:
     """Links that join all rows that ``linked`` joins: one less than rows for each class."""
     n = len(linked)
@@ -149,8 +234,9 @@ def link_vectors(
     threshold: float = 0.93,
     trees: int = 5,
     leaf_rows: int = 600,
-    spill: float = 0.04,
+    spill: float = 0.53,
     sample_rows: int = 40_000,
+    leaf_sample: int = 8192,
     block_rows: int = 1024,
     seed: int = 1,
 ) -> DataFrame:
@@ -158,8 +244,12 @@ def link_vectors(
 
     Rows link if their labels are equal and not null and their cosine, in double precision, is
     ``threshold`` or more; labels may be of any type and are compared as they are. Equal vectors of a label are one class with a count, found by an
-    aggregate. Trees are fitted on about ``sample_rows`` rows picked by a hash of the id; every
-    row then walks all trees of its label and lands, with spill, in one leaf or more of each.
+    aggregate. The upper levels of the trees are fitted on about ``sample_rows`` rows picked by
+    a hash; every row then walks all trees of its label and lands, with spill, in one leaf or
+    more of each. Leaves that hold more than ``2 * leaf_rows`` rows are split further on
+    samples of their own rows (``narrow_leaves``), so leaves do not grow with the table. A row
+    spills if it is nearer to a split point than ``spill`` times the standard deviation of the
+    distance that a random direction shows between two vectors at ``threshold``.
     Rows of one leaf are compared: a leaf of more than ``block_rows`` rows is cut into blocks
     and every two blocks meet in a task of their own, so no task holds more than two blocks
     and no pair of a leaf is missed. A pair counts in the first leaf that it shares, so each
@@ -185,7 +275,8 @@ def link_vectors(
 
     total = classes.count()
     sample = bounded_sample(classes, F.col("digest"), sample_rows, seed).select("label", "embedding")
-    forest = fit_forest(sample, min(1.0, sample_rows / max(total, 1)), trees, leaf_rows, 32, spill, seed)
+    width = spill * max(0.0, 2 - 2 * threshold) ** 0.5
+    forest = fit_forest(sample, min(1.0, sample_rows / max(total, 1)), trees, leaf_rows, 32, width, seed)
     shipped = spark.sparkContext.broadcast(forest)
 
     def route(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,7 +292,7 @@ def link_vectors(
                     })
 
     routed = classes.mapInPandas(route, "label string, size int, digest string, id long, n long, codes array<long>, vector binary")
-    routed = cut(routed)
+    routed = narrow_leaves(cut(routed), forest, leaf_rows, 32, leaf_sample)
     listed = routed.select("*", F.explode("codes").alias("leaf"))
     sizes = listed.groupBy("label", "size", "leaf").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     sizes = sizes.withColumn("blocks", F.ceil(F.col("rows") / block_rows).cast("int"))
