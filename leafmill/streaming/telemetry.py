@@ -25,7 +25,13 @@ WATERMARK = "10 minutes"
 
 
 def file_stream(spark: SparkSession, folder: str, glob: str, schema) -> DataFrame:
-    return spark.readStream.format("parquet").schema(schema).option("pathGlobFilter", glob).load(folder)
+    """Files of ``folder`` by name, or those below a folder of that name, as a table of many files has.
+
+    Spark takes a path without a pattern for a folder; so the last character of a plain
+    name is put in brackets, and the name stands for either.
+    """
+    name = glob if any(c in glob for c in "*?[{") else f"{glob[:-1]}[{glob[-1]}]"
+    return spark.readStream.format("parquet").schema(schema).load(f"{folder}/{name}")
 
 
 def start_to_folder(stream: DataFrame, out: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
