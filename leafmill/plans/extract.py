@@ -436,12 +436,14 @@ def ext_14(spark, d):
 
 @query(
     "ext_15_full_content",
-    f"""with {SECTIONS_SQL} select doc_id, 0::bigint as part, regexp_replace(string_agg(content, chr(10) || chr(10) order by ord), '\\{{\\{{Table_(\\d+)_Start\\}}\\}}(?s:.*?)\\{{\\{{Table_\\d+_End\\}}\\}}', '{{{{Table_\\1_Start}}}}', 'g') as content, false as glued
-from secs where content <> '' and doc_id % 3 = 1 group by doc_id""",
+    f"""with {SECTIONS_SQL} select doc_id, (ord - 1) // 512 as part, regexp_replace(string_agg(content, chr(10) || chr(10) order by ord), '\\{{\\{{Table_(\\d+)_Start\\}}\\}}(?s:.*?)\\{{\\{{Table_\\d+_End\\}}\\}}', '{{{{Table_\\1_Start}}}}', 'g') as content, false as glued
+from secs where content <> '' group by doc_id, (ord - 1) // 512""",
 )
 def ext_15(spark, d):
+    """Every document is taken in original mode; its query is missing, empty or blank."""
+    k = F.col("doc_id") % 3
     items = load(spark, d, "documents").select(
-        "doc_id", F.when(F.col("doc_id") % 3 == 2, F.lit("find")).otherwise(F.lit(" ")).alias("extract"), (F.col("doc_id") % 3 != 0).alias("original_mode")
+        "doc_id", F.when(k == 1, F.lit(" ")).when(k == 2, F.lit("")).alias("extract"), F.lit(True).alias("original_mode")
     )
     return RU.full_content(items, sections(spark, d), "doc_id").withColumn("part", F.col("part").cast("bigint"))
 
