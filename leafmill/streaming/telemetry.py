@@ -12,6 +12,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
@@ -158,33 +159,72 @@ def run_feed(events: DataFrame, width: str = "hour") -> DataFrame:
     return last.where("last.delivered").select(*columns)
 
 
+#: Rows that go into one entry of the list state.
+PACK_ROWS = 1 << 16
+
+
+def _packed(parts: list[pa.Table]) -> tuple[bytes]:
+    sink = pa.BufferOutputStream()
+    table = pa.concat_tables(parts).combine_chunks()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+        out.write_table(table)
+    return (sink.getvalue().to_pybytes(),)
+
+
+def _trailing(codes: np.ndarray, times: np.ndarray, width: int) -> np.ndarray:
+    """Rows of the same code within ``width`` before each row, itself and its equals included."""
+    # codes are set apart on one axis by more than the longest look back, a slab of codes at a time where it would end
+    offset = times - times.min()
+    apart = int(offset.max()) + width + 1
+    slab = max(1, (1 << 62) // apart)
+    out = np.zeros(len(times), dtype=np.int64)
+    for first in range(0, int(codes.max()) + 1, slab):
+        some = np.flatnonzero((codes >= first) & (codes < first + slab))
+        place = (codes[some] - first) * apart + offset[some]
+        ordered = np.sort(place)
+        out[some] = np.searchsorted(ordered, place, "right") - np.searchsorted(ordered, place - width, "right")
+    return out
+
+
 class TrailingCount(StatefulProcessor):
-    """Counts of the keys of one bucket and tile: rows wait in list state until the watermark has passed the tile, then all of it goes."""
+    """Counts of the keys of one bucket and tile: rows wait in list state until the watermark has passed the tile, then all of it goes.
+
+    An entry of the state holds many rows as one Arrow table, so that a group costs a few
+    calls to the state store, whatever its size.
+    """
+
+    SCHEMA = pa.schema([("k", pa.string()), ("us", pa.int64()), ("id", pa.string()), ("own", pa.bool_())])
 
     def __init__(self, width: int, max_requests: int):
         self.width, self.max_requests = width, max_requests
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "k string, us long, id long, own boolean")
+        self.rows = handle.getListState("rows", "pack binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         if not self.rows.exists():
             self.handle.registerTimer((int(key[1]) + 1) * self.width // 1000)
+        parts, held = [], 0
         for part in rows:
-            names = [None if k is None or k != k else k for k in part["k"].tolist()]
-            self.rows.appendList(list(zip(names, part["us"].tolist(), part["id"].tolist(), part["own"].tolist())))
+            parts.append(pa.Table.from_pandas(part[self.SCHEMA.names], self.SCHEMA, preserve_index=False))
+            held += len(part)
+            if held >= PACK_ROWS:
+                self.rows.appendValue(_packed(parts))
+                parts, held = [], 0
+        if parts:
+            self.rows.appendValue(_packed(parts))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame(list(self.rows.get()), columns=["k", "us", "id", "own"]).sort_values("us")
+        held = pa.concat_tables([pa.ipc.open_stream(bytes(pack)).read_all() for (pack,) in self.rows.get()])
         self.rows.clear()
-        for _, one in held.groupby("k", dropna=False):
-            times = one["us"].to_numpy()
-            one = one.assign(recent=np.searchsorted(times, times, "right") - np.searchsorted(times, times - self.width, "right"))
-            one = one[one["own"]]
-            if len(one):
-                yield pd.DataFrame({"k": one["k"], "id": one["id"], "recent": one["recent"], "violation": one["recent"] > self.max_requests})
+        k = held["k"].combine_chunks().dictionary_encode(null_encoding="encode")
+        recent = _trailing(k.indices.to_numpy().astype(np.int64), held["us"].to_numpy(), self.width)
+        own = held["own"].to_numpy()
+        if own.any():
+            shown = held.select(["k", "id"]).filter(pa.array(own)).to_pandas()
+            yield shown.assign(recent=recent[own], violation=recent[own] > self.max_requests)
 
     def close(self) -> None:
         pass
@@ -214,13 +254,14 @@ def request_rate_stream(requests: DataFrame, key: str, event_id: str, ts: str, w
     and counted in its metrics. Needs ``rocks_state`` where the query is started.
     """
     at = F.col(ts).cast("timestamp")
-    timed = requests.select(at.alias("at"), F.col(key).cast("string").alias("k"), F.col(event_id).alias("id"), F.unix_micros(at).alias("us")).withWatermark("at", delay)
+    timed = requests.select(at.alias("at"), F.col(key).cast("string").alias("k"), F.col(event_id).cast("string").alias("id"), F.unix_micros(at).alias("us")).withWatermark("at", delay)
     lent = timed.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn(
         "tile", F.floor(F.col("us") / width) + F.when(F.col("own"), 0).otherwise(1)
     )
     grouped = lent.withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(buckets))).groupBy("bucket", "tile")
-    counted = grouped.transformWithStateInPandas(TrailingCount(width, max_requests), "k string, id long, recent long, violation boolean", "Append", "eventTime")
-    return counted.select(F.col("k").cast(requests.schema[key].dataType).alias(key), F.col("id").alias(event_id), "recent", "violation")
+    counted = grouped.transformWithStateInPandas(TrailingCount(width, max_requests), "k string, id string, recent long, violation boolean", "Append", "eventTime")
+    typed = [F.col(c).cast(requests.schema[name].dataType).alias(name) for c, name in (("k", key), ("id", event_id))]
+    return counted.select(*typed, "recent", "violation")
 
 
 #: Time of the row that ends a feed, late in what nanoseconds of 64 bits hold: the watermark passes every tile before it.
