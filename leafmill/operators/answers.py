@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.operators.model import CONCURRENCY, FAILED, Backend, OfflineBackend, Pace, answers_of
-from leafmill.session import shared_dir, shared_files
+from leafmill.session import shared_dir, shared_files, small_batches
 
 LOGGED = "task string, attempt int, bucket int, prompt_hash string, output string, failed boolean"
 KEPT = "prompt_hash string, output string, run string, task string, attempt int, bucket int"
@@ -142,6 +142,7 @@ def ask_once(
             done += sum(f.result() for f in open_calls)
         yield pd.DataFrame({"asked": [done]})
 
+    small_batches(missing.sparkSession)
     missing.mapInPandas(call, "asked long").write.format("noop").mode("overwrite").save()
     failed = spark.createDataFrame([], "prompt_hash string, output string")
     files, base = shared_files(log)

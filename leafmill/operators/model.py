@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import leafmill
-from leafmill.session import cut_lineage
+from leafmill.session import cut_lineage, small_batches
 
 # Task functions travel with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(leafmill)
@@ -110,6 +110,7 @@ def model_column(
     its share of it, so the total holds however many of them run at once. With a rate and
     no ``partitions`` there is one task.
     """
+    small_batches(prompts.sparkSession)
     client = backend or OfflineBackend()
     tasks = partitions or (1 if rate else None)
     gap = (tasks or 1) / rate if rate else 0.0
