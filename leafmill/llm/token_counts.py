@@ -15,7 +15,9 @@ from leafmill.llm.common import ship
 
 CACHE_SCHEMA = "content_digest string, tokenizer_digest string, n_tokens long"
 #: Entries a worker's memo of words may hold before it starts anew.
-MEMO = 400_000
+MEMO = 100_000
+#: Longer words are counted each time: few of them come again, and they would fill the memo.
+MEMO_BYTES = 64
 
 
 def normalised(text: Column) -> Column:
@@ -49,12 +51,18 @@ class WordCounts(dict):
                     new.append(w)
         for i in range(0, len(new), 1024):
             some = new[i : i + 1024]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in some], add_special_tokens=False)
-            self.update(zip(some, map(len, found)))
+            self.update(zip(some, self.counts(some)))
+
+    def counts(self, words: list[bytes]) -> list[int]:
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in words], add_special_tokens=False)
+        return list(map(len, found))
 
     def total(self, words: list[bytes]) -> int:
+        long = [w for w in words if len(w) > MEMO_BYTES]
+        if long:
+            words = [w for w in words if len(w) <= MEMO_BYTES]
         self.learn(words)
-        n = sum(map(self.__getitem__, words))
+        n = sum(map(self.__getitem__, words)) + sum(sum(self.counts(long[i : i + 1024])) for i in range(0, len(long), 1024))
         if len(self) >= MEMO:
             self.old = dict(self)
             self.clear()
