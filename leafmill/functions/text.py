@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leafmill.functions.arrays import let
+
 # The characters that count as white space.
 WHITE = (
     " \t\n\u000b\u000c\r\u001c\u001d\u001e\u001f\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
@@ -68,21 +70,26 @@ def fixed_text(x: Column, digits: int) -> Column:
     """A double with ``digits`` decimals, its exact binary value rounded, exact halves to even.
 
     The fraction is a whole number of 2**-60 parts (finer parts decide nothing at up to 9
-    decimals), so whole-number arithmetic gives quotient and remainder exactly. Values of
-    2**53 and more have no fraction; from 9e18 on Spark's formatter takes over.
+    decimals). Their product with 10**digits is taken in two halves of 30 bits, each within
+    a long, so quotient and remainder are exact. Values of 2**53 and more have no fraction;
+    from 9e18 on Spark's formatter takes over.
     """
     size = F.abs(x.cast("double"))
     whole = F.floor(size)
-    parts = ((size - whole) * F.lit(float(1 << 60))).cast("bigint").cast("decimal(38,0)") * F.lit(10**digits).cast("decimal(10,0)")
-    unit, half = F.lit(1 << 60).cast("decimal(38,0)"), F.lit(1 << 59).cast("decimal(38,0)")
-    down = F.call_function("div", parts.cast("decimal(38,0)"), unit)
-    rest = parts.cast("decimal(38,0)") - (down.cast("decimal(19,0)") * F.lit(1 << 60).cast("decimal(19,0)")).cast("decimal(38,0)")
-    odd = (whole % 2 + down % 2) % 2 == 1 if digits == 0 else down % 2 == 1
-    total = down + F.when((rest > half) | ((rest == half) & odd), 1).otherwise(0)
-    carry = F.when(total >= 10**digits, 1).otherwise(0)
-    shown = (whole + carry).cast("string")
+    parts = ((size - whole) * F.lit(float(1 << 60))).cast("bigint")
+    low, unit = F.lit((1 << 30) - 1).cast("bigint"), F.lit(10**digits).cast("bigint")
+    below = parts.bitwiseAND(low) * unit
+    above = F.shiftright(parts, 30) * unit + F.shiftright(below, 30)
+    down = F.shiftright(above, 30)
+    rest = F.shiftleft(above.bitwiseAND(low), 30) + below.bitwiseAND(low)
+    odd = (down if digits else whole).bitwiseAND(F.lit(1).cast("bigint"))
+    # what is over half a unit carries, and the half itself where it stands after an odd digit
+    total = down + F.shiftright(rest + F.lit((1 << 59) - 1).cast("bigint") + odd, 60)
     if digits:
-        shown = F.concat(shown, F.lit("."), F.lpad((total - carry * 10**digits).cast("string"), digits, "0"))
+        fraction = lambda t: F.concat(F.lit("."), F.lpad((t % unit).cast("string"), digits, "0"))
+        shown = let(total, lambda t: F.concat((whole + F.call_function("div", t, unit)).cast("string"), fraction(t)))
+    else:
+        shown = (whole + total).cast("string")
     return F.when(size < 9e18, F.concat(F.when(x < 0, "-").otherwise(""), shown)).otherwise(F.format_string(f"%.{digits}f", x.cast("double")))
 
 

@@ -7,6 +7,8 @@ for min/max aggregates that combine before the shuffle.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,32 +133,40 @@ def expand_merges(cells: DataFrame, merges: DataFrame, fill_mode: str = "dots")
     return laid.select(*SHEET, "row", "col", value.alias("filled"))
 
 
-def format_cell(text: Column, num: Column, is_int: Column, number_format: Column, percent_dp: int = 1, enable_percent: bool = True) -> Column:
-    """Cell value as text: percentages scaled without a sign, floats without trailing zeros."""
+def number_text(num: Column, is_int: Column, number_format: Column, percent_dp: int = 1, enable_percent: bool = True) -> Column:
+    """A number as text: percentages scaled without a sign, floats without trailing zeros."""
 
     def trimmed(v):
-        return F.regexp_replace(F.regexp_replace(v, r"0+$", ""), r"\.$", "")
+        return F.rtrim(F.rtrim(v, F.lit("0")), F.lit("."))
 
     percent = fixed_text(num * F.lit(100.0), percent_dp)
     percent = trimmed(percent) if percent_dp > 0 else percent
     whole = F.abs(num - F.rint(num)) < 1e-12
-    is_percent = F.lit(enable_percent) & F.coalesce(F.contains(number_format, F.lit("%")), F.lit(False)) & num.isNotNull()
+    is_percent = F.lit(enable_percent) & F.coalesce(F.contains(number_format, F.lit("%")), F.lit(False))
     return (
         F.when(is_percent, percent)
-        .when(num.isNotNull() & (is_int | whole), F.rint(num).cast("decimal(38,0)").cast("string"))
-        .when(num.isNotNull(), trimmed(fixed_text(num, 6)))
+        .when(is_int | whole, F.rint(num).cast("decimal(38,0)").cast("string"))
+        .otherwise(trimmed(fixed_text(num, 6)))
+    )
+
+
+def format_cell(text: Column, num: Column, is_int: Column, number_format: Column, percent_dp: int = 1, enable_percent: bool = True, tidy: Callable[[Column], Column] = lambda c: c) -> Column:
+    """Cell value as text, the placeholder where it is blank; ``tidy`` is put to texts only."""
+    return (
+        F.when(num.isNotNull(), number_text(num, is_int, number_format, percent_dp, enable_percent))
         .when(blank(text), F.lit(PLACEHOLDER))
-        .otherwise(text)
+        .otherwise(tidy(text))
     )
 
 
 def sanitize(c: Column) -> Column:
-    flat = F.replace(F.regexp_replace(c, "\r\n|\n|\r", " "), F.lit("|"), F.lit("\\|"))
-    return collapse(flat)
+    """One line, without pipes: line breaks are white space too and become a space with it."""
+    return collapse(F.replace(c, F.lit("|"), F.lit("\\|")))
 
 
 def formatted(cells: DataFrame) -> DataFrame:
-    shown = sanitize(format_cell(F.col("text"), F.col("num"), F.col("is_int"), F.col("number_format")))
+    """Cells as they stand in a grid. Only texts are tidied: a number has neither white space nor pipes."""
+    shown = format_cell(F.col("text"), F.col("num"), F.col("is_int"), F.col("number_format"), tidy=sanitize)
     return cells.select(*SHEET, "row", "col", shown.alias("shown"))
 
 
