@@ -13,15 +13,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PART_ROWS = 512
+#: Rows of a group that one task may sort; larger groups are worked on per bucket.
+WHOLE_GROUP = 100_000
 
 
-def bucketed_rank(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column, out: str = "ord") -> DataFrame:
+def bucketed_rank(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column, out: str = "ord", counted: DataFrame | None = None) -> DataFrame:
     """1-based position of each row in its group, exact, without one task per group.
 
-    ``bucket`` must not decrease along ``order``; its size bounds the largest sort.
+    ``bucket`` must not decrease along ``order``; its size bounds the largest sort. Groups of
+    at most ``WHOLE_GROUP`` rows are ranked whole; only larger ones, of which there are few,
+    are ranked per bucket and shifted. ``counted`` may be a plainer table with at least as
+    many rows in each group, in which the large groups are looked for instead of ``df``.
     """
     b = "_bucket"
-    keyed = df.withColumn(b, bucket)
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    sizes = (df if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    large = F.broadcast(sizes.where(F.col("_n") > WHOLE_GROUP).select(*[F.col(k).alias(f"_{k}") for k in keys]))
+    whole = df.join(large, same, "left_anti").withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+    keyed = df.join(large, same, "left_semi").withColumn(b, bucket)
     local = keyed.withColumn("_pos", F.row_number().over(Window.partitionBy(*keys, b).orderBy(*order)))
     before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     shift = (
@@ -30,7 +39,7 @@ def bucketed_rank(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: C
         .withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
-    return local.join(shift, [*keys, b]).withColumn(out, F.col("_shift") + F.col("_pos")).drop(b, "_pos", "_shift")
+    return whole.unionByName(local.join(shift, [*keys, b]).withColumn(out, F.col("_shift") + F.col("_pos")).drop(b, "_pos", "_shift"))
 
 
 def part_of(ord_col: Column, rows: int = PART_ROWS) -> Column:

@@ -204,8 +204,12 @@ def _first_existing(candidates: DataFrame, keys: Sequence[str], manifest: DataFr
 
     The columns ride along, so the candidates are computed once.
     """
-    flat = candidates.select(*keys, *keep, F.posexplode("paths").alias("rank", "path")).where("path is not null")
-    known = flat.join(manifest.select("path"), "path", "left_semi")
+    # outer: else a test that there are paths, with all that makes them, would go down to the rows
+    flat = candidates.select(*keys, *keep, F.posexplode_outer("paths").alias("rank", "path")).where("path is not null")
+    # Many rows may ask for one path. Over a second key, which is part of no layout, both sides of the
+    # join are plain shuffles, and only of such joins does adaptive execution split the large tasks.
+    size = F.length("path").alias("_size")
+    known = flat.select("*", size).join(manifest.select("path", size), ["path", "_size"], "left_semi")
     return known.groupBy(*keys).agg(F.min_by("path", "rank").alias("path"), *[F.any_value(c).alias(c) for c in keep])
 
 
