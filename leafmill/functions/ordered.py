@@ -22,15 +22,21 @@ def bucketed_rank(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: C
 
     ``bucket`` must not decrease along ``order``; its size bounds the largest sort. Groups of
     at most ``WHOLE_GROUP`` rows are ranked whole; only larger ones, of which there are few,
-    are ranked per bucket and shifted. ``counted`` may be a plainer table with at least as
-    many rows in each group, in which the large groups are looked for instead of ``df``.
+    are ranked per bucket and shifted. Rows with a NULL key are left
+    out, those with a NULL bucket are counted and left out.
+    ``counted`` may be a plainer table with at least as many rows in each group, in which
+    the large groups are looked for instead of ``df``.
     """
     b = "_bucket"
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    for k in keys:
+        df = df.where(F.col(k).isNotNull())
+    df = df.withColumn(b, bucket)
     sizes = (df if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    large = F.broadcast(sizes.where(F.col("_n") > WHOLE_GROUP).select(*[F.col(k).alias(f"_{k}") for k in keys]))
-    whole = df.join(large, same, "left_anti").withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
-    keyed = df.join(large, same, "left_semi").withColumn(b, bucket)
+    # at most one row for each WHOLE_GROUP rows of the table
+    large = F.broadcast(sizes.where(F.col("_n") > WHOLE_GROUP).select(*keys))
+    in_group = Window.partitionBy(*keys).orderBy(*order)
+    whole = df.join(large, [*keys], "left_anti").withColumn(out, F.row_number().over(in_group).cast("bigint")).where(F.col(b).isNotNull()).drop(b)
+    keyed = df.join(large, [*keys], "left_semi")
     local = keyed.withColumn("_pos", F.row_number().over(Window.partitionBy(*keys, b).orderBy(*order)))
     before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     shift = (

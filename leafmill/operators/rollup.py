@@ -176,6 +176,7 @@ def directory_results(files: DataFrame, item: str) -> DataFrame:
         ["first_ord", "ord"],
         F.struct(F.col("first_ord").alias("a"), F.floor(F.col("ord") / PART_ROWS).alias("b")),
         "nth",
+        counted=files.select(item),
     )
     opens = F.col("ord") == F.col("first_ord")
     lead = (

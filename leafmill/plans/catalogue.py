@@ -252,7 +252,7 @@ def matches(spark, d):
     per_file = li.groupBy("l_orderkey", "l_partkey", "l_suppkey").agg(F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("state"))
     # a file's position inside its item: keys are already distinct, so order by them
     rows = per_file.withColumn("item", F.col("l_orderkey"))
-    ranked = bucketed_rank(rows, ["item"], ["l_partkey", "l_suppkey"], F.floor(F.col("l_partkey") / 1000))
+    ranked = bucketed_rank(rows, ["item"], ["l_partkey", "l_suppkey"], F.floor(F.col("l_partkey") / 1000), counted=li.select(F.col("l_orderkey").alias("item")))
     kind = F.when(F.col("flag") == "A", "docx").when(F.col("flag") == "N", "xlsx").otherwise("pdf")
     region = lambda label, path: F.struct(F.lit(label).alias("label"), path.alias("path"))
     return ranked.select(
