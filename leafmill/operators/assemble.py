@@ -97,6 +97,7 @@ def direct_text(items: DataFrame, files: DataFrame, paragraph: str, part_rows: i
         ["section", "ord"],
         F.struct("section", F.floor(F.col("ord") / PART_ROWS).alias("b")),
         "nth",
+        counted=items.select(paragraph).unionByName(files.select(paragraph)),
     )
     # an HTML table may begin in one row and end in another; blank lines go, so rows meet with one line break
     placed = state_before(placed, paragraph, "nth", table_open_after(F.col("content")), "_inside")

@@ -50,12 +50,16 @@ def plain_from_markdown(text: Column, inside: Column | None = None) -> Column:
         outside_spans(within, lambda x: x.contains("<table>"), lambda x: x.contains("</table>")),
     ).otherwise(lines(text))
 
+    # each expression is tried only on lines that hold what it begins with
+    def without_heading(x):
+        return F.when(x.startswith("#"), F.regexp_replace(x, r"^#+\s*", "")).otherwise(x)
+
     def tidy(x):
-        bare = F.regexp_replace(F.regexp_replace(x, r"!\[.*?\]\(.*?\)", ""), r"^#+\s*", "")
+        bare = F.when(x.contains("!["), F.regexp_replace(x, r"!\[.*?\]\(.*?\)", "")).otherwise(x)
         return (
-            F.when(strip(x).rlike(r"^\{\{Table_\d+_(Start|End)\}\}"), x)
-            .when(strip(x) == "```", F.lit(None))
-            .when(~blank(bare), bare)
+            F.when(x.contains("{{Table_") & strip(x).rlike(r"^\{\{Table_\d+_(Start|End)\}\}"), x)
+            .when(x.contains("```") & (strip(x) == "```"), F.lit(None))
+            .otherwise(let(let(bare, without_heading), lambda b: F.when(~blank(b), b)))
         )
 
     return F.array_join(F.transform(kept, tidy), "\n")
