@@ -93,7 +93,8 @@ def link_fingerprints(fps: DataFrame, fp: str = "fp", distance: int = 4, heavy:
     crowds = cut(postings.groupBy("c", "k").count().where(F.col("count") > heavy).select("c", "k"))
     light = postings.join(crowds, ["c", "k"], "left_anti") if crowds.take(1) else postings
 
-    other = light.select(F.col("c").alias("c2"), F.col("k").alias("k2"), F.col("fp").alias("fp2"))
+    # Spark sizes the 70 postings of a value as one row, and would send all of them through the driver
+    other = light.select(F.col("c").alias("c2"), F.col("k").alias("k2"), F.col("fp").alias("fp2")).hint("merge")
     difference = F.col("fp").bitwiseXOR(F.col("fp2"))
     shared = [F.when(_byte(difference, i) == 0, 1).otherwise(0) for i in range(BYTES)]
     tally = sum(shared[1:], shared[0])
