@@ -17,6 +17,33 @@ PART_ROWS = 512
 WHOLE_GROUP = 100_000
 
 
+def large_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys of the groups of more than ``WHOLE_GROUP`` rows, to be broadcast: at most one for each ``WHOLE_GROUP`` rows of the table."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return F.broadcast(sizes.where(F.col("_n") > WHOLE_GROUP).select(*keys))
+
+
+def whole_rank(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column, out: str = "ord") -> DataFrame:
+    """1-based position of each row in its group, for groups that one task may sort. NULL buckets are counted and left out."""
+    in_group = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_bucket", bucket).withColumn(out, F.row_number().over(in_group).cast("bigint")).where(F.col("_bucket").isNotNull()).drop("_bucket")
+
+
+def shifted_rank(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column, out: str = "ord") -> DataFrame:
+    """As ``whole_rank`` for groups of any size: ranked per bucket and shifted by the rows of the earlier buckets."""
+    b = "_bucket"
+    keyed = df.withColumn(b, bucket)
+    local = keyed.withColumn("_pos", F.row_number().over(Window.partitionBy(*keys, b).orderBy(*order)))
+    before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    shift = (
+        keyed.groupBy(*keys, b)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .drop("_n")
+    )
+    return local.join(shift, [*keys, b]).withColumn(out, F.col("_shift") + F.col("_pos")).drop(b, "_pos", "_shift")
+
+
 def bucketed_rank(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column, out: str = "ord", counted: DataFrame | None = None) -> DataFrame:
     """1-based position of each row in its group, exact, without one task per group.
 
@@ -27,25 +54,11 @@ def bucketed_rank(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: C
     ``counted`` may be a plainer table with at least as many rows in each group, in which
     the large groups are looked for instead of ``df``.
     """
-    b = "_bucket"
     for k in keys:
         df = df.where(F.col(k).isNotNull())
-    df = df.withColumn(b, bucket)
-    sizes = (df if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    # at most one row for each WHOLE_GROUP rows of the table
-    large = F.broadcast(sizes.where(F.col("_n") > WHOLE_GROUP).select(*keys))
-    in_group = Window.partitionBy(*keys).orderBy(*order)
-    whole = df.join(large, [*keys], "left_anti").withColumn(out, F.row_number().over(in_group).cast("bigint")).where(F.col(b).isNotNull()).drop(b)
-    keyed = df.join(large, [*keys], "left_semi")
-    local = keyed.withColumn("_pos", F.row_number().over(Window.partitionBy(*keys, b).orderBy(*order)))
-    before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    shift = (
-        keyed.groupBy(*keys, b)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-    )
-    return whole.unionByName(local.join(shift, [*keys, b]).withColumn(out, F.col("_shift") + F.col("_pos")).drop(b, "_pos", "_shift"))
+    large = large_groups(df if counted is None else counted, keys)
+    whole = whole_rank(df.join(large, [*keys], "left_anti"), keys, order, bucket, out)
+    return whole.unionByName(shifted_rank(df.join(large, [*keys], "left_semi"), keys, order, bucket, out))
 
 
 def part_of(ord_col: Column, rows: int = PART_ROWS) -> Column:

@@ -19,6 +19,8 @@ DEFAULT_ERROR = "处理失败"
 ILLEGAL_NAME_CHARS = '<>:"/\\|?*'
 DOCUMENT_TYPES = ["word", "doc", "docx", "pdf"]
 TABLE_TYPES = ["excel", "xlsx", "rtf"]
+#: Shapes of paths are told apart by a number below this.
+SHAPE_SLOTS = 1 << 16
 TYPE_SYNONYMS = {
     "方案": ["word", "doc", "docx"],
     "伦理资料": ["word", "doc", "docx"],
@@ -199,18 +201,39 @@ def enrich(requests: DataFrame, resolved: DataFrame) -> DataFrame:
     return requests.join(resolved, "file", "left")
 
 
-def _first_existing(candidates: DataFrame, keys: Sequence[str], manifest: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """First of the ranked ``paths`` that the manifest knows, per key, with the ``keep`` columns.
+def _shape_slot(path: Column) -> Column:
+    """One of ``SHAPE_SLOTS`` numbers for a path's top folder, depth and short ending, digits alike."""
+    top = F.when(F.contains(path, F.lit("/")), F.substring_index(path, "/", 1))
+    depth = F.length(path) - F.length(F.replace(path, F.lit("/")))
+    end = F.substring_index(path, ".", -1)
+    return F.pmod(F.xxhash64(top, depth, F.when(F.contains(path, F.lit(".")) & (F.length(end) <= 8), F.translate(end, "123456789", "000000000"))), F.lit(SHAPE_SLOTS))
 
-    The columns ride along, so the candidates are computed once.
+
+def _existing(candidates: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The ranked ``paths`` that the manifest knows, one row each: ``rank, path`` beside the other columns.
+
+    Most candidates lie where there are no such files at all; these go before the rows move.
     """
     # outer: else a test that there are paths, with all that makes them, would go down to the rows
-    flat = candidates.select(*keys, *keep, F.posexplode_outer("paths").alias("rank", "path")).where("path is not null")
+    others = [c for c in candidates.columns if c != "paths"]
+    flat = candidates.select(*others, F.posexplode_outer(F.array_distinct("paths")).alias("rank", "path")).where("path is not null")
+    files = manifest.select(F.col("path").alias("_file"))
+    # SHAPE_SLOTS rows at most
+    slots = files.where("_file is not null").select(_shape_slot(F.col("_file")).alias("_slot")).distinct()
+    likely = flat.join(F.broadcast(slots), _shape_slot(F.col("path")) == F.col("_slot"), "left_semi")
     # Many rows may ask for one path. Over a second key, which is part of no layout, both sides of the
     # join are plain shuffles, and only of such joins does adaptive execution split the large tasks.
-    size = F.length("path").alias("_size")
-    known = flat.select("*", size).join(manifest.select("path", size), ["path", "_size"], "left_semi")
-    return known.groupBy(*keys).agg(F.min_by("path", "rank").alias("path"), *[F.any_value(c).alias(c) for c in keep])
+    return likely.join(files, (F.col("path") == F.col("_file")) & (F.length("path") == F.length("_file")), "left_semi")
+
+
+def _first_existing(candidates: DataFrame, keys: Sequence[str], manifest: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """First of the ranked ``paths`` that the manifest knows, per key, with the ``keep`` columns.
+
+    The columns ride along, so the candidates are computed once.
+    """
+    known = _existing(candidates.select(*keys, *keep, "paths"), manifest)
+    best = known.groupBy(*keys).agg(F.min(F.struct("rank", "path", *keep)).alias("_row"))
+    return best.select(*keys, "_row.path", *[f"_row.{c}" for c in keep])
 
 
 def _first_of_sources(rows: DataFrame, keys: Sequence[str], source: Sequence[str], paths: Callable[[DataFrame], DataFrame], manifest: DataFrame, keep: Sequence[str]) -> DataFrame:

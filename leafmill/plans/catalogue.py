@@ -5,10 +5,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from leafmill.functions.ordered import bucketed_rank
+from leafmill.functions.ordered import large_groups, shifted_rank, whole_rank
 from leafmill.operators import catalog as K
 from leafmill.plans.family import family
-from leafmill.plans.recipes import load, spread
+from leafmill.plans.recipes import load
 from leafmill.session import shared_dir
 from leafmill.sources.keyed import KeyedTable
 
@@ -247,12 +247,15 @@ def cat_7(spark, d):
 
 # Matches of an item: an order is the item, its line items are files.
 def matches(spark, d):
-    li = spread(load(spark, d, "lineitem"), "l_orderkey")
-    key = F.concat_ws("_", text("l_partkey"), text("l_suppkey"))
-    per_file = li.groupBy("l_orderkey", "l_partkey", "l_suppkey").agg(F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("state"))
+    li = load(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus").where("l_orderkey is not null")
+    large = large_groups(li, ["l_orderkey"])
+    per_file = lambda rows: rows.groupBy("l_orderkey", "l_partkey", "l_suppkey").agg(F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("state"))
     # a file's position inside its item: keys are already distinct, so order by them
-    rows = per_file.withColumn("item", F.col("l_orderkey"))
-    ranked = bucketed_rank(rows, ["item"], ["l_partkey", "l_suppkey"], F.floor(F.col("l_partkey") / 1000), counted=li.select(F.col("l_orderkey").alias("item")))
+    rank = ["l_orderkey"], ["l_partkey", "l_suppkey"], F.floor(F.col("l_partkey") / 1000)
+    # one shuffle by item serves both steps; items too large for a task are found before and go their own way
+    whole = whole_rank(per_file(li.join(large, "l_orderkey", "left_anti").repartition("l_orderkey")), *rank)
+    ranked = whole.unionByName(shifted_rank(per_file(li.join(large, "l_orderkey", "left_semi")), *rank)).withColumn("item", F.col("l_orderkey"))
+    key = F.concat_ws("_", text("l_partkey"), text("l_suppkey"))
     kind = F.when(F.col("flag") == "A", "docx").when(F.col("flag") == "N", "xlsx").otherwise("pdf")
     region = lambda label, path: F.struct(F.lit(label).alias("label"), path.alias("path"))
     return ranked.select(
@@ -286,23 +289,31 @@ tabs as (select m.* from m join lead using (item, family) where family = 'table'
 
 def manifest(spark, d):
     """Existing files: some chunk files in both forms, regions beside packages, sheets of most suppliers."""
-    li = load(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    li = load(spark, d, "lineitem").select("l_partkey", "l_suppkey")
     key = F.concat_ws("_", text("l_partkey"), text("l_suppkey"))
-    p = F.col("l_partkey")
-    return li.select(
+    p, sheets = F.col("l_partkey"), F.concat(F.lit("pk/"), text("l_suppkey"), F.lit("/markdown/"))
+    # files of a pair bear its key, those of a supplier its number: distinct pairs and suppliers give distinct paths
+    of_pair = li.distinct().select(
         F.explode(
             F.array(
                 F.when(p % 3 == 0, F.concat(F.lit("AAA/c/"), key, F.lit("_chunks_structured.json"))),
                 F.when(p % 2 == 0, F.concat(F.lit("AAA/c/"), key, F.lit("_chunks.json"))),
                 F.when(p % 2 == 1, F.concat(F.lit("pk/"), key, F.lit("/c"), key, F.lit(".json"))),
                 F.when(p % 5 < 2, F.concat(F.lit("pk/"), key, F.lit("/t1.docx"))),
-                F.when(p % 5 == 2, F.lit("pk/regions_word/t1.docx")),
                 F.when(p % 4 == 0, F.concat(F.lit("AAA/img/"), key)),
-                F.when(F.col("l_suppkey") % 3 != 0, F.concat(F.lit("pk/"), text("l_suppkey"), F.lit("/markdown/s1.md"))),
-                F.when(F.col("l_suppkey") % 2 != 0, F.concat(F.lit("pk/"), text("l_suppkey"), F.lit("/markdown/s2.md"))),
             )
         ).alias("path")
-    ).where("path is not null").distinct()
+    )
+    of_supplier = li.select("l_suppkey").distinct().select(
+        F.explode(
+            F.array(
+                F.when(F.col("l_suppkey") % 3 != 0, F.concat(sheets, F.lit("s1.md"))),
+                F.when(F.col("l_suppkey") % 2 != 0, F.concat(sheets, F.lit("s2.md"))),
+            )
+        ).alias("path")
+    )
+    shared = li.where(p % 5 == 2).select(F.lit("pk/regions_word/t1.docx").alias("path")).distinct()
+    return of_pair.unionByName(of_supplier).unionByName(shared).where("path is not null")
 
 
 CHUNKS_SQL = MATCH_SQL + """,
