@@ -1,7 +1,7 @@
 """Catalogue of processed files: paths, upsert, lookup, search, statistics, enrichment."""
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -236,22 +236,6 @@ def _first_existing(candidates: DataFrame, keys: Sequence[str], manifest: DataFr
     return best.select(*keys, "_row.path", *[f"_row.{c}" for c in keep])
 
 
-def _first_of_sources(rows: DataFrame, keys: Sequence[str], source: Sequence[str], paths: Callable[[DataFrame], DataFrame], manifest: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """As ``_first_existing``, where the ranked paths depend on the ``source`` columns only.
-
-    ``paths`` adds them to the distinct sources, which are laid out and looked up by
-    themselves; the rows with their other columns move once, to meet the answer.
-    """
-    # outer: else a test that there are paths, with all that makes them, would go down to the rows
-    flat = paths(rows.select(*source).distinct()).select(*source, F.posexplode_outer("paths").alias("rank", "path")).where("path is not null")
-    found = flat.join(manifest.select("path"), "path", "left_semi").groupBy(*source).agg(F.min(F.struct("rank", "path")).alias("_found"))
-    found = found.select(F.col("_found"), *[F.col(c).alias(f"_{c}") for c in source])
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in source]
-    met = rows.select(*keys, *keep, *source).join(found, same)
-    best = F.min_by(F.struct("_found.path", *keep), F.col("_found.rank")).alias("_row")
-    return met.groupBy(*keys).agg(best).select(*keys, "_row.*")
-
-
 def _structured(path: Column) -> Column:
     end = "_chunks.json"
     return F.when(path.endswith(end), F.concat(F.substring(path, F.lit(1), F.length(path) - len(end)), F.lit("_chunks_structured.json")))
@@ -269,21 +253,17 @@ def tables_of(matches: DataFrame, item: str) -> DataFrame:
 
 
 def document_files(matches: DataFrame, item: str, manifest: DataFrame) -> DataFrame:
-    """Chunk file of each document match that exists: ``item, ord, chunks_file, source_file``."""
-    def paths(sources: DataFrame) -> DataFrame:
-        raw, rooted, beside = F.col("_raw"), F.col("_rooted"), F.col("_beside")
-        named = sources.withColumn("_raw", slashes(F.col("structured_chunks_file")))
-        placed = named.withColumns(
-            {
-                "_rooted": F.when(raw.rlike(f"(?i){ROOT}/"), index_path(raw)),
-                "_beside": F.concat(F.regexp_replace("json_path", "/[^/]*$", ""), F.lit("/"), raw),
-            }
-        )
-        return placed.withColumn("paths", F.array(_structured(rooted), rooted, _structured(raw), raw, _structured(beside), beside))
-
-    found = _first_of_sources(
-        documents_of(matches), [item, "ord"], ["json_path", "structured_chunks_file"], paths, manifest, ["source_file", "file_type"]
+    """Chunk file of each document match that exists: ``item, ord, chunks_file, source_file, file_type``."""
+    raw, rooted, beside = F.col("_raw"), F.col("_rooted"), F.col("_beside")
+    named = documents_of(matches).withColumn("_raw", slashes(F.col("structured_chunks_file")))
+    placed = named.withColumns(
+        {
+            "_rooted": F.when(raw.rlike(f"(?i){ROOT}/"), index_path(raw)),
+            "_beside": F.concat(F.regexp_replace("json_path", "/[^/]*$", ""), F.lit("/"), raw),
+        }
     )
+    ranked = placed.withColumn("paths", F.array(_structured(rooted), rooted, _structured(raw), raw, _structured(beside), beside))
+    found = _first_existing(ranked, [item, "ord"], manifest, ["source_file", "file_type"])
     return found.withColumnRenamed("path", "chunks_file")
 
 
