@@ -66,16 +66,16 @@ def part_of(ord_col: Column, rows: int = PART_ROWS) -> Column:
 
 
 def join_parts(
-    df: DataFrame, keys: Sequence[str], order: str, text: str, sep: str, rows: int = PART_ROWS, extra: Sequence[Column] = ()
+    df: DataFrame, keys: Sequence[str], order: str, text: str, sep: str, rows: int = PART_ROWS, extra: Sequence[Column] = (), part: Column | None = None
 ) -> DataFrame:
     """Texts of a group joined in order, ``rows`` rows per output part.
 
     ``order`` is a dense 1-based position. Part 0 holds positions 1..rows and so
     on; joining the parts with ``sep`` gives the whole text. A group of at most
-    ``rows`` rows is a single part.
+    ``rows`` rows is a single part. ``part`` may be a column that has the part already.
     """
     gathered = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
-    return df.groupBy(*keys, part_of(F.col(order), rows).alias("part")).agg(
+    return df.groupBy(*keys, (part_of(F.col(order), rows) if part is None else part).alias("part")).agg(
         F.array_join(F.transform(gathered, lambda s: s["t"]), sep).alias(text), *extra
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.arrays import let
 from leafmill.functions.joins import substring_join
-from leafmill.functions.ordered import first_by, join_parts
+from leafmill.functions.ordered import first_by, join_parts, part_of
 from leafmill.functions.text import base_name, stem, strip
 
 # Root marker, default texts, type families.
@@ -226,12 +226,14 @@ def _existing(candidates: DataFrame, manifest: DataFrame) -> DataFrame:
     return likely.join(files, (F.col("path") == F.col("_file")) & (F.length("path") == F.length("_file")), "left_semi")
 
 
-def _first_existing(candidates: DataFrame, keys: Sequence[str], manifest: DataFrame, keep: Sequence[str]) -> DataFrame:
+def _first_existing(candidates: DataFrame, keys: Sequence[str], manifest: DataFrame, keep: Sequence[str], near: Sequence[str] = ()) -> DataFrame:
     """First of the ranked ``paths`` that the manifest knows, per key, with the ``keep`` columns.
 
-    The columns ride along, so the candidates are computed once.
+    The columns ride along, so the candidates are computed once. With ``near``, some of the
+    keys, the rows lie by these.
     """
     known = _existing(candidates.select(*keys, *keep, "paths"), manifest)
+    known = known.repartition(*near) if near else known
     best = known.groupBy(*keys).agg(F.min(F.struct("rank", "path", *keep)).alias("_row"))
     return best.select(*keys, "_row.path", *[f"_row.{c}" for c in keep])
 
@@ -252,8 +254,12 @@ def tables_of(matches: DataFrame, item: str) -> DataFrame:
     return tables.join(documents_of(matches).select(item), item, "left_anti")
 
 
-def document_files(matches: DataFrame, item: str, manifest: DataFrame) -> DataFrame:
-    """Chunk file of each document match that exists: ``item, ord, chunks_file, source_file, file_type``."""
+def document_files(matches: DataFrame, item: str, manifest: DataFrame, parts: bool = False) -> DataFrame:
+    """Chunk file of each document match that exists: ``item, ord, chunks_file, source_file, file_type``.
+
+    With ``parts`` there is also ``part``, the part of ``document_groups``, and the rows lie
+    by it, so that the groups need no shuffle of their own.
+    """
     raw, rooted, beside = F.col("_raw"), F.col("_rooted"), F.col("_beside")
     named = documents_of(matches).withColumn("_raw", slashes(F.col("structured_chunks_file")))
     placed = named.withColumns(
@@ -263,17 +269,20 @@ def document_files(matches: DataFrame, item: str, manifest: DataFrame) -> DataFr
         }
     )
     ranked = placed.withColumn("paths", F.array(_structured(rooted), rooted, _structured(raw), raw, _structured(beside), beside))
-    found = _first_existing(ranked, [item, "ord"], manifest, ["source_file", "file_type"])
-    return found.withColumnRenamed("path", "chunks_file")
+    keys, near = ([item, "ord", "part"], [item, "part"]) if parts else ([item, "ord"], [])
+    found = _first_existing(ranked.withColumn("part", part_of(F.col("ord"))), keys, manifest, ["source_file", "file_type"], near)
+    return found.select(item, "ord", F.col("path").alias("chunks_file"), "source_file", "file_type", *near[1:])
 
 
 def document_groups(files: DataFrame, item: str) -> DataFrame:
     """Chunk files and sources of an item in order, in parts (``ord`` is 1-based).
 
-    The type is that of the item's first file, in every part.
+    The type is that of the item's first file, in every part. Files that have their ``part``
+    already and lie by it are not shuffled for it.
     """
     both = files.withColumn("pair", F.concat_ws("\u0001", "chunks_file", "source_file"))
-    joined = join_parts(both, [item], "ord", "pair", "\u0002", extra=[F.min_by("file_type", "ord").alias("file_type")])
+    part = F.col("part") if "part" in files.columns else None
+    joined = join_parts(both, [item], "ord", "pair", "\u0002", extra=[F.min_by("file_type", "ord").alias("file_type")], part=part)
     pairs = F.split("pair", "\u0002")
     by_part = Window.partitionBy(item).orderBy("part")
     return joined.select(

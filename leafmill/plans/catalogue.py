@@ -333,7 +333,7 @@ select item, (ord - 1) // 512 as part, arg_min(file_type, ord) as file_type, str
 from cf where chunks_file is not null group by item, (ord - 1) // 512""",
 )
 def cat_8_groups(spark, d):
-    return K.document_groups(K.document_files(matches(spark, d), "item", manifest(spark, d)), "item").withColumn("part", F.col("part").cast("bigint"))
+    return K.document_groups(K.document_files(matches(spark, d), "item", manifest(spark, d), parts=True), "item").withColumn("part", F.col("part").cast("bigint"))
 
 
 @query(
