@@ -223,7 +223,8 @@ def _existing(candidates: DataFrame, manifest: DataFrame) -> DataFrame:
     likely = flat.join(F.broadcast(slots), _shape_slot(F.col("path")) == F.col("_slot"), "left_semi")
     # Many rows may ask for one path. Over a second key, which is part of no layout, both sides of the
     # join are plain shuffles, and only of such joins does adaptive execution split the large tasks.
-    return likely.join(files, (F.col("path") == F.col("_file")) & (F.length("path") == F.length("_file")), "left_semi")
+    # Without the hint a manifest that comes from an explode, which Spark sizes too low, goes through the driver.
+    return likely.join(files.hint("merge"), (F.col("path") == F.col("_file")) & (F.length("path") == F.length("_file")), "left_semi")
 
 
 def _first_existing(candidates: DataFrame, keys: Sequence[str], manifest: DataFrame, keep: Sequence[str], near: Sequence[str] = ()) -> DataFrame:
